@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, sharding
+from . import minhash, mixing, sharding
 from .common import table
 
 
@@ -20,9 +20,15 @@ def op6_shard_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents")).drop("group")
 
 
+def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all documents, on 4-word shingles."""
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), percent=80, shingle=4)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_mix_sources": op4_mix_sources,
     "op6_shard_documents": op6_shard_documents,
+    "op9_minhash_dedup": op9_minhash_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {}
