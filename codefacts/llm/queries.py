@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import minhash, mixing, sharding
+from . import fmindex, minhash, mixing, sharding
 from .common import table
 
 
@@ -25,7 +25,13 @@ def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), percent=80, shingle=4)
 
 
+def op2_fm_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of all documents once 13-word windows of earlier documents are gone."""
+    return fmindex.remove_repeats(table(spark, sf_dir, "documents"), window=13)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_fm_substring_dedup": op2_fm_substring_dedup,
     "op4_mix_sources": op4_mix_sources,
     "op6_shard_documents": op6_shard_documents,
     "op9_minhash_dedup": op9_minhash_dedup,
