@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fmindex, minhash, mixing, sharding
+from . import fmindex, minhash, mixing, rpforest, sharding
 from .common import table
 
 
@@ -30,8 +30,14 @@ def op2_fm_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fmindex.remove_repeats(table(spark, sf_dir, "documents"), window=13)
 
 
+def op3_rp_forest_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of near-duplicate vectors within each label."""
+    return rpforest.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.98)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_fm_substring_dedup": op2_fm_substring_dedup,
+    "op3_rp_forest_dedup": op3_rp_forest_dedup,
     "op4_mix_sources": op4_mix_sources,
     "op6_shard_documents": op6_shard_documents,
     "op9_minhash_dedup": op9_minhash_dedup,
