@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fmindex, minhash, mixing, rpforest, sharding
+from . import fmindex, minhash, mixing, rpforest, sharding, toxicity
 from .common import table
 
 
@@ -35,11 +35,18 @@ def op3_rp_forest_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rpforest.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.98)
 
 
+def op8_pu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents, learnt from the labels that aren't held out."""
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels"))).drop("text")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_fm_substring_dedup": op2_fm_substring_dedup,
     "op3_rp_forest_dedup": op3_rp_forest_dedup,
     "op4_mix_sources": op4_mix_sources,
     "op6_shard_documents": op6_shard_documents,
+    "op8_pu_toxicity": op8_pu_toxicity,
     "op9_minhash_dedup": op9_minhash_dedup,
 }
 

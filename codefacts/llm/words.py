@@ -48,12 +48,12 @@ def mix(h: np.ndarray) -> np.ndarray:
 class Words:
     """The words of some texts: byte range and hash of each, and the first word of each text."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, fold: bool = False, hashes: bool = True):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, fold: bool = False, hashes: bool = True, separators: np.ndarray = _SPACE):
         if fold:
             data = np.where((data >= 65) & (data <= 90), data | 32, data).astype(np.uint8)
         self.data, self.offsets = data, offsets
         n = len(data)
-        space = _SPACE[data]
+        space = separators[data]
         edge = np.ones(n + 1, dtype=bool)
         if n:
             edge[1:n] = space[:-1]
@@ -69,15 +69,18 @@ class Words:
         self.count = np.diff(self.first)
         self.doc = np.repeat(np.arange(len(offsets) - 1), self.count)
         if hashes:
-            self.hash = self._hash()
-
-    def _hash(self) -> np.ndarray:
-        up, down = _power_table(len(self.data) + 1)
+            up, _ = _power_table(n + 1)
+            with np.errstate(over="ignore"):
+                self.sums = np.zeros(n + 1, dtype=np.uint64)
+                np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:n], out=self.sums[1:])
+            self.hash = self.hash_of(self.starts, self.ends)
+
+    def hash_of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Hash of each byte range; equal for equal bytes, wherever they stand."""
+        _, down = _power_table(len(self.data) + 1)
         with np.errstate(over="ignore"):
-            sums = np.zeros(len(self.data) + 1, dtype=np.uint64)
-            np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * up[: len(self.data)], out=sums[1:])
-            h = (sums[self.ends] - sums[self.starts]) * down[self.starts]
-            return mix(h + (self.ends - self.starts).astype(np.uint64))
+            h = (self.sums[ends] - self.sums[starts]) * down[starts]
+            return mix(h + (ends - starts).astype(np.uint64))
 
     def grams(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Hash of every n consecutive words of one text, and the index of its first word."""
