@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fmindex, minhash, mixing, rpforest, sharding, toxicity
+from . import fmindex, html_text, minhash, mixing, rpforest, sharding, toxicity
 from .common import table
 
 
@@ -41,6 +41,11 @@ def op8_pu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels"))).drop("text")
 
 
+def op10_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of all pages."""
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_fm_substring_dedup": op2_fm_substring_dedup,
     "op3_rp_forest_dedup": op3_rp_forest_dedup,
@@ -48,6 +53,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_shard_documents": op6_shard_documents,
     "op8_pu_toxicity": op8_pu_toxicity,
     "op9_minhash_dedup": op9_minhash_dedup,
+    "op10_page_text": op10_page_text,
 }
 
 ORACLE_SQL: dict[str, str] = {}
