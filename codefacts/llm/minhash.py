@@ -154,13 +154,18 @@ def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = 5, halves
     same = ["n_shingles", "digest_a", "digest_b"]
     classes = save(full.groupBy(*same).agg(F.min("doc_id").alias("rep"), F.first("left").alias("left"), F.first("right").alias("right")), "classes")
     table_key = lambda x, i: F.transform("right", lambda y, j: F.xxhash64(i * halves + j, x, y))
-    keys = classes.select("rep", F.col("n_shingles").alias("n"), F.explode(F.flatten(F.transform("left", table_key))).alias("key"))
+    keys = classes.select("rep", F.col("n_shingles").alias("n"), F.posexplode(F.flatten(F.transform("left", table_key))).alias("table", "key"))
     buckets = keys.groupBy("key").agg(F.count("*").alias("members"), F.min("rep").alias("hub"))
     shared = buckets.where("members > 1").select("key", "hub")
     members = save(keys.join(shared, "key"), "members")
     sets = save(_sets(docs.join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), shingle), "sets")
     close = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
 
+    def first_table(left: str, right: str):
+        """Of the tables that two documents share, the first: a pair is formed in no other."""
+        at = lambda x, y: F.array_position(F.zip_with(x, y, lambda a, b: a == b), True) - 1
+        return at("left", left) * halves + at("right", right)
+
     def linked(pairs: DataFrame) -> DataFrame:
         named = pairs.where("p <> q").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
         return save(_verified(named, sets, percent), "links")
@@ -172,7 +177,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = 5, halves
         parts = components(links)
         labelled = (
             members.join(parts.withColumnRenamed("node", "rep"), "rep", "left")
-            .select("key", "rep", "n", F.coalesce("component", "rep").alias("part"))
+            .select("key", "table", "rep", "n", F.coalesce("component", "rep").alias("part"))
         )
         # Of a bucket, only whether it holds several components goes on.
         groups = labelled.groupBy("key", "part").agg(F.count("*").alias("size"), F.min_by("rep", F.xxhash64("rep", "key")).alias("some"), F.first("n").alias("nx"))
@@ -185,12 +190,11 @@ def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = 5, halves
             found = rest.join(size.select(F.col("hub").alias("some"), "nb"), "some").withColumn("na", F.col("n")).where(close)
             found = found.select(F.col("rep").alias("p"), F.col("some").alias("q"))
         else:  # against all that they aren't linked with yet
-            one = rest.select("key", F.col("rep").alias("p"), F.col("n").alias("na"), F.col("part").alias("pa"))
-            main = open_rows.where("part = main").select("key", F.col("rep").alias("q"), F.col("n").alias("nb"))
-            other = rest.select("key", F.col("rep").alias("q"), F.col("n").alias("nb"), F.col("part").alias("pb"))
-            found = one.join(main, "key").where(close).select("p", "q").union(
-                one.join(other, "key").where(F.col("p") < F.col("q")).where("pa <> pb").where(close).select("p", "q")
-            )
+            open_rows = save(open_rows.join(classes.select("rep", "left", "right"), "rep"), "open")
+            one = open_rows.where("part <> main").select("key", "table", F.col("rep").alias("p"), F.col("n").alias("na"), F.col("part").alias("pa"), "left", "right")
+            other = open_rows.select("key", F.col("rep").alias("q"), F.col("n").alias("nb"), F.col("part").alias("pb"), F.col("main"), F.col("left").alias("l"), F.col("right").alias("r"))
+            # Two of the lesser components meet once, by their order; one of the largest is always q.
+            found = one.join(other, "key").where("pa <> pb and (pb = main or p < q)").where(close).where(F.col("table") == first_table("l", "r")).select("p", "q")
         links = save(links.union(linked(found)), "links")
     else:
         parts = components(links)

@@ -17,7 +17,7 @@ _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 _BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
 _STEP = np.uint64(0xD6E8FEB86659FD93)
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 _powers: dict[str, np.ndarray] = {}
 
