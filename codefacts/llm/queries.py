@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fmindex, html_text, minhash, mixing, rpforest, sharding, toxicity
+from . import bpe, fmindex, html_text, minhash, mixing, rpforest, sharding, toxicity
 from .common import table
 
 
@@ -46,11 +46,19 @@ def op10_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+def op7_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of all documents, and what they decode to."""
+    import public_tokenizers
+
+    return bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_fm_substring_dedup": op2_fm_substring_dedup,
     "op3_rp_forest_dedup": op3_rp_forest_dedup,
     "op4_mix_sources": op4_mix_sources,
     "op6_shard_documents": op6_shard_documents,
+    "op7_bpe_roundtrip": op7_bpe_roundtrip,
     "op8_pu_toxicity": op8_pu_toxicity,
     "op9_minhash_dedup": op9_minhash_dedup,
     "op10_page_text": op10_page_text,
