@@ -98,9 +98,10 @@ class FmIndex:
         """How often each symbol stands in the transform before row `at`."""
         return self._descend(at, symbols) - self.first[symbols]
 
-    def matching(self, words: np.ndarray, ends: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def matching(self, words: np.ndarray, ends: np.ndarray, limit: int, indexed: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For the word places `ends` of a stream: the length, cut off at `limit`, of the longest
-        match that ends there, and its rows [low, high)."""
+        match that ends there, and its rows [low, high).  Where the stream is itself `indexed`, a
+        match with a single row is the stream's own text: it is left there, as it can't grow less."""
         low = np.zeros(len(ends), dtype=np.int64)
         high = np.full(len(ends), self.n, dtype=np.int64)
         length = np.zeros(len(ends), dtype=np.int64)
@@ -115,8 +116,11 @@ class FmIndex:
             hi = self.before[c] + self.rank(c, high[live])
             found = lo < hi
             live = live[found]
-            low[live], high[live] = lo[found], hi[found]
+            lo, hi = lo[found], hi[found]
+            low[live], high[live] = lo, hi
             length[live] = back + 1
+            if indexed:
+                live = live[hi - lo > 1]
             if not len(live):
                 break
         return length, low, high
@@ -208,19 +212,22 @@ def _texts(docs: DataFrame, window: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            spans, ids = batch.column("spans"), batch.column("doc_id")
+            spans, ids = batch.column("spans"), batch.column("doc_id").to_numpy(zero_copy_only=False)
+            cuts = spans.offsets.to_numpy()
+            key, seg, at, n = (spans.values.field(c) for c in ("key", "seg", "at", "n"))
             for a, b, data, offsets in slices(batch.column("text")):
                 w = Words(data, offsets, hashes=False)
-                out = {c: [] for c in ("key", "seg", "owner", "words")}
-                for r in range(a, b):
-                    base, owner = w.first[r - a], ids[r].as_py()
-                    for s in spans[r].as_py():
-                        first = base + s["at"]
-                        out["key"].append(s["key"])
-                        out["seg"].append(s["seg"])
-                        out["owner"].append(owner)
-                        out["words"].append(w.text(first, first + s["n"] + window - 1))
-                yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("key", pa.int64()), ("seg", pa.int64()), ("owner", pa.int64()), ("words", pa.binary())]))
+                own = slice(cuts[a], cuts[b])
+                row = np.repeat(np.arange(b - a), np.diff(cuts[a : b + 1]))
+                first, last = at.to_numpy()[own], at.to_numpy()[own] + n.to_numpy()[own] + window - 2
+                there = np.flatnonzero(last < w.count[row])  # all, if a doc_id names one text
+                row, first, last = row[there], w.first[row[there]] + first[there], w.first[row[there]] + last[there]
+                starts, ends = w.starts[first], w.ends[last]
+                out = np.concatenate(([0], np.cumsum(ends - starts)))
+                raw = data[np.arange(out[-1]) + np.repeat(starts - out[:-1], ends - starts)]
+                words = pa.Array.from_buffers(pa.binary(), len(row), [None, pa.py_buffer(out.astype(np.int32)), pa.py_buffer(raw)])
+                there = pa.array(there + cuts[a])
+                yield pa.RecordBatch.from_arrays([key.take(there), seg.take(there), pa.array(ids[a + row].astype(np.int64)), words], names=["key", "seg", "owner", "words"])
 
     return docs.mapInArrow(run, "key long, seg long, owner long, words binary")
 
@@ -229,7 +236,7 @@ def _searched(window: int):
     """One shard: index its segments, stream them, and return the smallest owner of each window."""
 
     def run(shard: pa.Table) -> pa.Table:
-        lists = [x.as_py().split(b" ") for x in shard.column("words")]
+        lists = [x.split() for x in shard.column("words").to_pylist()]  # at the white space that parts words
         lengths = np.array([len(x) for x in lists], dtype=np.int64)
         coded = pa.array([x for words in lists for x in words], type=pa.binary()).dictionary_encode()
         words = coded.indices.to_numpy().astype(np.int64) + 1
@@ -239,8 +246,8 @@ def _searched(window: int):
         segment = np.repeat(np.arange(len(lengths)), counts)
         inner = np.arange(len(segment)) - np.repeat(np.cumsum(counts) - counts, counts)
         starts = (np.cumsum(lengths) - lengths)[segment] + inner
-        length, low, high = index.matching(words, starts + window - 1, window)
-        least = np.full(len(segment), np.iinfo(np.int64).max)
+        length, low, high = index.matching(words, starts + window - 1, window, indexed=True)
+        least = owner[segment]
         hit = length >= window
         if hit.any():
             least[hit] = index.least_owner(low[hit], high[hit])
@@ -261,19 +268,25 @@ def _kept(window: int, texts: bool):
             ids, starts = batch.column("doc_id"), batch.column("starts")
             for a, b, data, offsets in slices(batch.column("text")):
                 w = Words(data, offsets, hashes=False)
-                removed, digest, kept_text = [], [], []
+                keep = np.ones(len(w.starts), dtype=bool)
                 for r in range(a, b):
-                    first, n = w.first[r - a], int(w.count[r - a])
-                    keep = np.ones(n, dtype=bool)
                     if starts[r].is_valid and len(starts[r]):
+                        n = int(w.count[r - a])
                         at = starts[r].values.to_numpy()
+                        at = at[at + window <= n]
                         edge = np.zeros(n + 1, dtype=np.int64)
                         np.add.at(edge, at, 1)
                         np.add.at(edge, at + window, -1)
-                        keep = np.cumsum(edge[:n]) == 0
-                    places = first + np.flatnonzero(keep)
-                    kept = b" ".join(data[s:e].tobytes() for s, e in zip(w.starts[places], w.ends[places], strict=True))
-                    removed.append(n - len(places))
+                        keep[w.first[r - a] : w.first[r - a + 1]] = np.cumsum(edge[:n]) == 0
+                # Kept words, each with the byte after it, which becomes the space between two.
+                size = (w.ends - w.starts)[keep] + 1
+                out = np.concatenate(([0], np.cumsum(size)))
+                raw = np.append(data, np.uint8(32))[np.arange(out[-1]) + np.repeat(w.starts[keep] - out[:-1], size)]
+                raw[out[1:] - 1] = 32
+                upto = np.concatenate(([0], np.cumsum(keep)))[w.first]  # kept words before each text
+                removed, digest, kept_text = w.count - np.diff(upto), [], []
+                for r in range(b - a):
+                    kept = raw[out[upto[r]] : max(out[upto[r]], out[upto[r + 1]] - 1)].tobytes()
                     digest.append(hashlib.sha256(kept).hexdigest())
                     if texts:
                         kept_text.append(kept.decode("utf-8"))
