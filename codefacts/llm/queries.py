@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fmindex, html_text, minhash, mixing, rpforest, sharding, toxicity
-from .common import table
+from . import bpe, fmindex, html_text, minhash, mixing, rpforest, sharding, tokens, toxicity
+from .common import shared_dir, table
 
 
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,10 +54,20 @@ def op7_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of all documents, written as range-coded files and read back."""
+    import public_tokenizers
+
+    out = f"{shared_dir(spark)}/codefacts/token-ids-{uuid.uuid4().hex}"
+    tokens.write(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), out, end_id=2)
+    return tokens.read(spark, out)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_fm_substring_dedup": op2_fm_substring_dedup,
     "op3_rp_forest_dedup": op3_rp_forest_dedup,
     "op4_mix_sources": op4_mix_sources,
+    "op5_token_files": op5_token_files,
     "op6_shard_documents": op6_shard_documents,
     "op7_bpe_roundtrip": op7_bpe_roundtrip,
     "op8_pu_toxicity": op8_pu_toxicity,
