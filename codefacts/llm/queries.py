@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fmindex, html_text, minhash, mixing, rpforest, sharding, tokens, toxicity
+from . import bpe, fmindex, html_text, minhash, mixing, nndescent, rpforest, sharding, tokens, toxicity
 from .common import shared_dir, table
 
 
@@ -63,7 +63,13 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.read(spark, out)
 
 
+def op1_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest found of every twentieth vector."""
+    return nndescent.nearest(table(spark, sf_dir, "embeddings"), every=20, k=20)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_nn_descent": op1_nn_descent,
     "op2_fm_substring_dedup": op2_fm_substring_dedup,
     "op3_rp_forest_dedup": op3_rp_forest_dedup,
     "op4_mix_sources": op4_mix_sources,
