@@ -26,7 +26,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .words import Words, mix, slices
 
-MAX_POSITIVE, MAX_UNLABELLED, MAX_FEATURES = 3_000, 12_000, 4_096
+MAX_POSITIVE, MAX_UNLABELLED, MAX_FEATURES = 2_000, 6_000, 4_096
 _PREFIXES = (4, 5, 6)
 _BREAKS = np.ones(256, dtype=bool)
 _BREAKS[128:] = False
