@@ -260,7 +260,7 @@ def _searched(window: int):
     return run
 
 
-def _kept(window: int, texts: bool):
+def _kept(window: int, texts: bool, keep: tuple[str, ...] = ()):
     """Documents with the starts of their repeated windows -> what is kept of them."""
 
     def run(batches):
@@ -268,7 +268,7 @@ def _kept(window: int, texts: bool):
             ids, starts = batch.column("doc_id"), batch.column("starts")
             for a, b, data, offsets in slices(batch.column("text")):
                 w = Words(data, offsets, hashes=False)
-                keep = np.ones(len(w.starts), dtype=bool)
+                stays = np.ones(len(w.starts), dtype=bool)
                 for r in range(a, b):
                     if starts[r].is_valid and len(starts[r]):
                         n = int(w.count[r - a])
@@ -277,13 +277,13 @@ def _kept(window: int, texts: bool):
                         edge = np.zeros(n + 1, dtype=np.int64)
                         np.add.at(edge, at, 1)
                         np.add.at(edge, at + window, -1)
-                        keep[w.first[r - a] : w.first[r - a + 1]] = np.cumsum(edge[:n]) == 0
+                        stays[w.first[r - a] : w.first[r - a + 1]] = np.cumsum(edge[:n]) == 0
                 # Kept words, each with the byte after it, which becomes the space between two.
-                size = (w.ends - w.starts)[keep] + 1
+                size = (w.ends - w.starts)[stays] + 1
                 out = np.concatenate(([0], np.cumsum(size)))
-                raw = np.append(data, np.uint8(32))[np.arange(out[-1]) + np.repeat(w.starts[keep] - out[:-1], size)]
+                raw = np.append(data, np.uint8(32))[np.arange(out[-1]) + np.repeat(w.starts[stays] - out[:-1], size)]
                 raw[out[1:] - 1] = 32
-                upto = np.concatenate(([0], np.cumsum(keep)))[w.first]  # kept words before each text
+                upto = np.concatenate(([0], np.cumsum(stays)))[w.first]  # kept words before each text
                 removed, digest, kept_text = w.count - np.diff(upto), [], []
                 for r in range(b - a):
                     kept = raw[out[upto[r]] : max(out[upto[r]], out[upto[r + 1]] - 1)].tobytes()
@@ -293,21 +293,24 @@ def _kept(window: int, texts: bool):
                 columns = [ids.slice(a, b - a), pa.array(w.count.astype(np.int64)), pa.array(removed, type=pa.int64()), pa.array(digest, type=pa.string())]
                 names = ["doc_id", "n_words", "n_removed", "kept_sha256"]
                 if texts:
-                    valid = batch.column("text").slice(a, b - a).is_valid()
-                    columns.append(pc.if_else(valid, pa.array(kept_text, type=pa.string()), pa.scalar(None, pa.string())))
+                    whole = batch.column("text").slice(a, b - a)
+                    columns.append(pc.if_else(pc.and_(whole.is_valid(), pa.array(removed > 0)), pa.array(kept_text, type=whole.type), whole).cast(pa.string()))
                     names.append("kept_text")
+                columns += [batch.column(c).slice(a, b - a) for c in keep]
+                names += keep
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return run
 
 
-def remove_repeats(docs: DataFrame, window: int = 13, anchor: int = ANCHOR, with_text: bool = False, words_per_shard: int = WORDS_PER_SHARD, segments_per_key: int = SEGMENTS_PER_KEY) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256 (and kept_text): a row for each row of docs.
+def remove_repeats(docs: DataFrame, window: int = 13, anchor: int = ANCHOR, with_text: bool = False, keep: tuple[str, ...] = (), words_per_shard: int = WORDS_PER_SHARD, segments_per_key: int = SEGMENTS_PER_KEY) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256 (and kept_text, and `keep` columns): a row for each row of docs.
 
     A word goes if a window of `window` consecutive words that covers it also starts in a document
     with a smaller doc_id; windows are judged on the input.  Kept words are joined by one space.
     Words are maximal runs of bytes other than 0x20 and 0x09-0x0D.  A null or empty text has no
-    words (its kept_text is null or empty); a document shorter than the window keeps all.  A row
+    words (its kept_text is null or empty), and kept_text is the text as it was where nothing goes;
+    a document shorter than the window keeps all.  A row
     without doc_id keeps all and repeats nothing; repeated rows of one doc_id repeat nothing of each
     other.  A doc_id should name one text: if it names several, what goes from one goes by place
     from all.  Other columns are ignored.  An empty table gives an empty result.
@@ -318,8 +321,9 @@ def remove_repeats(docs: DataFrame, window: int = 13, anchor: int = ANCHOR, with
     spark = docs.sparkSession
     name = f"codefacts_{uuid.uuid4().hex}"
     # Kept by doc_id, so that the texts are never shuffled again: they are read three times.
-    docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").write.bucketBy(BUCKETS, "doc_id").saveAsTable(name)
-    kept_docs = spark.table(name)
+    docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *keep).write.bucketBy(BUCKETS, "doc_id").saveAsTable(name)
+    whole = spark.table(name)
+    kept_docs = whole.select("doc_id", "text")
     found = _occurrences(kept_docs, window, anchor)
     shared = found.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo <> hi").select("key")
     occurs = save(found.join(shared, "key"), "occurrences")
@@ -349,4 +353,5 @@ def remove_repeats(docs: DataFrame, window: int = 13, anchor: int = ANCHOR, with
         .groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("starts"))).alias("starts"))
     )
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
-    return kept_docs.join(repeated, "doc_id", "left").select("doc_id", "text", "starts").mapInArrow(_kept(window, with_text), schema)
+    schema += "".join(f", `{c}` {kind}" for c, kind in whole.select(*keep).dtypes)
+    return whole.join(repeated, "doc_id", "left").select("doc_id", "text", "starts", *keep).mapInArrow(_kept(window, with_text, keep), schema)
