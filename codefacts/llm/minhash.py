@@ -7,13 +7,14 @@ give halves * halves tables from 2 * halves * rows minhashes, where plain bandin
 (1 - (1 - s**rows)**halves)**2: 0.9994 at s = 0.8 with the defaults.
 
 Candidates are verified on the full shingle sets.  Documents with equal sets are one class from the
-start.  Not all pairs of a table's bucket are formed: its members are compared with one of them
-first, what that links is one component, and only members of different components are compared
-further, until every pair that shares a bucket is linked by way of others or was compared itself.
+start.  No pairs are formed: documents that share a table, directly or by way of others, are a group,
+and groups are compared whole, in tasks of bounded size, by counting common shingles from postings.
+A task returns no pairs either, but for each document the smallest that it is linked with there.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,6 +26,7 @@ from .common import components, save
 from .words import Words, mix, slices
 
 HALVES, ROWS = 8, 2
+TASK_DOCS, TASK_SHINGLES = 2_000, 2_000_000
 _SEED = np.random.default_rng(20240229)
 _ODD = _SEED.integers(0, 2**63, size=256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _SEED.integers(0, 2**63, size=256, dtype=np.uint64)
@@ -103,38 +105,61 @@ def sketch(docs: DataFrame, shingle: int = 4, halves: int = HALVES, rows: int =
 
 
 def _sets(docs: DataFrame, shingle: int) -> DataFrame:
-    """doc_id and its set as sorted 64-bit integers."""
+    """Documents with `set`, their shingles as sorted 64-bit integers, in place of `text`."""
+    rest = [c for c in docs.columns if c != "text"]
 
     def run(batches):
         for batch in batches:
-            ids = batch.column("doc_id")
             for a, s, offsets in shingle_sets(batch.column("text"), shingle):
-                raw = pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer((offsets * 8).astype(np.int64)), pa.py_buffer(s)])
-                yield pa.RecordBatch.from_arrays([ids.slice(a, len(offsets) - 1), raw.cast(pa.binary())], names=["doc_id", "shingles"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, shingles binary")
-
-
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough."""
-
-    def run(batches):
-        for batch in batches:
-            keep, last, left = [], None, None
-            for a, x, y in zip(batch.column("a").to_pylist(), batch.column("x"), batch.column("y"), strict=True):
-                if a != last:
-                    last, left = a, np.frombuffer(x.as_buffer(), dtype=np.uint64)
-                right = np.frombuffer(y.as_buffer(), dtype=np.uint64)
-                at = np.searchsorted(left, right)
-                at[at == len(left)] = 0
-                both = int((left[at] == right).sum())
-                keep.append(100 * both >= percent * (len(left) + len(right) - both))
-            out = batch.select(["a", "b"]).filter(pa.array(keep, type=pa.bool_()))
-            yield out
-
-    x = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x"))
-    y = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y"))
-    return pairs.select("a", "b").join(y, "b").join(x, "a").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+                n = len(offsets) - 1
+                raw = pa.Array.from_buffers(pa.large_binary(), n, [None, pa.py_buffer((offsets * 8).astype(np.int64)), pa.py_buffer(s)])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(a, n) for c in rest), raw.cast(pa.binary())], names=[*rest, "set"])
+
+    schema = ", ".join(f"{c} {kind}" for c, kind in docs.select(*rest).dtypes) + ", `set` binary"
+    return docs.select(*rest, "text").mapInArrow(run, schema)
+
+
+def _compared(percent: int):
+    """Links within a task's block, or between its two blocks, as edges to the smallest linked id."""
+
+    def run(key, table):
+        first, second = key[1].as_py(), key[2].as_py()
+        ids, block = table.column("rep").to_numpy(), table.column("block").to_numpy()
+        order = np.argsort(ids, kind="stable")
+        ids, block = ids[order], block[order]
+        sets = [np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in table.column("set").combine_chunks().take(pa.array(order))]
+        size = np.array([len(s) for s in sets])
+        left, right = np.flatnonzero(block == first), np.flatnonzero(block == second)
+        if not len(left) or not len(right):
+            return pa.table({"a": ids[:0], "b": ids[:0]})
+        # Postings of the right block: documents by shingle.
+        shingles = np.concatenate([sets[j] for j in right])
+        owner = np.repeat(np.arange(len(right)), size[right])
+        by = np.argsort(shingles, kind="stable")
+        shingles, owner = shingles[by], owner[by]
+        root = np.arange(len(ids))
+
+        def find(x):
+            while root[x] != x:
+                root[x] = x = root[root[x]]
+            return x
+
+        for i in left:
+            lo = np.searchsorted(shingles, sets[i], side="left")
+            count = np.searchsorted(shingles, sets[i], side="right") - lo
+            some = np.flatnonzero(count)
+            at = np.repeat(lo[some] - np.cumsum(count[some]) + count[some], count[some]) + np.arange(count[some].sum())
+            both = np.bincount(owner[at], minlength=len(right))
+            linked = right[100 * both >= percent * (size[i] + size[right] - both)]
+            for j in linked[linked != i]:
+                x, y = find(i), find(j)
+                if x != y:
+                    root[max(x, y)] = min(x, y)
+        least = np.array([find(k) for k in range(len(ids))])
+        out = np.flatnonzero(least != np.arange(len(ids)))
+        return pa.table({"a": ids[out], "b": ids[least[out]]})
+
+    return run
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = 5, halves: int = HALVES, rows: int = ROWS) -> DataFrame:
@@ -154,50 +179,25 @@ def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = 5, halves
     same = ["n_shingles", "digest_a", "digest_b"]
     classes = save(full.groupBy(*same).agg(F.min("doc_id").alias("rep"), F.first("left").alias("left"), F.first("right").alias("right")), "classes")
     table_key = lambda x, i: F.transform("right", lambda y, j: F.xxhash64(i * halves + j, x, y))
-    keys = classes.select("rep", F.col("n_shingles").alias("n"), F.posexplode(F.flatten(F.transform("left", table_key))).alias("table", "key"))
-    buckets = keys.groupBy("key").agg(F.count("*").alias("members"), F.min("rep").alias("hub"))
-    shared = buckets.where("members > 1").select("key", "hub")
-    members = save(keys.join(shared, "key"), "members")
-    sets = save(_sets(docs.join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), shingle), "sets")
-    close = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
-
-    def first_table(left: str, right: str):
-        """Of the tables that two documents share, the first: a pair is formed in no other."""
-        at = lambda x, y: F.array_position(F.zip_with(x, y, lambda a, b: a == b), True) - 1
-        return at("left", left) * halves + at("right", right)
-
-    def linked(pairs: DataFrame) -> DataFrame:
-        named = pairs.where("p <> q").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
-        return save(_verified(named, sets, percent), "links")
-
-    size = members.select(F.col("rep").alias("hub"), F.col("n").alias("nb")).distinct()
-    nearest = members.groupBy("rep").agg(F.min("hub").alias("hub"), F.first("n").alias("na")).join(size, "hub").where(close)
-    links = linked(nearest.select(F.col("rep").alias("p"), F.col("hub").alias("q")))
-    for last in (False, False, True):
-        parts = components(links)
-        labelled = (
-            members.join(parts.withColumnRenamed("node", "rep"), "rep", "left")
-            .select("key", "table", "rep", "n", F.coalesce("component", "rep").alias("part"))
-        )
-        # Of a bucket, only whether it holds several components goes on.
-        groups = labelled.groupBy("key", "part").agg(F.count("*").alias("size"), F.min_by("rep", F.xxhash64("rep", "key")).alias("some"), F.first("n").alias("nx"))
-        mixed = groups.groupBy("key").agg(F.count("*").alias("parts"), F.max_by(F.struct("part", "some"), F.struct("size", "part")).alias("main")).where("parts > 1")
-        open_rows = save(labelled.join(mixed.select("key", "main.part", "main.some").toDF("key", "main", "some"), "key"), "open")
-        if open_rows.isEmpty():
-            break
-        rest = open_rows.where("part <> main")
-        if not last:  # the lesser components against one member of the largest
-            found = rest.join(size.select(F.col("hub").alias("some"), "nb"), "some").withColumn("na", F.col("n")).where(close)
-            found = found.select(F.col("rep").alias("p"), F.col("some").alias("q"))
-        else:  # against all that they aren't linked with yet
-            open_rows = save(open_rows.join(classes.select("rep", "left", "right"), "rep"), "open")
-            one = open_rows.where("part <> main").select("key", "table", F.col("rep").alias("p"), F.col("n").alias("na"), F.col("part").alias("pa"), "left", "right")
-            other = open_rows.select("key", F.col("rep").alias("q"), F.col("n").alias("nb"), F.col("part").alias("pb"), F.col("main"), F.col("left").alias("l"), F.col("right").alias("r"))
-            # Two of the lesser components meet once, by their order; one of the largest is always q.
-            found = one.join(other, "key").where("pa <> pb and (pb = main or p < q)").where(close).where(F.col("table") == first_table("l", "r")).select("p", "q")
-        links = save(links.union(linked(found)), "links")
-    else:
-        parts = components(links)
+    keys = classes.select("rep", F.explode(F.flatten(F.transform("left", table_key))).alias("key"))
+    shared = keys.groupBy("key").agg(F.count("*").alias("members"), F.min("rep").alias("hub")).where("members > 1").select("key", "hub")
+    # Who shares a table, directly or by way of others, is one group; groups are what is compared.
+    groups = components(keys.join(shared, "key").where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct())
+    members = save(groups.withColumnRenamed("node", "rep").join(classes.select("rep", "n_shingles"), "rep"), "members")
+    # Many small groups go to one task together; a large one is cut into blocks, a task for each two.
+    volume = members.groupBy("component").agg(F.count("*").alias("docs"), F.sum("n_shingles").alias("shingles"))
+    load = F.greatest(F.col("docs") / TASK_DOCS, F.col("shingles") / TASK_SHINGLES)
+    volume = save(volume.withColumn("load", load), "volume")
+    bundles = math.ceil(2 * (volume.where("load < 0.5").agg(F.sum("load")).first()[0] or 0)) + 1
+    placed = members.join(volume.select("component", "load"), "component").select(
+        "rep", F.when(F.col("load") < 0.5, F.pmod(F.xxhash64("component"), F.lit(bundles))).otherwise(-1 - F.col("component")).alias("task"),
+        F.when(F.col("load") < 0.5, 1).otherwise(F.ceil(2 * F.col("load"))).cast("int").alias("blocks"),
+    )
+    sets = _sets(docs.join(placed, F.col("doc_id") == F.col("rep")).select("rep", "task", "blocks", "text"), shingle)
+    sets = sets.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    paired = sets.select("task", F.least("block", "other").alias("b1"), F.greatest("block", "other").alias("b2"), "block", "rep", "set")
+    links = save(paired.groupBy("task", "b1", "b2").applyInArrow(_compared(percent), "a long, b long"), "links")
+    parts = components(links)
     named = (
         classes.drop("left", "right").join(parts.withColumnRenamed("node", "rep"), "rep", "left")
         .select(*same, F.coalesce("component", "rep").alias("component_id"))
