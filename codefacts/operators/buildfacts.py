@@ -14,7 +14,7 @@ _ONE = rf'(?:{_STRING}|[^()"]|\({_FLAT}\))*'
 _TWO = rf'(?:{_STRING}|[^()"]|\({_ONE}\))*'
 #: A call with arguments nested up to three deep, and a token of its arguments.
 CALL = rf"(?s)([A-Za-z_][A-Za-z0-9_]*)[ \t\r\n]*\(({_TWO})\)"
-TOKEN = rf'(?s){_STRING}|[^ \t\r\n"]+'
+TOKEN = rf'(?s)(?:{_STRING}|[^ \t\r\n"])+'
 COMMENT = rf"(?s)({_STRING})|#[^\n]*"
 MAX_DEPTH = 8
 

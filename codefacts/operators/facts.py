@@ -197,7 +197,7 @@ def align_responses(requests: DataFrame, responses: DataFrame) -> DataFrame:
 
 def collect_dependencies(responses: DataFrame) -> DataFrame:
     """Distinct sorted dependency names of each project, trimmed, blanks left out, joined by commas."""
-    names = responses.select("project_id", F.trim(F.explode("dependencies")).alias("name")).where("name <> ''").distinct()
+    names = responses.select("project_id", F.explode("dependencies").alias("name")).withColumn("name", F.trim("name")).where("name <> ''").distinct()
     return names.groupBy("project_id").agg(F.array_join(F.array_sort(F.collect_list("name")), ",").alias("dependencies"))
 
 
@@ -239,3 +239,19 @@ def in_buckets(entities: DataFrame, buckets: list[str]) -> DataFrame:
 def library_only_targets(conditional: DataFrame, selections: DataFrame) -> DataFrame:
     """Distinct conditional target names that no selection names."""
     return conditional.select("project_id", "target").distinct().join(selections.select("project_id", "target"), ["project_id", "target"], "left_anti")
+
+
+def parse_response(responses: DataFrame, column: str, schema: str, required: list[str]) -> DataFrame:
+    """Other columns, the fields of schema, and status: error where the text (fences removed) isn't JSON
+    of that schema or a required field is missing."""
+    from ..functions import strip_fences
+
+    names = [f.split()[0] for f in schema.split(",")]
+    body = strip_fences(F.col(column))
+    typed = F.from_json(body, schema + ", _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
+    rows = responses.withColumn("_j", typed)
+    good = F.col("_j._corrupt").isNull() & F.col("_j").isNotNull()
+    for name in required:
+        good = good & F.col(f"_j.{name}").isNotNull()
+    rest = [c for c in responses.columns if c != column]
+    return rows.select(*rest, *[F.when(good, F.col(f"_j.{n}")).alias(n) for n in names], F.when(good, "ok").otherwise("error").alias("status"))

@@ -203,3 +203,522 @@ for _kind, _column in (("scalar", "value"), ("string", "status")):
     def c9(spark, d, kind=_kind, column=_column):
         left, right = (view(spark, d, v).select("l_orderkey", "l_linenumber", F.col(column).alias("value")) for v in ("v_left", "v_right"))
         return results.diff_compare(left, right, ["l_orderkey", "l_linenumber"], kind)
+
+
+# --- Scalars --------------------------------------------------------------------------------
+
+_PATHS = """select page_id, case page_id % 8 when 0 then p when 1 then concat('a/../', p) when 2 then concat('../', p) when 3 then concat('/', p) when 4 then concat(p, '/..')
+    when 5 then concat('./', p, '/') when 6 then concat(p, '//x/.') else '.' end as path from (select page_id, concat(split_part(url, '/', 4), '/', split_part(url, '/', 5)) as p from pages)"""
+_WALK = "list_reduce(string_split(path, '/'), lambda acc, x: case when acc = '!' or x in ('', '.') then acc when x = '..' then case when acc = '' then '!' else regexp_replace(acc, '/[^/]*$', '') end else acc || '/' || x end, '')"
+
+
+@registered("i1_normalize_path", f"""with p as ({_PATHS}), w as (select *, {_WALK} as walked, list_filter(string_split(path, '/'), lambda x: x not in ('', '.')) as named from p),
+    s as (select *, case when starts_with(path, '/') then 'absolute' when walked = '!' then 'outside' when len(named) = 0 or named[-1] = '..' or walked = '' then 'directory' else 'ok' end as status from w)
+    select page_id, path, status, case when status = 'ok' then substring(walked, 2) end as normal from s""")
+def i1(spark, d):
+    paths = query(spark, d, _PATHS)
+    return paths.select("page_id", "path", fn.path_status(F.col("path")).alias("status"), fn.normalize_path(F.col("path")).alias("normal"))
+
+
+@registered("i2_sanitize_name", "select doc_id, case when regexp_matches(n, '^[0-9-]') then '_' || n else n end as name from (select doc_id, regexp_replace(substring(text, 1 + doc_id % 7, 40), '[^A-Za-z0-9_-]', '_', 'g') as n from documents)")
+def i2(spark, d):
+    return query(spark, d, "select doc_id, substring(text, cast(1 + doc_id % 7 as int), 40) as s from documents").select("doc_id", fn.sanitize_name(F.col("s")).alias("name"))
+
+
+_FENCED = "select conv_id, turn, concat(case turn % 4 when 0 then '```json' when 1 then ' ```rust' when 2 then '```' else '' end, chr(10), substring(text, 1, cast(conv_id % 30 as int)), chr(10), case when conv_id % 5 = 0 then '' else '``` ' end) as s from conversations"
+
+
+@registered("i3_strip_fences", f"""with f as (select *, regexp_replace(s, '^\\s+|\\s+$', '', 'g') as b from ({_FENCED})),
+    t as (select conv_id, turn, regexp_replace(case when regexp_matches(b, '(?s)^```.*```$') and length(b) >= 6 then regexp_extract(b, '(?s)^```(?:json|rust)?(.*)```$', 1) else b end, '^\\s+|\\s+$', '', 'g') as x from f)
+    select conv_id, turn, case when x <> '' then x end as body from t""")
+def i3(spark, d):
+    return query(spark, d, _FENCED).select("conv_id", "turn", fn.strip_fences(F.col("s")).alias("body"))
+
+
+_REFS = "select event_id, concat('x${{VAR_', event_id % 4, '}}-${{OTHER}}/', event_type, '${{VAR_2}}') as s from events".replace("{{", "{").replace("}}", "}")
+
+
+@registered("i4_var_refs", f"""select event_id, array_to_string(regexp_extract_all(s, '\\$\\{{([A-Za-z0-9_]+)\\}}', 1), ',') as refs, replace(replace(s, '${{VAR_1}}', '{{VAR_1}}'), '${{VAR_2}}', '{{VAR_2}}') as filled from ({_REFS})""")
+def i4(spark, d):
+    s = F.col("s")
+    return query(spark, d, _REFS).select("event_id", F.array_join(fn.find_var_refs(s), ",").alias("refs"), fn.fill_known(s, F.array(F.lit("VAR_1"), F.lit("VAR_2"))).alias("filled"))
+
+
+_QUOTED = "select event_id, case event_id % 3 when 0 then concat(chr(34), event_type, chr(92), chr(34), props, chr(34)) when 1 then props else chr(34) end as s from events"
+
+
+@registered("i5_unquote", f"select event_id, case when length(s) >= 2 and starts_with(s, chr(34)) and ends_with(s, chr(34)) then regexp_replace(substring(s, 2, length(s) - 2), '\\\\(.)', '\\1', 'g') else s end as plain from ({_QUOTED})")
+def i5(spark, d):
+    return query(spark, d, _QUOTED).select("event_id", fn.unquote(F.col("s")).alias("plain"))
+
+
+@registered("i6_success_rate", """select project_id, round(case when n > s then 100.0 * p / (n - s) else 0.0 end, 6)::double as rate from (
+    select project_id, count(*) as n, count(*) filter (skipped or combo = 3) as s, count(*) filter (passed and not skipped) as p from v_results group by all)""")
+def i6(spark, d):
+    counts = view(spark, d, "v_results").groupBy("project_id").agg(F.count("*").alias("n"), F.count_if(F.col("skipped") | (F.col("combo") == 3)).alias("s"), F.count_if(F.col("passed") & ~F.col("skipped")).alias("p"))
+    return counts.select("project_id", F.round(fn.success_rate(F.col("p"), F.col("n"), F.col("s")), 6).alias("rate"))
+
+
+@registered("i7_lossy_utf8")
+def i7(spark, d):
+    texts = query(spark, d, "select doc_id, text from documents")
+    cut = F.substring(F.encode("text", "utf-8"), 1, 101)
+    return texts.select("doc_id", fn.lossy_utf8(F.concat(cut, F.unhex(F.lit("FF")))).alias("text"))
+
+
+_ROOTED = "select page_id, url, concat('https://', case when page_id % 2 = 0 then split_part(url, '/', 3) else 'm' end) as root from pages"
+
+
+@registered("i8_relativize", f"select page_id, case when starts_with(url, root || '/') then substring(url, length(root) + 2) else url end as rest from ({_ROOTED})")
+def i8(spark, d):
+    return query(spark, d, _ROOTED).select("page_id", fn.relativize(F.col("url"), F.col("root")).alias("rest"))
+
+
+@registered("i9_fill_template", "select event_id, concat(event_type, '/', user_id, '/', event_type, '-{OTHER}') as filled from events")
+def i9(spark, d):
+    rows = query(spark, d, "select event_id, event_type, user_id from events")
+    entries = F.array(F.struct(F.lit("TYPE").alias("key"), F.col("event_type").alias("value")), F.struct(F.lit("USER").alias("key"), F.col("user_id").cast("string").alias("value")))
+    return rows.select("event_id", fn.fill_template(F.lit("{TYPE}/{USER}/{TYPE}-{OTHER}"), entries).alias("filled"))
+
+
+_HINTS = "select user_id, string_agg(concat(' ', case when event_id % 4 = 0 then 'hint ' else '' end, chr(34), case when event_id % 8 = 0 then '' else event_type end, chr(34), event_id), chr(10) order by event_id) as body from events group by user_id"
+
+
+@registered("i10_line_hint", "select user_id, arg_min(event_type, event_id) filter (event_id % 8 = 4) as hint from events group by user_id")
+def i10(spark, d):
+    rows = query(spark, d, _HINTS.replace("string_agg(", "listagg(").replace(" order by event_id)", ") within group (order by event_id)"))
+    return rows.select("user_id", fn.line_hint(F.col("body"), "hint").alias("hint"))
+
+
+@registered("i11_parse_response", """select event_id, j.k::bigint as k, case when j.k is null then 'error' else 'ok' end as status from (select event_id, case when event_id % 5 <> 0 then from_json(props, '{"k": "BIGINT"}') end as j from events)""")
+def i11(spark, d):
+    raw = query(spark, d, "select event_id, case event_id % 5 when 0 then replace(props, 'k', 'q') when 1 then concat('```json', props, '```') else props end as s from events")
+    return facts.parse_response(raw, "s", "k bigint", ["k"])
+
+
+# --- Matrices -------------------------------------------------------------------------------
+
+_GROUPS = """n as (select *, case when contains(name, '_') then regexp_extract(name, '^(.*)_[^_]*$', 1) end as prefix from v_features), m as (select *, prefix is not null and count(*) over (partition by project_id, prefix) > 1 as one_of from n),
+    g as (select project_id, case when one_of then 'enum' else 'flag' end as kind, case when one_of then prefix else name end as group_name, list(name order by name) as members from m group by all),
+    groups_ as (select project_id, row_number() over (partition by project_id order by kind, group_name) as group_seq, group_name, kind, case when kind = 'enum' then members else [group_name, ''] end as variants from g)"""
+
+
+def _groups(spark, d):
+    return matrix.group_features(view(spark, d, "v_features"))
+
+
+@registered("f1_group_features", f"with {_GROUPS} select project_id, group_seq, group_name, kind, array_to_string(variants, '|') as variants from groups_")
+def f1(spark, d):
+    return _groups(spark, d).withColumn("variants", F.array_join("variants", "|"))
+
+
+_PRODUCT = f"""with recursive {_GROUPS}, last_ as (select project_id, max(group_seq) as n from groups_ group by all),
+    product_ as (select project_id, 1 as k, [v] as chosen, (i - 1)::bigint as combo_index from (select project_id, unnest(variants) as v, unnest(range(1, len(variants) + 1)) as i from groups_ where group_seq = 1)
+        union all select p.project_id, k + 1, list_append(chosen, v), combo_index * len(g.variants) + i - 1 from product_ p join groups_ g on g.project_id = p.project_id and g.group_seq = p.k + 1,
+        lateral (select unnest(g.variants) as v, unnest(range(1, len(g.variants) + 1)) as i)),
+    all_ as (select p.project_id, combo_index, list_sort(list_filter(chosen, lambda x: x <> '')) as c, count(*) over (partition by p.project_id) as total from product_ p join last_ l on p.project_id = l.project_id and p.k = l.n),
+    labels_ as (select project_id, combo_index, total, case when len(c) > 0 then array_to_string(c, ',') else 'none' end as label from all_)"""
+
+
+@registered("f2_enumerate_combos_all", _PRODUCT + " select project_id, combo_index, label from labels_")
+def f2(spark, d):
+    return matrix.enumerate_combos(_groups(spark, d), "all")
+
+
+@registered("f2_enumerate_combos_sample", _PRODUCT + " select project_id, combo_index, label from labels_ where total <= 10 or combo_index in (select floor(i * total / 10)::bigint from range(10) t(i))")
+def f2_sample(spark, d):
+    return matrix.enumerate_combos(_groups(spark, d), 10)
+
+
+@registered("f3_sample_evenly", """select p_partkey, p_brand from (select p_partkey, p_brand, row_number() over (partition by p_brand order by p_partkey) - 1 as r, count(*) over (partition by p_brand) as p from part)
+    where p <= 7 or r in (select floor(i * p / 7)::bigint from range(7) t(i))""")
+def f3(spark, d):
+    return matrix.sample_evenly(query(spark, d, "select p_partkey, p_brand from part"), 7, ["p_brand"], ["p_partkey"])
+
+
+@registered("f4_ovat_sweep", """with v as (select ty, list(val order by ord) as vals from v_values group by all), p as (select fn, pos, vals from v_fn_params join v using (ty)),
+    l as (select fn, list(pos order by pos) as ps, list(vals order by pos) as vs from p group by all),
+    base as (select fn, 0::bigint as vector_no, list_transform(vs, lambda x: x[1]) as args from l),
+    x as (select fn, j, k from (select fn, unnest(range(1, len(vs) + 1)) as j, vs from l), lateral (select unnest(range(2, len(vs[j]) + 1)) as k)),
+    more as (select x.fn, row_number() over (partition by x.fn order by j, k) as vector_no, list_transform(l.vs, lambda w, i: case when i = j then w[k] else w[1] end) as args from x join l on x.fn = l.fn)
+    select fn, vector_no, array_to_string(args, ',') as args from (select * from base union all select * from more)""")
+def f4(spark, d):
+    return matrix.ovat_sweep(view(spark, d, "v_fn_params"), view(spark, d, "v_values")).withColumn("args", F.array_join("args", ","))
+
+
+@registered("f5_boundary_values", "select fn, ty, ord::bigint as ord, val from v_params join (values " + ", ".join(f"('{t}', {k}, '{v}')" for t, vs in matrix.BOUNDARY_VALUES.items() for k, v in enumerate(vs)) + ") b(name, ord, val) on trim(ty) = name")
+def f5(spark, d):
+    params = view(spark, d, "v_params").select("fn", "ty")
+    return params.join(matrix.boundary_values(params.select("ty").distinct()), "ty").select("fn", "ty", "ord", "val")
+
+
+@registered("d13_classify_variables", """with e as (select event_type as name, user_id % 5 as p, (props->'k') as v from events), s as (select concat('p', p) as project_id, name, case when p = 0 then 'true' when p = 1 then v::varchar when p = 2 then '"' || v::varchar || '"' when p = 3 then 'null' else '"x"' end as x, p from e)
+    select project_id, name, case when p = 0 then 'Boolean' else 'Enum' end as kind, p in (1, 2) as numeric, count(*) filter (p <> 3) as n_values from s group by project_id, name, p""")
+def d13(spark, d):
+    sql = """select concat('p', user_id % 5) as project_id, event_type as name, concat('[', listagg(case user_id % 5 when 0 then 'true' when 1 then get_json_object(props, '$.k') when 2 then concat(chr(34), get_json_object(props, '$.k'), chr(34))
+        when 3 then 'null' else concat(chr(34), 'x', chr(34)) end, ','), ']') as body from events group by user_id % 5, event_type"""
+    return matrix.classify_variables(query(spark, d, sql).withColumn("body", F.parse_json("body")))
+
+
+_CONFIG = """select concat('p', p_size % 9) as project_id, concat('V', p_partkey % 6) as name, case when p_partkey % 6 = 5 then 'Boolean' else 'Enum' end as kind,
+    min(case p_partkey % 4 when 0 then 'true' when 1 then 'a1' when 2 then 'zz' end) as `default` from part where p_partkey % 5 <> 0 group by p_size % 9, p_partkey % 6"""
+_CONFIG_DUCK = _CONFIG.replace("`default`", "dflt")
+
+
+def _config(spark, d):
+    return query(spark, d, _CONFIG).withColumn("values", F.array(F.lit("a0"), F.lit("a1"), F.lit("a2")))
+
+
+@registered("d15_default_selection", f"""select project_id, coalesce(string_agg(one, ',' order by one), '') as selection from (select project_id, case when kind = 'Boolean' then case when dflt = 'true' then name end else name || '_' || case when dflt in ('a0', 'a1', 'a2') then dflt else 'a0' end end as one
+    from ({_CONFIG_DUCK})) group by all""")
+def d15(spark, d):
+    return matrix.default_selection(_config(spark, d))
+
+
+_DEFINES = """select concat('p', p_size % 9) as project_id, concat('V', p_partkey % 6) as var, p_partkey as seq, concat('D', p_partkey % 10) as define, case p_partkey % 4 when 0 then 'bare' when 1 then 'quoted' when 2 then 'composed' else 'gated' end as kind,
+    case p_partkey % 4 when 2 then concat('{V', p_partkey % 6, '}-{V1}-{NO}') when 3 then null else concat('{V', p_partkey % 7, '}') end as template, concat('V', p_partkey % 5) as gate_var, case when p_partkey % 8 = 3 then 'a1' end as gate_value from part where p_partkey % 7 = 0"""
+
+
+@registered("d16_flags_from_defaults", f"""with f as (select project_id, var as name, arg_min(define, seq) as define, arg_min(kind, seq) as kind from ({_DEFINES}) group by all)
+    select project_id, string_agg(concat('-D', case when f.kind in ('bare', 'quoted') then f.define else name end, '=', case when f.kind = 'quoted' then '"' || dflt || '"' else dflt end), ' ' order by name) as flags
+    from ({_CONFIG_DUCK}) c left join f using (project_id, name) where dflt is not null group by all""")
+def d16(spark, d):
+    return matrix.flags_from_defaults(_config(spark, d), query(spark, d, _DEFINES))
+
+
+_SETTINGS = [("s0", {"V0": "a0", "V1": "a1", "V2": "true"}), ("s1", {"V1": "a1", "V3": "a2", "V4": "true"})]
+_FILL = "replace(replace(replace(template, '{{V{0}}}', '{1}'), '{{V{2}}}', '{3}'), '{{V{4}}}', '{5}')"
+
+
+@registered("f6_resolve_defines", f"""with c as (select * from (values ('s0', map {{'V0': 'a0', 'V1': 'a1', 'V2': 'true'}}), ('s1', map {{'V1': 'a1', 'V3': 'a2', 'V4': 'true'}})) t(combo, settings)), d as ({_DEFINES}),
+    r as (select project_id, combo, define, kind, template, case when combo = 's0' then {_FILL.format(0, 'a0', 1, 'a1', 2, 'true')} else {_FILL.format(1, 'a1', 3, 'a2', 4, 'true')} end as filled, settings[gate_var] = coalesce(gate_value, 'true') as gate from c, d)
+    select project_id, combo, define, case when kind = 'gated' then '' else filled end as value from r where case when kind = 'gated' then coalesce(gate, false) else filled <> template end""")
+def f6(spark, d):
+    defines = query(spark, d, _DEFINES)
+    combos = defines.select("project_id").distinct().select("project_id", F.explode(F.array(*[F.struct(F.lit(c).alias("combo"), F.create_map(*[F.lit(x) for kv in s.items() for x in kv]).alias("settings")) for c, s in _SETTINGS])).alias("x"))
+    return matrix.resolve_defines(combos.select("project_id", "x.*"), defines)
+
+
+_SELECTED = "select distinct concat('p', p_size % 9) as project_id, concat('V', p_partkey % 4, '_a', p_partkey % 3) as feature from part where p_partkey % 11 = 0 and p_size % 9 < 6"
+
+
+@registered("f7_mutual_exclusion", f"""with v as (select project_id, name, unnest(['a0', 'a1', 'a2']) as value from ({_CONFIG_DUCK}) where kind = 'Enum'), h as (select v.project_id, v.name, count(s.feature) as n from v left join ({_SELECTED}) s on s.project_id = v.project_id and s.feature = v.name || '_' || v.value group by all)
+    select project_id, name, case when n = 0 then 'missing' when n > 1 then 'conflict' else 'ok' end as status from h""")
+def f7(spark, d):
+    return matrix.mutual_exclusion(query(spark, d, _SELECTED), _config(spark, d)).select("project_id", "name", "status")
+
+
+# --- Facts ----------------------------------------------------------------------------------
+
+
+@registered("a2_tree_counts", """with a as (select project_id, array_to_string(parts[1:k], '/') as dir from (select project_id, string_split(path, '/') as parts from v_files), lateral (select unnest(range(1, len(parts))) as k))
+    select f.project_id, (select count(distinct dir) from a where a.project_id = f.project_id) as n_dirs, count(*) as n_files, sum(size)::bigint as bytes from v_files f group by all""")
+def a2(spark, d):
+    return facts.tree_counts(view(spark, d, "v_files"))
+
+
+@registered("a3_discover_programs", "select distinct project_id, split_part(path, '/', 1) as program from v_files where contains(path, '/')")
+def a3(spark, d):
+    return facts.discover_programs(view(spark, d, "v_files"))
+
+
+_VECTOR_FILES = """select concat('u', user_id) as project_id, concat('test_vectors/', event_id, case when event_id % 13 = 0 then '.json.bak' else '.json' end) as path,
+    case event_id % 8 when 0 then '{}' when 1 then concat('{"stdout":{"pattern":"', event_type, '"},"argv":["a","b"],"rc":', event_id % 5, '}') when 2 then '{"stdout":{}}' when 3 then '{"argv":[1]}' when 4 then '{"rc":-1}' when 5 then 'not json'
+    when 6 then '{"stdin":"x","stdout":{"pattern":"p","is_regex":true}}' else '{"has_ub":"yes","extra":1}' end as content from events"""
+
+
+@registered("a4_read_vectors", """select concat('u', user_id) as project_id, concat(event_id, '.json') as filename, case when m = 1 then 'a,b' else '' end as argv, case when m = 6 then 'x' end as stdin, case m when 1 then event_type when 6 then 'p' else '' end as pattern,
+    m = 6 as is_regex, case when m = 1 then event_id % 5 end as rc, case when m = 7 then 'yes' end as has_ub from (select *, event_id % 8 as m from events) where event_id % 13 <> 0 and m in (0, 1, 6, 7)""")
+def a4(spark, d):
+    return facts.read_vectors(query(spark, d, _VECTOR_FILES)).withColumn("argv", F.array_join("argv", ","))
+
+
+_MESSAGE_LINES = """select concat('u', user_id) as project_id, event_id as seq, case event_type when 'error' then concat('{"reason":"compiler-message","message":{"level":"', case when event_id % 2 = 0 then 'error' else 'warning' end, '","message":"m', event_id, '","spans":[]}}')
+    when 'click' then concat('{"reason":"compiler-artifact","executable":', case when event_id % 3 = 0 then concat('"b', event_id, '"') else 'null' end, '}') when 'purchase' then '{"reason":"build-finished","success":true}'
+    when 'view' then '{"reason":"other"}' else 'garbage {' end as line from events"""
+
+
+@registered("a5_read_build_messages", """select concat('u', user_id) as project_id, event_id as seq, case event_type when 'error' then 'compiler-message' when 'click' then 'compiler-artifact' else 'build-finished' end as reason,
+    case when event_type = 'error' then case when event_id % 2 = 0 then 'error' else 'warning' end end as level, case when event_type = 'error' then concat('m', event_id) end as text, case when event_type = 'click' and event_id % 3 = 0 then concat('b', event_id) end as executable,
+    case when event_type = 'purchase' then true end as success from events where event_type in ('error', 'click', 'purchase')""")
+def a5(spark, d):
+    return facts.read_build_messages(query(spark, d, _MESSAGE_LINES)).drop("spans")
+
+
+@registered("b5_error_messages", "select project_id, seq, text from v_messages where reason = 'compiler-message' and level = 'error'")
+def b5(spark, d):
+    return facts.error_messages(view(spark, d, "v_messages")).select("project_id", "seq", "text")
+
+
+_LAYOUT = """select concat('d', doc_id % 200) as project_id, case doc_id % 5 when 0 then 'test_case/src/main.c' when 1 then 'test_vectors/1.json' when 2 then 'test_case/notes.txt' when 3 then 'README' else 'test_case/CMakeLists.txt' end as path from documents where n_chars % 3 <> 0"""
+
+
+@registered("b2_validate_layout", f"""with f as (select project_id, bool_or(starts_with(path, 'test_case/')) as c, bool_or(starts_with(path, 'test_case/src/') or path = 'test_case/CMakeLists.txt') as s, bool_or(starts_with(path, 'test_vectors/')) as v from ({_LAYOUT}) group by all),
+    r as (select project_id, case when not c then 'no test_case' when not s then 'no sources' when not v then 'no test_vectors' else '' end as reason from f) select project_id, reason = '' as ok, reason from r""")
+def b2(spark, d):
+    return facts.validate_layout(query(spark, d, _LAYOUT))
+
+
+@registered("b3_select_sources", "select project_id, path from v_files where (ends_with(path, '.c') or ends_with(path, '.h')) and not list_contains(string_split(path, '/'), 'build')")
+def b3(spark, d):
+    return facts.select_sources(view(spark, d, "v_files")).select("project_id", "path")
+
+
+_BUILD_TEXT = "select concat('c', conv_id) as project_id, concat('x', chr(10), case conv_id % 4 when 0 then 'add_executable(a)' when 1 then 'add_library(b)' when 2 then ' add_library(c)' else '#' end, chr(10), role) as text from conversations where turn = 0"
+_TARGET_FACTS = "select concat('c', conv_id) as project_id, case when turn % 2 = 0 then 'lib' else 'exe' end as kind from conversations where conv_id % 3 = 0 and turn < 2 + conv_id % 2 - 1"
+
+
+@registered("b6_project_kind", f"""with t as (select project_id, bool_or(kind = 'exe') as te, bool_or(kind = 'lib') as tl from ({_TARGET_FACTS}) group by all), f as (select project_id, bool_or(regexp_matches(text, '(?m)^add_executable\\(')) as fe, bool_or(regexp_matches(text, '(?m)^add_library\\(')) as fl from ({_BUILD_TEXT}) group by all)
+    select coalesce(f.project_id, t.project_id) as project_id, case when te then 'Executable' when tl then 'Library' when fe then 'Executable' when fl then 'Library' else 'Unknown' end as kind from f full join t on f.project_id = t.project_id""")
+def b6(spark, d):
+    return facts.classify_project_kind(query(spark, d, _BUILD_TEXT), query(spark, d, _TARGET_FACTS))
+
+
+_KINDS = """select concat('p', p_size % 9) as project_id, p_partkey as entity_seq, case p_partkey % 10 when 0 then 'struct' when 1 then 'union' when 2 then 'enum' when 3 then 'typedef' when 4 then 'variable' when 5 then 'include' when 6 then 'define' when 7 then 'macro' when 8 then 'function' else 'label' end as kind,
+    p_partkey % 20 = 8 as is_definition, p_name as name, case when p_partkey % 13 = 0 then 'static' end as storage_class, case when p_partkey % 17 = 0 then '/usr/include/x.h' when p_partkey % 3 = 0 then concat(p_type, '.H') else concat(p_type, '.c') end as file from part"""
+_BUCKET_SQL = "case kind when 'struct' then 'types' when 'union' then 'types' when 'enum' then 'types' when 'typedef' then 'types' when 'variable' then 'globals' when 'include' then 'includes' when 'define' then 'defines' when 'macro' then 'macros' when 'function' then case when is_definition then 'functions' else 'declarations' end end"
+
+
+@registered("b7_route_entities", f"select project_id, entity_seq, {_BUCKET_SQL} as bucket from ({_KINDS}) where kind <> 'label' and not starts_with(file, '/usr/')")
+def b7(spark, d):
+    return facts.route_entities(query(spark, d, _KINDS)).select("project_id", "entity_seq", "bucket")
+
+
+@registered("s1_bucket_union", f"with r as (select project_id, entity_seq, {_BUCKET_SQL} as bucket from ({_KINDS}) where kind <> 'label' and not starts_with(file, '/usr/')) select *, list_position(['types', 'globals', 'functions'], bucket)::bigint as bucket_no from r where bucket in ('types', 'globals', 'functions')")
+def s1(spark, d):
+    return facts.in_buckets(facts.route_entities(query(spark, d, _KINDS)).select("project_id", "entity_seq", "bucket"), ["types", "globals", "functions"])
+
+
+@registered("c3_public_functions", f"with e as ({_KINDS}) select project_id, entity_seq, name from e where kind = 'function' and is_definition and storage_class is distinct from 'static' and coalesce(name, '') <> '' and exists (select 1 from e x where x.project_id = e.project_id and x.name = e.name and x.entity_seq % 20 = 18 and ends_with(lower(x.file), '.h'))")
+def c3(spark, d):
+    e = query(spark, d, _KINDS)
+    return facts.public_functions(e.where("kind = 'function' and is_definition"), e.where("entity_seq % 20 = 18")).select("project_id", "entity_seq", "name")
+
+
+_TAG_SELECTIONS = "select concat('p', p_size % 9) as project_id, concat(p_type, '.c') as file, p_partkey as seq, concat('V', p_partkey % 3) as var, concat('a', p_partkey % 4) as value from part where p_partkey % 50 = 0"
+
+
+@registered("c4_tag_variants", f"""with t as (select project_id, file, string_agg(concat(var, '=', value), ',' order by seq) as tags from ({_TAG_SELECTIONS}) group by all)
+    select project_id, entity_seq, coalesce(tags, '') as tags from ({_KINDS}) left join t using (project_id, file)""")
+def c4(spark, d):
+    return facts.tag_variants(query(spark, d, _KINDS), query(spark, d, _TAG_SELECTIONS)).select("project_id", "entity_seq", F.array_join("tags", ",").alias("tags"))
+
+
+_SUBDIRS = "select distinct concat('p', p_size % 3) as project_id, p_partkey % 40 as node_id, case when p_partkey % 40 >= 4 then cast(floor((p_partkey % 40) / 4) as bigint) end as parent_id, concat('V', p_partkey % 40) as var, concat('a', p_partkey % 8) as value from part"
+_SUB_FILES = "select distinct concat('p', p_size % 3) as project_id, p_partkey % 44 as node_id, concat(p_type, '/', p_partkey % 44) as path from part"
+
+
+@registered("c5_stack_outer_tags", f"""with recursive s as ({_SUBDIRS}), t as (select project_id, node_id, concat(var, '=', value) as tags from s where parent_id is null union all select s.project_id, s.node_id, concat(t.tags, ',', s.var, '=', s.value) from s join t on s.project_id = t.project_id and s.parent_id = t.node_id)
+    select project_id, node_id, path, coalesce(tags, '') as tags from ({_SUB_FILES}) left join t using (project_id, node_id)""")
+def c5(spark, d):
+    return facts.stack_outer_tags(query(spark, d, _SUBDIRS), query(spark, d, _SUB_FILES)).select("project_id", "node_id", "path", "tags")
+
+
+_PATTERNS = "select distinct source as project_id, concat('d', lang, '/', doc_id % 10, '${V}.c') as pattern, concat('d', lang, '/', doc_id % 10) as prefix, '.c' as suffix from documents"
+
+
+@registered("c6_expand_source_patterns", f"""select p.project_id, pattern, path, substring(path, length(prefix) + 1, length(path) - length(prefix) - 2) as value from ({_PATTERNS}) p join v_files f on p.project_id = f.project_id and starts_with(path, prefix) and ends_with(path, suffix)
+    where regexp_matches(substring(path, length(prefix) + 1, length(path) - length(prefix) - 2), '^[A-Za-z0-9_]+$')""")
+def c6(spark, d):
+    return facts.expand_source_patterns(query(spark, d, _PATTERNS), view(spark, d, "v_files"))
+
+
+_MARKERS = "select distinct source as project_id, concat('d', lang, case when doc_id % 2 = 0 then '/sub' else '' end) as dir from documents where doc_id % 9 = 0"
+_DIRS = "select distinct source as project_id, concat('d', lang, case when doc_id % 3 = 0 then '/sub' when doc_id % 3 = 1 then '/sub/x' else '/y' end) as path from documents"
+
+
+@registered("c10_nearest_ancestor", f"""with p as ({_DIRS}), m as ({_MARKERS}) select p.project_id, path, arg_max(dir, length(dir)) as ancestor from p left join m on p.project_id = m.project_id and (path = dir or starts_with(path, dir || '/')) group by all""")
+def c10(spark, d):
+    return facts.nearest_ancestor(query(spark, d, _DIRS), query(spark, d, _MARKERS))
+
+
+_REQUESTED = "select project_id, case doc_id % 8 when 0 then concat(path, '/x') when 1 then concat('./', path) when 2 then concat('../', path) when 3 then concat('/', path) when 4 then split_part(path, '/', 1) when 5 then concat('no/', path) when 6 then concat(path, '/..') else path end as path from v_files"
+
+
+def _lookup_sql(tail: str) -> str:
+    return f"""with p as ({_REQUESTED}), w as (select *, {_WALK} as walked, list_filter(string_split(path, '/'), lambda x: x not in ('', '.')) as named from p),
+    s as (select project_id, path as request, case when starts_with(path, '/') then 'absolute' when walked = '!' then 'outside' when named[-1] = '..' then 'directory' else 'ok' end as st, substring(walked, 2) as n from w),
+    l as (select s.project_id, request, f.size, case when st <> 'ok' then st when f.path is not null then 'ok' when exists (select 1 from v_files x where x.project_id = s.project_id and starts_with(x.path, n || '/')) then 'directory'
+    when exists (select 1 from v_files x where x.project_id = s.project_id and starts_with(n, x.path || '/')) then 'under_file' else 'missing' end as status from s left join v_files f on s.st = 'ok' and f.project_id = s.project_id and f.path = s.n) {tail}"""
+
+
+@registered("c11_lookup_files", _lookup_sql("select project_id, request, status, size from l"))
+def c11(spark, d):
+    return facts.lookup_files(query(spark, d, _REQUESTED).withColumnRenamed("path", "request"), view(spark, d, "v_files"))
+
+
+@registered("c13_check_new_files", _lookup_sql("select project_id, request, case status when 'ok' then 'exists' when 'missing' then 'ok' else status end as status from l"))
+def c13(spark, d):
+    return facts.check_new_files(view(spark, d, "v_files"), query(spark, d, _REQUESTED).withColumnRenamed("path", "request"))
+
+
+@registered("c12_align_responses", """with q as (select project_id, text, row_number() over (partition by project_id order by seq) as pos, count(*) over (partition by project_id) as n from v_requests), r as (select project_id, text, row_number() over (partition by project_id order by seq) as pos, count(*) over (partition by project_id) as n from v_responses)
+    select q.project_id, pos, md5(q.text) as request, md5(r.text) as response, q.n <> r.n as mismatch from q join r using (project_id, pos)""")
+def c12(spark, d):
+    found = facts.align_responses(view(spark, d, "v_requests"), view(spark, d, "v_responses"))
+    return found.withColumns({"request": F.md5("request"), "response": F.md5("response")})
+
+
+@registered("d10_collect_dependencies", "select concat('c', conv_id % 20) as project_id, string_agg(distinct w, ',' order by w) as dependencies from (select conv_id, trim(unnest(string_split(text, ' ')[1:3])) as w from conversations) where w <> '' group by all")
+def d10(spark, d):
+    rows = query(spark, d, "select concat('c', conv_id % 20) as project_id, slice(split(text, ' '), 1, 3) as dependencies from conversations")
+    return facts.collect_dependencies(rows)
+
+
+_PARTS = "select concat('c', conv_id) as project_id, turn as pos, case turn % 5 when 0 then 'functions' when 1 then 'imports' when 2 then 'types' when 3 then 'macros' else 'globals' end as section, case when conv_id % 7 = 0 then '  ' else concat(' ', substring(text, 1, 20), '!') end as rust_code from conversations"
+
+
+@registered("d11_recombine", f"select project_id, string_agg(trim(rust_code), chr(10) || chr(10) order by list_position(['imports', 'macros', 'types', 'globals', 'functions'], section), pos) as code from ({_PARTS}) where trim(rust_code) <> '' group by all")
+def d11(spark, d):
+    return facts.recombine(query(spark, d, _PARTS))
+
+
+@registered("d12_build_requests", "select source as project_id, count(*) as n_files, md5(concat('{\"files\":[', string_agg(concat('{\"path\":\"', doc_id, '\",\"contents\":\"', lang, '\"}'), ',' order by doc_id::varchar), ']}')) as payload from documents group by all")
+def d12(spark, d):
+    rows = query(spark, d, "select source as project_id, cast(doc_id as string) as path, lang as text from documents")
+    return facts.build_requests(rows).withColumn("payload", F.md5("payload"))
+
+
+@registered("d18_build_facts_summary", """select project_id, coalesce(count(*) filter (fact = 'vars'), 0) as vars, count(*) filter (fact = 'builds') as builds, count(*) filter (fact = 'vectors') as vectors from (select project_id, 'vars' as fact from v_vars union all select project_id, 'builds' from v_builds union all select project_id, 'vectors' from v_vectors) group by all""")
+def d18(spark, d):
+    return facts.build_facts_summary(vars=view(spark, d, "v_vars"), builds=view(spark, d, "v_builds"), vectors=view(spark, d, "v_vectors"))
+
+
+@registered("h1_pick_artifact", "select project_id, arg_min(path, concat(case when ends_with(path, '.so') then 0 else 2 end, path)) as artifact from v_files where ends_with(path, '.so') or ends_with(path, '.dll') group by all")
+def h1(spark, d):
+    return facts.pick_artifact(view(spark, d, "v_files"))
+
+
+@registered("s2_library_only_targets", "select distinct project_id, filename as target from v_results a where not exists (select 1 from v_results b where b.project_id = a.project_id and b.filename = a.filename and b.combo = 3)")
+def s2(spark, d):
+    rows = view(spark, d, "v_results").withColumnRenamed("filename", "target")
+    return facts.library_only_targets(rows, rows.where("combo = 3"))
+
+
+# --- Build scripts --------------------------------------------------------------------------
+
+_Q = r'"(?:\\.|[^"\\])*"'
+_SQL_CALL, _SQL_TOKEN = buildfacts.CALL.replace("'", "''"), buildfacts.TOKEN.replace("'", "''")
+#: Statements as the oracle sees them: the same bounded patterns in DuckDB's regex dialect.
+_STATEMENTS = f"""b as (select project_id, file, regexp_replace(text, '(?s)({_Q})|#[^\\n]*', '\\1', 'g') as t from v_scripts), x as (select project_id, file, regexp_extract_all(t, '{_SQL_CALL}') as calls from b),
+    y as (select project_id, file, unnest(range(len(calls)))::bigint as seq, unnest(calls) as call from x),
+    st as (select project_id, file, seq, lower(regexp_extract(call, '{_SQL_CALL}', 1)) as command, regexp_extract_all(regexp_extract(call, '{_SQL_CALL}', 2), '{_SQL_TOKEN}') as args from y)"""
+#: Levels of blocks by running depth, and the last gate at each.
+_GATES = _STATEMENTS + """, dp as (select *, sum(case command when 'if' then 1 when 'endif' then -1 else 0 end) over (partition by project_id, file order by seq) as depth, command in ('if', 'elseif') as opens, exists (select 1 from v_vars v where v.project_id = st.project_id and v.name = args[1]) as known from st),
+    og as (select project_id, file, seq, depth, known, args[1] as var, case when args[2] = 'STREQUAL' then replace(args[3], '"', '') end as value from dp where opens),
+    ga as (select d.project_id, d.file, d.seq, d.command, d.args, d.depth, l.k, (select max(seq) from og where og.project_id = d.project_id and og.file = d.file and og.depth = l.k and og.seq <= d.seq) as at from dp d, (select unnest(range(1, 4)) as k) l where l.k <= d.depth),
+    gs as (select ga.project_id, ga.file, ga.seq, max(k) as k from ga join og on og.project_id = ga.project_id and og.file = ga.file and og.seq = ga.at where og.known group by all),
+    gt as (select st.project_id, st.file, st.seq, st.command, st.args, og.var as gate_var, og.value as gate_value from st left join gs using (project_id, file, seq) left join ga on ga.project_id = st.project_id and ga.file = st.file and ga.seq = st.seq and ga.k = gs.k left join og on og.project_id = ga.project_id and og.file = ga.file and og.seq = ga.at)"""
+
+
+def _statements(spark, d):
+    return buildfacts.extract_statements(view(spark, d, "v_scripts"))
+
+
+def _vars(spark, d):
+    return view(spark, d, "v_vars")
+
+
+@registered("a6_extract_statements", f"with {_STATEMENTS} select project_id, file, seq, command, array_to_string(args, '|') as args, false as truncated from st")
+def a6(spark, d):
+    return _statements(spark, d).withColumn("args", F.array_join("args", "|"))
+
+
+@registered("c7_scope_gates", f"with {_GATES} select project_id, file, seq, command, gate_var, gate_value from gt")
+def c7(spark, d):
+    return buildfacts.scope_gates(_statements(spark, d), _vars(spark, d)).select("project_id", "file", "seq", "command", "gate_var", "gate_value")
+
+
+_ASOF = _STATEMENTS + """, sets as (select project_id, file, seq, args[1] as name, array_to_string(args[2:], '|') as assigned from st where command = 'set' and len(args) > 1 and ends_with(args[1], '_SOURCES')),
+    refs as (select distinct project_id, file, seq, name from (select project_id, file, seq, unnest(regexp_extract_all(array_to_string(args, ' '), '\\$\\{([A-Za-z0-9_]+)\\}', 1)) as name from st where command <> 'set') where ends_with(name, '_SOURCES')),
+    asof_ as (select r.project_id, r.file, r.seq, r.name, s.assigned from refs r asof left join sets s on r.project_id = s.project_id and r.file = s.file and r.name = s.name and r.seq >= s.seq)"""
+
+
+@registered("c8_asof_assignments", f"with {_ASOF} select * from asof_")
+def c8(spark, d):
+    return buildfacts.asof_assignments(_statements(spark, d)).withColumn("assigned", F.array_join("assigned", "|"))
+
+
+@registered("g1_variable_defaults", f"""with {_STATEMENTS}, v as (select project_id, args[1] as name, seq, case when command = 'set' then nullif(replace(args[2], '"', ''), '') when upper(args[3]) = 'ON' then 'true' else 'false' end as value from st where command = 'option' or (command = 'set' and list_contains(args, 'CACHE')))
+    select project_id, name, arg_max(value, seq) as "default" from v where exists (select 1 from v_vars x where x.project_id = v.project_id and x.name = v.name) group by all""")
+def g1(spark, d):
+    return buildfacts.variable_defaults(_statements(spark, d), _vars(spark, d))
+
+
+@registered("g2_extract_defines", f"""with {_GATES}, tk as (select project_id, gate_var, gate_value, regexp_replace(unnest(args), '^-D', '') as token from gt where command = 'add_compile_definitions'),
+    rf as (select *, list_filter(regexp_extract_all(token, '\\$\\{{([A-Za-z0-9_]+)\\}}', 1), lambda r: list_contains(nv.names, r)) as refs, regexp_extract(token, '^([A-Za-z_][A-Za-z0-9_]*)(=|$)', 1) as define, regexp_extract(token, '^[^=]*=(.*)$', 1) as value from tk left join (select project_id, list(name) as names from v_vars group by all) nv using (project_id)),
+    kd as (select *, case when len(refs) >= 2 then 'composed' when len(refs) = 1 and starts_with(value, '"') then 'quoted' when len(refs) = 1 and value = concat('${{', refs[1], '}}') then 'bare' when not contains(token, '=') and gate_var is not null then 'gated' end as kind from rf)
+    select distinct project_id, define, kind, case when kind = 'composed' then replace(replace(value, concat('${{', refs[1], '}}'), concat('{{', refs[1], '}}')), concat('${{', refs[2], '}}'), concat('{{', refs[2], '}}')) end as template,
+    case when kind = 'gated' then gate_var end as gate_var, case when kind = 'gated' then gate_value end as gate_value, array_to_string(refs, ',') as source_vars from kd where kind is not null and define <> ''""")
+def g2(spark, d):
+    return buildfacts.extract_defines(_statements(spark, d), _vars(spark, d))
+
+
+_TARGETS = _ASOF + """, tg as (select project_id, file, seq, args[1] as target, case when command = 'add_executable' then 'exe' else 'lib' end as kind, unnest(args[2:]) as path from st where command in ('add_executable', 'add_library')),
+    tp as (select * from tg where path <> 'STATIC' and not contains(path, '${') union all select tg.project_id, tg.file, tg.seq, target, kind, unnest(string_split(assigned, '|')) from tg join asof_ a on a.project_id = tg.project_id and a.file = tg.file and a.seq = tg.seq and tg.path = concat('${', a.name, '}'))"""
+
+
+@registered("g3_declare_targets", f"with {_TARGETS} select * from tp")
+def g3(spark, d):
+    return buildfacts.declare_targets(_statements(spark, d))
+
+
+_SCRIPT_FILES = "select distinct concat('u', user_id) as project_id, case event_id % 3 when 0 then concat('main_x', event_id % 5, '.c') when 1 then concat('src/a', event_id % 6, '.c') else 'src/b.c' end as path from events where event_id % 7 = 0"
+
+
+@registered("g4_select_sources_by_variable", f"""with {_STATEMENTS}, p as (select distinct project_id, args[1] as target, unnest(args[2:]) as pattern from st where command in ('add_executable', 'add_library')), q as (select *, regexp_extract(pattern, '^(.*?)\\$\\{{([A-Za-z0-9_]+)\\}}(.*)$', 1) as pre, regexp_extract(pattern, '^(.*?)\\$\\{{([A-Za-z0-9_]+)\\}}(.*)$', 2) as var, regexp_extract(pattern, '^(.*?)\\$\\{{([A-Za-z0-9_]+)\\}}(.*)$', 3) as suf from p)
+    select q.project_id, target, var, substring(path, length(pre) + 1, length(path) - length(pre) - length(suf)) as value, path from q join ({_SCRIPT_FILES}) f on q.project_id = f.project_id and starts_with(path, pre) and ends_with(path, suf) and length(path) > length(pre) + length(suf)
+    where exists (select 1 from v_vars v where v.project_id = q.project_id and v.name = q.var) and regexp_matches(substring(path, length(pre) + 1, length(path) - length(pre) - length(suf)), '^[A-Za-z0-9_]+$')""")
+def g4(spark, d):
+    return buildfacts.select_sources_by_variable(_statements(spark, d), _vars(spark, d), query(spark, d, _SCRIPT_FILES))
+
+
+@registered("g5_conditional_targets", f"""with {_TARGETS.replace(_STATEMENTS, _GATES)} select tp.project_id, target, kind, gate_var, gate_value, string_agg(distinct path, ',' order by path) as files from tp join gt using (project_id, file, seq) join ({_SCRIPT_FILES}) f using (project_id, path) where gate_var is not null group by all""")
+def g5(spark, d):
+    return buildfacts.conditional_targets(_statements(spark, d), _vars(spark, d), query(spark, d, _SCRIPT_FILES))
+
+
+_BUILD_DIRS = "select distinct concat('u', user_id) as project_id, concat('lib', event_id % 2) as dir from events where event_id % 3 = 0"
+
+
+@registered("g6_subdirectory_edges", f"""with {_STATEMENTS} select distinct st.project_id, file as parent, replace(args[1], 'sub/../', '') as child, null::varchar as var, null::varchar as value from st join ({_BUILD_DIRS}) b on b.project_id = st.project_id and b.dir = replace(args[1], 'sub/../', '') where command = 'add_subdirectory'""")
+def g6(spark, d):
+    values = _vars(spark, d).withColumn("values", F.array(F.lit("v1"), F.lit("v2")))
+    return buildfacts.subdirectory_edges(_statements(spark, d), values, query(spark, d, _BUILD_DIRS))
+
+
+_CONFIG_FILES = "select concat('u', user_id) as project_id, case user_id % 4 when 1 then 'not json' when 2 then '{\"configurable_variables\": {}}' else concat('{\"configurable_variables\": {\"V\": [', count(*), ']}}') end as content from events where user_id % 4 <> 0 group by user_id"
+
+
+@registered("g7_config_presence", "select distinct concat('u', user_id) as project_id, case user_id % 4 when 0 then 'missing' when 1 then 'malformed' when 2 then 'no variables' else '' end as reason, user_id % 4 <> 3 as empty from events")
+def g7(spark, d):
+    return buildfacts.config_presence(view(spark, d, "v_programs"), query(spark, d, _CONFIG_FILES))
+
+
+# --- Streams' batch twins -------------------------------------------------------------------
+
+
+@registered("j1_message_counts", "select concat('u', user_id) as project_id, case event_type when 'error' then 'compiler-message' when 'click' then 'compiler-artifact' else 'build-finished' end as reason, count(*) as messages, count(*) filter (event_type = 'error' and event_id % 2 = 0) as errors from events where event_type in ('error', 'click', 'purchase') group by all")
+def j1(spark, d):
+    from .streaming.jobs import count_messages
+
+    return count_messages(query(spark, d, _MESSAGE_LINES))
+
+
+@registered("j2_run_summary", "select time_bucket(interval '30 seconds', ts) as window_start, event_type as tool, count(*) filter (event_id % 2 = 0) as started, count(*) filter (event_id % 2 = 1) as finished from events group by all")
+def j2(spark, d):
+    from .streaming.jobs import run_summary
+
+    return run_summary(query(spark, d, "select ts, event_type as tool, case when event_id % 2 = 0 then 'started' else 'finished' end as phase from events"))
+
+
+_BODIES = "select project_id, file, start_off + 2 as start_off, end_off - 2 as end_off from v_spans where end_off - start_off > 12 and item_seq % 2 = 0"
+
+
+@registered("d17_interface_digest", """with l as (select source as project_id, concat('d', doc_id) as file, unnest(range(len(string_split(text, chr(10)))))::bigint as item_seq, unnest(string_split(text, chr(10))) as line from documents where strlen(text) = length(text))
+    select project_id, file, string_agg(case when length(line) > 12 and item_seq % 2 = 0 then concat(line[1:2], '{ ... }', line[-2:]) else line end, chr(10) || chr(10) order by item_seq) as digest from l where line <> '' group by all""")
+def d17(spark, d):
+    files = query(spark, d, "select source as project_id, concat('d', doc_id) as file, cast(text as binary) as content from documents where octet_length(text) = length(text)")
+    named = files.select("project_id", "file")
+    items = view(spark, d, "v_spans").join(named, ["project_id", "file"], "left_semi")
+    return spans.interface_digest(files, items, query(spark, d, _BODIES).join(named, ["project_id", "file"], "left_semi"))

@@ -64,7 +64,7 @@ VIEWS: dict[str, str] = {
                case when event_type = 'click' and event_id % 3 = 0 then concat('bin', event_id) end as executable, case when event_type = 'purchase' then event_id % 2 = 0 end as success from events""",
     "v_vars": """
         select distinct concat('u', user_id) as project_id, concat('VAR_', event_id % 5) as name, case when event_id % 5 = 4 then 'Boolean' else 'Enum' end as kind, event_id % 5 as k from events where event_id % 5 <> 3""",
-    "v_scripts_lines": """
+    "v_script_lines": """
         select concat('u', user_id) as project_id, event_id,
             case event_type
                 when 'click' then concat('set(VAR_', event_id % 5, ' "v', event_id % 3, '" CACHE STRING "doc # (x)") # note')
@@ -72,6 +72,7 @@ VIEWS: dict[str, str] = {
                 when 'purchase' then concat('if(VAR_', event_id % 6, ')', chr(10), 'set(A_SOURCES src/a', event_id % 4, '.c', chr(10), ' src/b.c)', chr(10), 'if(OTHER GREATER 3)', chr(10), 'add_executable(t', event_id % 8, ' ${{A_SOURCES}} main_${{VAR_0}}.c)', chr(10), 'endif()', chr(10), 'else()', chr(10), 'add_library(l', event_id % 8, ' STATIC src/b.c)', chr(10), 'endif()')
                 when 'signup' then concat('if(VAR_', event_id % 5, ' STREQUAL "v1")', chr(10), 'add_compile_definitions(MODE_', event_id % 3, ' -DNAME=${{VAR_', event_id % 5, '}} Q="${{VAR_1}}" C=${{VAR_1}}_${{VAR_2}})', chr(10), 'elseif(VAR_2)', chr(10), 'add_subdirectory(sub/../lib', event_id % 3, ')', chr(10), 'endif()')
                 else concat('message("${{B_SOURCES}} ', event_id, '")', chr(10), 'set(B_SOURCES x', event_id % 3, '.c)') end as line from events""",
+    "v_scripts": "select project_id, 'CMakeLists.txt' as file, {agg} as text from v_script_lines group by project_id",
 }
 
 
@@ -81,7 +82,7 @@ def _fill(sql: str, spark: bool) -> str:
         if spark
         else "select source, doc_id, source as project_id, unnest(range(len(string_split(text, chr(10))))) as seq, unnest(string_split(text, chr(10))) as line from documents"
     )
-    return sql.format(bytes="octet_length" if spark else "strlen", string="string" if spark else "varchar", lines=lines)
+    return sql.format(bytes="octet_length" if spark else "strlen", string="string" if spark else "varchar", lines=lines, agg="listagg(line, chr(10)) within group (order by event_id)" if spark else "string_agg(line, chr(10) order by event_id)")
 
 
 def _needs(sql: str) -> list[str]:
@@ -116,6 +117,7 @@ def query(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     used = [t for t in TABLES if re.search(rf"\b{t}\b", prefix + sql)]
     tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in used}
     text = f"with {prefix} {sql}" if prefix else sql
+    text = text.replace("${", "$' || '{")  # in literals only; Spark would take it for a variable
     for t in used:  # tables by name, as arguments of this one statement
         text = re.sub(rf"\b(from|join) {t}\b", rf"\1 {{{t}}}", text)
     return spark.sql(_double(text, used), **tables)
@@ -128,4 +130,4 @@ def _double(text: str, used: list[str]) -> str:
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return query(spark, sf_dir, f"select * from {name}")
+    return query(spark, sf_dir, f"select * from {name}")
\ No newline at end of file
