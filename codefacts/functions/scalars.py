@@ -70,8 +70,14 @@ def success_rate(passed: Column, total: Column, skipped: Column) -> Column:
 
 
 def pct2(x: Column) -> Column:
-    """Two decimals, rounding the exact binary value half to even."""
-    return F.format_string("%.2f", F.bround(x.cast("decimal(38,18)"), 2).cast("double"))
+    """Two decimals, rounding the exact binary value half to even (of non-negative numbers)."""
+    below = F.floor(x * 100).cast("double")
+    # 100 * x against the half-way point without rounding: x is cut into a short part, whose product
+    # with 100 is exact, and the rest.
+    short = x.cast("float").cast("double")
+    past = (short * 100 - (below + 0.5)) + (x - short) * 100
+    up = (past > 0) | ((past == 0) & (below % 2 == 1))
+    return F.format_string("%.2f", (below + up.cast("double")) / 100)
 
 
 def lossy_utf8(b: Column) -> Column:

@@ -49,7 +49,7 @@ def enumerate_combos(groups: DataFrame, mode: str | int) -> DataFrame:
 
     mode `all` lists all and refuses more than 1024, `default` gives one row, n > 0 samples n evenly.
     A combination is decoded from its index by mixed radix, so the product is never built.
-    Labels are sorted, joined by commas, `none` if empty.
+    Labels are sorted, joined by commas, `none` if empty; an index beyond 2**63 is null.
     """
     if mode != "all" and mode != "default" and (not str(mode).isdigit() or int(mode) <= 0):
         raise ValueError(f"mode must be all, default or a positive number, not {mode!r}")
@@ -57,21 +57,24 @@ def enumerate_combos(groups: DataFrame, mode: str | int) -> DataFrame:
     if mode == "default":
         return lists.select("project_id", F.lit(0).cast("long").alias("combo_index"), F.lit("default").alias("label"))
     # Products beyond 2**63 would wrap: they are kept as decimals until the sample is drawn.
-    total = F.aggregate("radix", F.lit(1).cast("decimal(38,0)"), lambda acc, g: (acc * F.size(g)).cast("decimal(38,0)"))
+    big = lambda c: c.cast("decimal(38,0)")
+    whole = lambda a, b: big((a - a % b) / b)  # noqa: E731  # exact, where a plain division would round
+    total = F.aggregate("radix", big(F.lit(1)), lambda acc, g: big(acc * F.size(g)))
     lists = lists.withColumn("total", total)
     if mode == "all":
         checked = F.when(F.col("total") > MOST_COMBOS, F.raise_error(F.concat(F.lit("too many combinations: "), F.col("project_id")))).otherwise(F.col("total"))
-        index = F.sequence(F.lit(0).cast("long"), checked.cast("long") - 1)
+        index = F.transform(F.sequence(F.lit(0).cast("long"), checked.cast("long") - 1), big)
     else:
         n = int(mode)
-        small = F.sequence(F.lit(0).cast("long"), F.least(F.col("total"), F.lit(n)).cast("long") - 1)
-        index = F.when(F.col("total") <= n, small).otherwise(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.floor(i * F.col("total") / F.lit(n)).cast("long")))
+        small = F.transform(F.sequence(F.lit(0).cast("long"), F.least(F.col("total"), F.lit(n)).cast("long") - 1), big)
+        drawn = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: whole(big(i * F.col("total")), big(F.lit(n))))
+        index = F.when(F.col("total") <= n, small).otherwise(drawn)
     rows = lists.withColumn("combo_index", F.explode(index))
-    after = lambda i: F.aggregate(F.slice("radix", i + 2, F.size("radix")), F.lit(1).cast("long"), lambda acc, g: acc * F.size(g))
-    digits = F.transform("radix", lambda g, i: F.element_at(g, (F.floor(F.col("combo_index") / after(i)) % F.size(g) + 1).cast("int")))
+    after = lambda i: F.aggregate(F.slice("radix", i + 2, F.size("radix")), big(F.lit(1)), lambda acc, g: big(acc * F.size(g)))
+    digits = F.transform("radix", lambda g, i: F.element_at(g, (whole(F.col("combo_index"), after(i)) % F.size(g) + 1).cast("int")))
     chosen = F.array_sort(F.filter(digits, lambda x: x != ""))
     label = F.when(F.size(chosen) > 0, F.array_join(chosen, ",")).otherwise("none")
-    return rows.select("project_id", "combo_index", label.alias("label"))
+    return rows.select("project_id", F.col("combo_index").try_cast("long").alias("combo_index"), label.alias("label"))
 
 
 def ovat_sweep(params: DataFrame, values: DataFrame) -> DataFrame:

@@ -12,13 +12,19 @@ def load_tree(spark: SparkSession, root: str) -> DataFrame:
     """Every regular file below root: project_id (first path component), path below it, content, size.
     Files at the root itself belong to project ''."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    bare = lambda c: F.regexp_replace(c, "^file:/+", "/")
+    files = found.select(bare(F.col("path")).alias("full"), "content", F.col("length").alias("size"))
+    # The reader leaves empty files out; the index that it lists, names encoded, has them.
+    listed = spark.createDataFrame([(p,) for p in found.inputFiles()], "full string")
+    listed = listed.select(bare(F.url_decode(F.replace("full", F.lit("+"), F.lit("%2B")))).alias("full"))
+    empty = listed.join(files.select("full"), "full", "left_anti").select("full", F.unhex(F.lit("")).alias("content"), F.lit(0).cast("long").alias("size"))
     base = spark._jvm.org.apache.hadoop.fs.Path(root)
     base = base.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(base).toString().rstrip("/")
-    local = F.regexp_replace(F.url_decode(F.replace(F.col("path"), F.lit("+"), F.lit("%2B"))), "^file:/+", "/")
-    below = F.substring(local, len("/" + base.removeprefix("file:").lstrip("/")) + 2, 1 << 30)
-    return found.withColumn("below", below).select(
+    start = len("/" + base.removeprefix("file:").lstrip("/") if base.startswith("file:") else base) + 2
+    below = files.unionByName(empty).withColumn("below", F.substring("full", start, 1 << 30))
+    return below.select(
         F.when(F.instr("below", "/") > 0, F.substring_index("below", "/", 1)).otherwise("").alias("project_id"),
-        F.expr("substring(below, instr(below, '/') + 1)").alias("path"), "content", F.col("length").alias("size"),
+        F.expr("substring(below, instr(below, '/') + 1)").alias("path"), "content", "size",
     )
 
 
