@@ -119,7 +119,7 @@ def _offers(offers: int):
 
 def _random_graph(nodes: DataFrame, n: int, degree: int) -> DataFrame:
     """A few rounds of random small groups; with few nodes, one group of all."""
-    rounds, size = (1, n) if n <= 2 * degree else (4, degree // 4 + 1)
+    rounds, size = (1, max(1, n)) if n <= 2 * degree else (4, degree // 4 + 1)
     groups = max(1, n // size)
     grouped = nodes.select("cid", F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("r"))
     grouped = grouped.withColumn("g", F.pmod(F.xxhash64("cid", "r"), F.lit(groups)))
@@ -165,7 +165,7 @@ def build(nodes: DataFrame, n: int, degree: int = DEGREE, rounds: int = ROUNDS,
         if r == 0:  # the first neighbours have no scores: what the round offers takes their place
             graph = graph.withColumns({"ids": F.array().cast("array<long>"), "scores": F.array().cast("array<float>")})
         graph = save(graph.drop("changed").join(grouped, "cid", "left").mapInArrow(_merged(degree), _GRAPH), "graph")
-        if graph.agg(F.sum("changed")).first()[0] < 0.01 * degree * n:
+        if (graph.agg(F.sum("changed")).first()[0] or 0) < 0.01 * degree * n:
             break
     return graph
 
