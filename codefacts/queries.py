@@ -722,3 +722,53 @@ def d17(spark, d):
     named = files.select("project_id", "file")
     items = view(spark, d, "v_spans").join(named, ["project_id", "file"], "left_semi")
     return spans.interface_digest(files, items, query(spark, d, _BODIES).join(named, ["project_id", "file"], "left_semi"))
+
+
+# --- Files written and read back ------------------------------------------------------------
+
+
+@registered("a8_failed_vectors", "select distinct project_id, filename, pattern from v_judged_vectors join v_outputs using (project_id, filename) where has_ub is null and not coalesce(case when is_regex then pattern <> '(' and regexp_matches(actual, case when pattern = '(' then 'x' else pattern end) else trim(actual, ' ' || chr(10)) = trim(pattern, ' ' || chr(10)) end, false)")
+def a8(spark, d):
+    from .scratch import scratch_path
+    from .sources import write_failed_vectors
+
+    vectors, outputs = view(spark, d, "v_judged_vectors"), view(spark, d, "v_outputs")
+    judged = results.judge_output(vectors.join(outputs.select("project_id", "filename"), ["project_id", "filename"], "left_semi"), outputs)
+    path = scratch_path(spark, "failed")
+    write_failed_vectors(vectors, judged, path)
+    return spark.read.schema("project_id string, filename string, pattern string").json(path)
+
+
+@registered("a9_error_text_files", "select concat('u', user_id) as project_id, concat(event_type, ' ', event_id) as line from events where event_type = 'error'")
+def a9(spark, d):
+    from .scratch import scratch_path
+    from .sources import write_error_text
+
+    path = scratch_path(spark, "errors")
+    write_error_text(query(spark, d, "select concat('u', user_id) as project_id, case when event_type = 'error' then concat(event_type, ' ', event_id) end as line from events"), path)
+    return spark.read.schema("value string, project_id string").text(path).select("project_id", F.col("value").alias("line"))
+
+
+@registered("a10_tree_round_trip", "select source as project_id, concat('t', n_chars % 10, '/d', doc_id, '.txt') as path, md5(text) as content_md5, strlen(text)::bigint as size from documents")
+def a10(spark, d):
+    from .scratch import scratch_path
+    from .sources import load_tree, materialize_tree
+
+    path = scratch_path(spark, "tree").removeprefix("file://")
+    materialize_tree(query(spark, d, "select source as project_id, concat('t', n_chars % 10, '/d', doc_id, '.txt') as path, cast(text as binary) as content from documents"), path)
+    return load_tree(spark, path).select("project_id", "path", F.md5("content").alias("content_md5"), "size")
+
+
+@registered("j1_stream_build_messages", ORACLE_SQL["j1_message_counts"])
+def j1_stream(spark, d):
+    from .scratch import scratch_path
+    from .streaming import stream_build_messages
+
+    landed, out = scratch_path(spark, "landed"), scratch_path(spark, "counts")
+    query(spark, d, _MESSAGE_LINES).repartition(4).write.json(landed)
+    job = (
+        stream_build_messages(spark, landed).writeStream.outputMode("complete").foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(out))
+        .option("checkpointLocation", scratch_path(spark, "state")).trigger(availableNow=True).start()
+    )
+    job.awaitTermination()
+    return spark.read.parquet(out)
