@@ -81,4 +81,34 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_page_text": op10_page_text,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: Words of every document with their places; windows and shingles are lists of words.
+_WORDS = r"""w as (select doc_id, regexp_extract_all({text}, '[^\x20\x09-\x0D]+') as ws from documents)"""
+
+#: Smallest id that links lead to, by walking them; fixed point of a recursive union.
+_REACH = """reach(a, b) as (select a, b from links union select r.a, l.b from reach r join links l on r.b = l.a)"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op2_fm_substring_dedup": f"""
+        with {_WORDS.format(text="coalesce(text, '')")},
+        windows as (select doc_id, k, ws[k + 1:k + 13] as win from (select doc_id, ws, unnest(range(len(ws) - 12)) as k from w where len(ws) >= 13)),
+        firsts as (select win, min(doc_id) as lo from windows group by win),
+        gone as (select distinct doc_id, k + j as pos from (select doc_id, k from windows join firsts using (win) where lo < doc_id), (select unnest(range(13)) as j)),
+        words as (select doc_id, unnest(range(len(ws))) as pos, unnest(ws) as word from w),
+        kept as (select x.doc_id, count(g.pos) as n_removed, string_agg(case when g.pos is null then word end, ' ' order by x.pos) as kept from words x left join gone g on x.doc_id = g.doc_id and x.pos = g.pos group by x.doc_id)
+        select w.doc_id, len(ws)::bigint as n_words, coalesce(n_removed, 0)::bigint as n_removed, sha256(coalesce(kept, '')) as kept_sha256 from w left join kept using (doc_id)""",
+    "op3_rp_forest_dedup": f"""
+        with recursive v as (select vec_id, label, embedding::double[] as x from embeddings where embedding is not null and label is not null and len(list_filter(embedding, lambda e: e is null or not isfinite(e))) = 0 and len(list_filter(embedding, lambda e: e <> 0)) > 0),
+        links as (select p.vec_id as a, q.vec_id as b from v p join v q on p.label = q.label and p.vec_id <> q.vec_id and len(p.x) = len(q.x) and list_cosine_similarity(p.x, q.x) >= 0.98), {_REACH},
+        n as (select a, count(*) as n from links group by a), c as (select a, min(b) as c from reach group by a)
+        select vec_id, coalesce(n, 0)::bigint as n_links, least(vec_id, coalesce(c, vec_id)) as component_id, vec_id = least(vec_id, coalesce(c, vec_id)) as kept
+        from embeddings e left join n on n.a = e.vec_id left join c on c.a = e.vec_id""",
+    "op9_minhash_dedup": f"""
+        with recursive {_WORDS.format(text="translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")},
+        sets as (select distinct doc_id, g from (select doc_id, ws[k + 1:k + 4] as g from (select doc_id, ws, unnest(range(len(ws) - 3)) as k from w where len(ws) >= 4) union all select doc_id, ws from w where len(ws) between 1 and 3)),
+        sizes as (select doc_id, count(*) as n from sets group by doc_id),
+        common as (select p.doc_id as a, q.doc_id as b, count(*) as c from sets p join sets q on p.g = q.g and p.doc_id <> q.doc_id group by all),
+        links as (select a, b from common join sizes x on x.doc_id = a join sizes y on y.doc_id = b where 100 * c >= 80 * (x.n + y.n - c)), {_REACH},
+        m as (select a, min(b) as c from reach group by a)
+        select w.doc_id, coalesce(n, 0)::bigint as n_shingles, least(w.doc_id, coalesce(m.c, w.doc_id)) as component_id, w.doc_id = least(w.doc_id, coalesce(m.c, w.doc_id)) as kept
+        from w left join sizes using (doc_id) left join m on m.a = w.doc_id""",
+}
