@@ -21,9 +21,9 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CHUNK_BYTES = 400_000
+CHUNK_BYTES = 200_000
 LONG_PIECE = 256
-REMEMBERED = 1_000_000
+REMEMBERED = 700_000
 SLICE_BYTES = 4 << 20
 
 _ENCODE = """
@@ -75,7 +75,7 @@ class Encoder:
                     right.append(b)
                     merged.append(rank)
         self.pair = dict(zip(zip(left, right, strict=True), merged, strict=True))
-        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "500MB", "temp_directory": ""})
+        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "250MB", "temp_directory": ""})
         self._table("merges", {"lft": pa.array(left, pa.int32()), "rgt": pa.array(right, pa.int32()), "merged": pa.array(merged, pa.int32())})
         self._table("vocabulary", {"tok": pa.array(list(self.bytes_of), pa.int32()), "hex": pa.array([b.hex() for b in self.bytes_of.values()])})
         self.forget()
@@ -87,8 +87,9 @@ class Encoder:
 
     def forget(self) -> None:
         self.place: dict[str, int] = {}
-        self.ids, self.id_ends = [np.zeros(0, dtype=np.uint32)], [0]
-        self.raw, self.raw_ends = [np.zeros(0, dtype=np.uint8)], [0]
+        # Ids and decoded bytes of all pieces one after the other, and where each piece's end.
+        self.ids, self.id_ends = np.zeros(0, dtype=np.uint32), np.zeros(1, dtype=np.int64)
+        self.raw, self.raw_ends = np.zeros(0, dtype=np.uint8), np.zeros(1, dtype=np.int64)
 
     def _recursive(self, pieces: list[bytes]) -> list[tuple[list[int], bytes]]:
         lengths = np.array([len(p) for p in pieces])
@@ -120,12 +121,11 @@ class Encoder:
     def _add(self, found: list[tuple[str, list[int], bytes]]) -> None:
         n = len(self.place)
         self.place.update((piece, n + k) for k, (piece, _, _) in enumerate(found))
-        for of, ends, values in (
-            (self.ids, self.id_ends, [np.asarray(ids, dtype=np.uint32) for _, ids, _ in found]),
-            (self.raw, self.raw_ends, [np.frombuffer(raw, dtype=np.uint8) for _, _, raw in found]),
-        ):
-            ends.extend((ends[-1] + np.cumsum([len(v) for v in values])).tolist())
-            of[:] = [np.concatenate([*of, *values])]
+        ids = [np.asarray(ids, dtype=np.uint32) for _, ids, _ in found]
+        self.ids = np.concatenate((self.ids, *ids))
+        self.id_ends = np.concatenate((self.id_ends, self.id_ends[-1] + np.cumsum([len(x) for x in ids])))
+        self.raw = np.concatenate((self.raw, np.frombuffer(b"".join(raw for _, _, raw in found), dtype=np.uint8)))
+        self.raw_ends = np.concatenate((self.raw_ends, self.raw_ends[-1] + np.cumsum([len(raw) for _, _, raw in found])))
 
     def learn(self, pieces: list[str]) -> None:
         """Make every piece known."""
@@ -160,7 +160,7 @@ class Encoder:
         place = np.array([self.place[p] for p in pieces], dtype=np.int64)[coded.indices.to_numpy()] if pieces else np.zeros(0, dtype=np.int64)
         bounds = np.concatenate(([0], np.cumsum(counts)))
         out = []
-        for values, ends in ((self.ids[0], np.array(self.id_ends)), (self.raw[0], np.array(self.raw_ends))):
+        for values, ends in ((self.ids, self.id_ends), (self.raw, self.raw_ends)):
             length = (ends[1:] - ends[:-1])[place] if len(place) else place
             total = np.concatenate(([0], np.cumsum(length)))
             at = np.arange(total[-1]) + np.repeat((ends[place] - total[:-1]) if len(place) else place, length)
