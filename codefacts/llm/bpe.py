@@ -61,7 +61,8 @@ def read_ranks(path: str) -> dict[bytes, int]:
 class Encoder:
     """Encodes and decodes distinct pieces; kept by a worker from batch to batch."""
 
-    def __init__(self, path: str, pattern: str):
+    def __init__(self, path: str, pattern: str, remembered: int = REMEMBERED):
+        self.remembered = remembered
         self.pattern = regex.compile(pattern)
         self.ranks = read_ranks(path)
         self.bytes_of = {v: k for k, v in self.ranks.items()}
@@ -130,7 +131,7 @@ class Encoder:
     def learn(self, pieces: list[str]) -> None:
         """Make every piece known."""
         new = [p for p in pieces if p not in self.place]
-        if len(self.place) + len(new) > REMEMBERED:
+        if len(self.place) + len(new) > self.remembered:
             self.forget()
             new = pieces
         found, chunk, size = [], [], 0
@@ -180,17 +181,19 @@ def encoder(path: str, pattern: str) -> Encoder:
     return _encoders[path, pattern]
 
 
-def encode(docs: DataFrame, path: str, pattern: str, with_ids: bool = False) -> DataFrame:
+def encode(docs: DataFrame, path: str, pattern: str, with_ids: bool = False, remembered: int | None = None) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 (and ids): a row for each row of docs.
 
     path names a rank file and pattern its split pattern, both readable by the tasks.  Each match of
     the pattern is encoded by itself: as one id where it is in the vocabulary, else by contracting
-    the leftmost pair of the smallest rank.  Null and empty texts have no ids.  Repeated rows each
+    the leftmost pair of the smallest rank.  A worker keeps its encoder and the pieces it has seen for
+    the next task; with `remembered` given, it keeps at most so many and lets go of all when the task
+    ends, which costs time and saves memory where other stages follow.  Null and empty texts have no ids.  Repeated rows each
     give a row.  Other columns are ignored.  An empty table gives an empty result.
     """
 
     def run(batches):
-        tool = encoder(path, pattern)
+        tool = encoder(path, pattern) if remembered is None else Encoder(path, pattern, remembered)
         for batch in batches:
             ids, texts = batch.column("doc_id"), batch.column("text")
             sizes = np.cumsum([len(t.as_buffer() or b"") if t.is_valid else 0 for t in texts])
@@ -203,6 +206,8 @@ def encode(docs: DataFrame, path: str, pattern: str, with_ids: bool = False) ->
                     columns.append(pa.array([r[3].astype(np.int32) for r in rows], pa.list_(pa.int32())))
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids)
                 a = b
+        if remembered is not None:
+            tool.db.close()
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
