@@ -8,8 +8,8 @@ taken for the site's, not the page's, and go.
 Differencing alone can't tell a site's line from a passage that two articles quote, nor see a menu
 that differs from page to page.  So the line's place in the page counts as well: what stands in
 navigation, headers, footers, sidebars, forms, adverts, notices and comments goes in any case, and
-where a page marks its article, the lines inside stay, shared or not, and those outside go.  The
-common subsequence decides over all other lines.
+lines inside a marked article stay, shared or not.  The common subsequence decides over all other
+lines, in pages with a marked article too.
 """
 
 from __future__ import annotations
@@ -124,8 +124,11 @@ def common_lines(a: list[str], b: list[str]) -> set[int]:
         end += 1
     shared = {*range(begin), *range(len(a) - end, len(a))}
     left, right = a[begin : len(a) - end], b[begin : len(b) - end]
-    if not left or not right:
+    both = {*left} & {*right}  # other lines match nothing
+    if not both:
         return shared
+    places, left = zip(*((k, x) for k, x in enumerate(left) if x in both), strict=True)
+    right = [x for x in right if x in both]
     where: dict[str, int] = {}
     for j, line in enumerate(right):
         where[line] = where.get(line, 0) | 1 << j
@@ -142,7 +145,7 @@ def common_lines(a: list[str], b: list[str]) -> set[int]:
         else:
             i -= 1
             if i == 0 or rows[i - 1] >> (j - 1) & 1:  # the step came with this line: a match
-                shared.add(begin + i)
+                shared.add(begin + places[i])
                 j -= 1
     return shared
 
@@ -157,9 +160,8 @@ def _alike(a: str, b: str) -> int:
 
 
 def _main_text(lines: list[tuple[str, int]], other: list[tuple[str, int]] | None) -> str:
-    marked = any(place for _, place in lines)
-    shared = common_lines([x for x, _ in lines], [x for x, _ in other]) if other and not marked else ()
-    return "\n".join(line for k, (line, place) in enumerate(lines) if (place if marked else k not in shared))
+    shared = common_lines([x for x, _ in lines], [x for x, _ in other]) if other else ()
+    return "\n".join(line for k, (line, place) in enumerate(lines) if place or k not in shared)
 
 
 def extract(pages: DataFrame) -> DataFrame:

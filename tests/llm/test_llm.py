@@ -275,6 +275,13 @@ def test_page_text(spark):
     assert html_text.extract(pages.where("page_id > 9")).count() == 0
 
 
+def test_page_text_differencing_decides_beside_marked_articles(spark):
+    page = "<body><div>Site menu</div><div><p>Story {0}</p></div><article><p>Teaser</p></article><article><p>Card {0}</p></article></body>"
+    pages = spark.createDataFrame([(k, f"http://h/a/{k}", page.format(k)) for k in (1, 2)], "page_id long, url string, html string").repartition(1)
+    got = {r["page_id"]: r["text"] for r in html_text.extract(pages).collect()}
+    assert got == {k: f"Story {k}\nTeaser\nCard {k}" for k in (1, 2)}
+
+
 def test_common_lines():
     def length(a, b):
         d = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
