@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# HTML element names and common class words.
+# HTML element names and common whole class words.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = ("script", "style", "template", "noscript", "iframe", "textarea", "select", "svg", "title", "head", "object", "math", "canvas", "xmp")
 _DROP = frozenset("nav header footer aside form dialog menu button".split())
@@ -32,25 +32,36 @@ _BLOCK = frozenset(
 _BAD_WORDS = frozenset(
     "ad ads advert advertisement adverts advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr "
     "masthead menu modal nav navbar navigation newsletter notice notices overlay pager pagination popup promo promoted related replies respond share sharing "
-    "sidebar social sponsor sponsored subscribe toolbar widget widgets".split()
+    "sidebar social sponsor sponsored subscribe toolbar widget widgets "
+    "ad-banner ad-container ad-slot ad-unit ad-wrapper breadcrumb-nav comment-form comment-list comments-area cookie-banner cookie-bar cookie-consent "
+    "cookie-notice main-menu main-nav nav-bar nav-menu newsletter-signup page-footer page-header popup-overlay post-navigation promo-box related-articles "
+    "related-posts share-bar share-buttons side-bar sidebar-left sidebar-right site-footer site-header site-nav social-links social-share top-nav".split()
 )
+_KEPT = frozenset("html body main article".split())
 _BAD_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
 _P_ENDS = _BLOCK - {"body", "html"}
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
-_ATTR = re.compile(r"(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
-_SPLIT = re.compile(r"[\s_-]+")
+_ATTR = re.compile(r"([^\s/>][^\s/>=]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _SPACE = re.compile(r"\s+")
 _ENDS = {name: re.compile(rf"</{name}\s*>", re.I) for name in _RAW}
 
 
-def _unwanted(attributes: str) -> bool:
-    for m in _ATTR.finditer(attributes):
-        name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
-        if name == "role" and value in _BAD_ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
-        if name in ("class", "id") and not _BAD_WORDS.isdisjoint(_SPLIT.split(value)):
-            return True
-    return False
+def _attributes(source: str) -> dict[str, str]:
+    """Attributes of a tag by name; the first of a name counts."""
+    found: dict[str, str] = {}
+    for m in _ATTR.finditer(source):
+        found.setdefault(m[1].lower(), (m[2] or m[3] or m[4] or "").lower())
+    return found
+
+
+def _unwanted(name: str, attributes: dict[str, str]) -> bool:
+    role = attributes.get("role", "").strip()
+    if role in _BAD_ROLES or "hidden" in attributes or attributes.get("aria-hidden") == "true":
+        return True
+    if name in _KEPT or role == "main":  # a class word says something about the page's layout here
+        return False
+    words = f"{attributes.get('class', '')} {attributes.get('id', '')}".replace("_", "-").split()
+    return not _BAD_WORDS.isdisjoint(words)
 
 
 def page_lines(page: str) -> list[tuple[str, int]]:
@@ -104,9 +115,10 @@ def page_lines(page: str) -> list[tuple[str, int]]:
         if name in _VOID or m[3].endswith("/") and name not in _BLOCK:
             continue
         stack.append((name, drop, article))
-        if name in ("article", "main") or re.search(r"role\s*=\s*[\"']?main\b", m[3], re.I):
+        attributes = _attributes(m[3]) if m[3] else {}
+        if name in ("article", "main") or attributes.get("role", "").strip() == "main":
             article += 1
-        if name in _DROP or m[3] and _unwanted(m[3]):
+        if name in _DROP or attributes and _unwanted(name, attributes):
             drop += 1
     if not drop and at < n:
         text.append(page[at:])

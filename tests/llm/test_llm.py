@@ -275,6 +275,20 @@ def test_page_text(spark):
     assert html_text.extract(pages.where("page_id > 9")).count() == 0
 
 
+def test_page_lines_reads_whole_attributes():
+    def lines(page):
+        return [x for x, _ in html_text.page_lines(page)]
+
+    for tag in ('p title="a hidden menu"', 'p style="overflow:hidden"', 'p data-hidden="false"', "p data-x='class=\"ad\"'", "p class=with-sidebar", 'p class="post comments-open"', 'p id="no-ad"', 'p data-role="navigation"'):
+        assert lines(f"<article><{tag}>text</p><p>more</p></article>") == ["text", "more"]
+    assert lines('<article><p>See <a href="/hidden-gems">gems</a></p></article>') == ["See gems"]
+    for name in ("body", "main", "article"):
+        assert lines(f'<{name} class="sidebar menu" id="comments"><p>text</p></{name}>') == ["text"]
+    for tag in ("p hidden", 'p a=1 HIDDEN=""', "p class='x ad'", "p id=menu", "p role=navigation", 'p title="x"aria-hidden="true"', 'p class="site_footer"'):
+        assert lines(f"<article><{tag}>text</p><p>more</p></article>") == ["more"]
+    assert html_text.page_lines('<p data-role="main">a</p><div role="main">b</div>') == [("a", 0), ("b", 1)]
+
+
 def test_page_text_differencing_decides_beside_marked_articles(spark):
     page = "<body><div>Site menu</div><div><p>Story {0}</p></div><article><p>Teaser</p></article><article><p>Card {0}</p></article></body>"
     pages = spark.createDataFrame([(k, f"http://h/a/{k}", page.format(k)) for k in (1, 2)], "page_id long, url string, html string").repartition(1)
