@@ -1,7 +1,8 @@
 """Main text of HTML pages by differencing each page with the page of the nearest URL.
 
-Pages are laid out by host and URL path (a range partitioning, so a host with a third of all pages is
-spread over many tasks) and each is paired with the neighbour whose path shares the longer beginning.
+Pages are laid out by host and URL path (in ranges, so a host with a third of all pages is spread
+over many tasks) and each is paired with the neighbour whose path shares the longer beginning, of those
+whose lines aren't the same.  A range gets the neighbours of its first and last pages from other ranges.
 The text lines of the two are aligned by their longest common subsequence; lines that both have are
 taken for the site's, not the page's, and go.
 
@@ -14,9 +15,12 @@ lines, in pages with a marked article too.
 
 from __future__ import annotations
 
+import bisect
+import hashlib
 import html as _html
 import re
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -43,6 +47,10 @@ _P_ENDS = _BLOCK - {"body", "html"}
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 _ATTR = re.compile(r"([^\s/>][^\s/>=]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _SPACE = re.compile(r"\s+")
+_KEY = ("host", "path", "id", "tie")
+_DIGEST = "part int, host string, path string, id long, tie long, digest binary"
+_TEXT = "page_id long, url string, text string, n_chars long"
+_ARROW = {"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
 _ENDS = {name: re.compile(rf"</{name}\s*>", re.I) for name in _RAW}
 
 
@@ -176,52 +184,170 @@ def _main_text(lines: list[tuple[str, int]], other: list[tuple[str, int]] | None
     return "\n".join(line for k, (line, place) in enumerate(lines) if place or k not in shared)
 
 
-def extract(pages: DataFrame) -> DataFrame:
+def _ranges(keys: DataFrame, n: int) -> list[tuple]:
+    """At most n - 1 keys that cut the rows into ranges of about equal numbers, from a sample."""
+    rows = keys.count()
+    if n < 2 or not rows:
+        return []
+    sample = sorted(tuple(r) for r in keys.sample(min(1.0, 40 * n / rows), seed=0).collect())
+    return sorted({sample[len(sample) * k // n] for k in range(1, n)}) if sample else []
+
+
+def _edges(rows: DataFrame, bounds: list[tuple]) -> list[tuple]:
+    """(range, place, key, digest of the lines) of the first pages of the first two runs of each range
+    (places 0 and 1) and the last pages of its last two runs (places 2 and 3, the last one 3).  A run
+    is pages of a host in order whose lines are equal; pages without lines don't count."""
+
+    def digests(batches):
+        for batch in batches:
+            found = []
+            for *key, source in zip(*(batch.column(c).to_pylist() for c in (*_KEY, "html")), strict=True):
+                lines = page_lines(source or "")
+                if lines:
+                    found.append((bisect.bisect_right(bounds, tuple(key)), *key, hashlib.blake2b("\n".join(x for x, _ in lines).encode("utf-8", "surrogatepass"), digest_size=16).digest()))
+            yield _batch(found, _DIGEST)
+
+    def ends(batches):
+        out: list[tuple] = []
+        part = run = last = None
+        begun = 0
+        seen: list[tuple] = []  # last page of the run before
+
+        def close():
+            if last:
+                out.extend((2, *x) for x in seen)
+                out.append((3, *last))
+
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if row[0] != part:
+                    close()
+                    part, run, last, begun = row[0], None, None, 0
+                    seen.clear()
+                if (row[1], row[-1]) != run:
+                    if begun < 2:
+                        out.append((begun, *row))
+                    begun += 1
+                    if last:
+                        seen[:] = [last]
+                    run = row[1], row[-1]
+                last = row
+        close()
+        if out:
+            yield _batch(out, f"place int, {_DIGEST}")
+
+    small = rows.select(*_KEY, "html").mapInArrow(digests, _DIGEST)
+    laid = small.repartitionById(len(bounds) + 1, F.col("part")).sortWithinPartitions("part", *_KEY)
+    return [(r["part"], r["place"], tuple(r[c] for c in _KEY), bytes(r["digest"])) for r in laid.mapInArrow(ends, f"place int, {_DIGEST}").collect()]
+
+
+def _carried(edges: list[tuple], n: int) -> dict[tuple, list[int]]:
+    """Pages that ranges need from the ranges beside them: key -> ranges.  A range needs the nearest
+    page of the host before its first run whose lines differ from the run's, and likewise after its
+    last run, however many ranges away."""
+    by: list[dict[int, tuple]] = [{} for _ in range(n)]
+    for part, place, key, digest in edges:
+        by[part][place] = key, digest
+    wanted: dict[tuple, list[int]] = {}
+    for part in range(n):
+        for own, others, places in ((0, range(part - 1, -1, -1), (3, 2)), (3, range(part + 1, n), (0, 1))):
+            if own not in by[part]:
+                continue
+            key, digest = by[part][own]
+            near = (by[q][k] for q in others for k in places if k in by[q])
+            for other, its in near:
+                if other[0] != key[0]:
+                    break
+                if its != digest:
+                    wanted.setdefault(other, []).append(part)
+                    break
+    return wanted
+
+
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    fields = [x.split() for x in schema.split(", ")]
+    columns = zip(*rows, strict=True) if rows else ([] for _ in fields)
+    return pa.RecordBatch.from_arrays([pa.array(list(c), type=_ARROW[t]) for c, (_, t) in zip(columns, fields, strict=True)], names=[name for name, _ in fields])
+
+
+def extract(pages: DataFrame, ranges: int | None = None) -> DataFrame:
     """page_id, url, text, n_chars: a row for each row of pages.
 
     Character references are decoded, white space inside a block is one space, blocks are trimmed
     and joined by one newline.  A null or empty page has the empty text; a null url pairs with
-    nothing but other null urls.  Repeated rows and pages that are alike keep what they mark as
-    article; a page that is paired with its own copy and marks no article loses all its lines.
-    Other columns are ignored.  An empty table gives an empty result.
+    nothing but other null urls.  A page is paired with the nearest URL of its host whose lines
+    differ from its own (and that has any), so copies of a page keep its text; the pairs don't depend
+    on the ranges, as each gets the pages that it needs from others.  Finding those reads and parses
+    all pages once, when extract() is called.  Other columns are ignored.  An empty table gives an
+    empty result.  `ranges`: tasks at most; by default the session's shuffle partitions, of 200 pages
+    or more.
     """
     bare = F.regexp_replace(F.coalesce("url", F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://|[?#].*$", "")
     rows = pages.select(
-        "page_id", "url", F.lower(F.substring_index(bare, "/", 1)).alias("host"), F.regexp_replace(bare, r"^[^/]*/?", "").alias("path"), "html"
+        "page_id", "url", F.lower(F.substring_index(bare, "/", 1)).alias("host"), F.regexp_replace(bare, r"^[^/]*/?", "").alias("path"),
+        F.coalesce(F.col("page_id").cast("long"), F.lit(-(1 << 63))).alias("id"), F.xxhash64("html").alias("tie"), "html",
     )
-    laid = rows.repartitionByRange("host", "path", "page_id").sortWithinPartitions("host", "path", "page_id")
+    if ranges is None:
+        ranges = min(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), pages.count() // 200)
+    bounds = _ranges(rows.select("host", "path", "id"), ranges)
+    n = len(bounds) + 1
+    carried = _carried(_edges(rows, bounds), n) if bounds else {}
+
+    @F.pandas_udf("array<int>")
+    def parts(host: pd.Series, path: pd.Series, id_: pd.Series, tie: pd.Series) -> pd.Series:
+        keys = zip(host, path, map(int, id_), map(int, tie), strict=True)
+        return pd.Series([[bisect.bisect_right(bounds, key), *carried.get(key, ())] for key in keys], dtype=object)
+
+    laid = rows.select("*", F.posexplode(parts(*_KEY) if bounds else F.array(F.lit(0))).alias("guest", "part"))
+    laid = laid.repartitionById(n, F.col("part")).sortWithinPartitions("part", *_KEY)
 
     def run(batches):
-        before = now = None  # (page_id, url, host, path, lines)
+        before = None  # (path, lines) of the last page of the run before
+        place = None  # range and host
+        held: list[tuple] = []  # pages of the run: (page_id, url, path, lines), lines None where they are the run's
+        now: list[tuple[str, int]] = []  # lines of the run
+        last = ""  # path of its last page
         done: list[tuple] = []
 
-        def emit(after):
-            host, path = now[2], now[3]
-            near = [x for x in (before, after) if x and x[2] == host]
-            other = max(near, key=lambda x: _alike(path, x[3]))[4] if near else None
-            done.append((now[0], now[1], _main_text(now[4], other)))
-
-        def batch_of():
-            ids, urls, texts = zip(*done, strict=True)
-            done.clear()
-            return pa.RecordBatch.from_arrays(
-                [pa.array(ids, type=pa.int64()), pa.array(urls, type=pa.string()), pa.array(texts, type=pa.string()), pa.array([len(t) for t in texts], type=pa.int64())],
-                names=["page_id", "url", "text", "n_chars"],
-            )
+        def settle(after):
+            texts: dict[int, str] = {}  # by neighbour
+            near = [x for x in (before, after) if x]
+            for page_id, url, path, lines in held:
+                k = max(range(len(near)), key=lambda k: _alike(path, near[k][0])) if near else -1
+                other = near[k][1] if near else None
+                if lines is None:
+                    if k not in texts:
+                        texts[k] = _main_text(now, other)
+                    text = texts[k]
+                else:
+                    text = _main_text(lines, other)
+                done.append((page_id, url, text, len(text)))
+                if len(done) >= 500:
+                    yield _batch(done, _TEXT)
+                    done.clear()
+            held.clear()
 
         for batch in batches:
-            columns = [batch.column(c) for c in ("page_id", "url", "host", "path", "html")]
+            columns = [batch.column(c) for c in ("page_id", "url", "host", "path", "html", "guest", "part")]
             for r in range(batch.num_rows):
-                page_id, url, host, path, source = (c[r].as_py() for c in columns)
-                following = (page_id, url, host, path, page_lines(source or ""))
-                if now:
-                    emit(following)
-                before, now = now, following
-                if len(done) >= 500:
-                    yield batch_of()
-        if now:
-            emit(None)
+                page_id, url, host, path, source, guest, part = (c[r].as_py() for c in columns)
+                lines = page_lines(source or "")
+                if not lines:
+                    if not guest:
+                        done.append((page_id, url, "", 0))
+                    continue
+                alike = lines == now
+                if (part, host) != place:
+                    yield from settle(None)
+                    place, before, now = (part, host), None, lines
+                elif not alike and [x for x, _ in lines] != [x for x, _ in now]:
+                    yield from settle((path, lines))
+                    before, now = (last, now), lines
+                last = path
+                if not guest:
+                    held.append((page_id, url, path, None if alike or lines is now else lines))
+        yield from settle(None)
         if done:
-            yield batch_of()
+            yield _batch(done, _TEXT)
 
-    return laid.mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return laid.mapInArrow(run, _TEXT)

@@ -296,6 +296,30 @@ def test_page_text_differencing_decides_beside_marked_articles(spark):
     assert got == {k: f"Story {k}\nTeaser\nCard {k}" for k in (1, 2)}
 
 
+def test_page_text_of_copies_and_over_ranges(spark):
+    def page(k):
+        return f"<body><div>Menu {k % 3}</div><p>Site line</p><p>Own {k}</p></body>"
+
+    copies = [(1, "http://h/a/1", page(1)), (2, "http://h/a/1?utm=x", page(1)), (2, "http://h/a/1?utm=x", page(1)), (3, "http://h/a/1/print", page(1)), (4, "http://h/b", page(4)), (5, "http://h/c", None), (6, "http://g/a", page(1)), (None, "http://h/b", page(7))]
+    many = [(100 + k, f"http://k/{k // 7:03}/{k % 7}", page(k if k < 20 or k > 60 else 9)) for k in range(90)]
+    pages = spark.createDataFrame(copies + many, "page_id long, url string, html string")
+    order = sorted(copies + many, key=lambda r: (r[1].split("?")[0].split("/", 3)[2:], r[0] or -1))
+    expected = []
+    for at, (page_id, url, source) in enumerate(order):
+        host, path = url.split("?")[0].split("/", 3)[2:]
+        near = []
+        for side in (order[:at][::-1], order[at + 1 :]):
+            near += [r for r in side if r[1].split("/")[2] == host and r[2] and r[2] != source][:1]
+        other = max(near, key=lambda r: html_text._alike(path, r[1].split("?")[0].split("/", 3)[3])) if near else None
+        lines = [x for x, _ in html_text.page_lines(source or "")]
+        shared = html_text.common_lines(lines, [x for x, _ in html_text.page_lines(other[2])]) if other else ()
+        expected.append((page_id or -1, url, "\n".join(x for k, x in enumerate(lines) if k not in shared)))
+    assert "Own 1" in expected[[e[0] for e in expected].index(1)][2]
+    for ranges in (None, 1, 3, 40):
+        found = [(r["page_id"] or -1, r["url"], r["text"]) for r in (html_text.extract(pages, ranges) if ranges else html_text.extract(pages)).collect()]
+        assert sorted(found) == sorted(expected), ranges
+
+
 def test_common_lines():
     def length(a, b):
         d = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
