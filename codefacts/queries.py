@@ -225,6 +225,11 @@ def i2(spark, d):
     return query(spark, d, "select doc_id, substring(text, cast(1 + doc_id % 7 as int), 40) as s from documents").select("doc_id", fn.sanitize_name(F.col("s")).alias("name"))
 
 
+@registered("i2_sanitize_name_whole", "select doc_id, case when regexp_matches(n, '^[0-9-]') then '_' || n else n end as name from (select doc_id, regexp_replace(text, '[^A-Za-z0-9_-]', '_', 'g') as n from documents)")
+def i2_whole(spark, d):
+    return query(spark, d, "select doc_id, text as s from documents").select("doc_id", fn.sanitize_name(F.col("s")).alias("name"))
+
+
 _FENCED = "select conv_id, turn, concat(case turn % 4 when 0 then '```json' when 1 then ' ```rust' when 2 then '```' else '' end, chr(10), substring(text, 1, cast(conv_id % 30 as int)), chr(10), case when conv_id % 5 = 0 then '' else '``` ' end) as s from conversations"
 
 
@@ -235,6 +240,14 @@ def i3(spark, d):
     return query(spark, d, _FENCED).select("conv_id", "turn", fn.strip_fences(F.col("s")).alias("body"))
 
 
+_FENCED_WHOLE = _FENCED.replace("substring(text, 1, cast(conv_id % 30 as int))", "text")
+
+
+@registered("i3_strip_fences_whole", ORACLE_SQL["i3_strip_fences"].replace(_FENCED, _FENCED_WHOLE))
+def i3_whole(spark, d):
+    return query(spark, d, _FENCED_WHOLE).select("conv_id", "turn", fn.strip_fences(F.col("s")).alias("body"))
+
+
 _REFS = "select event_id, concat('x${{VAR_', event_id % 4, '}}-${{OTHER}}/', event_type, '${{VAR_2}}') as s from events".replace("{{", "{").replace("}}", "}")
 
 
@@ -262,8 +275,9 @@ def i6(spark, d):
 @registered("i7_lossy_utf8")
 def i7(spark, d):
     texts = query(spark, d, "select doc_id, text from documents")
-    cut = F.substring(F.encode("text", "utf-8"), 1, 101)
-    return texts.select("doc_id", fn.lossy_utf8(F.concat(cut, F.unhex(F.lit("FF")))).alias("text"))
+    whole = F.encode("text", "utf-8")
+    rest = F.substring(whole, F.lit(102), F.octet_length("text"))
+    return texts.select("doc_id", fn.lossy_utf8(F.concat(F.substring(whole, 1, 101), F.unhex(F.lit("FF")), rest)).alias("text"))
 
 
 _ROOTED = "select page_id, url, concat('https://', case when page_id % 2 = 0 then split_part(url, '/', 3) else 'm' end) as root from pages"
@@ -565,6 +579,11 @@ def d10(spark, d):
     return facts.collect_dependencies(rows)
 
 
+@registered("d10_collect_dependencies_whole", "select concat('c', conv_id) as project_id, string_agg(distinct w, ',' order by w) as dependencies from (select conv_id, trim(unnest(string_split(text, ' '))) as w from conversations) where w <> '' group by all")
+def d10_whole(spark, d):
+    return facts.collect_dependencies(query(spark, d, "select concat('c', conv_id) as project_id, split(text, ' ') as dependencies from conversations"))
+
+
 _PARTS = "select concat('c', conv_id) as project_id, turn as pos, case turn % 5 when 0 then 'functions' when 1 then 'imports' when 2 then 'types' when 3 then 'macros' else 'globals' end as section, case when conv_id % 7 = 0 then '  ' else concat(' ', substring(text, 1, 20), '!') end as rust_code from conversations"
 
 
@@ -573,12 +592,27 @@ def d11(spark, d):
     return facts.recombine(query(spark, d, _PARTS))
 
 
+_PARTS_WHOLE = _PARTS.replace("substring(text, 1, 20)", "text")
+
+
+@registered("d11_recombine_whole", ORACLE_SQL["d11_recombine"].replace(_PARTS, _PARTS_WHOLE))
+def d11_whole(spark, d):
+    return facts.recombine(query(spark, d, _PARTS_WHOLE))
+
+
 @registered("d12_build_requests", "select source as project_id, count(*) as n_files, md5(concat('{\"files\":[', string_agg(concat('{\"path\":\"', doc_id, '\",\"contents\":\"', lang, '\"}'), ',' order by doc_id::varchar), ']}')) as payload from documents group by all")
 def d12(spark, d):
     rows = query(spark, d, "select source as project_id, cast(doc_id as string) as path, lang as text from documents")
     return facts.build_requests(rows).withColumn("payload", F.md5("payload"))
 
 
+# Whole texts in projects of 100 documents at most, so that no payload grows with the table.
+@registered("d12_build_requests_whole", """select concat(source, '/', doc_id // 100) as project_id, count(*) as n_files, md5(concat('{"files":[', string_agg(concat('{"path":"', doc_id, '","contents":', to_json(text), '}'), ',' order by doc_id::varchar), ']}')) as payload from documents group by all""")
+def d12_whole(spark, d):
+    rows = query(spark, d, "select concat(source, '/', doc_id div 100) as project_id, cast(doc_id as string) as path, text from documents")
+    return facts.build_requests(rows).withColumn("payload", F.md5("payload"))
+
+
 @registered("d18_build_facts_summary", """select project_id, coalesce(count(*) filter (fact = 'vars'), 0) as vars, count(*) filter (fact = 'builds') as builds, count(*) filter (fact = 'vectors') as vectors from (select project_id, 'vars' as fact from v_vars union all select project_id, 'builds' from v_builds union all select project_id, 'vectors' from v_vectors) group by all""")
 def d18(spark, d):
     return facts.build_facts_summary(vars=view(spark, d, "v_vars"), builds=view(spark, d, "v_builds"), vectors=view(spark, d, "v_vectors"))

@@ -186,3 +186,13 @@ def test_vectors_are_strict(spark):
     cases = {"ok.json": "{}", "s.json": '{"stdout":{"pattern":"hi"}}', "bad1.json": '{"stdout":{}}', "bad2.json": '{"argv":[1]}', "bad3.json": '{"rc":-1}', "bad4.json": "no", "x.json.bak": "{}"}
     files = spark.createDataFrame([("p", f"test_vectors/{k}", v) for k, v in cases.items()], "project_id string, path string, content string")
     assert {r["filename"]: r["pattern"] for r in facts.read_vectors(files).collect()} == {"ok.json": "", "s.json": "hi"}
+
+
+def test_queries_take_whole_texts(spark, data):
+    from codefacts.queries import QUERIES
+
+    texts = {r["doc_id"]: r["text"].encode() for r in spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").collect()}
+    found = {r["doc_id"]: r["text"] for r in QUERIES["i7_lossy_utf8"](spark, data).collect()}
+    assert found == {k: (b[:101] + b"\xff" + b[101:]).decode(errors="replace") for k, b in texts.items()}
+    names = {r["doc_id"]: r["name"] for r in QUERIES["i2_sanitize_name_whole"](spark, data).collect()}
+    assert all(len(names[k]) >= len(b.decode()) for k, b in texts.items())
