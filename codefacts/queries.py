@@ -369,9 +369,10 @@ def f5(spark, d):
 @registered("d13_classify_variables", """with e as (select event_type as name, user_id % 5 as p, (props->'k') as v from events), s as (select concat('p', p) as project_id, name, case when p = 0 then 'true' when p = 1 then v::varchar when p = 2 then '"' || v::varchar || '"' when p = 3 then 'null' else '"x"' end as x, p from e)
     select project_id, name, case when p = 0 then 'Boolean' else 'Enum' end as kind, p in (1, 2) as numeric, count(*) filter (p <> 3) as n_values from s group by project_id, name, p""")
 def d13(spark, d):
-    sql = """select concat('p', user_id % 5) as project_id, event_type as name, concat('[', listagg(case user_id % 5 when 0 then 'true' when 1 then get_json_object(props, '$.k') when 2 then concat(chr(34), get_json_object(props, '$.k'), chr(34))
-        when 3 then 'null' else concat(chr(34), 'x', chr(34)) end, ','), ']') as body from events group by user_id % 5, event_type"""
-    return matrix.classify_variables(query(spark, d, sql).withColumn("body", F.parse_json("body")))
+    rows = query(spark, d, "select concat('p', user_id % 5) as project_id, event_type as name, user_id % 5 as p, get_json_object(props, '$.k') as k from events")
+    body = F.when(F.col("p") == 0, "true").when(F.col("p") == 1, F.col("k")).when(F.col("p") == 2, F.concat(F.lit('"'), "k", F.lit('"'))).when(F.col("p") == 3, "null").otherwise('"x"')
+    # A row for each value: what a variable holds is put together by partial aggregates.
+    return matrix.classify_variables(rows.select("project_id", "name", F.parse_json(F.concat(F.lit("["), body, F.lit("]"))).alias("body")))
 
 
 _CONFIG = """select concat('p', p_size % 9) as project_id, concat('V', p_partkey % 6) as name, case when p_partkey % 6 = 5 then 'Boolean' else 'Enum' end as kind,

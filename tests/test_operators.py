@@ -196,3 +196,12 @@ def test_queries_take_whole_texts(spark, data):
     assert found == {k: (b[:101] + b"\xff" + b[101:]).decode(errors="replace") for k, b in texts.items()}
     names = {r["doc_id"]: r["name"] for r in QUERIES["i2_sanitize_name_whole"](spark, data).collect()}
     assert all(len(names[k]) >= len(b.decode()) for k, b in texts.items())
+
+
+def test_variables_are_classified_from_rows(spark, data, monkeypatch):
+    from codefacts.queries import QUERIES
+
+    monkeypatch.setattr(matrix, "classify_variables", lambda config: config)
+    found = QUERIES["d13_classify_variables"](spark, data)
+    assert found.count() == spark.read.parquet(f"{data}/events.parquet").count()
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
