@@ -759,6 +759,13 @@ def d17(spark, d):
     return spans.interface_digest(files, items, query(spark, d, _BODIES).join(named, ["project_id", "file"], "left_semi"))
 
 
+@registered("d17_interface_digest_whole")
+def d17_whole(spark, d):
+    files = query(spark, d, "select source as project_id, concat('d', doc_id) as file, cast(text as binary) as content from documents")
+    # A body may begin or end inside a character.
+    return spans.interface_digest(files, view(spark, d, "v_spans"), query(spark, d, _BODIES)).withColumn("digest", fn.lossy_utf8(F.col("digest")))
+
+
 # --- Files written and read back ------------------------------------------------------------
 
 

@@ -205,3 +205,17 @@ def test_variables_are_classified_from_rows(spark, data, monkeypatch):
     found = QUERIES["d13_classify_variables"](spark, data)
     assert found.count() == spark.read.parquet(f"{data}/events.parquet").count()
     assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_interface_digest_takes_every_document(spark, data):
+    from codefacts.queries import QUERIES
+
+    expected = {}
+    for r in spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "source", "text").collect():
+        lines = [(k, x) for k, x in enumerate(r["text"].encode().split(b"\n")) if x]
+        parts = [x[:2] + b"{ ... }" + x[-2:] if len(x) > 12 and k % 2 == 0 else x for k, x in lines]
+        if parts:
+            expected[r["source"], f"d{r['doc_id']}"] = b"\n\n".join(parts).decode(errors="replace")
+    assert any(not x.isascii() for x in expected.values())
+    found = QUERIES["d17_interface_digest_whole"](spark, data).collect()
+    assert len(found) == len(expected) and {(r["project_id"], r["file"]): r["digest"] for r in found} == expected
