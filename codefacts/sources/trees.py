@@ -4,24 +4,73 @@ from __future__ import annotations
 
 import os
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def load_tree(spark: SparkSession, root: str) -> DataFrame:
-    """Every regular file below root: project_id (first path component), path below it, content, size.
-    Files at the root itself belong to project ''."""
+def _listed_files(spark: SparkSession, root: str) -> DataFrame:
+    """full, content, size through Spark's reader, whose index of files is the driver's."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    bare = lambda c: F.regexp_replace(c, "^file:/+", "/")
-    files = found.select(bare(F.col("path")).alias("full"), "content", F.col("length").alias("size"))
+    files = found.select(F.col("path").alias("full"), "content", F.col("length").alias("size"))
     # The reader leaves empty files out; the index that it lists, names encoded, has them.
     listed = spark.createDataFrame([(p,) for p in found.inputFiles()], "full string")
-    listed = listed.select(bare(F.url_decode(F.replace("full", F.lit("+"), F.lit("%2B")))).alias("full"))
+    listed = listed.select(F.url_decode(F.replace("full", F.lit("+"), F.lit("%2B"))).alias("full"))
     empty = listed.join(files.select("full"), "full", "left_anti").select("full", F.unhex(F.lit("")).alias("content"), F.lit(0).cast("long").alias("size"))
+    return files.unionByName(empty)
+
+
+def _local_files(spark: SparkSession, root: str) -> DataFrame:
+    """full, content, size of a folder that all executors share; the driver sees the names at the root only."""
+    tops = [(os.fsencode(x.path),) for x in os.scandir(root)]
+
+    def walk(batches):
+        for batch in batches:
+            for top in batch.column(0).to_pylist():
+                found = [] if os.path.isdir(top) else [top]
+                for folder, _, names in os.walk(top):
+                    found += [os.path.join(folder, name) for name in names]
+                    if len(found) > 10_000:
+                        yield pa.RecordBatch.from_arrays([pa.array(filter(os.path.isfile, found), type=pa.binary())], names=["raw"])
+                        found = []
+                yield pa.RecordBatch.from_arrays([pa.array(filter(os.path.isfile, found), type=pa.binary())], names=["raw"])
+
+    def read(batches):
+        def batch_of():
+            raw, content = zip(*held, strict=True)
+            held.clear()
+            columns = [pa.array([x.decode("utf-8", "replace") for x in raw], type=pa.string()), pa.array(content, type=pa.binary()), pa.array(map(len, content), type=pa.int64())]
+            return pa.RecordBatch.from_arrays(columns, names=["full", "content", "size"])
+
+        held, volume = [], 0
+        for batch in batches:
+            for raw in batch.column(0).to_pylist():
+                with open(raw, "rb") as f:
+                    held.append((raw, f.read()))
+                volume += len(held[-1][1]) + 1000
+                if volume > 8_000_000:
+                    yield batch_of()
+                    volume = 0
+        if held:
+            yield batch_of()
+
+    paths = spark.createDataFrame(tops, "raw binary").repartition(max(1, len(tops))).mapInArrow(walk, "raw binary")
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))  # given, so that few bytes of names aren't read by few tasks
+    return paths.repartition(tasks, "raw").mapInArrow(read, "full string, content binary, size long")
+
+
+def load_tree(spark: SparkSession, root: str) -> DataFrame:
+    """Every regular file below root: project_id (first path component), path below it, content, size.
+    Files at the root itself belong to project ''."""
     base = spark._jvm.org.apache.hadoop.fs.Path(root)
     base = base.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(base).toString().rstrip("/")
-    start = len("/" + base.removeprefix("file:").lstrip("/") if base.startswith("file:") else base) + 2
-    below = files.unionByName(empty).withColumn("below", F.substring("full", start, 1 << 30))
+    if base.startswith("file:"):
+        base = "/" + base.removeprefix("file:").lstrip("/")
+        files = _local_files(spark, base)
+    else:
+        files = _listed_files(spark, root)
+    start = len(base) + 2
+    below = files.withColumn("below", F.substring("full", start, 1 << 30))
     return below.select(
         F.when(F.instr("below", "/") > 0, F.substring_index("below", "/", 1)).otherwise("").alias("project_id"),
         F.expr("substring(below, instr(below, '/') + 1)").alias("path"), "content", "size",

@@ -219,3 +219,17 @@ def test_interface_digest_takes_every_document(spark, data):
     assert any(not x.isascii() for x in expected.values())
     found = QUERIES["d17_interface_digest_whole"](spark, data).collect()
     assert len(found) == len(expected) and {(r["project_id"], r["file"]): r["digest"] for r in found} == expected
+
+
+def test_load_tree_lists_no_files_on_the_driver(spark, tmp_path, monkeypatch):
+    from pyspark.sql import DataFrame
+
+    monkeypatch.setattr(DataFrame, "inputFiles", lambda self: pytest.fail("names of all files go to the driver"))
+    files = {"top": b"x", "p/a b/%2B+é.txt": "é".encode(), "p/empty": b"", "q/r/s/empty": b"", "q/r/s/t": b"\x00\xff"}
+    for path, content in files.items():
+        (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / path).write_bytes(content)
+    found = {"/".join(filter(None, (r["project_id"], r["path"]))): (bytes(r["content"]), r["size"]) for r in load_tree(spark, str(tmp_path)).collect()}
+    assert found == {k: (v, len(v)) for k, v in files.items()}
+    (tmp_path / "none").mkdir()
+    assert load_tree(spark, str(tmp_path / "none")).count() == 0
