@@ -8,33 +8,51 @@ from pyspark.sql import functions as F
 from ..functions import fill_known, find_var_refs, normalize_path, unquote
 
 FILE = ["project_id", "file"]
-_STRING = r'"(?:\\.|[^"\\])*"'
-_FLAT = rf'(?:{_STRING}|[^()"])*'
-_ONE = rf'(?:{_STRING}|[^()"]|\({_FLAT}\))*'
-_TWO = rf'(?:{_STRING}|[^()"]|\({_ONE}\))*'
-#: A call with arguments nested up to three deep, and a token of its arguments.
-CALL = rf"(?s)([A-Za-z_][A-Za-z0-9_]*)[ \t\r\n]*\(({_TWO})\)"
-TOKEN = rf'(?s)(?:{_STRING}|[^ \t\r\n"])+'
-COMMENT = rf"(?s)({_STRING})|#[^\n]*"
-MAX_DEPTH = 8
+# No group below is matched by recursion: possessive loops run in constant stack, however long the text.
+_STRING = r'"(?:[^"\\]++|\\.)*+(?:"|\z)'
+#: A string or a comment; comments go.
+COMMENT = rf"(?s)({_STRING})|#[^\n]*+"
+#: What parts a script: strings, a name with its parenthesis, parentheses, and all between them.
+LEXEME = rf"(?s){_STRING}|[A-Za-z0-9_]++[ \t\r\n]*+\(|[()]|(?:[^\"()A-Za-z0-9_]++|[A-Za-z0-9_]++(?![ \t\r\n]*+\())++"
+#: An argument: a string where it begins with a quote, else all up to white space.
+TOKEN = rf'(?s){_STRING}|[^ \t\r\n]++'
+_UP_TO_HERE = (Window.unboundedPreceding, 0)
+
+
+def _floored(rows: DataFrame, step: str, level: str, order) -> DataFrame:
+    """rows with a running sum of `step` in which steps below zero don't count."""
+    total = rows.withColumn("_sum", F.sum(step).over(order))
+    return total.withColumn(level, F.col("_sum") - F.least(F.lit(0), F.min("_sum").over(order))).drop("_sum")
 
 
 def extract_statements(scripts: DataFrame) -> DataFrame:
     """(project_id, file, seq, command, args, truncated) of scripts (project_id, file, text).
 
     Comments go (not inside strings), calls may span lines, argument tokens keep their quotes, and
-    `seq` is the order in the file.  Parentheses may nest three deep; truncated marks calls whose
-    arguments hold a parenthesis that doesn't close.
+    `seq` is the order in the file.  Calls may be of any length and nest to any depth: a running depth
+    of parentheses over the script's lexemes tells where a call ends.  A call that isn't closed holds
+    all up to the end of the file and is marked truncated.  A parenthesis at top level that closes
+    nothing is passed over; what one without a name before it encloses is not read.
     """
     bare = F.regexp_replace("text", COMMENT, "$1")
-    calls = scripts.select(*FILE, F.posexplode(F.regexp_extract_all(bare, F.lit(CALL), 0)).alias("seq", "call"))
-    body = F.regexp_extract("call", CALL, 2)
-    opened = lambda c: F.length(c) - F.length(F.replace(c, F.lit("("), F.lit("")))
-    closed = lambda c: F.length(c) - F.length(F.replace(c, F.lit(")"), F.lit("")))
-    plain = F.regexp_replace(body, _STRING, "")
+    pieces = scripts.select(*FILE, F.posexplode(F.regexp_extract_all(bare, F.lit(LEXEME), 0)).alias("pos", "piece"))
+    last = F.substring("piece", -1, 1)
+    step = F.when(F.col("piece").startswith('"'), 0).when(last == "(", 1).when(F.col("piece") == ")", -1).otherwise(0)
+    order = Window.partitionBy(*FILE).orderBy("pos").rowsBetween(*_UP_TO_HERE)
+    laid = _floored(pieces.withColumn("step", step), "step", "depth", order)
+    opens = (F.col("step") == 1) & (F.col("depth") == 1)
+    named = opens & (F.col("piece") != "(")
+    laid = laid.withColumns({"opened": F.sum(opens.cast("int")).over(order), "named": named})
+    # A piece belongs to the last call opened; what closes it, and what stands between calls, doesn't.
+    inside = laid.where((F.col("depth") > 0) | ((F.col("step") == -1) & (F.col("opened") > 0)))
+    body = F.when(~F.col("named") & (F.col("depth") > 0), F.struct("pos", "piece"))
+    calls = inside.groupBy(*FILE, "opened").agg(
+        F.max(F.when(F.col("named"), F.col("piece"))).alias("head"), F.array_sort(F.collect_list(body)).alias("body"), F.bool_and(F.col("depth") > 0).alias("truncated"),
+    ).where("head is not null")
+    args = F.regexp_extract_all(F.array_join(F.transform("body", lambda x: x["piece"]), ""), F.lit(TOKEN), 0)
+    seq = F.row_number().over(Window.partitionBy(*FILE).orderBy("opened")) - 1
     return calls.select(
-        *FILE, F.col("seq").cast("long").alias("seq"), F.lower(F.regexp_extract("call", CALL, 1)).alias("command"),
-        F.regexp_extract_all(body, F.lit(TOKEN), 0).alias("args"), (opened(plain) != closed(plain)).alias("truncated"),
+        *FILE, seq.cast("long").alias("seq"), F.lower(F.regexp_extract("head", "^[A-Za-z0-9_]+", 0)).alias("command"), args.alias("args"), "truncated"
     )
 
 
@@ -43,26 +61,39 @@ def scope_gates(statements: DataFrame, variables: DataFrame) -> DataFrame:
 
     `elseif` replaces the gate, `else` keeps it (branch says so); an `if` over something else doesn't
     hide an outer one.  VAR STREQUAL v gates on the value, anything else that begins with a known
-    variable on its being true.  Blocks nest up to eight deep; one running pass in statement order.
+    variable, bare or as ${VAR}, on its being true.  Blocks nest to any depth; an `endif`, `elseif` or
+    `else` without an open `if` is passed over.
+
+    A branch with a gate is a span of statements, and spans of a file nest.  So the innermost span
+    that holds a statement is the last one that brought the number of open spans to what it is there.
     """
     known = variables.groupBy("project_id").agg(F.collect_set("name").alias("known"))  # variables of one project
-    order = Window.partitionBy(*FILE).orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    ordered = Window.partitionBy(*FILE).orderBy("seq")
+    order = ordered.rowsBetween(*_UP_TO_HERE)
     is_ = lambda *c: F.col("command").isin(*c)
-    step = F.when(is_("if"), 1).when(is_("endif"), -1).otherwise(0)
-    first = F.get("args", F.lit(0))
+    first = F.regexp_replace(unquote(F.get("args", F.lit(0))), r"^\s*\$\{([A-Za-z0-9_]+)\}\s*$", "$1")
     gated = F.coalesce(F.array_contains("known", first), F.lit(False))
-    gate = F.struct(
-        F.when(gated, first).alias("var"), F.when(gated & (F.get("args", F.lit(1)) == "STREQUAL"), unquote(F.get("args", F.lit(2)))).alias("value"),
-    )
-    rows = statements.join(known, "project_id", "left").withColumn("depth", F.sum(step).over(order)).withColumn("gate", gate)
-    opens = is_("if", "elseif")
-    for d in range(1, MAX_DEPTH + 1):
-        rows = rows.withColumn(f"g{d}", F.last(F.when(opens & (F.col("depth") == d), F.col("gate")), ignorenulls=True).over(order))
-        marker = F.when(is_("if", "elseif", "else") & (F.col("depth") == d), F.when(is_("else"), "else").otherwise("if"))
-        rows = rows.withColumn(f"b{d}", F.last(marker, ignorenulls=True).over(order))
-    inner = F.coalesce(*[F.when((F.col("depth") >= d) & F.col(f"g{d}.var").isNotNull(), F.struct(F.col(f"g{d}.var").alias("var"), F.col(f"g{d}.value").alias("value"), F.col(f"b{d}").alias("branch"))) for d in range(MAX_DEPTH, 0, -1)])
-    rows = rows.withColumn("i", inner)
-    return rows.select(*statements.columns, F.col("i.var").alias("gate_var"), F.col("i.value").alias("gate_value"), F.col("i.branch").alias("branch"))
+    value = F.when(unquote(F.get("args", F.lit(1))) == "STREQUAL", unquote(F.get("args", F.lit(2))))
+    rows = statements.join(known, "project_id", "left").withColumns({
+        "_step": F.when(is_("if"), 1).when(is_("endif"), -1).otherwise(0),
+        "_gate": F.when(is_("if", "elseif"), F.struct(gated.alias("on"), first.alias("var"), value.alias("value"))),
+    }).drop("known")
+    rows = _floored(rows, "_step", "_depth", order)
+    # The level of the block that a statement opens, turns or closes.
+    above = F.coalesce(F.lag("_depth").over(ordered), F.lit(0))
+    level = F.when(is_("if"), F.col("_depth")).when(is_("elseif", "else", "endif") & (above > 0), above)
+    rows = rows.withColumn("_level", level)
+    in_level = Window.partitionBy(*FILE, "_level").orderBy("seq")
+    held = F.last("_gate", ignorenulls=True).over(in_level.rowsBetween(*_UP_TO_HERE))
+    branch = F.col("_level").isNotNull()
+    rows = rows.withColumn("_held", F.when(branch & ~is_("endif"), held))
+    rows = rows.withColumn("_on", F.when(branch, F.coalesce("_held.on", F.lit(False)).cast("int")))
+    before = F.when(is_("if"), 0).otherwise(F.coalesce(F.lag("_on").over(in_level), F.lit(0)))
+    rows = rows.withColumn("_open", F.sum(F.when(branch, F.col("_on") - before).otherwise(0)).over(order))
+    span = F.when(F.col("_on") == 1, F.struct(F.col("_held.var").alias("var"), F.col("_held.value").alias("value"), F.when(is_("else"), "else").otherwise("if").alias("branch")))
+    of_count = Window.partitionBy(*FILE, "_open").orderBy("seq").rowsBetween(*_UP_TO_HERE)
+    rows = rows.withColumn("_span", F.when(F.col("_open") > 0, F.last(span, ignorenulls=True).over(of_count)))
+    return rows.select(*statements.columns, F.col("_span.var").alias("gate_var"), F.col("_span.value").alias("gate_value"), F.col("_span.branch").alias("branch"))
 
 
 def asof_assignments(statements: DataFrame) -> DataFrame:
