@@ -98,5 +98,6 @@ def fill_template(t: Column, entries: Column) -> Column:
 
 def line_hint(text: Column, key: str) -> Column:
     """The non-empty double-quoted value of the first line that starts with key; null if none."""
-    found = F.regexp_extract(text, rf'(?m)^[ \t]*{key}[^"\n]*"([^"\n]+)"', 1)
+    literal = key.replace("\\E", "\\E\\\\E\\Q")  # the key stands for itself
+    found = F.regexp_extract(text, rf'(?m)^[ \t]*\Q{literal}\E[^"\n]*"([^"\n]+)"', 1)
     return F.when(found != "", found)

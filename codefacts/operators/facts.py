@@ -24,8 +24,11 @@ def tree_counts(files: DataFrame) -> DataFrame:
 
 
 def discover_programs(files: DataFrame) -> DataFrame:
-    """First path components that hold files, as programs."""
-    return files.where(F.col("path").contains("/")).select("project_id", F.split("path", "/")[0].alias("program")).distinct()
+    """First path components that hold files, as programs; a project whose own layout is valid is one
+    program, with the empty name."""
+    single = validate_layout(files).where("ok").select("project_id", F.lit(True).alias("single"))
+    below = files.where(F.col("path").contains("/")).join(single, "project_id", "left")
+    return below.select("project_id", F.when(F.col("single"), "").otherwise(F.split("path", "/")[0]).alias("program")).distinct()
 
 
 def read_vectors(files: DataFrame) -> DataFrame:
@@ -164,17 +167,18 @@ def nearest_ancestor(paths: DataFrame, markers: DataFrame) -> DataFrame:
 
 def lookup_files(requests: DataFrame, files: DataFrame) -> DataFrame:
     """requests (project_id, request) -> status (ok, absolute, outside, directory, under_file, missing)
-    and size of the file found."""
+    and size (and content, if files have it) of the file found."""
     named = requests.withColumns({"status": path_status(F.col("request")), "path": normalize_path(F.col("request"))})
     dirs = files.select("project_id", F.explode(_ancestors()).alias("path")).distinct().withColumn("is_dir", F.lit(True))
     over = named.select("project_id", "path", F.explode(_ancestors()).alias("up")).join(files.select("project_id", F.col("path").alias("up")), ["project_id", "up"], "left_semi")
     under = over.select("project_id", "path").distinct().withColumn("under", F.lit(True))
-    found = named.join(files.select("project_id", "path", "size"), ["project_id", "path"], "left").join(dirs, ["project_id", "path"], "left").join(under, ["project_id", "path"], "left")
+    rest = ["content"] if "content" in files.columns else []
+    found = named.join(files.select("project_id", "path", "size", *rest), ["project_id", "path"], "left").join(dirs, ["project_id", "path"], "left").join(under, ["project_id", "path"], "left")
     status = (
         F.when(F.col("status") != "ok", F.col("status")).when(F.col("size").isNotNull(), "ok").when(F.col("is_dir"), "directory")
         .when(F.col("under"), "under_file").otherwise("missing")
     )
-    return found.select("project_id", "request", status.alias("status"), "size")
+    return found.select("project_id", "request", status.alias("status"), "size", *rest)
 
 
 def check_new_files(files: DataFrame, new: DataFrame) -> DataFrame:
@@ -213,10 +217,19 @@ def recombine(responses: DataFrame) -> DataFrame:
     return parts.groupBy("project_id").agg(F.array_join(ordered, "\n\n").alias("code"))
 
 
-def build_requests(files: DataFrame) -> DataFrame:
-    """One JSON payload for each project: its files (path, text) in order of path."""
+def build_requests(files: DataFrame, entities: DataFrame | None = None) -> DataFrame:
+    """One JSON payload for each project: its files (path, text) in order of path, and, if given, its
+    entities (name, kind, text) in order of entity_seq; a project without entities has an empty list.
+    Projects without files give none."""
     items = F.array_sort(F.collect_list(F.struct("path", F.col("text").alias("contents"))))
-    return files.groupBy("project_id").agg(F.to_json(F.struct(items.alias("files"))).alias("payload"), F.count("*").alias("n_files"))
+    grouped = files.groupBy("project_id").agg(items.alias("files"), F.count("*").alias("n_files"))
+    if entities is None:
+        return grouped.select("project_id", F.to_json(F.struct("files")).alias("payload"), "n_files")
+    one = F.struct("entity_seq", F.struct("name", "kind", F.col("text").alias("source")).alias("entity"))
+    named = entities.groupBy("project_id").agg(F.transform(F.array_sort(F.collect_list(one)), lambda x: x["entity"]).alias("entities"))
+    kind = dict(named.dtypes)["entities"]
+    both = grouped.join(named, "project_id", "left").withColumn("entities", F.coalesce("entities", F.array().cast(kind)))
+    return both.select("project_id", F.to_json(F.struct("files", "entities")).alias("payload"), "n_files", F.size("entities").cast("long").alias("n_entities"))
 
 
 def build_facts_summary(**tables: DataFrame) -> DataFrame:

@@ -95,22 +95,66 @@ def ovat_sweep(params: DataFrame, values: DataFrame) -> DataFrame:
     return rows.select("fn", F.col("vector_no").cast("long").alias("vector_no"), "args")
 
 
-#: Representative arguments for each scalar type, the neutral one first.
+#: Representative arguments for each scalar type, the neutral one first; types that
+#: share them are parted by a bar.
 BOUNDARY_VALUES = {
-    "int": ["0", "1", "-1", "2147483647", "-2147483648"],
-    "unsigned int": ["0", "1", "4294967295"],
-    "char": ["0", "1", "127"],
-    "float": ["0.0", "1.0", "-1.0"],
+    "int|signed int|signed": ["0", "1", "-1", "INT_MAX", "INT_MIN"],
+    "unsigned int|unsigned": ["0", "1", "UINT_MAX"],
+    "long|signed long|long int": ["0", "1", "-1", "LONG_MAX", "LONG_MIN"],
+    "unsigned long|unsigned long int": ["0", "1", "ULONG_MAX"],
+    "long long|signed long long|long long int": ["0", "1", "-1", "LLONG_MAX", "LLONG_MIN"],
+    "unsigned long long|unsigned long long int": ["0", "1", "ULLONG_MAX"],
+    "short|signed short|short int": ["0", "1", "-1", "SHRT_MAX", "SHRT_MIN"],
+    "unsigned short|unsigned short int": ["0", "1", "USHRT_MAX"],
+    "char": ["0", "'a'", "CHAR_MAX", "CHAR_MIN"],
+    "signed char": ["0", "1", "-1", "SCHAR_MAX", "SCHAR_MIN"],
+    "unsigned char": ["0", "'a'", "UCHAR_MAX"],
+    "float": ["0.0f", "1.0f", "-1.0f"],
     "double": ["0.0", "1.0", "-1.0"],
-    "bool": ["0", "1"],
+    "long double": ["0.0L", "1.0L", "-1.0L"],
+    "size_t": ["0", "1", "SIZE_MAX"],
+    "ssize_t|ptrdiff_t|intptr_t": ["0", "1", "-1"],
+    "uintptr_t": ["0", "1"],
+    "bool|_Bool": ["0", "1"],
+    "int8_t|int_least8_t|int_fast8_t": ["0", "1", "-1", "INT8_MAX", "INT8_MIN"],
+    "int16_t|int_least16_t|int_fast16_t": ["0", "1", "-1", "INT16_MAX", "INT16_MIN"],
+    "int32_t|int_least32_t|int_fast32_t": ["0", "1", "-1", "INT32_MAX", "INT32_MIN"],
+    "int64_t|int_least64_t|int_fast64_t": ["0", "1", "-1", "INT64_MAX", "INT64_MIN"],
+    "uint8_t|uint_least8_t|uint_fast8_t": ["0", "1", "UINT8_MAX"],
+    "uint16_t|uint_least16_t|uint_fast16_t": ["0", "1", "UINT16_MAX"],
+    "uint32_t|uint_least32_t|uint_fast32_t": ["0", "1", "UINT32_MAX"],
+    "uint64_t|uint_least64_t|uint_fast64_t": ["0", "1", "UINT64_MAX"],
 }
+STRING_VALUES = ["NULL", '""', '"hello"']
 
 
 def boundary_values(types: DataFrame) -> DataFrame:
-    """types (ty) with their representative values in order; unknown types give no rows."""
-    rows = [(t, k, v) for t, vs in BOUNDARY_VALUES.items() for k, v in enumerate(vs)]
-    table = types.sparkSession.createDataFrame(rows, "name string, ord long, val string")
-    return types.join(F.broadcast(table), F.trim("ty") == F.col("name")).select("ty", "ord", "val")  # a fixed table
+    """types (ty) with their representative values in order; unknown types give no rows.
+
+    Texts (char *, const or not) take null, the empty and a short one; a pointer to a known scalar
+    takes the address of its neutral value and null; any other pointer takes null alone.  Pointers to
+    pointers are addresses of such values.  Structures by value are unknown.
+    """
+    rows = [(t, vs) for names, vs in BOUNDARY_VALUES.items() for t in names.split("|")]
+    table = F.broadcast(types.sparkSession.createDataFrame(rows, "base string, own array<string>"))  # a fixed table
+    name = F.trim("ty")
+    stars = F.length(F.regexp_extract(name, r"([\s*]*)$", 1)) - F.length(F.regexp_replace(F.regexp_extract(name, r"([\s*]*)$", 1), r"\*", ""))
+    base = F.trim(F.regexp_replace(F.regexp_replace(name, r"[\s*]*$", ""), r"^const\s+|\s+const$", ""))
+    split = types.select("ty", F.when(stars > 0, base).otherwise(name).alias("base"), stars.alias("stars")).join(table, "base", "left")
+    text = F.array(*map(F.lit, STRING_VALUES))
+    is_text = F.col("base").isin("char") & (F.col("stars") > 0)
+    null = F.array(F.lit("NULL"))
+    # The neutral value at each level of pointing, from the inside out; null where the inside is unknown.
+    start = F.when(is_text, 1).otherwise(0)
+    neutral = F.when(is_text, "NULL").otherwise(F.get("own", F.lit(0)))
+    level = lambda k: F.concat("base", F.when(k > 0, F.concat(F.lit(" "), F.repeat(F.lit("*"), k))).otherwise(""))
+    inner = F.when(
+        F.col("stars") - 1 > start,
+        F.aggregate(F.sequence(start, F.col("stars") - 2), neutral, lambda acc, k: F.when(acc.isNull(), F.lit("NULL")).otherwise(F.concat(F.lit("&("), level(k), F.lit("){"), acc, F.lit("}")))),
+    ).otherwise(neutral)
+    address = F.when(inner.isNull() | (F.col("base") == "void"), null).otherwise(F.array(F.concat(F.lit("&("), level(F.col("stars") - 1), F.lit("){"), inner, F.lit("}")), F.lit("NULL")))
+    values = F.when(F.col("stars") == 0, F.col("own")).when(is_text & (F.col("stars") == 1), text).otherwise(address)
+    return split.select("ty", F.posexplode(values).alias("ord", "val")).select("ty", F.col("ord").cast("long").alias("ord"), "val")
 
 
 def classify_variables(config: DataFrame) -> DataFrame:
@@ -142,16 +186,34 @@ def default_selection(config_vars: DataFrame) -> DataFrame:
     return config_vars.withColumn("one", one).groupBy("project_id").agg(F.array_join(F.array_sort(F.collect_list("one")), ",").alias("selection"))
 
 
-def flags_from_defaults(config_vars: DataFrame, defines: DataFrame) -> DataFrame:
+def _flag(kind, define, name, default):
+    """-DNAME=value: by its define where the kind is bare or quoted, else by the given name."""
+    named = F.when(kind.isin("bare", "quoted"), define).otherwise(name)
+    value = F.when(kind == "quoted", F.concat(F.lit('"'), default, F.lit('"'))).otherwise(default)
+    return F.concat(F.lit("-D"), named, F.lit("="), value)
+
+
+def flags_from_defaults(config_vars: DataFrame, defines: DataFrame, subdirs: DataFrame | None = None) -> DataFrame:
     """(project_id, flags): -DNAME=value for each variable with a default, by its first define (kinds
-    bare, quoted, composed, gated); composed and gated ones give the variable's own name."""
+    bare, quoted, composed, gated); composed and gated ones give the variable's own name.
+
+    subdirs (project_id, driving_var, value, seq, define, kind, var): the defines of subdirectories, one
+    of which is chosen by a variable.  Those of the subdirectory whose value is the driving variable's
+    default follow, in order of seq, with the default of their own variable; a composed one gives none,
+    and neither does one whose variable is unknown or has no default.
+    """
     first = defines.groupBy("project_id", F.col("var").alias("name")).agg(F.min_by(F.struct("define", "kind"), "seq").alias("d"))
-    named = F.when(F.col("d.kind").isin("bare", "quoted"), F.col("d.define")).otherwise(F.col("name"))
-    value = F.when(F.col("d.kind") == "quoted", F.concat(F.lit('"'), F.col("default"), F.lit('"'))).otherwise(F.col("default"))
-    flag = F.concat(F.lit("-D"), named, F.lit("="), value)
-    rows = config_vars.where("default is not null").join(first, ["project_id", "name"], "left")
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("name", flag.alias("flag")))), lambda x: x["flag"])
-    return rows.groupBy("project_id").agg(F.array_join(ordered, " ").alias("flags"))
+    known = config_vars.where("default is not null")
+    rows = known.join(first, ["project_id", "name"], "left")
+    flag = _flag(F.coalesce("d.kind", F.lit("")), F.col("d.define"), F.col("name"), F.col("default"))
+    flags = rows.select("project_id", F.lit(0).alias("part"), "name", F.lit(0).cast("long").alias("seq"), flag.alias("flag"))
+    if subdirs is not None:
+        chosen = subdirs.join(known.select("project_id", F.col("name").alias("driving_var"), F.col("default").alias("value")), ["project_id", "driving_var", "value"], "left_semi")
+        valued = chosen.where("kind <> 'composed'").join(known.select("project_id", F.col("name").alias("var"), "default"), ["project_id", "var"])
+        flag = _flag(F.col("kind"), F.col("define"), F.col("define"), F.col("default"))
+        flags = flags.unionByName(valued.select("project_id", F.lit(1).alias("part"), F.col("driving_var").alias("name"), F.col("seq").cast("long").alias("seq"), flag.alias("flag")))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("part", "name", "seq", "flag"))), lambda x: x["flag"])
+    return flags.groupBy("project_id").agg(F.array_join(ordered, " ").alias("flags"))
 
 
 def resolve_defines(combos: DataFrame, defines: DataFrame) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,30 +10,20 @@ from ..functions import success_rate
 _TRIM = r"(?U)^\s+|\s+$"
 
 
-def judge_output(vectors: DataFrame, outputs: DataFrame, patterns: DataFrame | None = None) -> DataFrame:
+def _compiles(pattern: Column) -> Column:
+    """Whether a text is a pattern to the engine that matches here."""
+    return F.try_reflect(F.lit("java.util.regex.Pattern"), F.lit("compile"), pattern).isNotNull()
+
+
+def judge_output(vectors: DataFrame, outputs: DataFrame) -> DataFrame:
     """Vectors (project_id, filename, pattern, is_regex, has_ub) against outputs (project_id, filename,
     actual): passed and skipped per vector.
 
     A vector flagged as undefined behaviour passes as skipped; else a regex must be found in the
-    output, or the trimmed texts be equal.  No output fails.  An invalid pattern fails its vectors:
-    the distinct patterns (far fewer than vectors) are tried first, each in the tasks that hold them.
+    output, or the trimmed texts be equal.  No output fails.  An invalid pattern fails its vectors
+    only: the distinct patterns (far fewer than vectors) are compiled first.
     """
-
-    def tried(batches):
-        import pandas as pd
-
-        for frame in batches:
-            ok = []
-            for p in frame["pattern"]:
-                try:
-                    re.compile(p)
-                    ok.append(True)
-                except re.error:
-                    ok.append(False)
-            yield pd.DataFrame({"pattern": frame["pattern"], "valid": ok})
-
-    distinct = vectors.where("is_regex").select("pattern").distinct()
-    valid = distinct.mapInPandas(tried, "pattern string, valid boolean")
+    valid = vectors.where("is_regex").select("pattern").distinct().withColumn("valid", _compiles(F.col("pattern")))
     joined = vectors.join(outputs, ["project_id", "filename"], "left").join(valid, "pattern", "left")
     ub = F.col("has_ub").isNotNull()
     # rlike sees only patterns that compiled, so that one bad pattern doesn't end the job.
@@ -135,7 +123,8 @@ def csv_rows(programs: DataFrame, combos: DataFrame) -> DataFrame:
 def name_filter(df: DataFrame, column: str, pattern: str, keep: bool = True) -> tuple[DataFrame, DataFrame]:
     """(kept, removed) by a regex found anywhere in a name; a null name matches nothing.  A pattern
     that doesn't compile is an error before any job."""
-    re.compile(pattern)
+    if not df.sparkSession.range(1).select(_compiles(F.lit(pattern))).first()[0]:
+        raise ValueError(f"not a pattern: {pattern!r}")
     match = F.coalesce(F.col(column).rlike(pattern), F.lit(False))
     good = match if keep else ~match
     return df.where(good), df.where(~good)

@@ -95,16 +95,22 @@ def apply_patches(files: DataFrame, patches: DataFrame) -> DataFrame:
 
 
 def interface_digest(files: DataFrame, items: DataFrame, bodies: DataFrame, stub: str = "{ ... }") -> DataFrame:
-    """Item texts with their bodies (spans inside items) replaced by a stub, joined by blank lines."""
-    pool = items.withColumn("pool", F.lit(0))
+    """Item texts with their bodies (spans inside items) replaced by a stub each, joined by blank lines.
+
+    An item may hold any number of bodies; one that begins inside another goes with it.
+    """
     # Bodies to items by the sweep: a body belongs to the item whose range holds it.
-    held = attribute_spans(bodies.select(*FILE, F.col("start_off").alias("byte_start"), (F.col("end_off") - 1).alias("byte_end"), F.monotonically_increasing_id().alias("seq")), pool)
-    held = held.where("item_start is not null").groupBy(*FILE, F.col("item_start").alias("start_off")).agg(F.min("byte_start").alias("b"), (F.max("byte_end") + 1).alias("be"))
-    cut = lambda a, b: F.substring("content", (a + 1).cast("int"), (b - a).cast("int"))
-    text = F.when(
-        F.col("b").isNotNull(),
-        F.concat(cut(F.col("start_off"), F.col("b")), F.encode(F.lit(stub), "utf-8"), cut(F.col("be"), F.col("end_off"))),
-    ).otherwise(cut(F.col("start_off"), F.col("end_off")))
-    parts = items.join(held, [*FILE, "start_off"], "left").join(files, FILE).select(*FILE, "start_off", text.cast("string").alias("text"))
+    held = attribute_spans(bodies.select(*FILE, F.col("start_off").alias("byte_start"), (F.col("end_off") - 1).alias("byte_end"), F.monotonically_increasing_id().alias("seq")), items)
+    held = held.where("item_start is not null").select(*FILE, F.col("item_start").alias("start_off"), F.col("byte_start").alias("b"), (F.col("byte_end") + 1).alias("e"))
+    before = Window.partitionBy(*FILE, "start_off").orderBy("b", F.desc("e")).rowsBetween(Window.unboundedPreceding, -1)
+    outer = held.withColumn("reach", F.max("e").over(before)).where(F.col("reach").isNull() | (F.col("b") >= F.col("reach")))
+    lists = outer.groupBy(*FILE, "start_off").agg(F.array_sort(F.collect_list(F.struct("b", "e"))).alias("cuts"))
+    cut = lambda a, b: F.hex(F.substring("content", (a + 1).cast("int"), (b - a).cast("int")))
+    after = lambda i: F.when(i == 0, F.col("start_off")).otherwise(F.try_element_at("cuts", i.cast("int"))["e"])
+    pieces = F.transform("cuts", lambda x, i: F.concat(cut(after(i), x["b"]), F.hex(F.encode(F.lit(stub), "utf-8"))))
+    stubbed = F.unhex(F.concat(F.array_join(pieces, ""), cut(F.element_at("cuts", -1)["e"], F.col("end_off"))))
+    whole = F.substring("content", (F.col("start_off") + 1).cast("int"), (F.col("end_off") - F.col("start_off")).cast("int"))
+    text = F.when(F.col("cuts").isNull(), whole).otherwise(stubbed)
+    parts = items.join(lists, [*FILE, "start_off"], "left").join(files, FILE).select(*FILE, "start_off", text.cast("string").alias("text"))
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("start_off", "text"))), lambda x: x["text"])
     return parts.groupBy(*FILE).agg(F.array_join(ordered, "\n\n").alias("digest"))

@@ -272,12 +272,13 @@ def i6(spark, d):
     return counts.select("project_id", F.round(fn.success_rate(F.col("p"), F.col("n"), F.col("s")), 6).alias("rate"))
 
 
-@registered("i7_lossy_utf8")
+@registered("i7_lossy_utf8", "select doc_id, concat(substring(text, 1, 50), chr(65533), substring(text, 51), chr(65533), '!') as text from documents")
 def i7(spark, d):
     texts = query(spark, d, "select doc_id, text from documents")
-    whole = F.encode("text", "utf-8")
-    rest = F.substring(whole, F.lit(102), F.octet_length("text"))
-    return texts.select("doc_id", fn.lossy_utf8(F.concat(F.substring(whole, 1, 101), F.unhex(F.lit("FF")), rest)).alias("text"))
+    part = lambda a, n: F.encode(F.substring("text", a, n), "utf-8")
+    # A byte that never occurs in the middle, and a character that breaks off near the end.
+    broken = F.concat(part(1, 50), F.unhex(F.lit("FF")), part(51, 1 << 30), F.unhex(F.lit("E28221")))
+    return texts.select("doc_id", fn.lossy_utf8(broken).alias("text"))
 
 
 _ROOTED = "select page_id, url, concat('https://', case when page_id % 2 = 0 then split_part(url, '/', 3) else 'm' end) as root from pages"
@@ -360,23 +361,27 @@ def f4(spark, d):
     return matrix.ovat_sweep(view(spark, d, "v_fn_params"), view(spark, d, "v_values")).withColumn("args", F.array_join("args", ","))
 
 
-@registered("f5_boundary_values", "select fn, ty, ord::bigint as ord, val from v_params join (values " + ", ".join(f"('{t}', {k}, '{v}')" for t, vs in matrix.BOUNDARY_VALUES.items() for k, v in enumerate(vs)) + ") b(name, ord, val) on trim(ty) = name")
+@registered("f5_boundary_values", """select fn, ty, ord::bigint as ord, val from v_params join (values ('int', 0, '0'), ('int', 1, '1'), ('int', 2, '-1'), ('int', 3, 'INT_MAX'), ('int', 4, 'INT_MIN'),
+    ('double', 0, '0.0'), ('double', 1, '1.0'), ('double', 2, '-1.0'), ('bool', 0, '0'), ('bool', 1, '1'), ('unsigned long', 0, '0'), ('unsigned long', 1, '1'), ('unsigned long', 2, 'ULONG_MAX'),
+    ('size_t', 0, '0'), ('size_t', 1, '1'), ('size_t', 2, 'SIZE_MAX'), ('int_fast8_t', 0, '0'), ('int_fast8_t', 1, '1'), ('int_fast8_t', 2, '-1'), ('int_fast8_t', 3, 'INT8_MAX'), ('int_fast8_t', 4, 'INT8_MIN'),
+    ('char *', 0, 'NULL'), ('char *', 1, '""'), ('char *', 2, '"hello"'), ('const char*', 0, 'NULL'), ('const char*', 1, '""'), ('const char*', 2, '"hello"'), ('void *', 0, 'NULL'),
+    ('const float *', 0, '&(float){0.0f}'), ('const float *', 1, 'NULL')) b(name, ord, val) on trim(ty) = name""")
 def f5(spark, d):
     params = view(spark, d, "v_params").select("fn", "ty")
     return params.join(matrix.boundary_values(params.select("ty").distinct()), "ty").select("fn", "ty", "ord", "val")
 
 
-@registered("d13_classify_variables", """with e as (select event_type as name, user_id % 5 as p, (props->'k') as v from events), s as (select concat('p', p) as project_id, name, case when p = 0 then 'true' when p = 1 then v::varchar when p = 2 then '"' || v::varchar || '"' when p = 3 then 'null' else '"x"' end as x, p from e)
+@registered("d13_classify_variables", """with e as (select event_type as name, user_id, user_id % 5 as p, (props->'k') as v from events), s as (select concat('u', user_id) as project_id, name, case when p = 0 then 'true' when p = 1 then v::varchar when p = 2 then '"' || v::varchar || '"' when p = 3 then 'null' else '"x"' end as x, p from e)
     select project_id, name, case when p = 0 then 'Boolean' else 'Enum' end as kind, p in (1, 2) as numeric, count(*) filter (p <> 3) as n_values from s group by project_id, name, p""")
 def d13(spark, d):
-    rows = query(spark, d, "select concat('p', user_id % 5) as project_id, event_type as name, user_id % 5 as p, get_json_object(props, '$.k') as k from events")
+    rows = query(spark, d, "select concat('u', user_id) as project_id, event_type as name, user_id % 5 as p, get_json_object(props, '$.k') as k from events")
     body = F.when(F.col("p") == 0, "true").when(F.col("p") == 1, F.col("k")).when(F.col("p") == 2, F.concat(F.lit('"'), "k", F.lit('"'))).when(F.col("p") == 3, "null").otherwise('"x"')
     # A row for each value: what a variable holds is put together by partial aggregates.
     return matrix.classify_variables(rows.select("project_id", "name", F.parse_json(F.concat(F.lit("["), body, F.lit("]"))).alias("body")))
 
 
-_CONFIG = """select concat('p', p_size % 9) as project_id, concat('V', p_partkey % 6) as name, case when p_partkey % 6 = 5 then 'Boolean' else 'Enum' end as kind,
-    min(case p_partkey % 4 when 0 then 'true' when 1 then 'a1' when 2 then 'zz' end) as `default` from part where p_partkey % 5 <> 0 group by p_size % 9, p_partkey % 6"""
+_CONFIG = """select concat('p', cast(floor(p_partkey / 30) as bigint)) as project_id, concat('V', p_partkey % 6) as name, case when p_partkey % 6 = 5 then 'Boolean' else 'Enum' end as kind,
+    min(case p_partkey % 4 when 0 then 'true' when 1 then 'a1' when 2 then 'zz' end) as `default` from part where p_partkey % 5 <> 0 group by cast(floor(p_partkey / 30) as bigint), p_partkey % 6"""
 _CONFIG_DUCK = _CONFIG.replace("`default`", "dflt")
 
 
@@ -390,8 +395,8 @@ def d15(spark, d):
     return matrix.default_selection(_config(spark, d))
 
 
-_DEFINES = """select concat('p', p_size % 9) as project_id, concat('V', p_partkey % 6) as var, p_partkey as seq, concat('D', p_partkey % 10) as define, case p_partkey % 4 when 0 then 'bare' when 1 then 'quoted' when 2 then 'composed' else 'gated' end as kind,
-    case p_partkey % 4 when 2 then concat('{V', p_partkey % 6, '}-{V1}-{NO}') when 3 then null else concat('{V', p_partkey % 7, '}') end as template, concat('V', p_partkey % 5) as gate_var, case when p_partkey % 8 = 3 then 'a1' end as gate_value from part where p_partkey % 7 = 0"""
+_DEFINES = """select concat('p', cast(floor(p_partkey / 30) as bigint)) as project_id, concat('V', p_partkey % 6) as var, p_partkey as seq, concat('D', p_partkey % 10) as define, case p_partkey % 4 when 0 then 'bare' when 1 then 'quoted' when 2 then 'composed' else 'gated' end as kind,
+    case p_partkey % 4 when 2 then concat('{V', p_partkey % 6, '}-{V1}-{NO}') when 3 then null else concat('{V', p_partkey % 7, '}') end as template, concat('V', p_partkey % 5) as gate_var, case when p_partkey % 8 = 3 then 'a1' end as gate_value from part"""
 
 
 @registered("d16_flags_from_defaults", f"""with f as (select project_id, var as name, arg_min(define, seq) as define, arg_min(kind, seq) as kind from ({_DEFINES}) group by all)
@@ -401,6 +406,19 @@ def d16(spark, d):
     return matrix.flags_from_defaults(_config(spark, d), query(spark, d, _DEFINES))
 
 
+_SUB_DEFINES = """select concat('p', cast(floor(p_partkey / 30) as bigint)) as project_id, concat('V', p_partkey % 3) as driving_var, case p_partkey % 2 when 0 then 'a1' else 'zz' end as value, p_partkey as seq, concat('S', p_partkey % 10) as define,
+    case p_partkey % 4 when 0 then 'bare' when 1 then 'quoted' when 2 then 'composed' else 'gated' end as kind, concat('V', p_partkey % 7) as var from part"""
+
+
+@registered("d16_flags_of_subdirectories", f"""with c as ({_CONFIG_DUCK}), f as (select project_id, var as name, arg_min(define, seq) as define, arg_min(kind, seq) as kind from ({_DEFINES}) group by all),
+    top as (select project_id, 0 as part, name, 0 as seq, concat('-D', case when f.kind in ('bare', 'quoted') then f.define else name end, '=', case when f.kind = 'quoted' then '"' || dflt || '"' else dflt end) as flag from c left join f using (project_id, name) where dflt is not null),
+    sub as (select s.project_id, 1 as part, s.driving_var as name, s.seq, concat('-D', s.define, '=', case when s.kind = 'quoted' then '"' || v.dflt || '"' else v.dflt end) as flag from ({_SUB_DEFINES}) s join c dv on dv.project_id = s.project_id and dv.name = s.driving_var and dv.dflt = s.value
+        join c v on v.project_id = s.project_id and v.name = s.var and v.dflt is not null where s.kind <> 'composed')
+    select project_id, string_agg(flag, ' ' order by part, name, seq) as flags from (select * from top union all select * from sub) group by all""")
+def d16_sub(spark, d):
+    return matrix.flags_from_defaults(_config(spark, d), query(spark, d, _DEFINES), query(spark, d, _SUB_DEFINES))
+
+
 _SETTINGS = [("s0", {"V0": "a0", "V1": "a1", "V2": "true"}), ("s1", {"V1": "a1", "V3": "a2", "V4": "true"})]
 _FILL = "replace(replace(replace(template, '{{V{0}}}', '{1}'), '{{V{2}}}', '{3}'), '{{V{4}}}', '{5}')"
 
@@ -414,7 +432,7 @@ def f6(spark, d):
     return matrix.resolve_defines(combos.select("project_id", "x.*"), defines)
 
 
-_SELECTED = "select distinct concat('p', p_size % 9) as project_id, concat('V', p_partkey % 4, '_a', p_partkey % 3) as feature from part where p_partkey % 11 = 0 and p_size % 9 < 6"
+_SELECTED = "select distinct concat('p', cast(floor(p_partkey / 30) as bigint)) as project_id, concat('V', p_partkey % 4, '_a', p_partkey % 3) as feature from part where p_size < 10"
 
 
 @registered("f7_mutual_exclusion", f"""with v as (select project_id, name, unnest(['a0', 'a1', 'a2']) as value from ({_CONFIG_DUCK}) where kind = 'Enum'), h as (select v.project_id, v.name, count(s.feature) as n from v left join ({_SELECTED}) s on s.project_id = v.project_id and s.feature = v.name || '_' || v.value group by all)
@@ -553,13 +571,14 @@ _REQUESTED = "select project_id, case doc_id % 8 when 0 then concat(path, '/x')
 def _lookup_sql(tail: str) -> str:
     return f"""with p as ({_REQUESTED}), w as (select *, {_WALK} as walked, list_filter(string_split(path, '/'), lambda x: x not in ('', '.')) as named from p),
     s as (select project_id, path as request, case when starts_with(path, '/') then 'absolute' when walked = '!' then 'outside' when named[-1] = '..' then 'directory' else 'ok' end as st, substring(walked, 2) as n from w),
-    l as (select s.project_id, request, f.size, case when st <> 'ok' then st when f.path is not null then 'ok' when exists (select 1 from v_files x where x.project_id = s.project_id and starts_with(x.path, n || '/')) then 'directory'
+    l as (select s.project_id, request, f.size, md5(f.text) as content_md5, case when st <> 'ok' then st when f.path is not null then 'ok' when exists (select 1 from v_files x where x.project_id = s.project_id and starts_with(x.path, n || '/')) then 'directory'
     when exists (select 1 from v_files x where x.project_id = s.project_id and starts_with(n, x.path || '/')) then 'under_file' else 'missing' end as status from s left join v_files f on s.st = 'ok' and f.project_id = s.project_id and f.path = s.n) {tail}"""
 
 
-@registered("c11_lookup_files", _lookup_sql("select project_id, request, status, size from l"))
+@registered("c11_lookup_files", _lookup_sql("select project_id, request, status, size, content_md5 from l"))
 def c11(spark, d):
-    return facts.lookup_files(query(spark, d, _REQUESTED).withColumnRenamed("path", "request"), view(spark, d, "v_files"))
+    found = facts.lookup_files(query(spark, d, _REQUESTED).withColumnRenamed("path", "request"), view(spark, d, "v_files").withColumnRenamed("text", "content"))
+    return found.withColumn("content_md5", F.md5("content")).drop("content")
 
 
 @registered("c13_check_new_files", _lookup_sql("select project_id, request, case status when 'ok' then 'exists' when 'missing' then 'ok' else status end as status from l"))
@@ -614,6 +633,16 @@ def d12_whole(spark, d):
     return facts.build_requests(rows).withColumn("payload", F.md5("payload"))
 
 
+_ENTITY_TEXTS = "select concat(source, '/', cast(floor(doc_id / 100) as bigint)) as project_id, doc_id as entity_seq, concat('e', doc_id) as name, lang as kind, concat(lang, ' ', n_chars) as text from documents"
+
+
+@registered("d12_build_requests_entities", f"""with e as ({_ENTITY_TEXTS}), f as (select concat(source, '/', doc_id // 100) as project_id, count(*) as n_files, string_agg(concat('{{"path":"', doc_id, '","contents":', to_json(text), '}}'), ',' order by doc_id::varchar) as files from documents group by all)
+    select f.project_id, n_files, count(e.name) as n_entities, md5(concat('{{"files":[', files, '],"entities":[', coalesce(string_agg(concat('{{"name":"', name, '","kind":"', kind, '","source":"', e.text, '"}}'), ',' order by entity_seq), ''), ']}}')) as payload from f left join e on e.project_id = f.project_id and e.entity_seq % 3 <> 0 group by f.project_id, n_files, files""")
+def d12_entities(spark, d):
+    rows = query(spark, d, "select concat(source, '/', doc_id div 100) as project_id, cast(doc_id as string) as path, text from documents")
+    return facts.build_requests(rows, query(spark, d, _ENTITY_TEXTS).where("entity_seq % 3 <> 0")).withColumn("payload", F.md5("payload"))
+
+
 @registered("d18_build_facts_summary", """select project_id, coalesce(count(*) filter (fact = 'vars'), 0) as vars, count(*) filter (fact = 'builds') as builds, count(*) filter (fact = 'vectors') as vectors from (select project_id, 'vars' as fact from v_vars union all select project_id, 'builds' from v_builds union all select project_id, 'vectors' from v_vectors) group by all""")
 def d18(spark, d):
     return facts.build_facts_summary(vars=view(spark, d, "v_vars"), builds=view(spark, d, "v_builds"), vectors=view(spark, d, "v_vectors"))
@@ -632,16 +661,22 @@ def s2(spark, d):
 
 # --- Build scripts --------------------------------------------------------------------------
 
-_Q = r'"(?:\\.|[^"\\])*"'
-_SQL_CALL, _SQL_TOKEN = buildfacts.CALL.replace("'", "''"), buildfacts.TOKEN.replace("'", "''")
-#: Statements as the oracle sees them: the same bounded patterns in DuckDB's regex dialect.
-_STATEMENTS = f"""b as (select project_id, file, regexp_replace(text, '(?s)({_Q})|#[^\\n]*', '\\1', 'g') as t from v_scripts), x as (select project_id, file, regexp_extract_all(t, '{_SQL_CALL}') as calls from b),
-    y as (select project_id, file, unnest(range(len(calls)))::bigint as seq, unnest(calls) as call from x),
-    st as (select project_id, file, seq, lower(regexp_extract(call, '{_SQL_CALL}', 1)) as command, regexp_extract_all(regexp_extract(call, '{_SQL_CALL}', 2), '{_SQL_TOKEN}') as args from y)"""
+#: Statements as the oracle sees them, character by character: what is inside quotes, what a comment,
+#: how deep in parentheses, which call.
+_STATEMENTS = """ch as (select project_id, file, unnest(range(1, length(text) + 1)) as pos, unnest(string_split(text, '')) as c from v_scripts),
+    qu as (select *, sum(case when c = '"' then 1 else 0 end) over w % 2 = 1 as quoted from ch window w as (partition by project_id, file order by pos)),
+    cm as (select *, c = '"' or quoted as in_string, coalesce(max(case when c = '#' and not quoted then pos end) over w, 0) > coalesce(max(case when c = chr(10) then pos end) over w, 0) as comment from qu window w as (partition by project_id, file order by pos)),
+    dp1 as (select *, sum(case when in_string then 0 when c = '(' then 1 when c = ')' then -1 else 0 end) over w as deep from cm where not comment window w as (partition by project_id, file order by pos)),
+    ca as (select *, sum(case when c = '(' and deep = 1 and not in_string then 1 else 0 end) over w as k from dp1 window w as (partition by project_id, file order by pos)),
+    hd as (select project_id, file, k, lower(string_agg(c, '' order by pos)) as command from ca where deep = 0 and regexp_matches(c, '^[A-Za-z0-9_]$') group by all),
+    wo as (select project_id, file, k, string_agg(c, '' order by pos) as inner_text from ca where deep > 0 and not (c = '(' and deep = 1 and not in_string) group by all),
+    en as (select project_id, file, k, arg_max(deep, pos) > 0 as truncated, bool_or(deep > 0) as there from ca where k > 0 group by all),
+    st as (select en.project_id, en.file, (en.k - 1)::bigint as seq, hd.command, regexp_extract_all(coalesce(inner_text, ''), '"[^"]*"|[^ \\n]+') as args, truncated
+        from en join hd on hd.project_id = en.project_id and hd.file = en.file and hd.k = en.k - 1 left join wo on wo.project_id = en.project_id and wo.file = en.file and wo.k = en.k where there)"""
 #: Levels of blocks by running depth, and the last gate at each.
-_GATES = _STATEMENTS + """, dp as (select *, sum(case command when 'if' then 1 when 'endif' then -1 else 0 end) over (partition by project_id, file order by seq) as depth, command in ('if', 'elseif') as opens, exists (select 1 from v_vars v where v.project_id = st.project_id and v.name = args[1]) as known from st),
-    og as (select project_id, file, seq, depth, known, args[1] as var, case when args[2] = 'STREQUAL' then replace(args[3], '"', '') end as value from dp where opens),
-    ga as (select d.project_id, d.file, d.seq, d.command, d.args, d.depth, l.k, (select max(seq) from og where og.project_id = d.project_id and og.file = d.file and og.depth = l.k and og.seq <= d.seq) as at from dp d, (select unnest(range(1, 4)) as k) l where l.k <= d.depth),
+_GATES = _STATEMENTS + """, dp as (select *, sum(case command when 'if' then 1 when 'endif' then -1 else 0 end) over (partition by project_id, file order by seq) as depth, command in ('if', 'elseif') as opens, regexp_replace(args[1], '^\\$\\{(.*)\\}$', '\\1') as var, exists (select 1 from v_vars v where v.project_id = st.project_id and v.name = regexp_replace(args[1], '^\\$\\{(.*)\\}$', '\\1')) as known from st),
+    og as (select project_id, file, seq, depth, known, var, case when args[2] = 'STREQUAL' then replace(args[3], '"', '') end as value from dp where opens),
+    ga as (select d.project_id, d.file, d.seq, d.command, d.args, d.depth, l.k, (select max(seq) from og where og.project_id = d.project_id and og.file = d.file and og.depth = l.k and og.seq <= d.seq) as at from dp d, (select unnest(range(1, 20)) as k) l where l.k <= d.depth),
     gs as (select ga.project_id, ga.file, ga.seq, max(k) as k from ga join og on og.project_id = ga.project_id and og.file = ga.file and og.seq = ga.at where og.known group by all),
     gt as (select st.project_id, st.file, st.seq, st.command, st.args, og.var as gate_var, og.value as gate_value from st left join gs using (project_id, file, seq) left join ga on ga.project_id = st.project_id and ga.file = st.file and ga.seq = st.seq and ga.k = gs.k left join og on og.project_id = ga.project_id and og.file = ga.file and og.seq = ga.at)"""
 
@@ -654,7 +689,7 @@ def _vars(spark, d):
     return view(spark, d, "v_vars")
 
 
-@registered("a6_extract_statements", f"with {_STATEMENTS} select project_id, file, seq, command, array_to_string(args, '|') as args, false as truncated from st")
+@registered("a6_extract_statements", f"with {_STATEMENTS} select project_id, file, seq, command, array_to_string(args, '|') as args, truncated from st")
 def a6(spark, d):
     return _statements(spark, d).withColumn("args", F.array_join("args", "|"))
 
@@ -747,6 +782,24 @@ def j2(spark, d):
     return run_summary(query(spark, d, "select ts, event_type as tool, case when event_id % 2 = 0 then 'started' else 'finished' end as phase from events"))
 
 
+# Windows come out once the watermark, two minutes behind the latest event, has passed their end.
+@registered("j2_stream_run_summary", "with w as (" + ORACLE_SQL["j2_run_summary"] + ") select * from w where window_start + interval '30 seconds' <= (select max(ts) from events) - interval '2 minutes'")
+def j2_stream(spark, d):
+    from .scratch import scratch_path
+    from .streaming import stream_run_summary
+
+    landed, out = scratch_path(spark, "runs"), scratch_path(spark, "windows")
+    rows = query(spark, d, "select cast(ts as timestamp) as ts, event_type as tool, case when event_id % 2 = 0 then 'started' else 'finished' end as phase from events")
+    rows.write.parquet(landed)
+    stream = stream_run_summary(spark.readStream.schema(rows.schema).parquet(landed))
+    job = (
+        stream.writeStream.outputMode("append").format("parquet").option("path", out)
+        .option("checkpointLocation", scratch_path(spark, "state")).trigger(availableNow=True).start()
+    )
+    job.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(out).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
 _BODIES = "select project_id, file, start_off + 2 as start_off, end_off - 2 as end_off from v_spans where end_off - start_off > 12 and item_seq % 2 = 0"
 
 

@@ -39,7 +39,7 @@ VIEWS: dict[str, str] = {
     "v_spans": "select project_id, file, item_seq, cast(start_off as bigint) as start_off, cast(start_off + n - 1 as bigint) as end_off from v_items where n > 1",
     "v_diagnostics": """
         select d.source as project_id, concat('d', d.doc_id) as file, e.event_id as seq, cast(floor(e.value * 10) as bigint) as byte_start,
-               cast(floor(e.value * 10) as bigint) + e.event_id % 80 as byte_end from events e join documents d on d.doc_id = e.event_id % 500""",
+               cast(floor(e.value * 10) as bigint) + e.event_id % 80 as byte_end from (select *, event_id % (select count(*) from documents) as doc from events) e join documents d on d.doc_id = e.doc""",
     "v_entities": """
         select project_id, file, 0 as pool, item_seq * 2 as entity_seq, start_off, end_off from v_spans
         union all select project_id, file, 0 as pool, item_seq * 2 + 1 as entity_seq, start_off, cast(floor((start_off + end_off) / 2) as bigint) as end_off from v_spans where item_seq % 2 = 1""",
@@ -49,10 +49,13 @@ VIEWS: dict[str, str] = {
         select l_orderkey, l_linenumber, case when l_orderkey % 97 = 0 then l_quantity + 1 else l_quantity end as value, case when l_orderkey % 89 = 0 then null else l_linestatus end as status
         from lineitem where l_orderkey % 101 <> 0""",
     "v_features": """
-        select distinct concat('p', p_size % 7) as project_id, concat(case p_partkey % 3 when 0 then 'BACKEND_' when 1 then 'WORD_SIZE_' else 'ENABLE' end, case when p_partkey % 3 = 2 then concat('X', p_size % 2) else concat('v', p_size % 4) end) as name from part""",
-    "v_params": "select distinct p_brand as fn, cast(p_size % 4 as bigint) as pos, case p_size % 4 when 0 then 'int' when 1 then ' double ' when 2 then 'bool' else 'blob' end as ty from part where p_size % 4 < cast(substring(p_brand, 7) as int) % 4 + 1",
-    "v_values": "select p_type as ty, cast(row_number() over (partition by p_type order by p_size) - 1 as bigint) as ord, cast(p_size as {string}) as val from (select distinct p_type, p_size from part where p_size % 9 = 0)",
-    "v_fn_params": "select distinct p_brand as fn, cast(dense_rank() over (partition by p_brand order by p_type) as bigint) as pos, p_type as ty from part where p_partkey % 3 = 0",
+        select distinct concat('p', cast(floor(p_partkey / 23) as bigint)) as project_id, concat(case p_partkey % 3 when 0 then 'BACKEND_' when 1 then 'WORD_SIZE_' else 'ENABLE' end, case when p_partkey % 3 = 2 then concat('X', p_size % 2) else concat('v', p_size % 4) end) as name from part""",
+    "v_params": """
+        select concat('f', cast(floor(p_partkey / 5) as bigint)) as fn, cast(p_partkey % 5 as bigint) as pos,
+               case p_partkey % 12 when 0 then 'int' when 1 then ' double ' when 2 then 'bool' when 3 then 'blob' when 4 then 'unsigned long' when 5 then 'size_t' when 6 then 'int_fast8_t' when 7 then 'char *'
+               when 8 then 'const char*' when 9 then 'void *' when 10 then 'const float *' else 'struct pair' end as ty from part""",
+    "v_values": "select p_type as ty, cast(row_number() over (partition by p_type order by p_size) - 1 as bigint) as ord, cast(p_size as {string}) as val from (select distinct p_type, p_size from part)",
+    "v_fn_params": "select concat('f', cast(floor(p_partkey / 6) as bigint)) as fn, cast(p_partkey % 6 as bigint) as pos, p_type as ty from part",
     "v_usage": "select concat('c', conv_id % 20) as project_id, role as call_kind, cast(length(text) as bigint) as prompt, turn as output, cast(length(text) as bigint) + turn as total from conversations",
     "v_requests": "select concat('c', conv_id) as project_id, turn as seq, text from conversations where role = 'user'",
     "v_responses": "select concat('c', conv_id) as project_id, turn as seq, text from conversations where role = 'assistant'",
@@ -69,9 +72,12 @@ VIEWS: dict[str, str] = {
             case event_type
                 when 'click' then concat('set(VAR_', event_id % 5, ' "v', event_id % 3, '" CACHE STRING "doc # (x)") # note')
                 when 'view' then concat('option(VAR_', event_id % 5, ' "d(', event_id, ')" ', case when event_id % 2 = 0 then 'ON' else 'OFF' end, ')')
-                when 'purchase' then concat('if(VAR_', event_id % 6, ')', chr(10), 'set(A_SOURCES src/a', event_id % 4, '.c', chr(10), ' src/b.c)', chr(10), 'if(OTHER GREATER 3)', chr(10), 'add_executable(t', event_id % 8, ' ${{A_SOURCES}} main_${{VAR_0}}.c)', chr(10), 'endif()', chr(10), 'else()', chr(10), 'add_library(l', event_id % 8, ' STATIC src/b.c)', chr(10), 'endif()')
-                when 'signup' then concat('if(VAR_', event_id % 5, ' STREQUAL "v1")', chr(10), 'add_compile_definitions(MODE_', event_id % 3, ' -DNAME=${{VAR_', event_id % 5, '}} Q="${{VAR_1}}" C=${{VAR_1}}_${{VAR_2}})', chr(10), 'elseif(VAR_2)', chr(10), 'add_subdirectory(sub/../lib', event_id % 3, ')', chr(10), 'endif()')
-                else concat('message("${{B_SOURCES}} ', event_id, '")', chr(10), 'set(B_SOURCES x', event_id % 3, '.c)') end as line from events""",
+                when 'purchase' then concat('if(VAR_', event_id % 6, ')', chr(10), 'set(A_SOURCES src/a', event_id % 4, '.c', chr(10), ' src/b.c)', chr(10),
+                    repeat(concat('if(', case when event_id % 2 = 0 then 'OTHER GREATER 3' else '((((OTHER) AND (X)) OR Y))' end, ')', chr(10)), case when event_id % 10 = 0 then 12 else 1 end),
+                    'add_executable(t', event_id % 8, ' ${{A_SOURCES}} main_${{VAR_0}}.c)', chr(10), repeat(concat('endif()', chr(10)), case when event_id % 10 = 0 then 12 else 1 end),
+                    'else()', chr(10), 'add_library(l', event_id % 8, ' STATIC src/b.c)', chr(10), 'endif()')
+                when 'signup' then concat('if(', case when event_id % 4 = 1 then concat('${{VAR_', event_id % 5, '}}') else concat('VAR_', event_id % 5) end, ' STREQUAL "v1")', chr(10), 'add_compile_definitions(MODE_', event_id % 3, ' -DNAME=${{VAR_', event_id % 5, '}} Q="${{VAR_1}}" C=${{VAR_1}}_${{VAR_2}})', chr(10), 'elseif(VAR_2)', chr(10), 'add_subdirectory(sub/../lib', event_id % 3, ')', chr(10), 'endif()')
+                else concat(case when event_id % 97 = 0 then 'list(APPEND C 2' else concat('message("${{B_SOURCES}} ', event_id, '")') end, chr(10), 'set(B_SOURCES x', event_id % 3, '.c)') end as line from events""",
     "v_scripts": "select project_id, 'CMakeLists.txt' as file, {agg} as text from v_script_lines group by project_id",
 }
 
