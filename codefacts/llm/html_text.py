@@ -1,16 +1,16 @@
-"""Main text of HTML pages by differencing each page with the page of the nearest URL.
+"""Main text of HTML pages by differencing each page with the pages of the nearest URLs.
 
 Pages are laid out by host and URL path (in ranges, so a host with a third of all pages is spread
-over many tasks) and each is paired with the neighbour whose path shares the longer beginning, of those
-whose lines aren't the same.  A range gets the neighbours of its first and last pages from other ranges.
-The text lines of the two are aligned by their longest common subsequence; lines that both have are
-taken for the site's, not the page's, and go.
-
-Differencing alone can't tell a site's line from a passage that two articles quote, nor see a menu
-that differs from page to page.  So the line's place in the page counts as well: what stands in
-navigation, headers, footers, sidebars, forms, adverts, notices and comments goes in any case, and
-lines inside a marked article stay, shared or not.  The common subsequence decides over all other
-lines, in pages with a marked article too.
+over many tasks) and each is paired with its neighbour on either side, of those whose lines aren't the
+same.  A range gets the neighbours of its first and last pages from other ranges.  The text lines of
+two pages are aligned by their longest common subsequence.
+
+Differencing comes first, over all lines of the page, menus and headers included: a line that the
+page has in common with both of its neighbours is the site's and goes; where one of them shares fewer
+leading folders of the path, the nearer one alone decides.  What it can't tell is put right by the line's place in the page: lines inside a marked article
+are restored (articles of a host quote and repeat one another), and lines that no neighbour has are
+vetoed in navigation, headers, footers, sidebars, forms, adverts, notices and comments (menus and
+adverts differ from page to page).  The result counts the lines of each kind.
 """
 
 from __future__ import annotations
@@ -44,12 +44,13 @@ _BAD_WORDS = frozenset(
 _KEPT = frozenset("html body main article".split())
 _BAD_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
 _P_ENDS = _BLOCK - {"body", "html"}
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
+_NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
+_TAG_STOP = re.compile(r">|=\s*([\"'])")
 _ATTR = re.compile(r"([^\s/>][^\s/>=]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _SPACE = re.compile(r"\s+")
 _KEY = ("host", "path", "id", "tie")
 _DIGEST = "part int, host string, path string, id long, tie long, digest binary"
-_TEXT = "page_id long, url string, text string, n_chars long"
+_TEXT = "page_id long, url string, text string, n_chars long, n_shared long, n_restored long, n_vetoed long"
 _ARROW = {"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
 _ENDS = {name: re.compile(rf"</{name}\s*>", re.I) for name in _RAW}
 
@@ -72,33 +73,66 @@ def _unwanted(name: str, attributes: dict[str, str]) -> bool:
     return not _BAD_WORDS.isdisjoint(words)
 
 
+def _tag_end(page: str, at: int, last: dict[str, int]) -> int:
+    """Place of the > that ends a tag begun before `at`, -1 if none: not one inside a quoted value.  A
+    quote that never closes (its last place is `last`) quotes nothing.  Every character is seen once."""
+    while True:
+        stop = _TAG_STOP.search(page, at)
+        if stop is None:
+            return -1
+        if stop[0] == ">":
+            return stop.start()
+        quote, at = stop[1], stop.end()
+        if at <= last[quote]:
+            at = page.index(quote, at) + 1
+
+
 def page_lines(page: str) -> list[tuple[str, int]]:
-    """The page's blocks of text in order: (line, place), place 1 inside an article, 0 elsewhere.
-    Blocks in unwanted elements are left out."""
+    """The page's blocks of text in order: (line, place), place 1 inside an article, -1 inside an
+    unwanted element, 0 elsewhere.
+
+    Reads the page once, in time proportional to its length.  A comment, declaration or raw element
+    that isn't closed goes on to the page's end, and so does a tag; a < that begins none is text.
+    """
     out: list[tuple[str, int]] = []
     text: list[str] = []
     stack: list[tuple[str, int, int]] = []  # name, unwanted elements up to it, articles up to it
-    drop = article = 0
-    at, n = 0, len(page)
+    drop = article = at = 0
+    n = len(page)
+    last = {q: page.rfind(q) for q in "\"'"}
 
     def flush():
         if text:
             line = _SPACE.sub(" ", _html.unescape("".join(text))).strip()
             text.clear()
             if line:
-                out.append((line, int(article > 0)))
+                out.append((line, -1 if drop else int(article > 0)))
 
-    for m in _TOKEN.finditer(page):
-        if m.start() < at:  # inside a raw element
+    while at < n:
+        begin = page.find("<", at)
+        if begin < 0:
+            text.append(page[at:])
+            break
+        if begin > at:
+            text.append(page[at:begin])
+        if page.startswith("<!--", begin):
+            end = page.find("-->", begin + 4)
+            at = n if end < 0 else end + 3
+            continue
+        if page.startswith(("<!", "<?"), begin):
+            end = page.find(">", begin)
+            at = n if end < 0 else end + 1
             continue
-        if not drop and m.start() > at:
-            text.append(page[at : m.start()])
-        at = m.end()
-        if m[2] is None:  # comment or declaration
+        found = _NAME.match(page, begin)
+        if found is None:
+            text.append("<")
+            at = begin + 1
             continue
-        name, closing = m[2].lower(), bool(m[1])
-        if m.end() == n and not m[0].endswith(">"):  # a tag that the page's end cuts off
+        name, closing = found[1].lower(), page[begin + 1] == "/"
+        end = _tag_end(page, found.end(), last)
+        if end < 0:
             break
+        source, at = page[found.end() : end], end + 1
         if name in _ENDS and not closing:
             if name == "head":
                 continue
@@ -106,30 +140,32 @@ def page_lines(page: str) -> list[tuple[str, int]]:
             at = end.end() if end else n
             continue
         if name == "br":
-            if not drop:
-                text.append(" ")
+            text.append(" ")
             continue
         if name in _BLOCK:
             flush()
         if closing:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == name:
+                    if stack[k][1:] != (drop, article):
+                        flush()
                     _, drop, article = stack[k]
                     del stack[k:]
                     break
             continue
         if name in _P_ENDS and stack and stack[-1][0] == "p":  # a block ends an open paragraph
             _, drop, article = stack.pop()
-        if name in _VOID or m[3].endswith("/") and name not in _BLOCK:
+        if name in _VOID or source.endswith("/") and name not in _BLOCK:
             continue
         stack.append((name, drop, article))
-        attributes = _attributes(m[3]) if m[3] else {}
+        attributes = _attributes(source) if source else {}
+        unwanted = name in _DROP or attributes and _unwanted(name, attributes)
+        if unwanted and not drop:
+            flush()
         if name in ("article", "main") or attributes.get("role", "").strip() == "main":
             article += 1
-        if name in _DROP or attributes and _unwanted(name, attributes):
+        if unwanted:
             drop += 1
-    if not drop and at < n:
-        text.append(page[at:])
     flush()
     return out
 
@@ -170,18 +206,25 @@ def common_lines(a: list[str], b: list[str]) -> set[int]:
     return shared
 
 
-def _alike(a: str, b: str) -> int:
+def _folders(a: str, b: str) -> int:
+    """Leading folders that two paths share."""
     n = 0
-    for x, y in zip(a, b):  # noqa: B905
+    for x, y in zip(a.split("/")[:-1], b.split("/")[:-1]):  # noqa: B905
         if x != y:
             break
         n += 1
     return n
 
 
-def _main_text(lines: list[tuple[str, int]], other: list[tuple[str, int]] | None) -> str:
-    shared = common_lines([x for x, _ in lines], [x for x, _ in other]) if other else ()
-    return "\n".join(line for k, (line, place) in enumerate(lines) if place or k not in shared)
+def _main_text(lines: list[tuple[str, int]], near: list[list[tuple[str, int]]]) -> tuple[str, int, int, int]:
+    """Text, and the lines that differencing dropped, that an article restored, that a place vetoed."""
+    own = [x for x, _ in lines]
+    common = [common_lines(own, [x for x, _ in other]) for other in near]
+    shared = set.intersection(*common) if common else set()
+    kept = [line for k, (line, place) in enumerate(lines) if place > 0 or place == 0 and k not in shared]
+    restored = sum(place > 0 for k, (_, place) in enumerate(lines) if k in shared)
+    vetoed = sum(place < 0 for k, (_, place) in enumerate(lines) if k not in shared)
+    return "\n".join(kept), len(shared) - restored, restored, vetoed
 
 
 def _ranges(keys: DataFrame, n: int) -> list[tuple]:
@@ -271,16 +314,18 @@ def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
 
 
 def extract(pages: DataFrame, ranges: int | None = None) -> DataFrame:
-    """page_id, url, text, n_chars: a row for each row of pages.
+    """page_id, url, text, n_chars, n_shared, n_restored, n_vetoed: a row for each row of pages.
 
     Character references are decoded, white space inside a block is one space, blocks are trimmed
-    and joined by one newline.  A null or empty page has the empty text; a null url pairs with
-    nothing but other null urls.  A page is paired with the nearest URL of its host whose lines
-    differ from its own (and that has any), so copies of a page keep its text; the pairs don't depend
-    on the ranges, as each gets the pages that it needs from others.  Finding those reads and parses
-    all pages once, when extract() is called.  Other columns are ignored.  An empty table gives an
-    empty result.  `ranges`: tasks at most; by default the session's shuffle partitions, of 200 pages
-    or more.
+    and joined by one newline.  n_shared lines went as the site's, n_restored were common too but stand
+    in a marked article, n_vetoed went for their place.  A null or empty page has the empty text; a
+    null url pairs with nothing but other null urls.  A page is compared with the nearest page before
+    it and the nearest after it, of its host, in order of path, page_id and text, whose lines differ from its
+    own (and that have any), or with one of them, if that shares more leading folders of the path.  So copies of a page keep its text; of equal paths the smaller page_id comes
+    first.  The pairs don't depend on the ranges, as each gets the pages that it needs from others.
+    Finding those reads and parses all pages once, when extract() is called.  Other columns are
+    ignored.  An empty table gives an empty result.  `ranges`: tasks at most; by default the session's
+    shuffle partitions, of 200 pages or more.
     """
     bare = F.regexp_replace(F.coalesce("url", F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://|[?#].*$", "")
     rows = pages.select(
@@ -310,18 +355,19 @@ def extract(pages: DataFrame, ranges: int | None = None) -> DataFrame:
         done: list[tuple] = []
 
         def settle(after):
-            texts: dict[int, str] = {}  # by neighbour
-            near = [x for x in (before, after) if x]
+            beside = [x for x in (before, after) if x]
+            of_run: dict[tuple, tuple] = {}  # by the neighbours that decide
             for page_id, url, path, lines in held:
-                k = max(range(len(near)), key=lambda k: _alike(path, near[k][0])) if near else -1
-                other = near[k][1] if near else None
-                if lines is None:
-                    if k not in texts:
-                        texts[k] = _main_text(now, other)
-                    text = texts[k]
+                shared = [_folders(path, x[0]) for x in beside]
+                nearest = tuple(k for k, n in enumerate(shared) if n == max(shared))
+                near = [beside[k][1] for k in nearest]
+                if lines is not None:
+                    result = _main_text(lines, near)
                 else:
-                    text = _main_text(lines, other)
-                done.append((page_id, url, text, len(text)))
+                    if nearest not in of_run:
+                        of_run[nearest] = _main_text(now, near)
+                    result = of_run[nearest]
+                done.append((page_id, url, result[0], len(result[0]), *result[1:]))
                 if len(done) >= 500:
                     yield _batch(done, _TEXT)
                     done.clear()
@@ -334,7 +380,7 @@ def extract(pages: DataFrame, ranges: int | None = None) -> DataFrame:
                 lines = page_lines(source or "")
                 if not lines:
                     if not guest:
-                        done.append((page_id, url, "", 0))
+                        done.append((page_id, url, "", 0, 0, 0, 0))
                     continue
                 alike = lines == now
                 if (part, host) != place:
