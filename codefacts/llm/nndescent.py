@@ -12,12 +12,15 @@ node, so a step shuffles the frontier only.
 
 Equal vectors are one node.  Nearness is the inner product; vectors are extended by the component
 that gives all the same length, which turns it into a metric for the graph.  Graph and beam work on
-8-bit codes; the last candidates are compared exactly, on the original vectors in double precision.
+8-bit codes of the vectors, each with a scale of its own, beside which the extra component's share is
+kept as a number: a single very long vector doesn't coarsen the codes of the others.  The last
+candidates are compared exactly, on the original vectors in double precision.
 """
 
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -27,26 +30,31 @@ from pyspark.sql import functions as F
 from .common import save
 from .vectors import keyed, matrix, usable
 
-DEGREE, ROUNDS, OFFERS = 20, 5, 8
-BEAM, EXPAND, STEPS = 560, 40, 40
+DEGREE, OFFERS = 20, 8
+BEAM, EXPAND = 560, 40
 EXACT = 64
-BUCKETS = 24
+#: A build or search that isn't done by then is an error.
+ROUNDS, STEPS = 60, 1_000
+BUCKET_BYTES, LEAST_BUCKETS, MOST_BUCKETS = 32 << 20, 24, 100_000
 
 
 def _coded(x: np.ndarray, longest: float) -> list[bytes]:
-    """8-bit codes of rows extended to the same length: a float32 scale, then a byte a component."""
-    last = np.sqrt(np.maximum(longest**2 - (x**2).sum(axis=1), 0))
-    full = np.concatenate((x, last[:, None]), axis=1)
-    scale = np.abs(full).max(axis=1) / 127
+    """8-bit codes of rows: float32 scale and short, then a byte a component.  With e the component that
+    extends a row to the length `longest`, short is (longest - e) / longest: small, where e is nearly all."""
+    square = (x**2).sum(axis=1)
+    short = square / (longest * (longest + np.sqrt(np.maximum(longest**2 - square, 0))))
+    scale = np.abs(x).max(axis=1, initial=0) / 127
     scale[scale == 0] = 1
-    codes = np.rint(full / scale[:, None]).astype(np.int8)
-    return [s.tobytes() + c.tobytes() for s, c in zip(scale.astype("<f4"), codes, strict=True)]
+    codes = np.rint(x / scale[:, None]).astype(np.int8)
+    numbers = np.stack((scale, short), axis=1).astype("<f4")
+    return [s.tobytes() + c.tobytes() for s, c in zip(numbers, codes, strict=True)]
 
 
-def _decoded(raw: bytes, rows: int) -> np.ndarray:
+def _decoded(raw: bytes, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors and their shorts."""
     table = np.frombuffer(raw, dtype=np.uint8).reshape(rows, -1)
-    scale = np.ascontiguousarray(table[:, :4]).view("<f4")
-    return np.ascontiguousarray(table[:, 4:]).view(np.int8).astype(np.float32) * scale
+    numbers = np.ascontiguousarray(table[:, :8]).view("<f4")
+    return np.ascontiguousarray(table[:, 8:]).view(np.int8).astype(np.float32) * numbers[:, :1], numbers[:, 1]
 
 
 def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -91,7 +99,7 @@ def _messages(graph: DataFrame, degree: int, seed: int) -> DataFrame:
     )
 
 
-def _offers(offers: int):
+def _offers(offers: int, longest: float):
     """Pairwise comparison around each center: for each member, nearer ones than it has."""
 
     def emit(table, starts):
@@ -101,8 +109,9 @@ def _offers(offers: int):
         to, ids, scores = [], [], []
         for s, e in zip(starts[:-1], starts[1:], strict=True):
             own = codes.slice(s, e - s)
-            x = _decoded(b"".join(own.to_pylist()), e - s)
-            near = x @ x.T
+            x, short = _decoded(b"".join(own.to_pylist()), e - s)
+            # Inner product of the extended vectors, less the square of their common length.
+            near = x @ x.T + np.float32(longest**2) * (np.multiply.outer(short, short) - np.add.outer(short, short))
             np.fill_diagonal(near, -np.inf)
             near[near <= least[s:e][:, None]] = -np.inf
             k = min(offers, e - s)
@@ -155,23 +164,26 @@ def _merged(degree: int):
 _GRAPH = "cid long, code binary, ids array<long>, scores array<float>, least float, changed long"
 
 
-def build(nodes: DataFrame, n: int, degree: int = DEGREE, rounds: int = ROUNDS, offers: int = OFFERS) -> DataFrame:
-    """The graph of nodes (cid, code): cid, code, ids and scores of up to `degree` neighbours, least."""
+def build(nodes: DataFrame, n: int, longest: float, degree: int = DEGREE, rounds: int = ROUNDS, offers: int = OFFERS) -> DataFrame:
+    """The graph of nodes (cid, code): cid, code, ids and scores of up to `degree` neighbours, least.
+
+    Rounds go on until less than a hundredth of the lists' places change; more than `rounds` are an error.
+    """
     start = _random_graph(nodes, n, degree)
     graph = nodes.join(start, "cid").select("cid", "code", "ids", F.lit(None).cast("array<float>").alias("scores"), F.lit(float("-inf")).cast("float").alias("least"))
     for r in range(rounds):
-        found = _messages(graph, degree, r).mapInArrow(_offers(offers if r else degree), "cid long, id long, score float")
+        found = _messages(graph, degree, r).mapInArrow(_offers(offers if r else degree, longest), "cid long, id long, score float")
         grouped = found.groupBy("cid").agg(F.collect_list("id").alias("new_ids"), F.collect_list("score").alias("new_scores"))
         if r == 0:  # the first neighbours have no scores: what the round offers takes their place
             graph = graph.withColumns({"ids": F.array().cast("array<long>"), "scores": F.array().cast("array<float>")})
         graph = save(graph.drop("changed").join(grouped, "cid", "left").mapInArrow(_merged(degree), _GRAPH), "graph")
-        if (graph.agg(F.sum("changed")).first()[0] or 0) < 0.01 * degree * n:
-            break
-    return graph
+        if (graph.agg(F.sum("changed")).first()[0] or 0) <= 0.01 * degree * n:
+            return graph
+    raise RuntimeError(f"the graph did not settle in {rounds} rounds")
 
 
 def _adjacency(graph: DataFrame, degree: int) -> DataFrame:
-    """(node, ids, codes), bucketed by node."""
+    """(node, ids, codes), bucketed by node; the number of buckets follows from the graph's size."""
 
     def emit(table, starts):
         starts = np.unique(np.append(starts[starts < table.num_rows], table.num_rows))
@@ -185,7 +197,9 @@ def _adjacency(graph: DataFrame, degree: int) -> DataFrame:
 
     rows = _messages(graph, degree, -1).mapInArrow(lambda batches: _joined(batches, emit, None), "node long, ids array<long>, codes binary")
     name = f"codefacts_{uuid.uuid4().hex}"
-    rows.write.bucketBy(BUCKETS, "node").saveAsTable(name)
+    size = graph.agg(F.sum(F.octet_length("code") + 8)).first()[0] or 0
+    buckets = min(MOST_BUCKETS, max(LEAST_BUCKETS, -(-2 * degree * size // BUCKET_BYTES)))
+    rows.write.bucketBy(buckets, "node").saveAsTable(name)
     return graph.sparkSession.table(name)
 
 
@@ -196,9 +210,9 @@ def _expanded(batches):
         last, q = None, None
         for cid, code, least, own, codes in zip(batch.column("cid").to_numpy(), *(batch.column(c) for c in ("code", "least", "ids", "codes")), strict=True):
             if cid != last:
-                last, q = cid, _decoded(code.as_py(), 1)[0, :-1]
+                last, q = cid, _decoded(code.as_py(), 1)[0][0]
             member = own.values.to_numpy()
-            score = _decoded(codes.as_py(), len(member))[:, :-1] @ q
+            score = _decoded(codes.as_py(), len(member))[0] @ q
             good = np.flatnonzero(score > least.as_py())
             queries.append(np.full(len(good), cid))
             ids.append(member[good])
@@ -235,35 +249,45 @@ _BEAMS = "cid long, code binary, ids array<long>, scores array<float>, done arra
 
 
 def search(graph: DataFrame, queries: DataFrame, degree: int = DEGREE, beam: int = BEAM, expand: int = EXPAND, steps: int = STEPS) -> DataFrame:
-    """Beams of the query nodes (cid): cid, ids best first.  Each starts at its own node."""
+    """Beams of the query nodes (cid): cid, ids best first.  Each starts at its own node and goes on
+    until all of its beam is expanded; a search that takes more than `steps` is an error.  Queries that
+    are done don't take part in further steps."""
     adjacency = _adjacency(graph, degree)
     empty = F.array().cast("array<long>")
     state = graph.join(queries, "cid", "left_semi").select(
         "cid", "code", empty.alias("ids"), F.array().cast("array<float>").alias("scores"), empty.alias("done"), F.array("cid").alias("todo"), F.lit(float("-inf")).cast("float").alias("least")
     )
+    done: list[DataFrame] = []
     for _ in range(steps):
         frontier = state.select("cid", "code", "least", F.explode("todo").alias("node")).hint("shuffle_hash")
         found = adjacency.join(frontier, "node").select("cid", "code", "least", "ids", "codes").mapInArrow(_expanded, "cid long, id long, score float")
         grouped = found.groupBy("cid").agg(F.collect_list("id").alias("new_ids"), F.collect_list("score").alias("new_scores"))
         state = save(state.join(grouped, "cid", "left").mapInArrow(_beams(beam, expand), _BEAMS), "beams")
-        if not state.agg(F.max(F.size("todo"))).first()[0]:
-            break
-    return state.select("cid", "ids")
+        done.append(state.where(F.size("todo") == 0).select("cid", "ids"))
+        state = state.where(F.size("todo") > 0)
+        if state.isEmpty():
+            return reduce(DataFrame.unionByName, done)
+    raise RuntimeError(f"a search did not end in {steps} steps")
 
 
-def nearest(vectors: DataFrame, every: int = 20, k: int = 20, degree: int = DEGREE, rounds: int = ROUNDS, beam: int = BEAM, expand: int = EXPAND, exact: int = EXACT) -> DataFrame:
+def nearest(vectors: DataFrame, every: int = 20, k: int = 20, degree: int = DEGREE, beam: int = BEAM, expand: int = EXPAND, exact: int = EXACT) -> DataFrame:
     """query_id, rank, vec_id, score: for each vector whose vec_id is divisible by `every`, the k
     nearest found among all others by inner product, ties to the smaller vec_id; all, if fewer.
 
     Vectors that are null, empty, zero or hold null or non-finite components take no part, and
-    neither do those whose length isn't the commonest one (of equally common, the greatest) or rows
-    without vec_id.  Rows that repeat a vec_id with an equal vector count once.  Other columns are
+    neither do rows without vec_id.  Vectors of one length are searched among themselves, one length
+    after the other (tables have few).  Rows that repeat a vec_id with an equal vector count once.  Other columns are
     ignored.  An empty table gives an empty result.
     """
     rows = keyed(vectors).where(F.col("vec_id").isNotNull() & usable(F.col("vector"))).withColumn("dim", F.size("vector"))
-    common = rows.groupBy("dim").count().orderBy(F.desc("count"), F.desc("dim")).first()
-    dim = common["dim"] if common else 0
-    rows = save(rows.where(F.col("dim") == dim).drop("dim").dropDuplicates(["vec_id", "k1", "k2"]), "vectors")
+    lengths = [r["dim"] for r in rows.select("dim").distinct().orderBy("dim").collect()]
+    found = [_nearest(rows.where(F.col("dim") == dim).drop("dim"), every, k, degree, beam, expand, exact) for dim in lengths]
+    return reduce(DataFrame.unionByName, found) if found else _nearest(rows.drop("dim"), every, k, degree, beam, expand, exact)
+
+
+def _nearest(rows: DataFrame, every: int, k: int, degree: int, beam: int, expand: int, exact: int) -> DataFrame:
+    """nearest() of keyed vectors of one length."""
+    rows = save(rows.dropDuplicates(["vec_id", "k1", "k2"]), "vectors")
     # The first k + 1 of equal vectors are all that a result can hold of them.
     place = F.row_number().over(Window.partitionBy("k1", "k2").orderBy("vec_id"))
     firsts = rows.withColumn("place", place).where(F.col("place") <= k + 1)
@@ -278,7 +302,7 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, degree: int = DEGR
 
     asked = rows.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), "k1", "k2").join(nodes.select("k1", "k2", "cid"), ["k1", "k2"])
     asked = save(asked.select("query_id", "cid"), "queries")
-    graph = build(save(nodes.select("cid", "vector").mapInArrow(code, "cid long, code binary"), "codes"), n, degree, rounds)
+    graph = build(save(nodes.select("cid", "vector").mapInArrow(code, "cid long, code binary"), "codes"), n, longest, degree)
     beams = search(graph, asked.select("cid").distinct(), degree, beam, expand)
     own = F.array_distinct(F.concat(F.array("cid"), F.slice("ids", 1, exact)))
     pairs = beams.select("cid", F.explode(own).alias("other"))

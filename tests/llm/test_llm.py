@@ -453,6 +453,26 @@ def test_nearest_recall(spark):
     assert hits / (75 * 20) >= 0.95 and set(got) == set(range(0, 1500, 20))
 
 
+def test_nearest_beside_one_very_long_vector(spark):
+    rng = np.random.default_rng(7)
+    x = rng.standard_normal((4000, 64)).astype(np.float32)
+    x[1234] *= np.float32(3000 / np.linalg.norm(x[1234]))
+    x[2000:2500] = x[1999] + 0.05 * rng.standard_normal((500, 64)).astype(np.float32)  # a tight cluster
+    short = [(5000 + 10 * k, [float(k), 1.0], 0) for k in range(6)]  # another length
+    got = {}
+    vectors = _vectors(spark, [(i, [float(v) for v in x[i]], 0) for i in range(4000)] + short)
+    for r in nndescent.nearest(vectors).collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    hits = 0
+    for q in range(0, 4000, 20):
+        score = x.astype(float) @ x[q].astype(float)
+        score[q] = -np.inf
+        hits += len({*np.lexsort((np.arange(4000), -score))[:20].tolist()} & {*got[q]})
+    assert hits / (200 * 20) >= 0.9 and got[5000] == [5010, 5020, 5030, 5040, 5050]
+    with pytest.raises(RuntimeError):
+        nndescent.build(spark.createDataFrame([(k, np.array([1, 0], dtype="<f4").tobytes() + bytes([k % 100, k // 5])) for k in range(300)], "cid long, code binary"), 300, 200.0, degree=4, rounds=1)
+
+
 def test_nearest_on_tiny_tables(spark):
     few = [(0, [1.0, 0.0], 0), (1, [0.5, 0.5], 0), (2, [1.0, 0.0], 0), (20, [-1.0, 0.0], 0)]
     got = sorted((r["query_id"], r["rank"], r["vec_id"]) for r in nndescent.nearest(_vectors(spark, few)).collect())
@@ -492,6 +512,21 @@ def test_pipeline(spark, data):
     assert last.count() == fourth.count()
 
 
+def test_mix_stage_takes_rows_without_ids_by_their_own_size(spark, tmp_path):
+    import corpus_pipeline as pipeline
+
+    texts = [(None, " ".join(f"a{k}x{j}" for j in range(10 if k % 2 else 200)), "y") for k in range(10)] + [(1, "b " * 400, "x"), (1, "c " * 7, "x")]
+    docs = _docs(spark, texts)
+    plan = {r["source"]: (r["target"], 0) for r in mixing.mix(docs).collect()}
+    mixed = pipeline.mix_sources(spark, docs, str(tmp_path)).collect()
+    for source, (target, _) in plan.items():
+        assert sum(len(r["text"].split()) for r in mixed if r["source"] == source) == int(target)
+    whole = {t for _, t, _ in texts}
+    parts = [r["text"] for r in mixed if r["text"] not in whole]
+    assert len(parts) <= 2 and all(any(t.startswith(p) for t in whole) for p in parts)
+    assert all(sum(r["text"] == t for r in mixed) <= 3 for t in whole)
+
+
 def test_pipeline_stages_take_odd_rows(spark, data, edge, empty, tmp_path):
     import corpus_pipeline as pipeline
 
