@@ -20,7 +20,8 @@ _REST = ("lang", "source", "n_chars")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity classifier doesn't reject."""
+    """Documents that the toxicity classifier doesn't reject.  Null and empty texts stay, unless the
+    prior alone rejects them; an empty table gives an empty one."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     return toxicity.score(docs, model, keep=_REST).where("predicted = 0").select(*COLUMNS)
 
@@ -46,15 +47,14 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix: a document as often as its source's budget takes it whole, and the leading words of
-    the one that the budget cuts."""
-    docs = docs.select(*COLUMNS)
-    plan = mixing.mix(docs).where("taken > 0").groupBy(F.col("doc_id").alias("id")).agg(F.first("size").alias("size"), F.max("taken").alias("taken"))
+    the one that the budget cuts.
+
+    Each row is taken by its own size, so rows without doc_id and rows that repeat one count like
+    others.  Null texts and texts without words are never taken; an empty table gives an empty mix.
+    """
+    plan = mixing.mix(docs.select(*COLUMNS), keep=("text", "lang", "n_chars")).where("taken > 0")
     copies = F.ceil(F.col("taken") / F.col("size")).cast("int")
-    mixed = (
-        docs.join(plan, F.col("doc_id").eqNullSafe(F.col("id")))
-        .withColumn("copy", F.explode(F.sequence(F.lit(1), copies)))
-        .withColumn("left", F.least("size", F.col("taken") - (F.col("copy") - 1) * F.col("size")))
-    )
+    mixed = plan.withColumn("copy", F.explode(F.sequence(F.lit(1), copies))).withColumn("left", F.least("size", F.col("taken") - (F.col("copy") - 1) * F.col("size")))
     words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
     text = F.when(F.col("left") == F.col("size"), F.col("text")).otherwise(F.array_join(F.slice(words, 1, F.col("left").cast("int")), " "))
     mixed = mixed.withColumn("text", text)
@@ -62,7 +62,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every text of the mix, and what they decode to."""
+    """Token ids of every text of the mix, and what they decode to: a row for each row, null texts
+    like empty ones; an empty table gives an empty result."""
     return bpe.encode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, remembered=200_000)
 
 
