@@ -4,12 +4,16 @@ Two small collections of keys are made for each document, left and right, each k
 minhashes.  Table (i, j) is keyed by left key i together with right key j, so `halves` keys a side
 give halves * halves tables from 2 * halves * rows minhashes, where plain banding would need
 2 * rows minhashes for each table.  Two documents of similarity s share a table with probability
-(1 - (1 - s**rows)**halves)**2: 0.9994 at s = 0.8 with the defaults.
+(1 - (1 - s**rows)**halves)**2: 0.9993 at s = 0.8 with the defaults, 0.06 at 0.3, 0.0001 at 0.1.
 
-Candidates are verified on the full shingle sets.  Documents with equal sets are one class from the
-start.  No pairs are formed: documents that share a table, directly or by way of others, are a group,
-and groups are compared whole, in tasks of bounded size, by counting common shingles from postings.
-A task returns no pairs either, but for each document the smallest that it is linked with there.
+Documents with equal sets are one class from the start.  Who shares a table with whom is settled from
+small signatures (a byte of each minhash), without pairs: in order of id a member of a table joins
+every leader before it whose signature agrees in enough places, and leads itself where none does.
+With similarity as one minus a distance, a linked pair and the leader that one of them joined are near
+enough for the other to join it too.  So a leader and those that joined it, in any table, are a canopy,
+and canopies are what is compared: in tasks of bounded size, on the full sets, by counting common
+shingles from postings.  Canopies aren't chained: what is compared grows with the number of really
+similar texts.  Components are taken over verified links only.
 """
 
 from __future__ import annotations
@@ -25,8 +29,12 @@ from pyspark.sql import functions as F
 from .common import components, save
 from .words import Words, mix, slices
 
-HALVES, ROWS = 8, 2
+HALVES, ROWS = 11, 3
 TASK_DOCS, TASK_SHINGLES = 2_000, 2_000_000
+#: Share of equal places in two signatures from which on a leader is joined, and below which with all
+#: leaders a text leads itself.  Of a linked pair (0.8 or more) one may be as far as 0.3 from its leader,
+#: so the other is 0.5 at most from it; JOIN leaves the estimates room beyond that.
+JOIN, LEAD = 0.3, 0.7
 _SEED = np.random.default_rng(20240229)
 _ODD = _SEED.integers(0, 2**63, size=256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _SEED.integers(0, 2**63, size=256, dtype=np.uint64)
@@ -66,7 +74,8 @@ def _lists(values: np.ndarray) -> pa.Array:
 
 
 def sketch(docs: DataFrame, shingle: int = 4, halves: int = HALVES, rows: int = ROWS) -> DataFrame:
-    """doc_id, n_shingles, digest_a, digest_b (equal for equal sets), left and right (keys)."""
+    """doc_id, n_shingles, digest_a, digest_b (equal for equal sets), left and right (keys), and sig: the
+    lowest byte of every minhash."""
 
     def of_sets(s: np.ndarray, offsets: np.ndarray):
         n = np.diff(offsets)
@@ -74,6 +83,7 @@ def sketch(docs: DataFrame, shingle: int = 4, halves: int = HALVES, rows: int =
         starts = offsets[:-1][full]
         digests = np.zeros((2, len(n)), dtype=np.uint64)
         keys = np.zeros((2, len(n), halves), dtype=np.uint64)
+        signature = np.zeros((len(n), 2 * halves * rows), dtype=np.uint8)
         if len(full):
             with np.errstate(over="ignore"):
                 digests[0, full] = np.add.reduceat(s, starts)
@@ -85,25 +95,75 @@ def sketch(docs: DataFrame, shingle: int = 4, halves: int = HALVES, rows: int =
                         for _ in range(rows):
                             least = np.minimum.reduceat(s * _ODD[k] + _ADD[k], starts)
                             key = mix(key * np.uint64(0x9E3779B97F4A7C15) + least)
+                            signature[full, k] = mix(least) & np.uint64(255)
                             k += 1
                         keys[side, full, h] = key
-        return n, digests, keys
+        return n, digests, keys, [row.tobytes() for row in signature]
 
     def run(batches):
         for batch in batches:
             ids = batch.column("doc_id")
             for a, s, offsets in shingle_sets(batch.column("text"), shingle):
-                n, digests, keys = of_sets(s, offsets)
+                n, digests, keys, signature = of_sets(s, offsets)
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(a, len(n)), pa.array(n), pa.array(digests[0].view(np.int64)), pa.array(digests[1].view(np.int64)), _lists(keys[0]), _lists(keys[1])],
-                    names=["doc_id", "n_shingles", "digest_a", "digest_b", "left", "right"],
+                    [ids.slice(a, len(n)), pa.array(n), pa.array(digests[0].view(np.int64)), pa.array(digests[1].view(np.int64)), _lists(keys[0]), _lists(keys[1]), pa.array(signature, pa.binary())],
+                    names=["doc_id", "n_shingles", "digest_a", "digest_b", "left", "right", "sig"],
                 )
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
-        run, "doc_id long, n_shingles long, digest_a long, digest_b long, left array<long>, right array<long>"
+        run, "doc_id long, n_shingles long, digest_a long, digest_b long, left array<long>, right array<long>, sig binary"
     )
 
 
+def _canopies(batches):
+    """Members of tables, (key, rep, sig) in order of key and rep -> (leader, rep): the leaders that each
+    joins.  A table is read as a stream; only its leaders are held."""
+    at_key, leaders, ids, found = None, np.zeros((0, 0), dtype=np.uint8), [], []
+
+    def joined(sig, rep, others, other_ids):
+        """Greatest share of equal places with any of `others`; notes those that are enough to join."""
+        best = np.zeros(len(sig))
+        for a in range(0, len(others), 64):
+            equal = (sig[:, None, :] == others[None, a : a + 64, :]).mean(axis=2)
+            best = np.maximum(best, equal.max(axis=1))
+            r, c = np.nonzero(equal >= JOIN)
+            if len(r):
+                found.append((np.array(other_ids[a : a + 64])[c], rep[r]))
+        return best
+
+    for batch in batches:
+        key, rep = batch.column("key").to_numpy(), batch.column("rep").to_numpy()
+        sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), dtype=np.uint8).reshape(len(key), -1)
+        starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, dtype=np.int64)
+        for start, end in zip(starts, [*starts[1:], len(key)], strict=True):
+            if key[start] != at_key:
+                at_key, leaders, ids = key[start], np.zeros((0, sig.shape[1]), dtype=np.uint8), []
+            for a in range(start, end, 1024):
+                part, own = sig[a : min(end, a + 1024)], rep[a : min(end, a + 1024)]
+                best = joined(part, own, leaders, ids)
+                new = []
+                for k in range(len(part)):
+                    if best[k] < LEAD:
+                        new.append(k)
+                        if k + 1 < len(part):
+                            best[k + 1 :] = np.maximum(best[k + 1 :], joined(part[k + 1 :], own[k + 1 :], part[k : k + 1], [own[k]]))
+                leaders = np.concatenate((leaders, part[new]))
+                ids.extend(own[new].tolist())
+        if found:
+            leader, member = (np.concatenate(x) for x in zip(*found, strict=True))
+            found.clear()
+            yield pa.RecordBatch.from_arrays([pa.array(leader.astype(np.int64)), pa.array(member)], names=["leader", "rep"])
+
+
+def canopies(classes: DataFrame, halves: int = HALVES) -> DataFrame:
+    """(leader, rep): texts (rep, left, right, sig) and the leaders that they join in any table."""
+    table_key = lambda x, i: F.transform("right", lambda y, j: F.xxhash64(i * halves + j, x, y))
+    keys = classes.select("rep", F.explode(F.flatten(F.transform("left", table_key))).alias("key"))
+    shared = keys.groupBy("key").agg(F.count("*").alias("members")).where("members > 1").select("key")
+    tables = keys.join(shared, "key").join(classes.select("rep", "sig"), "rep").select("key", "rep", "sig")
+    return tables.repartition("key").sortWithinPartitions("key", "rep").mapInArrow(_canopies, "leader long, rep long").distinct()
+
+
 def _sets(docs: DataFrame, shingle: int) -> DataFrame:
     """Documents with `set`, their shingles as sorted 64-bit integers, in place of `text`."""
     rest = [c for c in docs.columns if c != "text"]
@@ -177,13 +237,10 @@ def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = 5, halves
     marks = save(sketch(docs, shingle, halves, rows), "sketch")
     full = marks.where("n_shingles > 0")
     same = ["n_shingles", "digest_a", "digest_b"]
-    classes = save(full.groupBy(*same).agg(F.min("doc_id").alias("rep"), F.first("left").alias("left"), F.first("right").alias("right")), "classes")
-    table_key = lambda x, i: F.transform("right", lambda y, j: F.xxhash64(i * halves + j, x, y))
-    keys = classes.select("rep", F.explode(F.flatten(F.transform("left", table_key))).alias("key"))
-    shared = keys.groupBy("key").agg(F.count("*").alias("members"), F.min("rep").alias("hub")).where("members > 1").select("key", "hub")
-    # Who shares a table, directly or by way of others, is one group; groups are what is compared.
-    groups = components(keys.join(shared, "key").where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct())
-    members = save(groups.withColumnRenamed("node", "rep").join(classes.select("rep", "n_shingles"), "rep"), "members")
+    classes = save(full.groupBy(*same).agg(F.min("doc_id").alias("rep"), F.first("left").alias("left"), F.first("right").alias("right"), F.first("sig").alias("sig")), "classes")
+    near = save(canopies(classes.where("rep is not null"), halves), "canopies")
+    near = near.union(near.select("leader", F.col("leader").alias("rep")).distinct())
+    members = save(near.withColumnRenamed("leader", "component").join(classes.select("rep", "n_shingles"), "rep"), "members")
     # Many small groups go to one task together; a large one is cut into blocks, a task for each two.
     volume = members.groupBy("component").agg(F.count("*").alias("docs"), F.sum("n_shingles").alias("shingles"))
     load = F.greatest(F.col("docs") / TASK_DOCS, F.col("shingles") / TASK_SHINGLES)
@@ -193,17 +250,18 @@ def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = 5, halves
         "rep", F.when(F.col("load") < 0.5, F.pmod(F.xxhash64("component"), F.lit(bundles))).otherwise(-1 - F.col("component")).alias("task"),
         F.when(F.col("load") < 0.5, 1).otherwise(F.ceil(2 * F.col("load"))).cast("int").alias("blocks"),
     )
-    sets = _sets(docs.join(placed, F.col("doc_id") == F.col("rep")).select("rep", "task", "blocks", "text"), shingle)
+    # A text is cut into shingles once, however many canopies it is in.
+    sets = _sets(docs.join(members.select("rep").distinct(), F.col("doc_id") == F.col("rep")).select("rep", "text"), shingle).join(placed, "rep")
     sets = sets.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     paired = sets.select("task", F.least("block", "other").alias("b1"), F.greatest("block", "other").alias("b2"), "block", "rep", "set")
     links = save(paired.groupBy("task", "b1", "b2").applyInArrow(_compared(percent), "a long, b long"), "links")
     parts = components(links)
     named = (
-        classes.drop("left", "right").join(parts.withColumnRenamed("node", "rep"), "rep", "left")
+        classes.drop("left", "right", "sig").join(parts.withColumnRenamed("node", "rep"), "rep", "left")
         .select(*same, F.coalesce("component", "rep").alias("component_id"))
     )
     return (
-        marks.drop("left", "right").join(named, same, "left")
+        marks.drop("left", "right", "sig").join(named, same, "left")
         .select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
         .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
     )
