@@ -7,10 +7,14 @@ backward search narrows the rows of many patterns at once.
 `remove_repeats` finds words that some earlier document has too.  Shards are cut by content: every
 window of `window` words is keyed by the smallest hash among its runs of `anchor` words, so equal
 windows have equal keys wherever they stand; consecutive windows with one key form a segment.  Only
-keys that occur in two documents go on.  Their distinct segments are dealt to shards by key, a shard
-is indexed, its segments are streamed against the index, and the matching statistics (cut off at
+keys that occur in two documents go on.  A key with very many distinct segments (a common run of
+words) is refined: its windows are keyed by their two smallest hashes, then by three, and so on, which
+equal windows share as well.  The distinct segments are dealt to shards by key, a shard is indexed, its segments are streamed against the index, and the matching statistics (cut off at
 `window`) tell which windows occur under which smallest document.  The work and what is shuffled
 grow with the input, not with shards times documents.
+
+Windows are looked up by their words; which documents hold a segment goes by two 64-bit hashes of it
+(its key and its words), with fixed constants.
 """
 
 from __future__ import annotations
@@ -30,7 +34,9 @@ from .words import Words, mix, sliding_min, slices
 ANCHOR = 4
 WORDS_PER_SHARD = 200_000
 SEGMENTS_PER_KEY = 4_000
-BUCKETS = 64
+#: Windows in a segment at most, so that a key's segments are bounded in words.
+SEGMENT_WINDOWS = 64
+BUCKET_BYTES, LEAST_BUCKETS, MOST_BUCKETS = 32 << 20, 64, 100_000
 
 
 class FmIndex:
@@ -134,23 +140,15 @@ class FmIndex:
         return np.minimum.reduceat(owners, np.stack((starts, ends), axis=1).reshape(-1))[::2][back]
 
 
-def _segments(w: Words, window: int, anchor: int):
-    """Runs of windows with one key: key, hash of the words, first window, windows, text row."""
-    n = len(w.hash) - window + 1
-    if n <= 0:
-        none = np.zeros(0, dtype=np.int64)
-        return none.astype(np.uint64), none.astype(np.uint64), none, none, none
-    grams, at = w.grams(anchor)
-    all_grams = np.full(len(w.hash), np.iinfo(np.uint64).max, dtype=np.uint64)
-    all_grams[at] = grams
-    key = sliding_min(all_grams, window - anchor + 1)[:n]
-    whole = w.doc[:n] == w.doc[window - 1 :]
-    at = np.flatnonzero(whole)
+def _runs(w: Words, key: np.ndarray, at: np.ndarray, span: np.ndarray, window: int):
+    """Runs of windows (first words `at`, in order) with one key and span, of bounded length: key, hash
+    of the words, first window, windows, span."""
     if not len(at):
         none = np.zeros(0, dtype=np.int64)
         return none.astype(np.uint64), none.astype(np.uint64), none, none, none
-    k, d = key[at], w.doc[at]
-    starts = np.flatnonzero(np.concatenate(([True], (k[1:] != k[:-1]) | (d[1:] != d[:-1]))))
+    starts = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (span[1:] != span[:-1]))))
+    place = np.arange(len(at)) - np.repeat(starts, np.diff(np.append(starts, len(at))))
+    starts = np.flatnonzero(place % SEGMENT_WINDOWS == 0)
     count = np.diff(np.append(starts, len(at)))
     first = at[starts]
     # Hash of a segment's words: sum of word hashes weighted by their place.
@@ -162,7 +160,22 @@ def _segments(w: Words, window: int, anchor: int):
         down = np.cumprod(power)
         sums = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(w.hash * up[:-1])))
         words = mix((sums[first + count + window - 1] - sums[first]) * down[first] + count.astype(np.uint64))
-    return k[starts], words, first, count, d[starts]
+    return key[starts], words, first, count, span[starts]
+
+
+def _all_grams(w: Words, anchor: int) -> np.ndarray:
+    grams, at = w.grams(anchor)
+    out = np.full(len(w.hash), np.iinfo(np.uint64).max, dtype=np.uint64)
+    out[at] = grams
+    return out
+
+
+def _segments(w: Words, window: int, anchor: int):
+    """Runs of windows with one key: key, hash of the words, first window, windows, text row."""
+    n = max(0, len(w.hash) - window + 1)
+    key = sliding_min(_all_grams(w, anchor), window - anchor + 1)[:n]
+    at = np.flatnonzero(w.doc[:n] == w.doc[window - 1 :]) if n else np.zeros(0, dtype=np.int64)
+    return _runs(w, key[at], at, w.doc[at], window)
 
 
 def _occurrences(docs: DataFrame, window: int, anchor: int) -> DataFrame:
@@ -183,26 +196,40 @@ def _occurrences(docs: DataFrame, window: int, anchor: int) -> DataFrame:
     return docs.where("doc_id is not null").mapInArrow(run, "key long, seg long, doc_id long, at int, n int")
 
 
-def _single_windows(docs: DataFrame, window: int) -> DataFrame:
-    """Segments cut into their windows, each keyed by all its words: for keys with too many segments."""
+def _refined(docs: DataFrame, window: int, anchor: int, level: int) -> DataFrame:
+    """The segments `spans` of documents, cut anew: windows keyed by their `level` smallest hashes."""
+    width = window - anchor + 1
 
     def run(batches):
         for batch in batches:
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
             spans = batch.column("spans")
+            cuts = spans.offsets.to_numpy()
+            span_at, span_n = (spans.values.field(c).to_numpy() for c in ("at", "n"))
             for a, b, data, offsets in slices(batch.column("text")):
                 w = Words(data, offsets)
-                grams, at = w.grams(window)
-                place = np.full(len(w.hash) + 1, -1, dtype=np.int64)
-                place[at] = np.arange(len(at))
-                for r in range(a, b):
-                    for s in spans[r].as_py():
-                        first = w.first[r - a] + s["at"]
-                        h = grams[place[first : first + s["n"]]].view(np.int64)
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(h), pa.array(h), pa.array(np.full(len(h), ids[r])), pa.array(np.arange(s["at"], s["at"] + len(h), dtype=np.int32)), pa.array(np.ones(len(h), dtype=np.int32))],
-                            names=["key", "seg", "doc_id", "at", "n"],
-                        )
+                grams = _all_grams(w, anchor)
+                own = slice(cuts[a], cuts[b])
+                row = np.repeat(np.arange(b - a), np.diff(cuts[a : b + 1]))
+                n = np.minimum(span_n[own], np.maximum(0, w.count[row] - window + 1 - span_at[own]))  # all, if a doc_id names one text
+                span = np.repeat(np.arange(len(n)), n)
+                at = (w.first[row] + span_at[own])[span] + np.arange(len(span)) - np.repeat(np.cumsum(n) - n, n)
+                key = np.zeros(len(at), dtype=np.uint64)
+                for c in range(0, len(at), 1 << 16):
+                    near = np.sort(grams[at[c : c + (1 << 16), None] + np.arange(width)], axis=1)
+                    new = np.concatenate((np.ones((len(near), 1), dtype=bool), near[:, 1:] != near[:, :-1]), axis=1)
+                    new &= np.cumsum(new, axis=1) <= level
+                    part = key[c : c + (1 << 16)]
+                    with np.errstate(over="ignore"):
+                        for k in range(width):
+                            part[:] = np.where(new[:, k], mix(part * np.uint64(0x9E3779B97F4A7C15) + near[:, k]), part)
+                key, seg, first, count, of = _runs(w, key, at, span, window)
+                r = row[of]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(key.view(np.int64)), pa.array(seg.view(np.int64)), pa.array(ids[a + r].astype(np.int64)),
+                     pa.array((first - w.first[r]).astype(np.int32)), pa.array(count.astype(np.int32))],
+                    names=["key", "seg", "doc_id", "at", "n"],
+                )
 
     return docs.mapInArrow(run, "key long, seg long, doc_id long, at int, n int")
 
@@ -315,28 +342,37 @@ def remove_repeats(docs: DataFrame, window: int = 13, anchor: int = ANCHOR, with
     other.  A doc_id should name one text: if it names several, what goes from one goes by place
     from all.  Other columns are ignored.  An empty table gives an empty result.
 
-    A key with more than `segments_per_key` distinct segments (a very common run of words) has its
-    segments cut into single windows, each keyed by all its words, so that no shard outgrows a task.
+    A key with more than `segments_per_key` distinct segments (a very common run of words) is refined
+    until it has fewer or all hashes of its windows are in the key; windows that even then share a key
+    differ by the order of their words only.  Segments are bounded in words, and so are shards.
     """
     spark = docs.sparkSession
     name = f"codefacts_{uuid.uuid4().hex}"
     # Kept by doc_id, so that the texts are never shuffled again: they are read three times.
-    docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *keep).write.bucketBy(BUCKETS, "doc_id").saveAsTable(name)
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = min(MOST_BUCKETS, max(LEAST_BUCKETS, -(-size // BUCKET_BYTES)))
+    docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *keep).write.bucketBy(buckets, "doc_id").saveAsTable(name)
     whole = spark.table(name)
     kept_docs = whole.select("doc_id", "text")
     found = _occurrences(kept_docs, window, anchor)
-    shared = found.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo <> hi").select("key")
-    occurs = save(found.join(shared, "key"), "occurrences")
+
+    def repeated_keys(rows: DataFrame) -> DataFrame:
+        shared = rows.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo <> hi").select("key")
+        return rows.join(shared, "key")
+
+    occurs = save(repeated_keys(found), "occurrences")
 
     def distinct(rows: DataFrame) -> DataFrame:
         return rows.groupBy("key", "seg").agg(F.min(F.struct("doc_id", "at", "n")).alias("of"))
 
-    crowded = distinct(occurs).groupBy("key").agg(F.count("*").alias("segments")).where(F.col("segments") > segments_per_key).select("key")
-    if not crowded.isEmpty():
+    for level in range(2, window - anchor + 2):
+        crowded = distinct(occurs).groupBy("key").agg(F.count("*").alias("segments")).where(F.col("segments") > segments_per_key).select("key")
         crowded = save(crowded, "crowded")
+        if crowded.isEmpty():
+            break
         hot = occurs.join(crowded, "key").groupBy("doc_id").agg(F.collect_list(F.struct("at", "n")).alias("spans"))
-        single = _single_windows(kept_docs.join(hot, "doc_id"), window)
-        occurs = save(occurs.join(crowded, "key", "left_anti").unionByName(single), "occurrences")
+        finer = save(_refined(kept_docs.join(hot, "doc_id"), window, anchor, level), "refined")
+        occurs = save(occurs.join(crowded, "key", "left_anti").unionByName(repeated_keys(finer)), "occurrences")
     by_doc = (
         distinct(occurs).select("key", "seg", "of.*").groupBy("doc_id")
         .agg(F.collect_list(F.struct("key", "seg", "at", "n")).alias("spans"))
