@@ -1,11 +1,13 @@
 """An adaptive context-mixing range coder for token ids, in blocks that stand alone.
 
-Three predictors guess the next id of a block: the id that last followed the two before it (order 2),
-the one before it (order 1), and the commonest so far (order 0).  Each knows how often guesses of its
-confidence came true; the probabilities of those that agree with the guess of the highest order are
-mixed in the logistic domain, with weights that learn as the block goes on.  The mixed probability
-drives the range coder: it codes whether the guess is right, and if not, the id by its magnitude
-(adaptive frequencies) and remaining bits.
+A segment's header holds what each of its blocks starts from: the segment's ids with their frequencies
+(order 0), and for each id the one that most often follows it, with how often (order 1).  Within a
+block three predictors guess the next id: the id that last followed the two before it (order 2), the
+one before it (order 1; until the block has its own, the header's), and the commonest so far (order 0).
+Each knows how often guesses of its confidence came true; the probabilities of those that agree with
+the guess of the highest order are mixed in the logistic domain, with weights that learn as the block
+goes on.  The mixed probability drives the range coder: it codes whether the guess is right, and if
+not, the id by its frequency.
 
 A block starts from the same state whatever came before, and carries its length and a checksum of
 its ids.  Many blocks are coded in step, a numpy lane for each, so the model's work is vectorised
@@ -28,25 +30,69 @@ _STRETCH = np.array([round(256 * math.log((p + 0.5) / (4095.5 - p))) for p in ra
 _SQUASH = np.array([min(4095, max(1, round(4096 / (1 + math.exp(-x / 256))))) for x in range(-2047, 2048)], dtype=np.int64)
 
 
+_CLASSES = 16  # of confidence: 8 of the block's own guesses, 8 of the header's
+
+
+class _Start:
+    """What blocks start from: symbols (ids in order), their cumulative frequencies of 2**bits, and for
+    each the symbol that follows it most often (-1: none does so often) with a class of confidence."""
+
+    def __init__(self, symbols: np.ndarray, counts: np.ndarray, follower: np.ndarray, confidence: np.ndarray):
+        self.symbols, self.counts, self.follower, self.confidence = symbols, counts, follower, confidence
+        self.bits = min(28, max(16, len(symbols).bit_length() + 6))
+        room = (1 << self.bits) - len(symbols)
+        self.cumulative = np.concatenate(([0], np.cumsum(1 + counts * room // max(1, int(counts.sum())))))
+        # A block's first id follows none: symbol len(symbols).
+        self.follower = np.append(follower, -1)
+        self.confidence = np.append(confidence, 0)
+
+    @classmethod
+    def of(cls, ids: np.ndarray) -> tuple[_Start, np.ndarray]:
+        """The start for these ids, and the ids as places among the symbols."""
+        symbols, places, counts = np.unique(ids, return_inverse=True, return_counts=True)
+        n = len(symbols)
+        follower, confidence = np.full(n, -1, dtype=np.int64), np.zeros(n, dtype=np.int64)
+        if len(ids) > 1:
+            pair, often = np.unique(places[:-1] * np.int64(n) + places[1:], return_counts=True)
+            first, second = pair // n, pair % n
+            starts = np.flatnonzero(np.concatenate(([True], first[1:] != first[:-1])))
+            most = np.repeat(np.maximum.reduceat(often, starts), np.diff(np.append(starts, len(pair))))
+            best = np.flatnonzero(often == most)[::-1]  # of equally often ones the first stays
+            best = best[(often[best] >= 3) & (16 * often[best] >= counts[first[best]])]
+            follower[first[best]] = second[best]
+            confidence[first[best]] = np.minimum(7, 8 * often[best] // counts[first[best]])
+        return cls(symbols.astype(np.int64), counts.astype(np.int64), follower, confidence), places.astype(np.int64)
+
+    def pack(self) -> bytes:
+        columns = (np.diff(self.symbols, prepend=0), self.counts, self.follower[:-1] + 1, self.confidence[:-1])
+        planes = np.stack(columns).astype("<u4").view(np.uint8).reshape(4, -1, 4).transpose(0, 2, 1)
+        return zlib.compress(np.ascontiguousarray(planes).tobytes(), 6)
+
+    @classmethod
+    def unpack(cls, raw: bytes) -> _Start:
+        planes = np.frombuffer(zlib.decompress(raw), dtype=np.uint8).reshape(4, 4, -1).transpose(0, 2, 1)
+        steps, counts, follower, confidence = np.ascontiguousarray(planes).view("<u4").reshape(4, -1).astype(np.int64)
+        return cls(np.cumsum(steps), counts, follower - 1, confidence)
+
+
 class _Model:
-    """State of the predictors for every lane."""
+    """State of the predictors for every lane; ids are places among the start's symbols."""
 
-    def __init__(self, lanes: int, sizes: int):
+    def __init__(self, lanes: int, start: _Start):
+        self.start = start
         self.lane = np.arange(lanes)
         self.base = self.lane << _SLOTS
         self.guess = [np.zeros(lanes << _SLOTS, dtype=np.uint32) for _ in range(2)]
         self.trust = [np.zeros(lanes << _SLOTS, dtype=np.int8) for _ in range(2)]
         self.seen = np.zeros(lanes << _SLOTS, dtype=np.int16)
-        self.best = np.zeros(lanes, dtype=np.int64)
+        self.best = np.full(lanes, int(np.argmax(start.counts)) if len(start.counts) else 0, dtype=np.int64)
         self.best_n = np.zeros(lanes, dtype=np.int16)
-        self.right = np.full((3, lanes * 8), 1 << 14, dtype=np.int32)
+        # Chance of coming true by class: a quarter, or what the header's class says.
+        first = np.array([1 << 14] * 8 + [(2 * c + 1) << 12 for c in range(8)], dtype=np.int32)
+        self.right = np.tile(first, (3, lanes))
         self.weight = np.full((3, lanes), 1 << 15, dtype=np.int64)
-        self.one = np.zeros(lanes, dtype=np.int64)
+        self.one = np.full(lanes, len(start.symbols), dtype=np.int64)
         self.two = np.zeros(lanes, dtype=np.int64)
-        # Cumulative frequencies (of 65536) of an id's magnitude; a step moves them to the one that came.
-        self.sizes = np.tile(np.arange(sizes + 1) * 65536 // sizes, (lanes, 1)).astype(np.int32)
-        k = np.arange(sizes + 1)
-        self.toward = np.array([np.where(k <= of, k, 65536 - (sizes - k)) for of in range(sizes)], dtype=np.int32)
 
     @staticmethod
     def _hash(x: np.ndarray) -> np.ndarray:
@@ -55,10 +101,14 @@ class _Model:
     def predict(self) -> tuple[np.ndarray, np.ndarray]:
         """The guess of the highest order that has one, and its frequency (of 65536) of coming true."""
         self.slots = slot2, slot1 = self.base + self._hash(self.one + 40503 * (self.two + 1)), self.base + self._hash(self.one + 1)
-        self.guesses = g2, g1, g0 = self.guess[0][slot2].astype(np.int64), self.guess[1][slot1].astype(np.int64), self.best
         self.trusts = t2, t1 = self.trust[0][slot2], self.trust[1][slot1]
-        self.guessed = guess = np.where(t2 > 0, g2, np.where(t1 > 0, g1, g0))
-        self.at = [(self.lane << 3) + t2, (self.lane << 3) + t1, (self.lane << 3) + np.minimum(self.best_n >> 4, 7)]
+        follower = self.start.follower[self.one]
+        from_header = (t1 == 0) & (follower >= 0)
+        g2, g1, g0 = self.guess[0][slot2].astype(np.int64), np.where(from_header, follower, self.guess[1][slot1]), self.best
+        self.guesses = g2, g1, g0
+        self.guessed = guess = np.where(t2 > 0, g2, np.where((t1 > 0) | from_header, g1, g0))
+        class1 = np.where(from_header, 8 + self.start.confidence[self.one], t1)
+        self.at = [self.lane * _CLASSES + t2, self.lane * _CLASSES + class1, self.lane * _CLASSES + np.minimum(self.best_n >> 4, 7)]
         self.inputs = [np.where(g == guess, _STRETCH[self.right[k][self.at[k]] >> 4], 0) for k, g in enumerate((g2, g1, g0))]
         dot = (self.weight[0] * self.inputs[0] + self.weight[1] * self.inputs[1] + self.weight[2] * self.inputs[2]) >> 16
         self.p = _SQUASH[np.clip(dot, -2047, 2047) + 2047]
@@ -85,14 +135,6 @@ class _Model:
         self.best_n = np.where(better, n, self.best_n)
         self.two, self.one = self.one, ids
 
-    def count(self, lanes: np.ndarray, size: np.ndarray) -> None:
-        now = self.sizes[lanes]
-        self.sizes[lanes] = now + ((self.toward[size] - now) >> 5)
-
-
-def _bit_length(x: np.ndarray) -> np.ndarray:
-    return np.frexp(x.astype(np.float64))[1].astype(np.int64)  # exact below 2**53
-
 
 class _Coder:
     """Carry-less range coder state for every lane; 16-bit words."""
@@ -179,14 +221,15 @@ def _with_lanes(lengths: np.ndarray):
     yield from enumerate(running)
 
 
-def _encode_lanes(blocks: list[np.ndarray], sizes: int) -> list[bytes]:
+def _encode_lanes(blocks: list[np.ndarray], start: _Start) -> list[bytes]:
     lengths = np.array([len(b) for b in blocks])
     order = np.argsort(-lengths, kind="stable")
     sorted_lengths = lengths[order]
     ids = np.zeros((sorted_lengths[0], len(blocks)), dtype=np.int64)
     for k, o in enumerate(order):
         ids[: lengths[o], k] = blocks[o]
-    model, out = _Model(len(blocks), sizes), _Writer(len(blocks), 8 * len(ids) + 16)
+    bits = np.uint64(start.bits)
+    model, out = _Model(len(blocks), start), _Writer(len(blocks), 8 * len(ids) + 16)
     for t, n in _with_lanes(sorted_lengths):
         now = ids[t]
         guess, freq = model.predict()
@@ -195,16 +238,8 @@ def _encode_lanes(blocks: list[np.ndarray], sizes: int) -> list[bytes]:
         out.put(live, np.where(hit, 0, freq)[:n], np.where(hit, freq, 65536 - freq)[:n], _WORD)
         miss = np.flatnonzero(~hit[:n])
         if len(miss):
-            value = now[miss] + 1
-            bits = _bit_length(value) - 1
-            start = model.sizes[miss, bits]
-            out.put(miss, start, model.sizes[miss, bits + 1] - start, _WORD)
-            model.count(miss, bits)
-            rest = value - (np.int64(1) << bits)
-            high = np.flatnonzero(bits > 16)
-            if len(high):
-                out.put(miss[high], rest[high] >> 16, np.ones(len(high)), bits[high] - 16)
-            out.put(miss, rest & 0xFFFF, np.ones(len(miss)), np.minimum(bits, 16))
+            low = start.cumulative[now[miss]]
+            out.put(miss, low, start.cumulative[now[miss] + 1] - low, bits)
         model.update(now)
     coded = out.finish()
     back = [b""] * len(blocks)
@@ -213,11 +248,12 @@ def _encode_lanes(blocks: list[np.ndarray], sizes: int) -> list[bytes]:
     return back
 
 
-def _decode_lanes(parts: list[bytes], lengths: np.ndarray, sizes: int) -> list[np.ndarray]:
+def _decode_lanes(parts: list[bytes], lengths: np.ndarray, start: _Start) -> list[np.ndarray]:
     order = np.argsort(-lengths, kind="stable")
     sorted_lengths = lengths[order]
     ids = np.zeros((sorted_lengths[0], len(parts)), dtype=np.int64)
-    model, source = _Model(len(parts), sizes), _Reader([parts[o] for o in order])
+    bits, last = np.uint64(start.bits), len(start.symbols) - 1
+    model, source = _Model(len(parts), start), _Reader([parts[o] for o in order])
     for t, n in _with_lanes(sorted_lengths):
         guess, freq = model.predict()
         live = model.lane[:n]
@@ -227,21 +263,9 @@ def _decode_lanes(parts: list[bytes], lengths: np.ndarray, sizes: int) -> list[n
         now[:n] = guess[:n]
         miss = np.flatnonzero(~hit)
         if len(miss):
-            target = np.minimum(source.target(miss, 16), 65535)
-            bits = (target[:, None] >= model.sizes[miss][:, 1:]).sum(axis=1)
-            start = model.sizes[miss, bits]
-            source.take(miss, start, model.sizes[miss, bits + 1] - start, _WORD)
-            model.count(miss, bits)
-            value = np.zeros(len(miss), dtype=np.int64)
-            high = np.flatnonzero(bits > 16)
-            if len(high):
-                x = source.target(miss[high], bits[high] - 16)
-                source.take(miss[high], x, np.ones(len(x)), bits[high] - 16)
-                value[high] = x << 16
-            low_bits = np.minimum(bits, 16)
-            x = source.target(miss, low_bits)
-            source.take(miss, x, np.ones(len(x)), low_bits)
-            now[miss] = (value | x) + (np.int64(1) << bits) - 1
+            now[miss] = found = np.minimum(np.searchsorted(start.cumulative, source.target(miss, start.bits), side="right") - 1, last)
+            low = start.cumulative[found]
+            source.take(miss, low, start.cumulative[found + 1] - low, bits)
         ids[t, :n] = now[:n]
         model.update(ids[t])
     back = [ids[0][:0]] * len(parts)
@@ -251,29 +275,39 @@ def _decode_lanes(parts: list[bytes], lengths: np.ndarray, sizes: int) -> list[n
 
 
 def encode(ids: np.ndarray, block: int = BLOCK_IDS, lanes: int = LANES) -> bytes:
-    """Ids (0 to 2**32 - 1) as bytes: number of blocks and of magnitudes, then for each block its ids,
-    bytes and crc32 (little-endian 32-bit), then the coded blocks."""
-    blocks = [ids[a : a + block].astype(np.int64) for a in range(0, len(ids), block)]
+    """Ids (0 to 2**32 - 1) as bytes: number of blocks and bytes of the start, the start, then for each
+    block its ids, bytes and crc32 (little-endian 32-bit), then the coded blocks."""
+    start, places = _Start.of(ids)
+    blocks = [places[a : a + block] for a in range(0, len(ids), block)]
     coded: list[bytes] = []
-    sizes = int(ids.max(initial=0) + 1).bit_length()
     for a in range(0, len(blocks), lanes):
-        coded += _encode_lanes(blocks[a : a + lanes], sizes)
-    head = [len(blocks), sizes]
-    for b, c in zip(blocks, coded, strict=True):
-        head += [len(b), len(c), zlib.crc32(b.astype("<u4").tobytes())]
-    return np.array(head, dtype="<u4").tobytes() + b"".join(coded)
-
-
-def decode(raw: bytes, lanes: int = LANES) -> np.ndarray:
-    """The ids of encode(); a block that doesn't match its checksum is an error."""
-    n, sizes = np.frombuffer(raw, dtype="<u4", count=2).tolist()
-    head = np.frombuffer(raw, dtype="<u4", count=3 * n, offset=8).reshape(n, 3).astype(np.int64)
-    at = 8 + 12 * n + np.concatenate(([0], np.cumsum(head[:, 1])))
+        coded += _encode_lanes(blocks[a : a + lanes], start)
+    head = []
+    for k, c in enumerate(coded):
+        own = ids[k * block : (k + 1) * block]
+        head += [len(own), len(c), zlib.crc32(own.astype("<u4").tobytes())]
+    packed = start.pack()
+    return np.array([len(blocks), len(packed)], dtype="<u4").tobytes() + packed + np.array(head, dtype="<u4").tobytes() + b"".join(coded)
+
+
+def _opened(raw: bytes) -> tuple[_Start, np.ndarray, np.ndarray]:
+    """The start, a row (ids, bytes, crc32) for each block, and where the blocks begin and end."""
+    n, size = np.frombuffer(raw, dtype="<u4", count=2).tolist()
+    head = np.frombuffer(raw, dtype="<u4", count=3 * n, offset=8 + size).reshape(n, 3).astype(np.int64)
+    return _Start.unpack(raw[8 : 8 + size]), head, 8 + size + 12 * n + np.concatenate(([0], np.cumsum(head[:, 1])))
+
+
+def decode(raw: bytes, first: int = 0, count: int | None = None, lanes: int = LANES) -> np.ndarray:
+    """The ids of encode(), of `count` blocks from block `first` on (all, by default), which alone are
+    read; a block that doesn't match its checksum is an error."""
+    start, head, at = _opened(raw)
+    n = len(head) if count is None else min(len(head), first + count)
     out: list[np.ndarray] = []
-    for a in range(0, n, lanes):
+    for a in range(first, n, lanes):
         rows = range(a, min(n, a + lanes))
-        out += _decode_lanes([raw[at[k] : at[k + 1]] for k in rows], head[a : a + lanes, 0], sizes)
-    for k, b in enumerate(out):
-        if zlib.crc32(b.astype("<u4").tobytes()) != head[k, 2]:
-            raise ValueError(f"block {k} of {n} doesn't match its checksum")
-    return np.concatenate(out).astype(np.uint32) if out else np.zeros(0, dtype=np.uint32)
+        out += _decode_lanes([raw[at[k] : at[k + 1]] for k in rows], head[rows.start : rows.stop, 0], start)
+    ids = [start.symbols[b].astype("<u4") for b in out]
+    for k, b in enumerate(ids, first):
+        if zlib.crc32(b.tobytes()) != head[k, 2]:
+            raise ValueError(f"block {k} of {len(head)} doesn't match its checksum")
+    return np.concatenate(ids).astype(np.uint32) if ids else np.zeros(0, dtype=np.uint32)

@@ -192,12 +192,22 @@ def test_coder_round_trip():
         raw = coder.encode(ids)
         assert (coder.decode(raw) == ids).all()
     assert len(coder.encode(np.zeros(20000, int))) < 400
+    raw = coder.encode(ids := rng.integers(0, 50257, 9000))
+    assert (coder.decode(raw, 2, 1) == ids[4096:6144]).all() and (coder.decode(raw, 3) == ids[6144:]).all()
     broken = bytearray(coder.encode(rng.integers(0, 9, 3000)))
     broken[-100] ^= 255
     with pytest.raises(ValueError, match="checksum"):
         coder.decode(bytes(broken))
 
 
+def test_coder_beats_its_baselines(spark, real):
+    """Fewer bits an id than the ids' order-0 entropy and than deflate over the same ids."""
+    ids, counts = tokens.Tokenizer(P.path("byte_bpe_50k.json")).encode([t or "" for _, t in _pairs(real)])
+    _, n = np.unique(ids, return_counts=True)
+    bits = 8 * len(coder.encode(ids)) / len(ids)
+    assert bits < -(n / n.sum() * np.log2(n / n.sum())).sum() and bits < 8 * len(zlib.compress(ids.astype("<u2").tobytes(), 9)) / len(ids)
+
+
 def test_token_files(spark, edge, real, empty, tmp_path):
     from tokenizers import Tokenizer
 
