@@ -17,6 +17,7 @@ and long words a bounded number of steps at a time.
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 import tempfile
 from itertools import chain
@@ -317,6 +318,9 @@ def encode(docs: DataFrame, path: str, pattern: str, with_ids: bool = False, rem
                 a = b
         if remembered is not None:
             tool.close()
+            del tool
+            gc.collect()
+            pa.default_memory_pool().release_unused()
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)

@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import components, save
@@ -159,8 +159,11 @@ def canopies(classes: DataFrame, halves: int = HALVES) -> DataFrame:
     """(leader, rep): texts (rep, left, right, sig) and the leaders that they join in any table."""
     table_key = lambda x, i: F.transform("right", lambda y, j: F.xxhash64(i * halves + j, x, y))
     keys = classes.select("rep", F.explode(F.flatten(F.transform("left", table_key))).alias("key"))
-    shared = keys.groupBy("key").agg(F.count("*").alias("members")).where("members > 1").select("key")
-    tables = keys.join(shared, "key").join(classes.select("rep", "sig"), "rep").select("key", "rep", "sig")
+    # Keys that two texts have: one shuffle and sort of the keys, and no table of their counts.
+    order = Window.partitionBy("key").orderBy("rep")
+    beside = keys.select("key", "rep", F.lag("rep").over(order).alias("before"), F.lead("rep").over(order).alias("after"))
+    shared = beside.where("before is not null or after is not null").select("key", "rep")
+    tables = shared.join(classes.select("rep", "sig"), "rep").select("key", "rep", "sig")
     return tables.repartition("key").sortWithinPartitions("key", "rep").mapInArrow(_canopies, "leader long, rep long").distinct()
 
 
