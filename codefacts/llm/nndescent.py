@@ -33,6 +33,8 @@ from .vectors import keyed, matrix, usable
 DEGREE, OFFERS = 20, 8
 BEAM, EXPAND = 560, 40
 EXACT = 64
+#: The build ends with the round in which less than this share of the lists' places changes.
+SETTLED = 0.2
 #: A build or search that isn't done by then is an error.
 ROUNDS, STEPS = 60, 1_000
 BUCKET_BYTES, LEAST_BUCKETS, MOST_BUCKETS = 32 << 20, 24, 100_000
@@ -167,7 +169,8 @@ _GRAPH = "cid long, code binary, ids array<long>, scores array<float>, least flo
 def build(nodes: DataFrame, n: int, longest: float, degree: int = DEGREE, rounds: int = ROUNDS, offers: int = OFFERS) -> DataFrame:
     """The graph of nodes (cid, code): cid, code, ids and scores of up to `degree` neighbours, least.
 
-    Rounds go on until less than a hundredth of the lists' places change; more than `rounds` are an error.
+    Rounds go on until less than the share SETTLED of the lists' places change; more than `rounds` are
+    an error.
     """
     start = _random_graph(nodes, n, degree)
     graph = nodes.join(start, "cid").select("cid", "code", "ids", F.lit(None).cast("array<float>").alias("scores"), F.lit(float("-inf")).cast("float").alias("least"))
@@ -177,7 +180,7 @@ def build(nodes: DataFrame, n: int, longest: float, degree: int = DEGREE, rounds
         if r == 0:  # the first neighbours have no scores: what the round offers takes their place
             graph = graph.withColumns({"ids": F.array().cast("array<long>"), "scores": F.array().cast("array<float>")})
         graph = save(graph.drop("changed").join(grouped, "cid", "left").mapInArrow(_merged(degree), _GRAPH), "graph")
-        if (graph.agg(F.sum("changed")).first()[0] or 0) <= 0.01 * degree * n:
+        if (graph.agg(F.sum("changed")).first()[0] or 0) <= SETTLED * degree * n:
             return graph
     raise RuntimeError(f"the graph did not settle in {rounds} rounds")
 
