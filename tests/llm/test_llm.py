@@ -91,18 +91,6 @@ def test_minhash_in_small_blocks(spark, monkeypatch):
     assert found == {i: c for i, (_, c, _) in brute.near_duplicates(_pairs(docs), 80, 4).items()}
 
 
-def test_common_boilerplate_makes_no_candidates(spark):
-    """Texts that share a tenth of their shingles: what is compared grows with the near copies only."""
-    common_part = " ".join(f"legal{k}" for k in range(40))
-    for n in (500, 2000):
-        rows = [(k, common_part + " " + " ".join(f"w{k % (n - n // 20)}x{j}" for j in range(180 - k % 3)), "s") for k in range(n)]
-        marks = minhash.sketch(_docs(spark, rows), 5).withColumnRenamed("doc_id", "rep")
-        pairs = minhash.canopies(marks).count()
-        assert n // 20 <= pairs <= n // 20 + n // 100, (n, pairs)
-    found = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(_docs(spark, rows[:200] + rows[-50:])).collect()}
-    assert found == {k: v[1] for k, v in brute.near_duplicates([(i, t) for i, t, _ in rows[:200] + rows[-50:]], 80, 5).items()}
-
-
 def test_minhash_repeated_and_missing_ids(spark, empty):
     text = EDGE[0][1]
     rows = minhash.near_duplicates(_docs(spark, [(5, text, "a"), (5, text, "a"), (6, text, "a"), (None, text, "a"), (None, "other words entirely here", "a")]), 80, 4).collect()
