@@ -31,7 +31,7 @@ from .common import save
 from .vectors import keyed, matrix, usable
 
 DEGREE, OFFERS = 20, 8
-BEAM, EXPAND = 560, 40
+BEAM, EXPAND = 560, 112
 EXACT = 64
 #: The build ends with the round in which less than this share of the lists' places changes.
 SETTLED = 0.2
