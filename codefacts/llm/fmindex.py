@@ -8,7 +8,7 @@ backward search narrows the rows of many patterns at once.
 window of `window` words is keyed by the smallest hash among its runs of `anchor` words, so equal
 windows have equal keys wherever they stand; consecutive windows with one key form a segment.  Only
 keys that occur in two documents go on.  A key with very many distinct segments (a common run of
-words) is refined: its windows are keyed by their two smallest hashes, then by three, and so on, which
+words) is refined: its windows are keyed by their two smallest hashes, then by four, and so on, which
 equal windows share as well.  The distinct segments are dealt to shards by key, a shard is indexed, its segments are streamed against the index, and the matching statistics (cut off at
 `window`) tell which windows occur under which smallest document.  The work and what is shuffled
 grow with the input, not with shards times documents.
@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 import uuid
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -343,7 +344,7 @@ def remove_repeats(docs: DataFrame, window: int = 13, anchor: int = ANCHOR, with
     from all.  Other columns are ignored.  An empty table gives an empty result.
 
     A key with more than `segments_per_key` distinct segments (a very common run of words) is refined
-    until it has fewer or all hashes of its windows are in the key; windows that even then share a key
+    (two, four, eight, ... least hashes) until it has fewer or all hashes of its windows are in the key; windows that even then share a key
     differ by the order of their words only.  Segments are bounded in words, and so are shards.
     """
     spark = docs.sparkSession
@@ -365,14 +366,18 @@ def remove_repeats(docs: DataFrame, window: int = 13, anchor: int = ANCHOR, with
     def distinct(rows: DataFrame) -> DataFrame:
         return rows.groupBy("key", "seg").agg(F.min(F.struct("doc_id", "at", "n")).alias("of"))
 
-    for level in range(2, window - anchor + 2):
+    # Only crowded keys go from level to level; what is settled stays in the tables it was written to.
+    settled, level, most = [], 1, window - anchor + 1
+    while level < most:
+        level = min(2 * level, most)
         crowded = distinct(occurs).groupBy("key").agg(F.count("*").alias("segments")).where(F.col("segments") > segments_per_key).select("key")
         crowded = save(crowded, "crowded")
         if crowded.isEmpty():
             break
         hot = occurs.join(crowded, "key").groupBy("doc_id").agg(F.collect_list(F.struct("at", "n")).alias("spans"))
-        finer = save(_refined(kept_docs.join(hot, "doc_id"), window, anchor, level), "refined")
-        occurs = save(occurs.join(crowded, "key", "left_anti").unionByName(repeated_keys(finer)), "occurrences")
+        settled.append(occurs.join(crowded, "key", "left_anti"))
+        occurs = save(repeated_keys(save(_refined(kept_docs.join(hot, "doc_id"), window, anchor, level), "refined")), "occurrences")
+    occurs = reduce(DataFrame.unionByName, settled, occurs)
     by_doc = (
         distinct(occurs).select("key", "seg", "of.*").groupBy("doc_id")
         .agg(F.collect_list(F.struct("key", "seg", "at", "n")).alias("spans"))
