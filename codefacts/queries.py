@@ -220,17 +220,12 @@ def i1(spark, d):
     return paths.select("page_id", "path", fn.path_status(F.col("path")).alias("status"), fn.normalize_path(F.col("path")).alias("normal"))
 
 
-@registered("i2_sanitize_name", "select doc_id, case when regexp_matches(n, '^[0-9-]') then '_' || n else n end as name from (select doc_id, regexp_replace(substring(text, 1 + doc_id % 7, 40), '[^A-Za-z0-9_-]', '_', 'g') as n from documents)")
+@registered("i2_sanitize_name", "select doc_id, case when regexp_matches(n, '^[0-9-]') then '_' || n else n end as name from (select doc_id, regexp_replace(text, '[^A-Za-z0-9_-]', '_', 'g') as n from documents)")
 def i2(spark, d):
-    return query(spark, d, "select doc_id, substring(text, cast(1 + doc_id % 7 as int), 40) as s from documents").select("doc_id", fn.sanitize_name(F.col("s")).alias("name"))
-
-
-@registered("i2_sanitize_name_whole", "select doc_id, case when regexp_matches(n, '^[0-9-]') then '_' || n else n end as name from (select doc_id, regexp_replace(text, '[^A-Za-z0-9_-]', '_', 'g') as n from documents)")
-def i2_whole(spark, d):
     return query(spark, d, "select doc_id, text as s from documents").select("doc_id", fn.sanitize_name(F.col("s")).alias("name"))
 
 
-_FENCED = "select conv_id, turn, concat(case turn % 4 when 0 then '```json' when 1 then ' ```rust' when 2 then '```' else '' end, chr(10), substring(text, 1, cast(conv_id % 30 as int)), chr(10), case when conv_id % 5 = 0 then '' else '``` ' end) as s from conversations"
+_FENCED = "select conv_id, turn, concat(case turn % 4 when 0 then '```json' when 1 then ' ```rust' when 2 then '```' else '' end, chr(10), text, chr(10), case when conv_id % 5 = 0 then '' else '``` ' end) as s from conversations"
 
 
 @registered("i3_strip_fences", f"""with f as (select *, regexp_replace(s, '^\\s+|\\s+$', '', 'g') as b from ({_FENCED})),
@@ -240,14 +235,6 @@ def i3(spark, d):
     return query(spark, d, _FENCED).select("conv_id", "turn", fn.strip_fences(F.col("s")).alias("body"))
 
 
-_FENCED_WHOLE = _FENCED.replace("substring(text, 1, cast(conv_id % 30 as int))", "text")
-
-
-@registered("i3_strip_fences_whole", ORACLE_SQL["i3_strip_fences"].replace(_FENCED, _FENCED_WHOLE))
-def i3_whole(spark, d):
-    return query(spark, d, _FENCED_WHOLE).select("conv_id", "turn", fn.strip_fences(F.col("s")).alias("body"))
-
-
 _REFS = "select event_id, concat('x${{VAR_', event_id % 4, '}}-${{OTHER}}/', event_type, '${{VAR_2}}') as s from events".replace("{{", "{").replace("}}", "}")
 
 
@@ -593,18 +580,12 @@ def c12(spark, d):
     return found.withColumns({"request": F.md5("request"), "response": F.md5("response")})
 
 
-@registered("d10_collect_dependencies", "select concat('c', conv_id % 20) as project_id, string_agg(distinct w, ',' order by w) as dependencies from (select conv_id, trim(unnest(string_split(text, ' ')[1:3])) as w from conversations) where w <> '' group by all")
+@registered("d10_collect_dependencies", "select concat('c', conv_id) as project_id, string_agg(distinct w, ',' order by w) as dependencies from (select conv_id, trim(unnest(string_split(text, ' '))) as w from conversations) where w <> '' group by all")
 def d10(spark, d):
-    rows = query(spark, d, "select concat('c', conv_id % 20) as project_id, slice(split(text, ' '), 1, 3) as dependencies from conversations")
-    return facts.collect_dependencies(rows)
-
-
-@registered("d10_collect_dependencies_whole", "select concat('c', conv_id) as project_id, string_agg(distinct w, ',' order by w) as dependencies from (select conv_id, trim(unnest(string_split(text, ' '))) as w from conversations) where w <> '' group by all")
-def d10_whole(spark, d):
     return facts.collect_dependencies(query(spark, d, "select concat('c', conv_id) as project_id, split(text, ' ') as dependencies from conversations"))
 
 
-_PARTS = "select concat('c', conv_id) as project_id, turn as pos, case turn % 5 when 0 then 'functions' when 1 then 'imports' when 2 then 'types' when 3 then 'macros' else 'globals' end as section, case when conv_id % 7 = 0 then '  ' else concat(' ', substring(text, 1, 20), '!') end as rust_code from conversations"
+_PARTS = "select concat('c', conv_id) as project_id, turn as pos, case turn % 5 when 0 then 'functions' when 1 then 'imports' when 2 then 'types' when 3 then 'macros' else 'globals' end as section, case when conv_id % 7 = 0 then '  ' else concat(' ', text, '!') end as rust_code from conversations"
 
 
 @registered("d11_recombine", f"select project_id, string_agg(trim(rust_code), chr(10) || chr(10) order by list_position(['imports', 'macros', 'types', 'globals', 'functions'], section), pos) as code from ({_PARTS}) where trim(rust_code) <> '' group by all")
@@ -612,23 +593,9 @@ def d11(spark, d):
     return facts.recombine(query(spark, d, _PARTS))
 
 
-_PARTS_WHOLE = _PARTS.replace("substring(text, 1, 20)", "text")
-
-
-@registered("d11_recombine_whole", ORACLE_SQL["d11_recombine"].replace(_PARTS, _PARTS_WHOLE))
-def d11_whole(spark, d):
-    return facts.recombine(query(spark, d, _PARTS_WHOLE))
-
-
-@registered("d12_build_requests", "select source as project_id, count(*) as n_files, md5(concat('{\"files\":[', string_agg(concat('{\"path\":\"', doc_id, '\",\"contents\":\"', lang, '\"}'), ',' order by doc_id::varchar), ']}')) as payload from documents group by all")
-def d12(spark, d):
-    rows = query(spark, d, "select source as project_id, cast(doc_id as string) as path, lang as text from documents")
-    return facts.build_requests(rows).withColumn("payload", F.md5("payload"))
-
-
 # Whole texts in projects of 100 documents at most, so that no payload grows with the table.
-@registered("d12_build_requests_whole", """select concat(source, '/', doc_id // 100) as project_id, count(*) as n_files, md5(concat('{"files":[', string_agg(concat('{"path":"', doc_id, '","contents":', to_json(text), '}'), ',' order by doc_id::varchar), ']}')) as payload from documents group by all""")
-def d12_whole(spark, d):
+@registered("d12_build_requests", """select concat(source, '/', doc_id // 100) as project_id, count(*) as n_files, md5(concat('{"files":[', string_agg(concat('{"path":"', doc_id, '","contents":', to_json(text), '}'), ',' order by doc_id::varchar), ']}')) as payload from documents group by all""")
+def d12(spark, d):
     rows = query(spark, d, "select concat(source, '/', doc_id div 100) as project_id, cast(doc_id as string) as path, text from documents")
     return facts.build_requests(rows).withColumn("payload", F.md5("payload"))
 
@@ -801,15 +768,16 @@ def j2_stream(spark, d):
 
 
 _BODIES = "select project_id, file, start_off + 2 as start_off, end_off - 2 as end_off from v_spans where end_off - start_off > 12 and item_seq % 2 = 0"
+# Bodies that begin and end between characters, two from the line's ends.
+_LINE_BODIES = """select project_id, file, cast(start_off + octet_length(left(item_line, 2)) as bigint) as start_off, cast(start_off + n - 1 - octet_length(right(item_line, 2)) as bigint) as end_off
+    from v_items where char_length(item_line) > 12 and item_seq % 2 = 0"""
 
 
-@registered("d17_interface_digest", """with l as (select source as project_id, concat('d', doc_id) as file, unnest(range(len(string_split(text, chr(10)))))::bigint as item_seq, unnest(string_split(text, chr(10))) as line from documents where strlen(text) = length(text))
+@registered("d17_interface_digest", """with l as (select source as project_id, concat('d', doc_id) as file, unnest(range(len(string_split(text, chr(10)))))::bigint as item_seq, unnest(string_split(text, chr(10))) as line from documents)
     select project_id, file, string_agg(case when length(line) > 12 and item_seq % 2 = 0 then concat(line[1:2], '{ ... }', line[-2:]) else line end, chr(10) || chr(10) order by item_seq) as digest from l where line <> '' group by all""")
 def d17(spark, d):
-    files = query(spark, d, "select source as project_id, concat('d', doc_id) as file, cast(text as binary) as content from documents where octet_length(text) = length(text)")
-    named = files.select("project_id", "file")
-    items = view(spark, d, "v_spans").join(named, ["project_id", "file"], "left_semi")
-    return spans.interface_digest(files, items, query(spark, d, _BODIES).join(named, ["project_id", "file"], "left_semi"))
+    files = query(spark, d, "select source as project_id, concat('d', doc_id) as file, cast(text as binary) as content from documents")
+    return spans.interface_digest(files, view(spark, d, "v_spans"), query(spark, d, _LINE_BODIES))
 
 
 @registered("d17_interface_digest_whole")

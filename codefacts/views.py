@@ -34,8 +34,8 @@ VIEWS: dict[str, str] = {
     "v_lines": """
         select project_id, concat('f', doc_id % 40) as file, doc_id, cast(seq as bigint) as seq, line from ({lines})""",
     "v_items": """
-        select source as project_id, concat('d', doc_id) as file, cast(seq as bigint) as item_seq, coalesce(sum(n) over (partition by doc_id order by seq rows between unbounded preceding and 1 preceding), 0) as start_off, n from (
-            select source, doc_id, seq, cast({bytes}(line) + 1 as bigint) as n from ({lines}))""",
+        select source as project_id, concat('d', doc_id) as file, cast(seq as bigint) as item_seq, coalesce(sum(n) over (partition by doc_id order by seq rows between unbounded preceding and 1 preceding), 0) as start_off, n, item_line from (
+            select source, doc_id, seq, cast({bytes}(line) + 1 as bigint) as n, line as item_line from ({lines}))""",
     "v_spans": "select project_id, file, item_seq, cast(start_off as bigint) as start_off, cast(start_off + n - 1 as bigint) as end_off from v_items where n > 1",
     "v_diagnostics": """
         select d.source as project_id, concat('d', d.doc_id) as file, e.event_id as seq, cast(floor(e.value * 10) as bigint) as byte_start,
