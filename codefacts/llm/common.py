@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 #: White space that separates words: U+0020 and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: The temporary folder of a local session that names no shared one.
+_own: dict[str, str] = {}
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -21,10 +24,9 @@ def shared_dir(spark: SparkSession) -> str:
     gets a temporary one; on a cluster that is an error."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        if not spark.conf.get("spark.master", "local").startswith("local"):
+        if not (spark.conf.get("spark.master", None) or "").startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        path = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", path)
+        path = _own.get("shared") or _own.setdefault("shared", tempfile.mkdtemp(prefix="spark-"))
     return path
 
 

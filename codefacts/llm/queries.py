@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fmindex, html_text, minhash, mixing, nndescent, rpforest, sharding, tokens, toxicity
+from . import bpe, convtrie, exactdup, fmindex, html_text, minhash, mixing, nndescent, rpforest, sharding, tokens, toxicity
 from .common import shared_dir, table
 
 
@@ -68,6 +68,16 @@ def op1_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nndescent.nearest(table(spark, sf_dir, "embeddings"), every=20, k=20)
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of equal texts of all documents, and the row of each that stays."""
+    return exactdup.deduplicate(table(spark, sf_dir, "documents"))
+
+
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prefix trie of all rebuilt conversations."""
+    return convtrie.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_nn_descent": op1_nn_descent,
     "op2_fm_substring_dedup": op2_fm_substring_dedup,
@@ -79,6 +89,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pu_toxicity": op8_pu_toxicity,
     "op9_minhash_dedup": op9_minhash_dedup,
     "op10_page_text": op10_page_text,
+    "op11_exact_dedup": op11_exact_dedup,
+    "op12_conversation_trie": op12_conversation_trie,
 }
 
 #: Words of every document with their places; windows and shingles are lists of words.
@@ -87,7 +99,25 @@ _WORDS = r"""w as (select doc_id, regexp_extract_all({text}, '[^\x20\x09-\x0D]+'
 #: Smallest id that links lead to, by walking them; fixed point of a recursive union.
 _REACH = """reach(a, b) as (select a, b from links union select r.a, l.b from reach r join links l on r.b = l.a)"""
 
+#: Unsigned crc32 of an ASCII text, bit by bit.
+_CRC32 = """xor(list_reduce(flatten([[ascii(c), -1, -1, -1, -1, -1, -1, -1, -1] for c in string_split({text}, '')]), lambda crc, x: case when x >= 0 then xor(crc, x::bigint)
+    else xor(crc >> 1, (crc & 1) * 3988292384) end, 4294967295::bigint), 4294967295)"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op11_exact_dedup": """
+        select doc_id, max(doc_id) over w as keep_id, count(*) over w as group_size, row_number() over (w order by doc_id desc nulls last) = 1 as kept, sha256(coalesce(text, '')) as text_sha256
+        from documents window w as (partition by coalesce(text, ''))""",
+    "op12_conversation_trie": f"""
+        with t as (select conv_id, row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), coalesce(text, '')) - 1 as pos, {{'role': coalesce(role, ''), 'text': coalesce(text, '')}} as x from conversations where conv_id is not null),
+        c as (select conv_id, list(x order by pos) as turns, {_CRC32.format(text="conv_id::varchar")} % 6 as h from t group by conv_id),
+        r as (select c.conv_id, list_concat(coalesce(b.turns, [])[1:c.h], c.turns[c.h + 1:]) as turns from c left join c b on b.conv_id = c.conv_id - c.conv_id % 100),
+        p as (select conv_id, turns[1:d] as prefix, d, d = len(turns) as ends from (select conv_id, turns, unnest(range(len(turns) + 1)) as d from r)),
+        n as (select prefix, any_value(d) as d, min(conv_id) as conv_id, count(*) as n_convs, coalesce(string_agg(case when ends then conv_id::varchar end, ',' order by conv_id), '') as ends from p group by prefix),
+        k as (select n.*, m.conv_id as parent_conv_id from n left join n m on n.d > 0 and m.prefix = n.prefix[1:n.d - 1]),
+        kids as (select prefix[1:d - 1] as prefix, count(*) as kids from n where d > 0 group by all),
+        own as (select k.*, coalesce(kids, 0) as n_children, case when k.d > 0 then (n_convs - 1) * length(k.prefix[k.d].text) else 0 end as saves from k left join kids on kids.prefix = k.prefix),
+        sums as (select prefix[1:e] as prefix, count(*) filter (n_children = 0) as n_leaves, sum(saves)::bigint as saved_tokens from (select prefix, n_children, saves, unnest(range(d + 1)) as e from own) group by all)
+        select conv_id, d as depth, parent_conv_id, n_convs, n_children::bigint as n_children, n_leaves, saved_tokens, sha256(ends) as ends_sha256 from own join sums using (prefix)""",
     "op2_fm_substring_dedup": f"""
         with {_WORDS.format(text="coalesce(text, '')")},
         windows as (select doc_id, k, ws[k + 1:k + 13] as win from (select doc_id, ws, unnest(range(len(ws) - 12)) as k from w where len(ws) >= 13)),
