@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, convtrie, exactdup, fmindex, html_text, minhash, mixing, nndescent, rpforest, sharding, tokens, toxicity
+from . import bpe, convtrie, exactdup, fmindex, html_text, minhash, mixing, nndescent, rpforest, runs, sharding, tokens, toxicity
 from .common import shared_dir, table
 
 
@@ -78,6 +78,11 @@ def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return convtrie.conversation_trie(table(spark, sf_dir, "conversations"))
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of the words of all documents, a tenth of them made periodic."""
+    return runs.periodic_runs(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_nn_descent": op1_nn_descent,
     "op2_fm_substring_dedup": op2_fm_substring_dedup,
@@ -91,6 +96,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_page_text": op10_page_text,
     "op11_exact_dedup": op11_exact_dedup,
     "op12_conversation_trie": op12_conversation_trie,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 #: Words of every document with their places; windows and shingles are lists of words.

@@ -2,9 +2,10 @@
 
 import random
 
+import numpy as np
 import pytest
 
-from codefacts.llm import common, convtrie, exactdup
+from codefacts.llm import common, convtrie, exactdup, runs
 from codefacts.llm.queries import ORACLE_SQL, QUERIES
 
 from . import brute_groups as brute
@@ -74,6 +75,64 @@ def test_trie_empty(spark):
     assert convtrie.conversation_trie(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
+def _repetitive(rng):
+    kinds = rng.choice([1, 2, 2, 3, 5, 40])
+    x = [rng.randrange(kinds) for _ in range(rng.choice([0, 1, 5, 12, 30, 60, 150]))]
+    for _ in range(rng.randint(0, 4)):
+        p = rng.randint(1, 60)
+        base = [rng.randrange(kinds) for _ in range(p)]
+        if rng.random() < 0.3 and p > 4:  # a period that is periodic itself
+            base = (base[: rng.randint(1, 4)] * 40)[:p]
+        x += (base * 10)[: rng.randint(p, min(10 * p, 400))]
+    return x[:600]
+
+
+def test_runs_are_brute_force():
+    rng = random.Random(5)
+    for _ in range(120):
+        texts = [_repetitive(rng) for _ in range(rng.randint(1, 5))]
+        first = np.concatenate(([0], np.cumsum([len(x) for x in texts])))
+        found = runs.find_runs(np.array([v for x in texts for v in x], dtype=np.int64), first)
+        want = [(a + f, b + f, q) for x, f in zip(texts, first.tolist(), strict=True) for a, b, q in brute.runs_of(x)]
+        assert sorted(zip(*(v.tolist() for v in found), strict=True)) == sorted(want)
+
+
+def test_runs_survive_sums_that_collide(monkeypatch):
+    """Where the sums always agree, the words decide."""
+    monkeypatch.setattr(runs.Agreement, "_equal", lambda self, i, j, n: np.ones(len(i), dtype=bool))
+    x = [0, 1, 2] * 8 + [7, 8, 9, 10] * 5
+    found = runs.find_runs(np.array(x), np.array([0, len(x)]))
+    assert sorted(zip(*(v.tolist() for v in found), strict=True)) == brute.runs_of(x)
+
+
+@pytest.mark.parametrize("k", [1, 2, 5])
+def test_runs_of_fibonacci_words(k):
+    a, b = [0], [0, 1] * k
+    while len(b) < 1500:
+        a, b = b, b + a
+    found = runs.find_runs(np.array(b), np.array([0, len(b)]))
+    assert sorted(zip(*(v.tolist() for v in found), strict=True)) == brute.runs_of(b)
+
+
+def test_periodic_runs_rows(spark, data):
+    """Nulls, empty and repetitive texts, repeated rows, and the given documents of up to 1,000 words."""
+    rng = random.Random(9)
+    rows = [(None, "x " * 40), (1, None), (2, ""), (3, " \t\n "), (4, "na " * 500), (5, "a b c d e f " * 2), (5, "a b c d e f " * 2), (6, "\u00a0x\u2003 " * 12), (7, "one two")]
+    rows += [(100 + k, " ".join(f"w{v}" for v in _repetitive(rng))) for k in range(60)]
+    real = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").collect() if len((r["text"] or "").split()) <= 1000]
+    docs = spark.createDataFrame([(i, t, 5, 6, 7) for i, t in rows + real], "doc_id long, text string, start long, period long, n_runs long").repartition(3)
+    key = lambda r: tuple(-1 if v is None else v for v in r)
+    got = sorted(map(key, runs.periodic_runs(docs).collect()))
+    assert got == sorted(key(brute.periodic(i, t)) for i, t in rows + real)
+
+
+def test_periodic_runs_of_long_texts(spark):
+    text = " ".join(f"w{k % 997}x{k % 31}" for k in range(70_000))  # a period of 30,907
+    (row,) = runs.periodic_runs(spark.createDataFrame([(1, text)], "doc_id long, text string"), cycle=False).collect()
+    assert (row["n_runs"], row["start"], row["length"], row["period"]) == (1, 0, 70_000, 30_907)
+    assert runs.periodic_runs(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
 @pytest.mark.parametrize("name", ["op11_exact_dedup", "op12_conversation_trie"])
 def test_sql_gives_the_rows(spark, data, name):
     import duckdb
