@@ -40,7 +40,7 @@ def _split(rows: DataFrame, width: int, level: int, keep: list[str]) -> DataFram
     """One level.  A row that is alone gets no gid; where the text has ended or the row is alone, rest is null."""
     cut = _digit(rows, width)
     groups = _groups(_digit(rows.select("gid", "rest"), width).drop("rest"), level)
-    found = cut.join(groups, ["gid", "digit", "ended"], "left")
+    found = cut.join(groups.hint("merge"), ["gid", "digit", "ended"], "left")
     rest = F.when(F.col("next").isNotNull() & ~F.col("ended"), F.expr(f"substring(rest, {width + 1})"))
     return found.select(*keep, F.lit(level).alias("level"), F.col("next").alias("gid"), rest.alias("rest"))
 
@@ -77,5 +77,5 @@ def deduplicate(docs: DataFrame, keep: tuple[str, ...] = (), first_digit: int =
     )
     names = ["doc_id", "keep_id", "group_size", "kept", "text_sha256", *keep]
     alone = every.where("gid is null").withColumns({"keep_id": F.col("doc_id"), "group_size": F.lit(1).cast("long"), "kept": F.lit(True)})
-    judged = together.join(stays, _GROUP).withColumns({"keep_id": F.col("top.doc_id"), "kept": F.col("row") == F.col("top.row")})
+    judged = together.join(stays.hint("merge"), _GROUP).withColumns({"keep_id": F.col("top.doc_id"), "kept": F.col("row") == F.col("top.row")})
     return alone.select(*names).unionByName(judged.select(*names))
