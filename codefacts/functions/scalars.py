@@ -31,6 +31,13 @@ def normalize_path(p: Column) -> Column:
     return F.when(path_status(p) == "ok", F.substring(_walk(p), 2, 1 << 30))
 
 
+def join_path(folder: Column, p: Column) -> Column:
+    """A relative path seen from a folder of the project ('' is its root), normalized; '' for the root
+    itself, null where the path is absolute or climbs over the root."""
+    walked = _walk(F.concat_ws("/", folder, p))
+    return F.when(p.startswith("/") | (walked == "!"), F.lit(None)).otherwise(F.substring(walked, 2, 1 << 30))
+
+
 def sanitize_name(s: Column) -> Column:
     """Characters other than ASCII letters, digits, '_' and '-' as '_'; '_' before a leading digit or '-'."""
     return F.regexp_replace(F.regexp_replace(s, "[^A-Za-z0-9_-]", "_"), "^(?=[0-9-])", "_")
@@ -50,6 +57,16 @@ def find_var_refs(s: Column) -> Column:
     return F.regexp_extract_all(s, F.lit(r"\$\{([A-Za-z0-9_]+)\}"), 1)
 
 
+def single_var_ref(s: Column) -> Column:
+    """NAME where the text is one ${NAME} reference, but for white space around it; else null."""
+    return F.nullif(F.regexp_extract(s, r"(?U)^\s*\$\{([A-Za-z0-9_]+)\}\s*$", 1), F.lit(""))
+
+
+def known_refs(s: Column, known: Column) -> Column:
+    """Names in ${NAME} references that an array holds, in order, repeats kept."""
+    return F.filter(find_var_refs(s), lambda v: F.coalesce(F.array_contains(known, v), F.lit(False)))
+
+
 def fill_known(s: Column, known: Column) -> Column:
     """${NAME} as {NAME} for the names in an array; other references stay."""
     replaced = lambda acc, v: F.replace(acc, F.concat(F.lit("${"), v, F.lit("}")), F.concat(F.lit("{"), v, F.lit("}")))
@@ -60,7 +77,7 @@ def unquote(s: Column) -> Column:
     """Without outer double quotes and the backslashes of escapes inside; other texts as they are."""
     quoted = s.rlike('(?s)^".*"$') & (F.length(s) >= 2)
     inner = F.substring(s, F.lit(2), F.length(s) - 2)
-    return F.when(quoted, F.regexp_replace(inner, r"(?s)\\(.)", "$1")).otherwise(s)
+    return F.when(quoted, F.regexp_replace(inner, r"(?s)\\(.?)", "$1")).otherwise(s)
 
 
 def success_rate(passed: Column, total: Column, skipped: Column) -> Column:

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import fill_known, find_var_refs, normalize_path, unquote
+from ..functions import fill_known, find_var_refs, join_path, known_refs, single_var_ref, unquote
+from .facts import expand_source_patterns
+from .includes import include_tree, last_before, place_statements, placed
 
 FILE = ["project_id", "file"]
 # No group below is matched by recursion: possessive loops run in constant stack, however long the text.
@@ -96,113 +98,244 @@ def scope_gates(statements: DataFrame, variables: DataFrame) -> DataFrame:
     return rows.select(*statements.columns, F.col("_span.var").alias("gate_var"), F.col("_span.value").alias("gate_value"), F.col("_span.branch").alias("branch"))
 
 
-def asof_assignments(statements: DataFrame) -> DataFrame:
-    """References ${X_SOURCES} (project_id, file, seq, name) with the arguments of the latest earlier
-    set(X_SOURCES ...) in the file; null if none."""
-    sets = statements.where("command = 'set' and size(args) > 1").select(*FILE, "seq", F.get("args", F.lit(0)).alias("name"), F.slice("args", 2, F.size("args")).alias("assigned"), F.lit(0).alias("is_ref"))
-    sets = sets.where(F.col("name").endswith("_SOURCES"))
-    refs = statements.where("command <> 'set'").select(*FILE, "seq", F.explode(F.flatten(F.transform("args", find_var_refs))).alias("name"), F.lit(None).cast("array<string>").alias("assigned"), F.lit(1).alias("is_ref"))
-    refs = refs.where(F.col("name").endswith("_SOURCES"))
-    order = Window.partitionBy(*FILE, "name").orderBy("seq", "is_ref").rowsBetween(Window.unboundedPreceding, 0)
-    seen = sets.unionByName(refs).withColumn("assigned", F.last("assigned", ignorenulls=True).over(order))
-    return seen.where("is_ref = 1").drop("is_ref").distinct()
+def read_statements(statements: DataFrame, variables: DataFrame, files: DataFrame) -> DataFrame:
+    """Statements with their gates, as the build files of each project are read: see `includes`.
+
+    The operators below take these, so that lists and values go from file to file.  They also take
+    plain statements; then each file is read by itself.  variables: (project_id, name, values), files:
+    (project_id, path)."""
+    return place_statements(scope_gates(statements, variables), include_tree(statements, variables, files))
+
+
+def _read(statements: DataFrame, variables: DataFrame) -> DataFrame:
+    """Placed statements with gates, and `known`, the names of the project's variables."""
+    rows = placed(statements if "gate_var" in statements.columns else scope_gates(statements, variables))
+    known = variables.groupBy("project_id").agg(F.collect_set("name").alias("known"))
+    return rows.join(known, "project_id", "left")
+
+
+def _arg(k: int):
+    return unquote(F.get("args", F.lit(k)))
+
+
+def _in_array(array, x):
+    return F.coalesce(F.array_contains(array, x), F.lit(False))
+
+
+def _seen_from(folder, path):
+    """A path in a build file, seen from the project's root; as it is where it leaves the project."""
+    return F.when(folder == "", path).otherwise(F.coalesce(join_path(folder, path), path))
+
+
+_COMPILER_FLAGS = ("CMAKE_C_FLAGS", "CMAKE_CXX_FLAGS")
+
+
+def _is_default():
+    """set(VAR value CACHE ...) of a known variable gives its default and nothing else."""
+    return _in_array(F.col("known"), _arg(0)) & F.exists("args", lambda a: unquote(a) == "CACHE")
+
+
+def _sets(rows: DataFrame) -> DataFrame:
+    return rows.where("command = 'set' and size(args) > 0").where(~_is_default() & ~_arg(0).isin(*_COMPILER_FLAGS))
+
+
+def _source_lists(rows: DataFrame) -> DataFrame:
+    """(project_id, ctx, key, name, value): the paths of set(X_SOURCES ...), seen from the root."""
+    paths = F.transform(F.slice("args", 2, F.size("args")), lambda a: _seen_from(F.col("dir"), unquote(a)))
+    return _sets(rows).where(_arg(0).endswith("_SOURCES")).select("project_id", "ctx", "key", _arg(0).alias("name"), paths.alias("value"))
+
+
+def _composed_values(rows: DataFrame) -> DataFrame:
+    """(project_id, ctx, key, name, value): texts of other set(NAME text) that refer to a known variable."""
+    refers = F.size(known_refs(_arg(1), F.col("known"))) > 0
+    return _sets(rows).where(~_arg(0).endswith("_SOURCES") & refers).select("project_id", "ctx", "key", _arg(0).alias("name"), _arg(1).alias("value"))
+
+
+def asof_assignments(statements: DataFrame, variables: DataFrame | None = None) -> DataFrame:
+    """References ${X_SOURCES} (project_id, ctx, file, seq, name) with the paths of the latest
+    set(X_SOURCES ...) read before, in the same context or one around it; null if none."""
+    rows = placed(statements)
+    rows = _read(rows, variables) if variables is not None else rows.withColumn("known", F.array().cast("array<string>"))
+    names = F.explode(F.array_distinct(F.flatten(F.transform("args", find_var_refs))))
+    refs = rows.where("command <> 'set'").select("project_id", "ctx", "chain", "file", "seq", "key", names.alias("name")).where(F.col("name").endswith("_SOURCES"))
+    found = last_before(refs.withColumn("ref", F.struct("ctx", "key")), _source_lists(rows), "name")
+    return found.select("project_id", "ctx", "file", "seq", "name", F.col("value").alias("assigned"))
+
+
+#: What option() takes for on and off.
+_ON, _OFF = ("ON", "TRUE", "YES", "1"), ("OFF", "FALSE", "NO", "0")
 
 
 def variable_defaults(statements: DataFrame, variables: DataFrame) -> DataFrame:
     """(project_id, name, default) of known variables: the value of set(VAR v CACHE ...), blank as
-    null, or true / false of option(VAR doc ON|OFF); the last statement wins."""
-    arg = lambda k: F.get("args", F.lit(k))
-    cached = (F.col("command") == "set") & F.array_contains("args", "CACHE") & (arg(1) != "CACHE")
-    value = F.when(cached, F.nullif(unquote(arg(1)), F.lit(""))).when(F.upper(arg(2)) == "ON", "true").otherwise("false")
-    rows = statements.where(cached | (F.col("command") == "option")).select("project_id", arg(0).alias("name"), "seq", value.alias("value"))
-    last = rows.join(variables.select("project_id", "name"), ["project_id", "name"], "left_semi")
-    return last.groupBy("project_id", "name").agg(F.max(F.struct("seq", "value"))["value"].alias("default"))
+    null, or true / false of option(VAR doc ON|OFF), null for other words; the last statement wins.
+    What variants set stays in them."""
+    known = variables.groupBy("project_id").agg(F.collect_set("name").alias("known"))
+    rows = placed(statements).join(known, "project_id").where((F.size("tags") == 0) & (F.size("args") > 0))
+    cached, option = (F.col("command") == "set") & _is_default(), (F.col("command") == "option") & _in_array(F.col("known"), _arg(0))
+    value = F.when(cached, F.nullif(_arg(1), F.lit(""))).when(_arg(2).isin(*_ON), "true").when(_arg(2).isin(*_OFF), "false")
+    rows = rows.where(cached | option).select("project_id", _arg(0).alias("name"), "key", value.alias("value"))
+    return rows.groupBy("project_id", "name").agg(F.max(F.struct("key", "value"))["value"].alias("default"))
+
+
+def _template(value, known):
+    return fill_known(value, F.array_distinct(known_refs(value, known)))
 
 
 def extract_defines(statements: DataFrame, variables: DataFrame) -> DataFrame:
-    """Defines by kind, from the four commands that set them.
+    """Defines by kind, a row for each that is made: project_id, ctx, tags, key, at, define, kind, var,
+    template, gate_var, gate_value, source_vars.  key and at order them.
+
+    add_compile_definitions: NAME=${VAR} is bare, NAME="${VAR}" quoted, two or more known references
+    composed, with a template of {VAR}.  add_definitions: bare, and a name without '=' inside a gate
+    gated.  Both may leave out -D.  set() of compiler flags: -DNAME=... bare or composed; a reference
+    to a composed value set before counts as that.  target_compile_definitions: names without '=' inside a gate,
+    once for each gate of a context; nothing is stripped from them.
 
-    NAME=${VAR} is bare, NAME="${VAR}" (add_compile_definitions only) quoted, two or more known
-    references composed (template with {VAR}), a name without '=' inside a gate gated.  -D may be left
-    out in add_compile_definitions and add_definitions, must be there in set() flag strings, and stays
-    in target_compile_definitions.
+    In the end a bare define by a known variable that some statement set to two or more known
+    references, the last such value where its context ends, becomes composed.
     """
-    gated = scope_gates(statements, variables)
-    known = variables.groupBy("project_id").agg(F.collect_set("name").alias("known"))
-    takes = F.col("command").isin("add_compile_definitions", "add_definitions", "target_compile_definitions", "set")
-    words = F.when(F.col("command") == "set", F.when(F.array_contains(F.transform("args", lambda a: a.rlike("FLAGS")), True), F.flatten(F.transform("args", lambda a: F.regexp_extract_all(unquote(a), F.lit(r"(-D[^ ]+)"), 1))))).when(
-        F.col("command") == "target_compile_definitions", F.slice("args", 2, F.size("args"))
-    ).otherwise(F.col("args"))
-    rows = gated.where(takes).join(known, "project_id", "left").withColumn("tokens", words)
-    rows = rows.select(*FILE, "seq", "command", "gate_var", "gate_value", "known", F.explode("tokens").alias("token"))
-    bare = F.when(F.col("command") == "target_compile_definitions", F.col("token")).otherwise(F.regexp_replace("token", "^-D", ""))
-    rows = rows.withColumn("token", bare).where(~F.col("token").isin("PUBLIC", "PRIVATE", "INTERFACE"))
-    name = F.regexp_extract("token", "^([A-Za-z_][A-Za-z0-9_]*)(=|$)", 1)
-    value = F.regexp_extract("token", "(?s)^[^=]*=(.*)$", 1)
-    refs = F.array_intersect(find_var_refs(F.col("token")), F.coalesce("known", F.array().cast("array<string>")))
-    rows = rows.withColumns({"define": name, "value": value, "refs": refs}).where("define <> ''")
-    quoted = F.col("value").rlike(r'^"\$\{[A-Za-z0-9_]+\}"$') & (F.col("command") == "add_compile_definitions")
+    rows = _read(statements, variables)
+    base = ["project_id", "ctx", "chain", "tags", "key", "known", "gate_var", "gate_value", "command"]
+    is_ = lambda *c: F.col("command").isin(*c)
+    flags = is_("set") & ~_is_default() & _arg(0).isin(*_COMPILER_FLAGS)
+    words = (
+        F.when(flags, F.filter(F.split(_arg(1), r"[ \t\r\n\f]+"), lambda w: w.startswith("-D")))
+        .when(is_("target_compile_definitions"), F.transform(F.slice("args", 2, F.size("args")), unquote))
+        .when(is_("add_compile_definitions", "add_definitions"), F.transform("args", unquote))
+    )
+    tokens = rows.select(*base, F.posexplode(words).alias("at", "token"))
+    body = F.when(is_("target_compile_definitions"), F.col("token")).otherwise(F.regexp_replace("token", "^-D", ""))
+    tokens = tokens.withColumn("body", body).withColumn("has_value", F.contains("body", F.lit("=")))
+    trim = lambda c: F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    name = F.when(F.col("has_value"), trim(F.substring_index("body", "=", 1))).otherwise(F.col("body"))
+    value = F.when(F.col("has_value"), trim(F.expr("substring(body, instr(body, '=') + 1)")))
+    tokens = tokens.withColumns({"define": name, "value": value})
+    inner = F.regexp_extract("value", '(?s)^"(.*)"$', 1)
+    quoted, bare = single_var_ref(inner), single_var_ref(F.col("value"))
+    refs = known_refs(F.col("value"), F.col("known"))
+    is_known = lambda v: v.isNotNull() & _in_array(F.col("known"), v)
     kind = (
-        F.when((F.size("refs") >= 2), "composed").when((F.size("refs") == 1) & quoted, "quoted")
-        .when((F.size("refs") == 1) & F.col("value").rlike(r"^\$\{[A-Za-z0-9_]+\}$"), "bare").when(~F.col("token").contains("=") & F.col("gate_var").isNotNull(), "gated")
+        F.when(is_("add_compile_definitions") & is_known(quoted), "quoted")
+        .when(F.col("has_value") & ~is_("target_compile_definitions") & is_known(bare), "bare")
+        .when(is_("add_compile_definitions") & (F.size(refs) >= 2), "composed")
+        .when(is_("set") & bare.isNull() & (F.size(refs) >= 2), "composed")
+        .when(is_("set") & bare.isNotNull(), "by value")
+        .when(is_("add_definitions", "target_compile_definitions") & ~F.col("has_value") & F.col("gate_var").isNotNull() & ~(is_("target_compile_definitions") & F.col("token").isin("PRIVATE", "PUBLIC", "INTERFACE")), "gated")
     )
-    rows = rows.withColumn("kind", kind).where("kind is not null")
-    # An array_intersect keeps the order of the text.
-    return rows.select(
-        "project_id", "define", "kind", F.when(F.col("kind") == "composed", fill_known(unquote(F.col("value")), F.col("refs"))).alias("template"),
-        F.when(F.col("kind") == "gated", F.col("gate_var")).alias("gate_var"), F.when(F.col("kind") == "gated", F.col("gate_value")).alias("gate_value"),
-        F.array_join("refs", ",").alias("source_vars"),
-    ).distinct()
-
-
-_LIBRARY_WORDS = ("STATIC", "SHARED", "MODULE", "OBJECT", "INTERFACE", "EXCLUDE_FROM_ALL", "ALIAS", "IMPORTED", "WIN32")
-
-
-def declare_targets(statements: DataFrame) -> DataFrame:
-    """(project_id, file, seq, target, kind, path): literal files of executables and libraries, those of
+    tokens = tokens.withColumns({"var": F.coalesce(F.when(is_("add_compile_definitions"), quoted), bare), "kind": kind}).where("kind is not null")
+    # A gated name of target_compile_definitions counts once for each gate of a context.
+    earlier = F.row_number().over(Window.partitionBy("project_id", "ctx", "define", "gate_var", "gate_value", F.col("kind") == "gated").orderBy("key", "at"))
+    tokens = tokens.withColumn("nth", F.when(is_("target_compile_definitions"), earlier).otherwise(1)).where("nth = 1").drop("nth")
+
+    composed = _composed_values(rows)
+    ref = F.struct("ctx", "key", "at")
+    # Flags see the composed values set before them; bare defines those set when their context ends.
+    last = F.array_append(F.when(F.size("chain") > 1, F.transform(F.split(F.substring_index("ctx", "/", -1), r"\."), lambda x: x.cast("long"))).otherwise(F.array().cast("array<bigint>")), F.lit((1 << 63) - 1))
+    asks = tokens.where("kind in ('bare', 'by value')")
+    asks = asks.select("project_id", "chain", F.when(F.col("kind") == "bare", last).otherwise(F.col("key")).alias("key"), F.col("var").alias("name"), ref.alias("ref"))
+    told = last_before(asks, composed, "name").select("project_id", F.col("ref.ctx").alias("ctx"), F.col("ref.key").alias("key"), F.col("ref.at").alias("at"), F.col("value").alias("set_to"))
+    tokens = tokens.join(told, ["project_id", "ctx", "key", "at"], "left")
+    of_set = known_refs(F.col("set_to"), F.col("known"))
+    by_set = F.col("kind").isin("bare", "by value") & (F.size(of_set) >= 2)
+    out = tokens.withColumn("by_set", F.coalesce(by_set, F.lit(False))).where("by_set or kind <> 'by value'")
+    is_composed = F.col("by_set") | (F.col("kind") == "composed")
+    text = F.when(F.col("by_set"), F.col("set_to")).otherwise(F.col("value"))
+    gated = F.col("kind") == "gated"
+    sources = F.when(gated, F.array("gate_var")).when(is_composed, known_refs(text, F.col("known"))).otherwise(F.array("var"))
+    return out.select(
+        "project_id", "ctx", "tags", "key", "at", "define", F.when(is_composed, "composed").otherwise(F.col("kind")).alias("kind"), F.when(~is_composed & ~gated, F.col("var")).alias("var"),
+        F.when(is_composed, _template(text, F.col("known"))).alias("template"), F.when(gated, F.col("gate_var")).alias("gate_var"), F.when(gated, F.col("gate_value")).alias("gate_value"),
+        F.array_join(sources, ",").alias("source_vars"),
+    )
+
+
+def variant_defines(defines: DataFrame) -> DataFrame:
+    """(project_id, driving_var, value, seq, define, kind, var) of the defines that variants opened by
+    the project itself make, as flags_from_defaults takes them."""
+    one = defines.where(F.size("tags") == 1)
+    seq = F.row_number().over(Window.partitionBy("project_id", "ctx").orderBy("key", "at"))
+    var = F.coalesce("var", "gate_var")
+    return one.select("project_id", F.get("tags", F.lit(0))["var"].alias("driving_var"), F.get("tags", F.lit(0))["value"].alias("value"), seq.cast("long").alias("seq"), "define", "kind", var.alias("var"))
+
+
+#: Words of a target's declaration that are no sources.
+_TARGET_WORDS = ("STATIC", "SHARED", "MODULE", "INTERFACE", "OBJECT", "EXCLUDE_FROM_ALL")
+
+
+def expand_targets(statements: DataFrame, variables: DataFrame) -> DataFrame:
+    """Executables and libraries with all their sources: project_id, ctx, tags, file, seq, key, target,
+    kind, gate_var, gate_value, sources (paths in order), driving_var.
+
+    A source ${X_SOURCES} stands for the paths of the latest list read before; others are seen from
+    the project's root.  The driving variable is the last known one that a list's paths refer to.
+    """
+    rows = _read(statements, variables)
+    base = ["project_id", "ctx", "tags", "file", "seq", "key", "target", "kind", "gate_var", "gate_value"]
+    targets = rows.where("command in ('add_executable', 'add_library') and size(args) > 0").withColumns({"target": _arg(0), "kind": F.when(F.col("command") == "add_executable", "exe").otherwise("lib")})
+    parts = targets.select(*base, "chain", "dir", "known", F.posexplode_outer(F.slice("args", 2, F.size("args"))).alias("at", "arg"))
+    parts = parts.withColumn("text", unquote(F.col("arg"))).where(F.col("text").isNull() | ~F.col("text").isin(*_TARGET_WORDS)).withColumn("name", single_var_ref(F.col("text")))
+    asks = parts.where("name is not null").select("project_id", "chain", "key", "name", F.struct("ctx", "key", "at").alias("ref"))
+    told = last_before(asks, _source_lists(rows), "name").select("project_id", F.col("ref.ctx").alias("ctx"), F.col("ref.key").alias("key"), F.col("ref.at").alias("at"), F.col("value").alias("listed"))
+    parts = parts.join(told, ["project_id", "ctx", "key", "at"], "left")
+    paths = F.coalesce("listed", F.when(F.col("text").isNotNull(), F.array(_seen_from(F.col("dir"), F.col("text")))), F.array().cast("array<string>"))
+    drives = F.when(F.col("listed").isNotNull(), F.flatten(F.transform("listed", lambda p: known_refs(p, F.col("known")))))
+    whole = parts.groupBy(*base).agg(F.array_sort(F.collect_list(F.struct("at", paths.alias("paths"), F.coalesce(drives, F.array().cast("array<string>")).alias("drives")))).alias("x"))
+    sources = F.flatten(F.transform("x", lambda p: p["paths"]))
+    found = whole.select(*base, sources.alias("sources"), F.try_element_at(F.flatten(F.transform("x", lambda p: p["drives"])), F.lit(-1)).alias("driving_var"))
+    # A target all of whose words are such words has no part left.
+    bare = targets.select(*base).join(found.select("project_id", "ctx", "key"), ["project_id", "ctx", "key"], "left_anti")
+    return found.unionByName(bare.withColumns({"sources": F.array().cast("array<string>"), "driving_var": F.lit(None).cast("string")}))
+
+
+def declare_targets(statements: DataFrame, variables: DataFrame | None = None) -> DataFrame:
+    """(project_id, ctx, file, seq, target, kind, path): literal files of executables and libraries, those of
     ${X_SOURCES} references included; other ${...} paths go.  A target without files has a null path."""
-    rows = statements.where("command in ('add_executable', 'add_library') and size(args) > 0").select(
-        *FILE, "seq", F.get("args", F.lit(0)).alias("target"), F.when(F.col("command") == "add_executable", "exe").otherwise("lib").alias("kind"), F.explode_outer(F.slice("args", 2, F.size("args"))).alias("path")
-    ).where(F.col("path").isNull() | ~F.col("path").isin(*_LIBRARY_WORDS))
-    ref = F.regexp_extract("path", r"^\$\{([A-Za-z0-9_]+_SOURCES)\}$", 1)
-    rows = rows.withColumn("name", F.nullif(ref, F.lit("")))
-    found = asof_assignments(statements)
-    listed = rows.where("name is not null").join(found, [*FILE, "seq", "name"], "left").select(*FILE, "seq", "target", "kind", F.explode_outer("assigned").alias("path"))
-    literal = rows.where("name is null").select(*FILE, "seq", "target", "kind", "path")
-    return literal.unionByName(listed).where(F.col("path").isNull() | ~F.col("path").contains("${"))
+    if variables is None:
+        variables = statements.select("project_id").distinct().select("project_id", F.lit(None).cast("string").alias("name"))
+    rows = expand_targets(statements, variables)
+    literal = F.filter("sources", lambda p: ~F.contains(p, F.lit("${")))
+    return rows.select("project_id", "ctx", "file", "seq", "target", "kind", F.explode_outer(literal).alias("path"))
+
+
+def _selected(targets: DataFrame, files: DataFrame) -> DataFrame:
+    """Targets whose sources a variable selects: project_id, ctx, key, target, var, value, path."""
+    ref = lambda v: F.concat(F.lit("${"), v, F.lit("}"))
+    rows = targets.where("driving_var is not null")
+    rows = rows.withColumn("pattern", F.get(F.filter("sources", lambda p: F.contains(p, ref(F.col("driving_var")))), F.lit(0)))
+    at = F.instr("pattern", ref(F.col("driving_var")))
+    prefix = F.substring(F.col("pattern"), F.lit(1), at - 1)
+    suffix = F.substring(F.col("pattern"), at + F.length(ref(F.col("driving_var"))), F.length("pattern"))
+    rows = rows.withColumns({"prefix": prefix, "suffix": suffix})
+    found = expand_source_patterns(rows.select("project_id", F.struct("pattern", "driving_var").alias("pattern"), "prefix", "suffix").distinct(), files)
+    rows = rows.select("project_id", "ctx", "key", "target", F.col("driving_var").alias("var"), F.struct("pattern", "driving_var").alias("pattern"))
+    return rows.join(found, ["project_id", "pattern"]).drop("pattern")
 
 
 def select_sources_by_variable(statements: DataFrame, variables: DataFrame, files: DataFrame) -> DataFrame:
-    """(project_id, target, var, value, path): targets whose paths hold a known variable, one row for
-    each file that fits a value."""
-    from .facts import expand_source_patterns
-
-    rows = statements.where("command in ('add_executable', 'add_library')").select("project_id", F.get("args", F.lit(0)).alias("target"), F.explode(F.slice("args", 2, F.size("args"))).alias("pattern"))
-    part = lambda k: F.regexp_extract("pattern", r"^(.*?)\$\{([A-Za-z0-9_]+)\}(.*)$", k)
-    rows = rows.withColumns({"prefix": part(1), "var": part(2), "suffix": part(3)}).where("var <> ''")
-    rows = rows.join(variables.select("project_id", F.col("name").alias("var")), ["project_id", "var"], "left_semi")
-    found = expand_source_patterns(rows.select("project_id", "pattern", "prefix", "suffix").distinct(), files)
-    return rows.select("project_id", "target", "var", "pattern").distinct().join(found, ["project_id", "pattern"]).select("project_id", "target", "var", "value", "path")
+    """(project_id, ctx, target, var, value, path): targets with a driving variable; a row for each file
+    that fits a value in the first of their sources that refers to it."""
+    return _selected(expand_targets(statements, variables), files).drop("key")
 
 
 def conditional_targets(statements: DataFrame, variables: DataFrame, files: DataFrame) -> DataFrame:
-    """Targets inside a gate with their files that exist; dropped when none do."""
-    gates = scope_gates(statements, variables).where("gate_var is not null").select(*FILE, "seq", "gate_var", "gate_value")
-    rows = declare_targets(statements).join(gates, [*FILE, "seq"]).join(files.select("project_id", "path"), ["project_id", "path"], "left_semi")
-    return rows.groupBy("project_id", "target", "kind", "gate_var", "gate_value").agg(F.array_join(F.array_sort(F.collect_set("path")), ",").alias("files"))
-
-
-def subdirectory_edges(statements: DataFrame, variables: DataFrame, build_files: DataFrame) -> DataFrame:
-    """(project_id, parent, child, var, value): literal add_subdirectory edges, and one for each value
-    (variables: project_id, name, values) whose build file (project_id, dir) exists; paths that leave
-    the project go."""
-    rows = statements.where("command = 'add_subdirectory' and size(args) > 0").select("project_id", F.col("file").alias("parent"), F.get("args", F.lit(0)).alias("path"))
-    ref = F.regexp_extract("path", r"\$\{([A-Za-z0-9_]+)\}", 1)
-    rows = rows.withColumn("var", F.nullif(ref, F.lit("")))
-    values = variables.select("project_id", F.col("name").alias("var"), F.explode("values").alias("value"))
-    by_value = rows.where("var is not null").join(values, ["project_id", "var"]).withColumn("path", F.replace("path", F.concat(F.lit("${"), "var", F.lit("}")), F.col("value")))
-    every = rows.where("var is null").withColumn("value", F.lit(None).cast("string")).unionByName(by_value).withColumn("child", normalize_path(F.col("path")))
-    return every.where("child is not null").join(build_files.select("project_id", F.col("dir").alias("child")), ["project_id", "child"], "left_semi").select("project_id", "parent", "child", "var", "value").distinct()
+    """(project_id, ctx, target, kind, gate_var, gate_value, files): targets inside a gate that no
+    variable selects sources for, with those of their files that exist, in order; dropped when none do."""
+    targets = expand_targets(statements, variables)
+    at = ["project_id", "ctx", "key"]
+    left = targets.where("gate_var is not null").join(_selected(targets, files).select(*at), at, "left_anti")
+    rows = left.select(*at, "target", "kind", "gate_var", "gate_value", F.posexplode("sources").alias("at", "path"))
+    there = rows.join(files.select("project_id", "path"), ["project_id", "path"], "left_semi")
+    listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "path"))), lambda x: x["path"]), ",")
+    return there.groupBy(*at, "target", "kind", "gate_var", "gate_value").agg(listed.alias("files")).drop("key")
+
+
+def subdirectory_edges(tree: DataFrame) -> DataFrame:
+    """(project_id, ctx, parent, child, var, value): the folders that `includes.include_tree` reads from
+    another, by a literal path or by the value of a variable that opens the context."""
+    opens = (F.size("tags") > 0) & (F.col("dir") == F.element_at("tops", -1))
+    last = F.try_element_at("tags", F.lit(-1))
+    return tree.where("parent is not null").select("project_id", "ctx", "parent", F.col("dir").alias("child"), F.when(opens, last["var"]).alias("var"), F.when(opens, last["value"]).alias("value"))
 
 
 def config_presence(projects: DataFrame, configs: DataFrame) -> DataFrame:

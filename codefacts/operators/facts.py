@@ -147,13 +147,16 @@ def stack_outer_tags(subdirs: DataFrame, files: DataFrame) -> DataFrame:
 
 def expand_source_patterns(patterns: DataFrame, files: DataFrame) -> DataFrame:
     """(project_id, pattern, value, path): patterns pre${VAR}suf (project_id, pattern, prefix, suffix)
-    against files; the part between must be a name.  Joined on project and the pattern's folder."""
-    folder = lambda c: F.regexp_extract(c, r"^(.*/)?[^/]*$", 1)
-    left = patterns.withColumn("folder", folder("prefix"))
-    right = files.select("project_id", "path", folder("path").alias("folder"))
+    against files; the part between must be a name.  Joined on project, the prefix's folder, which
+    must be one of the file's, and depth, as a name holds no slash."""
+    depth = lambda c: F.length(c) - F.length(F.replace(c, F.lit("/")))
+    left = patterns.withColumns({"folder": F.regexp_extract("prefix", r"(?s)^(.*/)?[^/]*$", 1), "depth": depth(F.concat("prefix", "suffix"))})
+    parts = F.split("path", "/")
+    above = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda k: F.when(k == 0, F.lit("")).otherwise(F.concat(F.array_join(F.slice(parts, F.lit(1), k), "/"), F.lit("/"))))
+    right = files.select("project_id", "path", depth(F.col("path")).alias("depth"), F.explode(above).alias("folder"))
     fits = F.col("path").startswith(F.col("prefix")) & F.col("path").endswith(F.col("suffix")) & (F.length("path") > F.length("prefix") + F.length("suffix"))
     value = F.substring(F.col("path"), F.length("prefix") + 1, F.length("path") - F.length("prefix") - F.length("suffix"))
-    return left.join(right, ["project_id", "folder"]).where(fits).withColumn("value", value).where(F.col("value").rlike("^[A-Za-z0-9_]+$")).select("project_id", "pattern", "value", "path")
+    return left.join(right, ["project_id", "folder", "depth"]).where(fits).withColumn("value", value).where(F.col("value").rlike("^[A-Za-z0-9_]+$")).select("project_id", "pattern", "value", "path")
 
 
 def nearest_ancestor(paths: DataFrame, markers: DataFrame) -> DataFrame:

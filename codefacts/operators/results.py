@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 from ..functions import success_rate
 
@@ -11,26 +15,67 @@ _TRIM = r"(?U)^\s+|\s+$"
 
 
 def _compiles(pattern: Column) -> Column:
-    """Whether a text is a pattern to the engine that matches here."""
+    """Whether a text is a pattern to the engine of rlike."""
     return F.try_reflect(F.lit("java.util.regex.Pattern"), F.lit("compile"), pattern).isNotNull()
 
 
+#: What the escapes of a pattern mean; a pattern's letters, digits and spaces are those of Unicode.
+_CLASSES = {"d": r"\p{Nd}", "w": r"\p{L}\p{M}\p{Nd}\p{Pc}", "s": r"\s\x{85}\p{Z}"}
+
+
+def _spelled_out(pattern: str) -> str:
+    """\\d, \\w and \\s (and \\D, \\W, \\S outside brackets) by their Unicode classes."""
+    out, inside, k = [], False, 0
+    while k < len(pattern):
+        c = pattern[k]
+        if c == "\\" and k + 1 < len(pattern):
+            name = pattern[k + 1]
+            known = _CLASSES.get(name) or (None if inside else _CLASSES.get(name.lower()))
+            out.append(pattern[k : k + 2] if not known else known if inside else f"[{known}]" if name.islower() else f"[^{known}]")
+            k += 2
+            continue
+        inside = c == "[" or (inside and c != "]")
+        out.append(c)
+        k += 1
+    return "".join(out)
+
+
+@F.arrow_udf(BooleanType())
+def _found(texts: pa.Array, patterns: pa.Array) -> pa.Array:
+    """Whether each pattern occurs in its text; a text that is no pattern is found nowhere.  The engine
+    takes time in proportion to the text and constant stack, whatever the pattern."""
+    coded = patterns.dictionary_encode()
+    of = coded.indices.fill_null(-1).to_numpy()
+    order = np.argsort(of, kind="stable")
+    cuts = np.searchsorted(of[order], np.arange(len(coded.dictionary) + 1))
+    out = np.zeros(len(of), dtype=bool)
+    for k, pattern in enumerate(coded.dictionary.to_pylist()):
+        rows = order[cuts[k] : cuts[k + 1]]
+        try:
+            hits = pc.match_substring_regex(texts.take(pa.array(rows)), _spelled_out(pattern))
+        except pa.ArrowInvalid:
+            continue
+        out[rows] = hits.fill_null(False).to_numpy(zero_copy_only=False)
+    return pa.array(out)
+
+
 def judge_output(vectors: DataFrame, outputs: DataFrame) -> DataFrame:
     """Vectors (project_id, filename, pattern, is_regex, has_ub) against outputs (project_id, filename,
     actual): passed and skipped per vector.
 
     A vector flagged as undefined behaviour passes as skipped; else a regex must be found in the
     output, or the trimmed texts be equal.  No output fails.  An invalid pattern fails its vectors
-    only: the distinct patterns (far fewer than vectors) are compiled first.
+    only; look-around and back references are invalid.  Patterns are matched in Arrow batches by an
+    engine without backtracking, so no pattern or output can end the job; only the rows of regular expressions
+    go there.
     """
-    valid = vectors.where("is_regex").select("pattern").distinct().withColumn("valid", _compiles(F.col("pattern")))
-    joined = vectors.join(outputs, ["project_id", "filename"], "left").join(valid, "pattern", "left")
+    joined = vectors.join(outputs, ["project_id", "filename"], "left")
     ub = F.col("has_ub").isNotNull()
-    # rlike sees only patterns that compiled, so that one bad pattern doesn't end the job.
-    safe = F.when(F.col("is_regex") & F.coalesce("valid", F.lit(False)), F.col("pattern")).otherwise(F.lit("$^"))
+    asks = F.col("is_regex") & ~ub
     same = F.regexp_replace("actual", _TRIM, "") == F.regexp_replace("pattern", _TRIM, "")
-    passed = F.when(F.col("is_regex"), F.col("valid") & F.expr("rlike(actual, safe)")).otherwise(same)
-    return joined.withColumn("safe", safe).select(
+    found = _found(F.when(asks, F.col("actual")), F.when(asks, F.col("pattern")))
+    passed = F.when(F.col("is_regex"), found).otherwise(same)
+    return joined.select(
         "project_id", "filename", (ub | F.coalesce(F.col("actual").isNotNull() & passed, F.lit(False))).alias("passed"), ub.alias("skipped")
     )
 

@@ -673,7 +673,7 @@ _ASOF = _STATEMENTS + """, sets as (select project_id, file, seq, args[1] as nam
 
 @registered("c8_asof_assignments", f"with {_ASOF} select * from asof_")
 def c8(spark, d):
-    return buildfacts.asof_assignments(_statements(spark, d)).withColumn("assigned", F.array_join("assigned", "|"))
+    return buildfacts.asof_assignments(_statements(spark, d)).drop("ctx").withColumn("assigned", F.array_join("assigned", "|"))
 
 
 @registered("g1_variable_defaults", f"""with {_STATEMENTS}, v as (select project_id, args[1] as name, seq, case when command = 'set' then nullif(replace(args[2], '"', ''), '') when upper(args[3]) = 'ON' then 'true' else 'false' end as value from st where command = 'option' or (command = 'set' and list_contains(args, 'CACHE')))
@@ -682,46 +682,138 @@ def g1(spark, d):
     return buildfacts.variable_defaults(_statements(spark, d), _vars(spark, d))
 
 
-@registered("g2_extract_defines", f"""with {_GATES}, tk as (select project_id, gate_var, gate_value, regexp_replace(unnest(args), '^-D', '') as token from gt where command = 'add_compile_definitions'),
-    rf as (select *, list_filter(regexp_extract_all(token, '\\$\\{{([A-Za-z0-9_]+)\\}}', 1), lambda r: list_contains(nv.names, r)) as refs, regexp_extract(token, '^([A-Za-z_][A-Za-z0-9_]*)(=|$)', 1) as define, regexp_extract(token, '^[^=]*=(.*)$', 1) as value from tk left join (select project_id, list(name) as names from v_vars group by all) nv using (project_id)),
-    kd as (select *, case when len(refs) >= 2 then 'composed' when len(refs) = 1 and starts_with(value, '"') then 'quoted' when len(refs) = 1 and value = concat('${{', refs[1], '}}') then 'bare' when not contains(token, '=') and gate_var is not null then 'gated' end as kind from rf)
-    select distinct project_id, define, kind, case when kind = 'composed' then replace(replace(value, concat('${{', refs[1], '}}'), concat('{{', refs[1], '}}')), concat('${{', refs[2], '}}'), concat('{{', refs[2], '}}')) end as template,
-    case when kind = 'gated' then gate_var end as gate_var, case when kind = 'gated' then gate_value end as gate_value, array_to_string(refs, ',') as source_vars from kd where kind is not null and define <> ''""")
-def g2(spark, d):
-    return buildfacts.extract_defines(_statements(spark, d), _vars(spark, d))
-
-
 _TARGETS = _ASOF + """, tg as (select project_id, file, seq, args[1] as target, case when command = 'add_executable' then 'exe' else 'lib' end as kind, unnest(args[2:]) as path from st where command in ('add_executable', 'add_library')),
     tp as (select * from tg where path <> 'STATIC' and not contains(path, '${') union all select tg.project_id, tg.file, tg.seq, target, kind, unnest(string_split(assigned, '|')) from tg join asof_ a on a.project_id = tg.project_id and a.file = tg.file and a.seq = tg.seq and tg.path = concat('${', a.name, '}'))"""
 
 
 @registered("g3_declare_targets", f"with {_TARGETS} select * from tp")
 def g3(spark, d):
-    return buildfacts.declare_targets(_statements(spark, d))
+    return buildfacts.declare_targets(_statements(spark, d)).drop("ctx")
+
+
+#: The same for build files in folders; the walk over them lists every simple path of each context, and keeps
+#: those all of whose steps are the first way to their folder.
+_TREE = (_GATES.replace("v_scripts", "v_tree_scripts").replace("v_vars", "v_tree_vars") + """,
+    bd as (select project_id, regexp_replace(path, '/?CMakeLists.txt$', '') as dir from v_tree_files where ends_with(path, 'CMakeLists.txt')),
+    nv as (select project_id, list(distinct name) as names from v_tree_vars group by all),
+    sd as (select project_id, regexp_replace(file, '/?CMakeLists.txt$', '') as dir, seq, trim(args[1], '"') as path from st where command = 'add_subdirectory'),
+    sv as (select sd.*, v.name as var, v.ord as vi, v.value from sd left join v_tree_vars v on v.project_id = sd.project_id and sd.path = concat('${', v.name, '}')),
+    sc as (select *, regexp_replace(concat(dir, case when dir = '' then '' else '/' end, coalesce(value, path)), '(^|/)[^/.]+/\\.\\./', '\\1') as child from sv),
+    ed as (select sc.* from sc join bd on bd.project_id = sc.project_id and bd.dir = sc.child),
+    wk as (select project_id, '' as ctx, [''] as chain, []::struct(var varchar, value varchar)[] as tags, [''] as tops, dir, []::bigint[] as key, []::bigint[] as start, null::varchar as parent, null::varchar as var, null::varchar as value, [''] as seen, [{'ctx': '', 'dir': '', 'key': []::bigint[]}] as trail from bd where dir = ''
+        union all select project_id, nctx, case when evar is null then chain else list_append(chain, nctx) end, case when evar is null then tags else list_append(tags, {'var': evar, 'value': evalue}) end, case when evar is null then tops else list_append(tops, child) end,
+            child, nkey, case when evar is null then start else nkey end, dir, evar, evalue, case when evar is null then list_append(seen, child) else [child] end, list_append(trail, {'ctx': nctx, 'dir': child, 'key': nkey}) from (
+            select wk.*, child, e.var as evar, e.value as evalue, case when e.var is null then list_append(key, e.seq) else list_append(list_append(key, e.seq), e.vi::bigint) end as nkey,
+                case when e.var is null then ctx else concat(ctx, '/', array_to_string(list_append(list_append(key, e.seq), e.vi::bigint), '.')) end as nctx
+            from wk join ed e on e.project_id = wk.project_id and e.dir = wk.dir where not list_contains(case when e.var is null then seen else tops end, child))),
+    fi as (select project_id, ctx, dir, min(key) as key from wk group by all),
+    tl as (select project_id, ctx, dir, key, unnest(trail) as step from wk),
+    bad as (select distinct tl.project_id, tl.ctx, tl.dir, tl.key from tl join fi on fi.project_id = tl.project_id and fi.ctx = step.ctx and fi.dir = step.dir where fi.key <> step.key),
+    tr as (select wk.* from wk anti join bad on bad.project_id = wk.project_id and bad.ctx = wk.ctx and bad.dir = wk.dir and bad.key = wk.key),
+    pl as (select gt.project_id, tr.ctx, chain, tags, start, dir, file, seq, list_append(tr.key, seq) as key, command, args, list_transform(args, lambda a: case when a[1] = '"' and a[-1] = '"' then a[2:-2] else a end) as texts, gate_var, gate_value, coalesce(nv.names, []) as names
+        from gt join tr on tr.project_id = gt.project_id and concat(dir, case when dir = '' then '' else '/' end, 'CMakeLists.txt') = gt.file left join nv on nv.project_id = gt.project_id),
+    ls as (select project_id, ctx, key, texts[1] as name, list_transform(texts[2:], lambda p: case when dir = '' then p else regexp_replace(concat(dir, '/', p), '(^|/)[^/.]+/\\.\\./', '\\1') end) as assigned from pl where command = 'set' and ends_with(texts[1], '_SOURCES'))""")
+
+
+def _read(spark, d):
+    """Statements of the build files in folders as they are read, their variables, files, and the walk."""
+    from .operators.includes import include_tree, place_statements
+
+    statements = buildfacts.extract_statements(view(spark, d, "v_tree_scripts")).drop("truncated")
+    values = F.transform(F.array_sort(F.collect_list(F.struct("ord", "value"))), lambda x: x["value"])
+    variables = view(spark, d, "v_tree_vars").groupBy("project_id", "name").agg(values.alias("values"))
+    files = view(spark, d, "v_tree_files")
+    tree = include_tree(statements, variables, files)
+    return place_statements(buildfacts.scope_gates(statements, variables), tree), variables, files, tree
+
+
+@registered("g6_subdirectory_edges", f"with recursive {_TREE} select project_id, ctx, parent, dir as child, var, value from tr where parent is not null")
+def g6(spark, d):
+    return buildfacts.subdirectory_edges(_read(spark, d)[3])
 
 
-_SCRIPT_FILES = "select distinct concat('u', user_id) as project_id, case event_id % 3 when 0 then concat('main_x', event_id % 5, '.c') when 1 then concat('src/a', event_id % 6, '.c') else 'src/b.c' end as path from events where event_id % 7 = 0"
+_RF = _TREE + """, rf as (select distinct project_id, ctx, chain, key, file, seq, unnest(regexp_extract_all(array_to_string(texts, ' '), '\\$\\{([A-Za-z0-9_]+)\\}', 1)) as name from pl where command <> 'set'),
+    ra as (select rf.project_id, rf.ctx, rf.key, rf.file, rf.seq, rf.name, ls.assigned, row_number() over (partition by rf.project_id, rf.ctx, rf.key, rf.name order by ls.key desc nulls last) as nth
+        from rf left join ls on ls.project_id = rf.project_id and ls.name = rf.name and list_contains(rf.chain, ls.ctx) and ls.key < rf.key where ends_with(rf.name, '_SOURCES'))"""
 
 
-@registered("g4_select_sources_by_variable", f"""with {_STATEMENTS}, p as (select distinct project_id, args[1] as target, unnest(args[2:]) as pattern from st where command in ('add_executable', 'add_library')), q as (select *, regexp_extract(pattern, '^(.*?)\\$\\{{([A-Za-z0-9_]+)\\}}(.*)$', 1) as pre, regexp_extract(pattern, '^(.*?)\\$\\{{([A-Za-z0-9_]+)\\}}(.*)$', 2) as var, regexp_extract(pattern, '^(.*?)\\$\\{{([A-Za-z0-9_]+)\\}}(.*)$', 3) as suf from p)
-    select q.project_id, target, var, substring(path, length(pre) + 1, length(path) - length(pre) - length(suf)) as value, path from q join ({_SCRIPT_FILES}) f on q.project_id = f.project_id and starts_with(path, pre) and ends_with(path, suf) and length(path) > length(pre) + length(suf)
-    where exists (select 1 from v_vars v where v.project_id = q.project_id and v.name = q.var) and regexp_matches(substring(path, length(pre) + 1, length(path) - length(pre) - length(suf)), '^[A-Za-z0-9_]+$')""")
-def g4(spark, d):
-    return buildfacts.select_sources_by_variable(_statements(spark, d), _vars(spark, d), query(spark, d, _SCRIPT_FILES))
+@registered("c8_lists_over_includes", f"with recursive {_RF} select project_id, ctx, file, seq, name, array_to_string(assigned, '|') as assigned from ra where nth = 1")
+def c8_tree(spark, d):
+    read, variables, *_ = _read(spark, d)
+    return buildfacts.asof_assignments(read, variables).withColumn("assigned", F.array_join("assigned", "|"))
 
 
-@registered("g5_conditional_targets", f"""with {_TARGETS.replace(_STATEMENTS, _GATES)} select tp.project_id, target, kind, gate_var, gate_value, string_agg(distinct path, ',' order by path) as files from tp join gt using (project_id, file, seq) join ({_SCRIPT_FILES}) f using (project_id, path) where gate_var is not null group by all""")
-def g5(spark, d):
-    return buildfacts.conditional_targets(_statements(spark, d), _vars(spark, d), query(spark, d, _SCRIPT_FILES))
+@registered("g1_defaults_over_includes", f"""with recursive {_TREE}, dv as (select project_id, texts[1] as name, key, case when command = 'set' then nullif(texts[2], '') when texts[3] in ('ON', 'TRUE', 'YES', '1') then 'true' when texts[3] in ('OFF', 'FALSE', 'NO', '0') then 'false' end as value
+    from pl where ctx = '' and list_contains(names, texts[1]) and (command = 'option' or (command = 'set' and list_contains(texts, 'CACHE'))))
+    select project_id, name, value as "default" from (select *, row_number() over (partition by project_id, name order by key desc) as nth from dv) where nth = 1""")
+def g1_tree(spark, d):
+    read, variables, *_ = _read(spark, d)
+    return buildfacts.variable_defaults(read, variables)
 
 
-_BUILD_DIRS = "select distinct concat('u', user_id) as project_id, concat('lib', event_id % 2) as dir from events where event_id % 3 = 0"
+_XT = _RF + """, ag as (select project_id, ctx, file, seq, key, dir, names, texts[1] as target, case when command = 'add_executable' then 'exe' else 'lib' end as kind, gate_var, gate_value, unnest(texts[2:]) as word, unnest(range(len(texts) - 1)) as spot from pl where command in ('add_executable', 'add_library')),
+    xs as (select ag.*, ra.assigned is not null as listed, coalesce(ra.assigned, [case when dir = '' then word else regexp_replace(concat(dir, '/', word), '(^|/)[^/.]+/\\.\\./', '\\1') end]) as paths
+        from ag left join ra on ra.nth = 1 and ra.project_id = ag.project_id and ra.ctx = ag.ctx and ra.key = ag.key and word = concat('${', ra.name, '}') where word <> 'STATIC'),
+    xt as (select project_id, ctx, file, seq, key, names, target, kind, gate_var, gate_value, flatten(list(paths order by spot)) as sources,
+        list_filter(regexp_extract_all(array_to_string(flatten(list(case when listed then paths else [] end order by spot)), ' '), '\\$\\{([A-Za-z0-9_]+)\\}', 1), lambda v: list_contains(names, v))[-1] as driving from xs group by project_id, ctx, file, seq, key, names, target, kind, gate_var, gate_value),
+    pt as (select *, list_filter(sources, lambda p: contains(p, concat('${', driving, '}')))[1] as pattern from xt where driving is not null),
+    px as (select *, split_part(pattern, concat('${', driving, '}'), 1) as pre, substring(pattern, length(split_part(pattern, concat('${', driving, '}'), 1)) + length(driving) + 4) as suf from pt),
+    sl as (select px.project_id, ctx, key, target, driving as var, substring(path, length(pre) + 1, length(path) - length(pre) - length(suf)) as value, path from px join v_tree_files f on f.project_id = px.project_id and starts_with(path, pre) and ends_with(path, suf) and length(path) > length(pre) + length(suf)
+        where regexp_matches(substring(path, length(pre) + 1, length(path) - length(pre) - length(suf)), '^[A-Za-z0-9_]+$'))"""
 
 
-@registered("g6_subdirectory_edges", f"""with {_STATEMENTS} select distinct st.project_id, file as parent, replace(args[1], 'sub/../', '') as child, null::varchar as var, null::varchar as value from st join ({_BUILD_DIRS}) b on b.project_id = st.project_id and b.dir = replace(args[1], 'sub/../', '') where command = 'add_subdirectory'""")
-def g6(spark, d):
-    values = _vars(spark, d).withColumn("values", F.array(F.lit("v1"), F.lit("v2")))
-    return buildfacts.subdirectory_edges(_statements(spark, d), values, query(spark, d, _BUILD_DIRS))
+@registered("g3_targets_over_includes", f"with recursive {_XT} select project_id, ctx, file, seq, target, kind, unnest(case when len(list_filter(sources, lambda p: not contains(p, '${{'))) = 0 then [null] else list_filter(sources, lambda p: not contains(p, '${{')) end) as path from xt")
+def g3_tree(spark, d):
+    read, variables, *_ = _read(spark, d)
+    return buildfacts.declare_targets(read, variables)
+
+
+@registered("g4_select_sources_by_variable", f"with recursive {_XT} select project_id, ctx, target, var, value, path from sl")
+def g4(spark, d):
+    read, variables, files, _ = _read(spark, d)
+    return buildfacts.select_sources_by_variable(read, variables, files)
+
+
+@registered("g5_conditional_targets", f"""with recursive {_XT}, ct as (select project_id, ctx, key, target, kind, gate_var, gate_value, unnest(sources) as path, unnest(range(len(sources))) as spot from xt anti join sl on sl.project_id = xt.project_id and sl.ctx = xt.ctx and sl.key = xt.key where gate_var is not null)
+    select ct.project_id, ctx, target, kind, gate_var, gate_value, string_agg(ct.path, ',' order by spot) as files from ct join v_tree_files f on f.project_id = ct.project_id and f.path = ct.path group by ct.project_id, ctx, key, target, kind, gate_var, gate_value""")
+def g5(spark, d):
+    read, variables, files, _ = _read(spark, d)
+    return buildfacts.conditional_targets(read, variables, files)
+
+
+#: Defines as each command makes them, told apart by command before anything else.
+_DF = _TREE + """, cv as (select project_id, ctx, key, texts[1] as name, texts[2] as text from pl where command = 'set' and not ends_with(texts[1], '_SOURCES') and texts[1] <> 'CMAKE_C_FLAGS' and not list_contains(texts, 'CACHE') and len(list_filter(regexp_extract_all(texts[2], '\\$\\{([A-Za-z0-9_]+)\\}', 1), lambda v: list_contains(names, v))) > 0),
+    wd as (select project_id, ctx, chain, tags, start, key, names, gate_var, gate_value, command, unnest(w) as word, unnest(range(len(w))) as spot from (select *, case when command = 'set' then list_filter(string_split(texts[2], ' '), lambda x: starts_with(x, '-D')) when command = 'target_compile_definitions' then texts[2:] else texts end as w from pl
+        where command in ('add_compile_definitions', 'add_definitions', 'target_compile_definitions') or (command = 'set' and texts[1] = 'CMAKE_C_FLAGS'))),
+    bo as (select *, case when command = 'target_compile_definitions' then word else regexp_replace(word, '^-D', '') end as body from wd),
+    sp as (select *, contains(body, '=') as eq, split_part(body, '=', 1) as define, case when contains(body, '=') then substring(body, strpos(body, '=') + 1) end as val from bo),
+    sr as (select *, regexp_extract(val, '^\\$\\{([A-Za-z0-9_]+)\\}$', 1) as one, regexp_extract(val, '^"\\$\\{([A-Za-z0-9_]+)\\}"$', 1) as quo, list_filter(regexp_extract_all(coalesce(val, ''), '\\$\\{([A-Za-z0-9_]+)\\}', 1), lambda v: list_contains(names, v)) as refs from sp),
+    vs as (select sr.project_id, sr.ctx, sr.key, sr.spot, cv.text, cv.key as set_key, row_number() over (partition by sr.project_id, sr.ctx, sr.key, sr.spot order by cv.key desc) as nth from sr join cv on cv.project_id = sr.project_id and cv.name = sr.one and list_contains(sr.chain, cv.ctx)
+        and case when list_contains(sr.names, sr.one) then cv.key < list_append(sr.start, 9223372036854775807) else cv.key < sr.key end),
+    kd as (select sr.*, vs.text, list_filter(regexp_extract_all(coalesce(vs.text, ''), '\\$\\{([A-Za-z0-9_]+)\\}', 1), lambda v: list_contains(names, v)) as vrefs,
+        case command when 'add_compile_definitions' then case when list_contains(names, quo) then 'quoted' when list_contains(names, one) then 'bare' when len(refs) >= 2 then 'composed' end
+            when 'add_definitions' then case when not eq and gate_var is not null then 'gated' when list_contains(names, one) then 'bare' end
+            when 'target_compile_definitions' then case when not eq and gate_var is not null and word <> 'PRIVATE' then 'gated' end
+            else case when list_contains(names, one) then 'bare' when one <> '' then 'value' when len(refs) >= 2 then 'composed' end end as kind0
+        from sr left join vs on vs.nth = 1 and vs.project_id = sr.project_id and vs.ctx = sr.ctx and vs.key = sr.key and vs.spot = sr.spot),
+    k1 as (select *, case when kind0 in ('bare', 'value') and len(vrefs) >= 2 then 'composed' else kind0 end as kind, row_number() over (partition by project_id, ctx, define, gate_var, gate_value, kind0 = 'gated' order by key, spot) as nth from kd where kind0 is not null),
+    df as (select *, case when kind <> 'composed' then null when kind0 = 'composed' then val else text end as tpl, case when kind = 'composed' then case when kind0 = 'composed' then refs else vrefs end when kind = 'gated' then [gate_var] when kind = 'quoted' then [quo] else [one] end as srcs
+        from k1 where kind <> 'value' and (command <> 'target_compile_definitions' or nth = 1))"""
+
+
+@registered("g2_extract_defines", f"""with recursive {_DF} select project_id, ctx, define, kind, case when kind = 'bare' then one when kind = 'quoted' then quo end as var,
+    case when tpl is not null then list_reduce(list_prepend(tpl, list_distinct(srcs)), lambda acc, v: replace(acc, concat('${{', v, '}}'), concat('{{', v, '}}'))) end as template,
+    case when kind = 'gated' then gate_var end as gate_var, case when kind = 'gated' then gate_value end as gate_value, array_to_string(srcs, ',') as source_vars from df""")
+def g2(spark, d):
+    read, variables, *_ = _read(spark, d)
+    return buildfacts.extract_defines(read, variables).drop("tags", "key", "at")
+
+
+@registered("d16_variant_defines", f"""with recursive {_DF} select project_id, tags[1].var as driving_var, tags[1].value as value, row_number() over (partition by project_id, ctx order by key, spot) as seq, define, kind, coalesce(case when kind = 'bare' then one when kind = 'quoted' then quo end, case when kind = 'gated' then gate_var end) as var
+    from df where len(tags) = 1""")
+def d16_variants(spark, d):
+    read, variables, *_ = _read(spark, d)
+    return buildfacts.variant_defines(buildfacts.extract_defines(read, variables))
 
 
 _CONFIG_FILES = "select concat('u', user_id) as project_id, case user_id % 4 when 1 then 'not json' when 2 then '{\"configurable_variables\": {}}' else concat('{\"configurable_variables\": {\"V\": [', count(*), ']}}') end as content from events where user_id % 4 <> 0 group by user_id"

@@ -78,6 +78,26 @@ VIEWS: dict[str, str] = {
                     'else()', chr(10), 'add_library(l', event_id % 8, ' STATIC src/b.c)', chr(10), 'endif()')
                 when 'signup' then concat('if(', case when event_id % 4 = 1 then concat('${{VAR_', event_id % 5, '}}') else concat('VAR_', event_id % 5) end, ' STREQUAL "v1")', chr(10), 'add_compile_definitions(MODE_', event_id % 3, ' -DNAME=${{VAR_', event_id % 5, '}} Q="${{VAR_1}}" C=${{VAR_1}}_${{VAR_2}})', chr(10), 'elseif(VAR_2)', chr(10), 'add_subdirectory(sub/../lib', event_id % 3, ')', chr(10), 'endif()')
                 else concat(case when event_id % 97 = 0 then 'list(APPEND C 2' else concat('message("${{B_SOURCES}} ', event_id, '")') end, chr(10), 'set(B_SOURCES x', event_id % 3, '.c)') end as line from events""",
+    # Build files in folders that read one another: a line for each event, in one of seven files.
+    "v_tree_lines": """
+        select concat('u', user_id) as project_id, event_id,
+            concat(case event_id % 7 when 2 then 'lib/' when 3 then 'lib/sub/' when 4 then 'v1/' when 5 then 'v2/' when 6 then 'lib/v1/' else '' end, 'CMakeLists.txt') as file,
+            case cast(floor(event_id / 7) as bigint) % 13
+                when 0 then 'add_subdirectory(lib)' when 1 then 'add_subdirectory(sub)' when 2 then 'add_subdirectory("../lib")' when 3 then 'add_subdirectory(${{VAR_1}})'
+                when 4 then concat('set(A_SOURCES main_${{VAR_0}}.c a', event_id % 3, '.c)') when 5 then concat('set(B_SOURCES ../x', event_id % 3, '.c "b.c")')
+                when 6 then concat('add_executable(t', event_id % 5, ' ${{A_SOURCES}} b.c)') when 7 then concat('if(VAR_0)', chr(10), 'add_library(l', event_id % 4, ' STATIC ${{B_SOURCES}} main_${{VAR_0}}.c)', chr(10), 'endif()')
+                when 8 then case when event_id % 2 = 0 then 'set(P "${{VAR_0}}_${{VAR_1}}")' else 'set(VAR_0 "${{VAR_1}}.${{VAR_2}}")' end
+                when 9 then concat('set(CMAKE_C_FLAGS "-DX', event_id % 3, '=${{P}} -DY=${{VAR_0}} DW=${{VAR_0}} -DZ=${{VAR_0}}${{VAR_2}}")')
+                when 10 then concat('if(${{VAR_1}} STREQUAL "v1")', chr(10), 'add_definitions(-DTAG', event_id % 2, ' -DN=${{VAR_2}} C=${{VAR_0}}${{VAR_1}})', chr(10), 'target_compile_definitions(t PRIVATE TAG', event_id % 2, ' X=1)', chr(10), 'endif()')
+                when 11 then 'add_compile_definitions(-DQ="${{VAR_0}}" R=${{VAR_1}} S=${{VAR_0}}-${{VAR_2}} FLAG)'
+                else concat('set(VAR_', event_id % 3, ' "v', event_id % 2, '" CACHE STRING "doc")', chr(10), 'option(VAR_2 "doc" ', case event_id % 3 when 0 then 'ON' when 1 then 'NO' else 'MAYBE' end, ')') end as line from events""",
+    "v_tree_scripts": "select project_id, file, {agg} as text from v_tree_lines group by project_id, file",
+    "v_tree_vars": """
+        select distinct concat('u', user_id) as project_id, concat('VAR_', k) as name, ord, case when k = 2 then 'true' when k = 0 then case ord when 0 then 'alpha' else 'beta' end else concat('v', ord + 1) end as value
+        from (select user_id, event_id % 3 as k, 0 as ord from events where event_id % 11 <> 0 union all select user_id, event_id % 3, 1 from events where event_id % 3 <> 2 and event_id % 11 <> 0) x""",
+    "v_tree_files": """
+        select project_id, file as path from v_tree_scripts union
+        select concat('u', user_id), concat(case event_id % 3 when 0 then '' when 1 then 'lib/' else 'v1/' end, case cast(floor(event_id / 3) as bigint) % 7 when 0 then 'main_alpha.c' when 1 then 'main_beta.c' when 2 then 'main_alpha.h' when 3 then 'b.c' when 4 then 'x1.c' when 5 then 'x2.c' else 'a0.c' end) from events""",
     "v_scripts": "select project_id, 'CMakeLists.txt' as file, {agg} as text from v_script_lines group by project_id",
 }
 

@@ -267,15 +267,27 @@ def test_gates_at_any_depth(spark):
 
 
 def test_patterns_are_those_of_the_engine_that_matches(spark):
-    v = spark.createDataFrame([("p", p, p, True, None) for p in (r"\p{L}+", "(?P<n>a)", "(?<n>a)", "[", "a{2,1}")], "project_id string, filename string, pattern string, is_regex boolean, has_ub string")
-    o = v.selectExpr("project_id", "filename", "'a' as actual")
-    assert {r["filename"] for r in results.judge_output(v, o).where("passed").collect()} == {r"\p{L}+", "(?<n>a)"}
+    patterns = (r"\p{L}+", "(?P<n>a)", "(?<n>a)", "[", "a{2,1}", "(?=a)", r"(a)\1", r"^\w$", r"[\w.]", r"\W|\D", "")
+    v = spark.createDataFrame([("p", p, p, True, None) for p in patterns], "project_id string, filename string, pattern string, is_regex boolean, has_ub string")
+    o = v.selectExpr("project_id", "filename", "'é' as actual")
+    assert {r["filename"] for r in results.judge_output(v, o).where("passed").collect()} == {r"\p{L}+", r"^\w$", r"[\w.]", r"\W|\D", ""}
+    o = v.selectExpr("project_id", "filename", "'aa' as actual")
+    assert {r["filename"] for r in results.judge_output(v, o).where("passed").collect()} == {r"\p{L}+", "(?P<n>a)", "(?<n>a)", r"[\w.]", r"\W|\D", ""}
     names = spark.createDataFrame([("a",), ("b",), (None,)], "name string")
     assert [r[0] for r in results.name_filter(names, "name", "(?<x>a)")[0].collect()] == ["a"]
     with pytest.raises(ValueError):
         results.name_filter(names, "name", "(?P<x>a)")
 
 
+def test_no_pattern_or_output_ends_the_job(spark):
+    """Alternation under a star on a long output; a quantifier that would backtrack for ever."""
+    v = [("p", "a", "(a|b)*c", True, None), ("p", "b", "(x+x+)+y", True, None), ("p", "c", "(a|b)*c", True, None), ("p", "d", "((a{0,100}){0,100}){0,100}", True, None), ("p", "e", "(a|b)*c", True, None)]
+    v = spark.createDataFrame(v, "project_id string, filename string, pattern string, is_regex boolean, has_ub string")
+    o = spark.createDataFrame([("p", "a", "ab" * 500_000), ("p", "b", "x" * 100_000), ("p", "c", "ab" * 500_000 + "c"), ("p", "d", "a"), ("p", "e", None)], "project_id string, filename string, actual string")
+    got = {r["filename"]: r["passed"] for r in results.judge_output(v, o).collect()}
+    assert got == {"a": False, "b": False, "c": True, "d": False, "e": False}
+
+
 def test_every_body_of_an_item_is_stubbed(spark):
     text = "impl A { fn a() { 1 } fn b() { { 2 } } } fn c() {}"
     files = spark.createDataFrame([("p", "f", text.encode())], "project_id string, file string, content binary")
