@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fill_known, find_var_refs, join_path, known_refs, single_var_ref, unquote
+from ..scratch import settled
 from .facts import expand_source_patterns
 from .includes import include_tree, last_before, place_statements, placed
 
@@ -98,13 +99,16 @@ def scope_gates(statements: DataFrame, variables: DataFrame) -> DataFrame:
     return rows.select(*statements.columns, F.col("_span.var").alias("gate_var"), F.col("_span.value").alias("gate_value"), F.col("_span.branch").alias("branch"))
 
 
-def read_statements(statements: DataFrame, variables: DataFrame, files: DataFrame) -> DataFrame:
-    """Statements with their gates, as the build files of each project are read: see `includes`.
+def read_build_files(statements: DataFrame, variables: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Statements with their gates, as the build files of each project are read, and the folders that
+    are read: see `includes`.  Both are written to the shared folder, as much hangs on them.
 
-    The operators below take these, so that lists and values go from file to file.  They also take
-    plain statements; then each file is read by itself.  variables: (project_id, name, values), files:
+    The operators below take such statements, so that lists and values go from file to file.  They also
+    take plain ones; then each file is read by itself.  variables: (project_id, name, values), files:
     (project_id, path)."""
-    return place_statements(scope_gates(statements, variables), include_tree(statements, variables, files))
+    gated = settled(scope_gates(statements, variables), "statements")
+    tree = settled(include_tree(gated, variables, files), "tree")
+    return settled(place_statements(gated, tree), "read"), tree
 
 
 def _read(statements: DataFrame, variables: DataFrame) -> DataFrame:

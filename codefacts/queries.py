@@ -717,14 +717,12 @@ _TREE = (_GATES.replace("v_scripts", "v_tree_scripts").replace("v_vars", "v_tree
 
 def _read(spark, d):
     """Statements of the build files in folders as they are read, their variables, files, and the walk."""
-    from .operators.includes import include_tree, place_statements
-
     statements = buildfacts.extract_statements(view(spark, d, "v_tree_scripts")).drop("truncated")
     values = F.transform(F.array_sort(F.collect_list(F.struct("ord", "value"))), lambda x: x["value"])
     variables = view(spark, d, "v_tree_vars").groupBy("project_id", "name").agg(values.alias("values"))
     files = view(spark, d, "v_tree_files")
-    tree = include_tree(statements, variables, files)
-    return place_statements(buildfacts.scope_gates(statements, variables), tree), variables, files, tree
+    read, tree = buildfacts.read_build_files(statements, variables, files)
+    return read, variables, files, tree
 
 
 @registered("g6_subdirectory_edges", f"with recursive {_TREE} select project_id, ctx, parent, dir as child, var, value from tr where parent is not null")

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from codefacts.operators import buildfacts, includes, matrix
+from codefacts.operators import buildfacts, matrix
 
 from .walk import BUILD_FILE, Project
 
@@ -49,8 +49,8 @@ def projects(spark):
     for r in files.collect():
         if r["project_id"] in plain:
             plain[r["project_id"]][2].append(r["path"])
-    tree = includes.include_tree(statements, variables, files).cache()
-    return buildfacts.read_statements(statements, variables, files).cache(), variables, files, tree, {p: Project(*x) for p, x in plain.items()}
+    read, tree = buildfacts.read_build_files(statements, variables, files)
+    return read, variables, files, tree, {p: Project(*x) for p, x in plain.items()}
 
 
 def _tags(df, tree):
@@ -98,7 +98,8 @@ def _project(spark, scripts, files=(), variables=VARIABLES):
     statements = buildfacts.extract_statements(spark.createDataFrame([("p", f, t) for f, t in scripts.items()], "project_id string, file string, text string"))
     variables = spark.createDataFrame([("p", n, v) for n, v in variables.items()], "project_id string, name string, values array<string>")
     files = spark.createDataFrame([("p", f) for f in (*scripts, *files)], "project_id string, path string")
-    return buildfacts.read_statements(statements, variables, files), variables, files, includes.include_tree(statements, variables, files)
+    read, tree = buildfacts.read_build_files(statements, variables, files)
+    return read, variables, files, tree
 
 
 def test_nested_folders_cycles_and_reachability(spark):
