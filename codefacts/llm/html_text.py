@@ -41,6 +41,8 @@ _BAD_WORDS = frozenset(
     "cookie-notice main-menu main-nav nav-bar nav-menu newsletter-signup page-footer page-header popup-overlay post-navigation promo-box related-articles "
     "related-posts share-bar share-buttons side-bar sidebar-left sidebar-right site-footer site-header site-nav social-links social-share top-nav".split()
 )
+#: Whole class words of a container of reader comments, by rule: whose they are, comments, what holds them.
+_COMMENTS = re.compile(r"(?:(?:user|reader|post|page|article|blog|site|wp|fb)-)?comments?(?:-(?:section|list|area|thread|box|wrap|wrapper|container|form|body|item|block|feed|stream))?|(?:respond|replies|disqus)(?:-thread)?")
 _KEPT = frozenset("html body main article".split())
 _BAD_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
 _P_ENDS = _BLOCK - {"body", "html"}
@@ -70,7 +72,7 @@ def _unwanted(name: str, attributes: dict[str, str]) -> bool:
     if name in _KEPT or role == "main":  # a class word says something about the page's layout here
         return False
     words = f"{attributes.get('class', '')} {attributes.get('id', '')}".replace("_", "-").split()
-    return not _BAD_WORDS.isdisjoint(words)
+    return not _BAD_WORDS.isdisjoint(words) or any(map(_COMMENTS.fullmatch, words))
 
 
 def _tag_end(page: str, at: int, last: dict[str, int]) -> int:
@@ -159,7 +161,8 @@ def page_lines(page: str) -> list[tuple[str, int]]:
             continue
         stack.append((name, drop, article))
         attributes = _attributes(source) if source else {}
-        unwanted = name in _DROP or attributes and _unwanted(name, attributes)
+        # A header inside an article holds its title.
+        unwanted = name in _DROP and not (name == "header" and article) or attributes and _unwanted(name, attributes)
         if unwanted and not drop:
             flush()
         if name in ("article", "main") or attributes.get("role", "").strip() == "main":

@@ -82,10 +82,12 @@ def write(docs: DataFrame, path: str, out: str, end_id: int, segment_ids: int =
     """Encode every text, append end_id to each document, and write the ids in order of doc_id to out.
 
     path names a tokenizer file that the tasks can read.  A null text is an empty one.  Rows without
-    doc_id come first; repeated rows each have their ids.  Other columns are ignored.  An empty table
+    doc_id come first; rows of one doc_id are ordered by a hash of their text, and repeated rows each have their ids.  Other columns are ignored.  An empty table
     gives files without segments.
     """
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    # By text where doc_ids are equal or missing: reruns agree, and such rows are no single task's.
+    order = ["doc_id", F.xxhash64("text"), F.octet_length("text")]
+    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(*order).sortWithinPartitions(*order)
 
     def run(batches):
         tool, part, seq = tokenizer(path), TaskContext.get().partitionId(), 0

@@ -89,7 +89,10 @@ def fit(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE, ma
 
     Labels of held-out rows, other columns and doc_id itself are not looked at.  The prior is the
     share of toxic rows among all labels that may be learnt from.  Without toxic labels the model
-    gives every text the prior.
+    gives every text the prior.  A null text counts as an empty one, which has no features; repeated
+    rows count as often as they occur; a doc_id with conflicting labels counts once for each in the
+    prior and as toxic in the fit; labels other than 0 and 1 are ignored.  Empty tables give the model
+    of no toxic labels.
     """
     known = labels.where(F.col("toxic").isin(0, 1)).where(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull())
     n, toxic = known.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
@@ -158,7 +161,8 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ()) -> DataFram
     """doc_id, held_out, score, predicted, text and the other columns in `keep`, a row for each row.
 
     A null or empty text gets the score of a text without features.  Rows without doc_id are scored
-    like others and are not held out.
+    like others and are not held out; repeated rows get the same score.  An empty table gives an empty
+    result, and columns other than doc_id, text and those in `keep` are ignored, whatever their names.
     """
     features, weights, bias = model.features, model.weights, model.bias
     schema = docs.select(F.col("doc_id").cast("long"), "text", *keep).schema

@@ -315,6 +315,9 @@ def test_page_lines_reads_whole_attributes():
         assert lines(f'<{name} class="sidebar menu" id="comments"><p>text</p></{name}>') == ["text"]
     for tag in ("p hidden", 'p a=1 HIDDEN=""', "p class='x ad'", "p id=menu", "p role=navigation", 'p title="x"aria-hidden="true"', 'p class="site_footer"'):
         assert lines(f"<article><{tag}>text</p><p>more</p></article>") == ["more"]
+    for tag in ('div class="comments-section"', 'ol class="user-comments"', 'div id="reader_comment_thread"', "div class='x wp-comments-area'"):
+        assert lines(f"<main><p>text</p><{tag}><p>reader</p></{tag.split()[0]}></main>") == ["text"]
+    assert lines("<header>site</header><article><header><h1>Title</h1><p class=ad>ad</p></header><p>text</p></article><header>more</header>") == ["Title", "text"]
     assert html_text.page_lines('<p data-role="main">a</p><div role="main">b</div>') == [("a", 0), ("b", 1)]
 
 
