@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, StringType, StructField, StructType
 
 from ..functions import fill_known, find_var_refs, join_path, known_refs, single_var_ref, unquote
 from ..scratch import settled
@@ -11,15 +15,18 @@ from .facts import expand_source_patterns
 from .includes import include_tree, last_before, place_statements, placed
 
 FILE = ["project_id", "file"]
-# No group below is matched by recursion: possessive loops run in constant stack, however long the text.
-_STRING = r'"(?:[^"\\]++|\\.)*+(?:"|\z)'
+# No group below is matched by recursion or tried again: possessive loops run in constant stack and linear time.
+_STRING = r'"(?:[^"\\]++|\\.)*+(?:"|\\?\z)'
 #: A string or a comment; comments go.
 COMMENT = rf"(?s)({_STRING})|#[^\n]*+"
-#: What parts a script: strings, a name with its parenthesis, parentheses, and all between them.
-LEXEME = rf"(?s){_STRING}|[A-Za-z0-9_]++[ \t\r\n]*+\(|[()]|(?:[^\"()A-Za-z0-9_]++|[A-Za-z0-9_]++(?![ \t\r\n]*+\())++"
-#: An argument: a string where it begins with a quote, else all up to white space.
-TOKEN = rf'(?s){_STRING}|[^ \t\r\n]++'
+_PY_STRING = _STRING.replace(r"\z", r"\Z")
+_SPACE = r"[ \t\r\n\f]"
+#: A name with its parenthesis; what counts inside a call; an argument: a string where it begins with a quote, else all up to white space.
+_OPENS = re.compile(rf"(?<![A-Za-z0-9_])([A-Za-z0-9_]++){_SPACE}*+\(")
+_INSIDE = re.compile(rf"(?s){_PY_STRING}|[()]")
+_TOKEN = re.compile(rf"(?s){_PY_STRING}|[^ \t\r\n\f]++")
 _UP_TO_HERE = (Window.unboundedPreceding, 0)
+_CALLS = ArrayType(StructType([StructField("command", StringType()), StructField("args", ArrayType(StringType())), StructField("truncated", BooleanType())]))
 
 
 def _floored(rows: DataFrame, step: str, level: str, order) -> DataFrame:
@@ -28,35 +35,39 @@ def _floored(rows: DataFrame, step: str, level: str, order) -> DataFrame:
     return total.withColumn(level, F.col("_sum") - F.least(F.lit(0), F.min("_sum").over(order))).drop("_sum")
 
 
+def _calls_of(text: str) -> list[dict]:
+    found, at = [], 0
+    while opens := _OPENS.search(text, at):
+        depth, end, truncated = 1, len(text), True
+        for x in _INSIDE.finditer(text, opens.end()):
+            depth += {"(": 1, ")": -1}.get(x[0], 0)
+            if not depth:
+                end, truncated = x.start(), False
+                break
+        found.append({"command": opens[1].lower(), "args": _TOKEN.findall(text[opens.end() : end]), "truncated": truncated})
+        at = end + 1
+    return found
+
+
+@F.arrow_udf(_CALLS)
+def _calls(texts: pa.Array) -> pa.Array:
+    kind = pa.list_(pa.struct([("command", pa.string()), ("args", pa.list_(pa.string())), ("truncated", pa.bool_())]))
+    return pa.array([None if t is None else _calls_of(t) for t in texts.to_pylist()], type=kind)
+
+
 def extract_statements(scripts: DataFrame) -> DataFrame:
     """(project_id, file, seq, command, args, truncated) of scripts (project_id, file, text).
 
     Comments go (not inside strings), calls may span lines, argument tokens keep their quotes, and
-    `seq` is the order in the file.  Calls may be of any length and nest to any depth: a running depth
-    of parentheses over the script's lexemes tells where a call ends.  A call that isn't closed holds
-    all up to the end of the file and is marked truncated.  A parenthesis at top level that closes
-    nothing is passed over; what one without a name before it encloses is not read.
+    `seq` is the order in the file.  A call begins at a name with a parenthesis, ends at the
+    parenthesis that closes it, and may be of any length and nest to any depth; one that isn't closed holds
+    all up to the end of the file and is marked truncated.  What stands between calls, quotes and
+    parentheses included, is passed over.  How deep a call is depends on all before it in its file, so a
+    file is read from its start to its end, in Arrow batches; nothing is shuffled.
     """
     bare = F.regexp_replace("text", COMMENT, "$1")
-    pieces = scripts.select(*FILE, F.posexplode(F.regexp_extract_all(bare, F.lit(LEXEME), 0)).alias("pos", "piece"))
-    last = F.substring("piece", -1, 1)
-    step = F.when(F.col("piece").startswith('"'), 0).when(last == "(", 1).when(F.col("piece") == ")", -1).otherwise(0)
-    order = Window.partitionBy(*FILE).orderBy("pos").rowsBetween(*_UP_TO_HERE)
-    laid = _floored(pieces.withColumn("step", step), "step", "depth", order)
-    opens = (F.col("step") == 1) & (F.col("depth") == 1)
-    named = opens & (F.col("piece") != "(")
-    laid = laid.withColumns({"opened": F.sum(opens.cast("int")).over(order), "named": named})
-    # A piece belongs to the last call opened; what closes it, and what stands between calls, doesn't.
-    inside = laid.where((F.col("depth") > 0) | ((F.col("step") == -1) & (F.col("opened") > 0)))
-    body = F.when(~F.col("named") & (F.col("depth") > 0), F.struct("pos", "piece"))
-    calls = inside.groupBy(*FILE, "opened").agg(
-        F.max(F.when(F.col("named"), F.col("piece"))).alias("head"), F.array_sort(F.collect_list(body)).alias("body"), F.bool_and(F.col("depth") > 0).alias("truncated"),
-    ).where("head is not null")
-    args = F.regexp_extract_all(F.array_join(F.transform("body", lambda x: x["piece"]), ""), F.lit(TOKEN), 0)
-    seq = F.row_number().over(Window.partitionBy(*FILE).orderBy("opened")) - 1
-    return calls.select(
-        *FILE, seq.cast("long").alias("seq"), F.lower(F.regexp_extract("head", "^[A-Za-z0-9_]+", 0)).alias("command"), args.alias("args"), "truncated"
-    )
+    calls = scripts.select(*FILE, F.posexplode(_calls(bare)).alias("seq", "call"))
+    return calls.select(*FILE, F.col("seq").cast("long").alias("seq"), "call.command", "call.args", "call.truncated")
 
 
 def scope_gates(statements: DataFrame, variables: DataFrame) -> DataFrame:

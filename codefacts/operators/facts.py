@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import normalize_path, path_status
+from ..scratch import settled
 
 
 def _ancestors(path: str = "path"):
@@ -133,16 +134,27 @@ def tag_variants(entities: DataFrame, selections: DataFrame) -> DataFrame:
 
 def stack_outer_tags(subdirs: DataFrame, files: DataFrame) -> DataFrame:
     """files (project_id, node_id, path) with the tags of all their nested variants, outermost first.
-    subdirs: (project_id, node_id, parent_id, var, value), a forest."""
-    spark = subdirs.sparkSession
-    subdirs.createOrReplaceTempView("_codefacts_subdirs")
-    stacked = spark.sql("""
-        with recursive t(project_id, node_id, tags) as (
-            select project_id, node_id, concat(var, '=', value) from _codefacts_subdirs where parent_id is null
-            union all
-            select s.project_id, s.node_id, concat(t.tags, ',', s.var, '=', s.value) from _codefacts_subdirs s join t on s.project_id = t.project_id and s.parent_id = t.node_id
-        ) select * from t""")
-    return files.join(stacked, ["project_id", "node_id"], "left").withColumn("tags", F.coalesce("tags", F.lit("")))
+    subdirs: (project_id, node_id, parent_id, var, value), a forest; a node whose line of parents breaks
+    off, and a file of no node, has no tags.
+
+    Every node knows the tags up to some ancestor, at first its parent; in a round it takes over what
+    that ancestor knows, which doubles the way.  So the rounds are logarithmic in the depth, which is at
+    most a project's nodes; a circle of parents takes more and is an error.
+    """
+    node = ["project_id", "node_id"]
+    tag = F.concat("var", F.lit("="), "value")
+    known = settled(subdirs.select(*node, F.col("parent_id").alias("up"), tag.alias("tags")), "stack")
+    most = known.groupBy("project_id").count().agg(F.max("count")).first()[0] or 0
+    for _ in range(most.bit_length() + 1):
+        if known.where("up is not null").isEmpty():
+            break
+        above = known.select("project_id", F.col("node_id").alias("up"), F.col("up").alias("higher"), F.col("tags").alias("outer"))
+        climbing = known.where("up is not null").join(above, ["project_id", "up"])
+        climbed = climbing.select(*node, F.col("higher").alias("up"), F.concat("outer", F.lit(","), "tags").alias("tags"))
+        known = settled(known.where("up is null").unionByName(climbed), "stack")
+    else:
+        raise ValueError("the parents of some nodes go round in a circle")
+    return files.join(known.drop("up"), node, "left").withColumn("tags", F.coalesce("tags", F.lit("")))
 
 
 def expand_source_patterns(patterns: DataFrame, files: DataFrame) -> DataFrame:
@@ -241,8 +253,21 @@ def build_facts_summary(**tables: DataFrame) -> DataFrame:
     return reduce(DataFrame.union, counted).groupBy("project_id").pivot("fact", list(tables)).count().na.fill(0)
 
 
-def pick_artifact(files: DataFrame) -> DataFrame:
-    """One library for each project, by extension so, dylib, dll, then the lowest path."""
+#: Extensions of what a release folder holds beside its program.
+_NO_PROGRAM = ("d", "rlib", "rmeta", "pdb", "exp", "lib")
+
+
+def pick_artifact(files: DataFrame, rule: str = "library") -> DataFrame:
+    """One file for each project.  `library`: by extension so, dylib, dll, then the lowest path.
+    `program`: the lowest path whose name isn't hidden and hasn't one of the extensions that go along
+    with a program."""
+    if rule == "program":
+        name = F.regexp_extract("path", r"(?s)([^/]*)$", 1)
+        extension = F.regexp_extract(name, r"(?s)^.+\.([^.]*)$", 1)
+        plain = files.where(~name.startswith(".") & ~extension.isin(*_NO_PROGRAM))
+        return plain.groupBy("project_id").agg(F.min("path").alias("artifact"))
+    if rule != "library":
+        raise ValueError(f"rule must be library or program, not {rule!r}")
     order = F.when(F.col("path").endswith(".so"), 0).when(F.col("path").endswith(".dylib"), 1).when(F.col("path").endswith(".dll"), 2)
     return files.withColumn("o", order).where("o is not null").groupBy("project_id").agg(F.min(F.struct("o", "path"))["path"].alias("artifact"))
 

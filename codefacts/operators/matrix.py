@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..scratch import settled
+
 MOST_COMBOS = 1024
 
 
@@ -44,37 +46,49 @@ def sample_evenly(df: DataFrame, n: int, partition: list[str], order: list[str])
     return placed.where(keep).drop("_r", "_p")
 
 
-def enumerate_combos(groups: DataFrame, mode: str | int) -> DataFrame:
+def enumerate_combos(groups: DataFrame, mode: str | int, projects: DataFrame | None = None) -> DataFrame:
     """(project_id, combo_index, label): the product of a project's groups, first group slowest.
 
     mode `all` lists all and refuses more than 1024, `default` gives one row, n > 0 samples n evenly.
-    A combination is decoded from its index by mixed radix, so the product is never built.
-    Labels are sorted, joined by commas, `none` if empty; an index beyond 2**63 is null.
+    A project of `projects` (project_id) without groups gives one row, labelled default.  Labels are sorted, joined by
+    commas, `none` if empty.
+
+    Row i of n stands for combination floor(i * P / n) of P.  Its digits, one a group, come by long
+    division of i by n in the mixed radix of the groups: what is left of a digit, below n, goes into the
+    next.  So neither the product nor an index beyond 2**63 is ever formed; such an index is null.
     """
     if mode != "all" and mode != "default" and (not str(mode).isdigit() or int(mode) <= 0):
         raise ValueError(f"mode must be all, default or a positive number, not {mode!r}")
     lists = groups.groupBy("project_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("group_seq", "variants"))), lambda g: g["variants"]).alias("radix"))
+    zero = F.lit(0).cast("long")
+    alone = None
+    if projects is not None:
+        alone = projects.select("project_id").distinct().join(lists.select("project_id"), "project_id", "left_anti").select("project_id", zero.alias("combo_index"), F.lit("default").alias("label"))
     if mode == "default":
-        return lists.select("project_id", F.lit(0).cast("long").alias("combo_index"), F.lit("default").alias("label"))
-    # Products beyond 2**63 would wrap: they are kept as decimals until the sample is drawn.
-    big = lambda c: c.cast("decimal(38,0)")
-    whole = lambda a, b: big((a - a % b) / b)  # noqa: E731  # exact, where a plain division would round
-    total = F.aggregate("radix", big(F.lit(1)), lambda acc, g: big(acc * F.size(g)))
+        rows = lists.select("project_id", zero.alias("combo_index"), F.lit("default").alias("label"))
+        return rows if alone is None else rows.unionByName(alone)
+    most = MOST_COMBOS if mode == "all" else int(mode)
+    # The number of combinations, counted no further than one more than is wanted.
+    total = F.aggregate("radix", F.lit(1).cast("long"), lambda acc, g: F.least(acc * F.size(g), F.lit(most + 1).cast("long")))
     lists = lists.withColumn("total", total)
+    n = F.least("total", F.lit(most))
     if mode == "all":
-        checked = F.when(F.col("total") > MOST_COMBOS, F.raise_error(F.concat(F.lit("too many combinations: "), F.col("project_id")))).otherwise(F.col("total"))
-        index = F.transform(F.sequence(F.lit(0).cast("long"), checked.cast("long") - 1), big)
-    else:
-        n = int(mode)
-        small = F.transform(F.sequence(F.lit(0).cast("long"), F.least(F.col("total"), F.lit(n)).cast("long") - 1), big)
-        drawn = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: whole(big(i * F.col("total")), big(F.lit(n))))
-        index = F.when(F.col("total") <= n, small).otherwise(drawn)
-    rows = lists.withColumn("combo_index", F.explode(index))
-    after = lambda i: F.aggregate(F.slice("radix", i + 2, F.size("radix")), big(F.lit(1)), lambda acc, g: big(acc * F.size(g)))
-    digits = F.transform("radix", lambda g, i: F.element_at(g, (whole(F.col("combo_index"), after(i)) % F.size(g) + 1).cast("int")))
-    chosen = F.array_sort(F.filter(digits, lambda x: x != ""))
-    label = F.when(F.size(chosen) > 0, F.array_join(chosen, ",")).otherwise("none")
-    return rows.select("project_id", F.col("combo_index").try_cast("long").alias("combo_index"), label.alias("label"))
+        n = F.when(F.col("total") > most, F.raise_error(F.concat(F.lit("too many combinations: "), F.col("project_id")))).otherwise(F.col("total"))
+    rows = lists.withColumn("n", n.cast("long")).withColumn("i", F.explode(F.sequence(zero, F.col("n") - 1)))
+
+    def divide(state, g):
+        part = state["rest"] * F.size(g)
+        digit = (part - part % F.col("n")) / F.col("n")
+        index = F.try_add(F.try_multiply(state["index"], F.size(g).cast("long")), digit.cast("long"))
+        name = F.element_at(g, (digit + 1).cast("int"))
+        return F.struct((part % F.col("n")).alias("rest"), index.alias("index"), F.when(name == "", state["chosen"]).otherwise(F.array_append(state["chosen"], name)).alias("chosen"))
+
+    # The index may become null on the way, which its start must allow for.
+    start = F.struct(F.col("i").alias("rest"), F.when(F.col("i") >= 0, zero).alias("index"), F.array().cast("array<string>").alias("chosen"))
+    rows = rows.withColumn("combo", F.aggregate("radix", start, divide))
+    label = F.when(F.size("combo.chosen") > 0, F.array_join(F.array_sort("combo.chosen"), ",")).otherwise("none")
+    rows = rows.select("project_id", F.col("combo.index").alias("combo_index"), label.alias("label"))
+    return rows if alone is None else rows.unionByName(alone)
 
 
 def ovat_sweep(params: DataFrame, values: DataFrame) -> DataFrame:
@@ -126,35 +140,71 @@ BOUNDARY_VALUES = {
     "uint64_t|uint_least64_t|uint_fast64_t": ["0", "1", "UINT64_MAX"],
 }
 STRING_VALUES = ["NULL", '""', '"hello"']
+#: Spellings of a text's type, and how deep types are followed.
+STRING_TYPES = ("char *", "const char *", "char*", "const char*")
+MOST_NESTED = 4
+
 
+def _trimmed(c: Column) -> Column:
+    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 
-def boundary_values(types: DataFrame) -> DataFrame:
+
+def _type_parts(types: DataFrame) -> DataFrame:
+    """types (ty) with what each is: a text, a pointer to `inner`, or a value; `struct` is the structure's name if it is one."""
+    name = _trimmed(F.col("ty"))
+    inner = _trimmed(F.regexp_replace(_trimmed(F.regexp_replace(name, r"\*$", "")), "^(const)+", ""))
+    kind = F.when(name.isin(*STRING_TYPES), "text").when(name.endswith("*"), "pointer").otherwise("value")
+    base = F.when(name.endswith("*"), inner).otherwise(name)
+    return types.select("ty", name.alias("name"), kind.alias("kind"), F.when(kind == "pointer", inner).alias("inner"), _trimmed(F.regexp_replace(base, "^(struct)+", "")).alias("struct"))
+
+
+def boundary_values(types: DataFrame, fields: DataFrame | None = None) -> DataFrame:
     """types (ty) with their representative values in order; unknown types give no rows.
 
-    Texts (char *, const or not) take null, the empty and a short one; a pointer to a known scalar
-    takes the address of its neutral value and null; any other pointer takes null alone.  Pointers to
-    pointers are addresses of such values.  Structures by value are unknown.
+    Texts (char *, const or not) take null, the empty and a short one; a pointer to a known type takes
+    the address of its neutral (first) value and null; any other pointer takes null alone.  fields
+    (struct, literal, pos, field, ty): the fields of structures, and the type's name in a literal.  A structure's
+    value is one literal of its fields' neutral values; fields of unknown types are left out, and
+    one without any is {0}.  Types are followed four levels deep, below that all are unknown, so a
+    structure that holds itself ends.
+
+    The values at each level are made from those one level down, which is a join on the distinct types;
+    there are far fewer of them than uses.
     """
+    spark = types.sparkSession
     rows = [(t, vs) for names, vs in BOUNDARY_VALUES.items() for t in names.split("|")]
-    table = F.broadcast(types.sparkSession.createDataFrame(rows, "base string, own array<string>"))  # a fixed table
-    name = F.trim("ty")
-    stars = F.length(F.regexp_extract(name, r"([\s*]*)$", 1)) - F.length(F.regexp_replace(F.regexp_extract(name, r"([\s*]*)$", 1), r"\*", ""))
-    base = F.trim(F.regexp_replace(F.regexp_replace(name, r"[\s*]*$", ""), r"^const\s+|\s+const$", ""))
-    split = types.select("ty", F.when(stars > 0, base).otherwise(name).alias("base"), stars.alias("stars")).join(table, "base", "left")
-    text = F.array(*map(F.lit, STRING_VALUES))
-    is_text = F.col("base").isin("char") & (F.col("stars") > 0)
+    scalars = F.broadcast(spark.createDataFrame(rows, "name string, own array<string>"))  # a fixed table
+    if fields is None:
+        fields = spark.createDataFrame([], "struct string, literal string, pos int, field string, ty string")
+    literals = fields.groupBy("struct").agg(F.first("literal").alias("literal"))
+    needed = types.select("ty").union(fields.select("ty")).distinct()
+    every = needed
+    for _ in range(MOST_NESTED):  # what pointers point at are types, too; written, as each is spelled by the one before
+        needed = settled(_type_parts(needed).where("kind = 'pointer'").select(F.col("inner").alias("ty")).distinct(), "pointees")
+        every = every.union(needed)
+    parts = _type_parts(every.distinct()).join(scalars, "name", "left").join(literals, "struct", "left")
+    parts = settled(parts, "types")
     null = F.array(F.lit("NULL"))
-    # The neutral value at each level of pointing, from the inside out; null where the inside is unknown.
-    start = F.when(is_text, 1).otherwise(0)
-    neutral = F.when(is_text, "NULL").otherwise(F.get("own", F.lit(0)))
-    level = lambda k: F.concat("base", F.when(k > 0, F.concat(F.lit(" "), F.repeat(F.lit("*"), k))).otherwise(""))
-    inner = F.when(
-        F.col("stars") - 1 > start,
-        F.aggregate(F.sequence(start, F.col("stars") - 2), neutral, lambda acc, k: F.when(acc.isNull(), F.lit("NULL")).otherwise(F.concat(F.lit("&("), level(k), F.lit("){"), acc, F.lit("}")))),
-    ).otherwise(neutral)
-    address = F.when(inner.isNull() | (F.col("base") == "void"), null).otherwise(F.array(F.concat(F.lit("&("), level(F.col("stars") - 1), F.lit("){"), inner, F.lit("}")), F.lit("NULL")))
-    values = F.when(F.col("stars") == 0, F.col("own")).when(is_text & (F.col("stars") == 1), text).otherwise(address)
-    return split.select("ty", F.posexplode(values).alias("ord", "val")).select("ty", F.col("ord").cast("long").alias("ord"), "val")
+    values = parts.select("ty", F.lit(None).cast("array<string>").alias("vals")).where("false")
+    for _ in range(MOST_NESTED + 1):
+        first = values.select(F.col("ty").alias("inner"), F.get("vals", F.lit(0)).alias("neutral"))
+        inits = fields.join(first.withColumnRenamed("inner", "ty"), "ty").where("neutral is not null").groupBy("struct").agg(
+            F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "field", "neutral"))), lambda x: F.concat(F.lit("."), x["field"], F.lit(" = "), x["neutral"])), ", ").alias("inits")
+        )
+        rows = parts.join(first, "inner", "left").join(inits, "struct", "left")
+        literal = F.concat(F.lit("("), "literal", F.lit("){"), F.coalesce("inits", F.lit("0")), F.lit("}"))
+        value = (
+            F.when(F.col("kind") == "text", F.array(*map(F.lit, STRING_VALUES)))
+            .when((F.col("kind") == "pointer") & (F.col("inner") == "void"), null)
+            .when((F.col("kind") == "pointer") & F.col("literal").isNotNull(), F.array(F.concat(F.lit("&"), literal), F.lit("NULL")))
+            .when((F.col("kind") == "pointer") & F.col("neutral").isNotNull(), F.array(F.concat(F.lit("&("), "inner", F.lit("){"), "neutral", F.lit("}")), F.lit("NULL")))
+            .when(F.col("kind") == "pointer", null)
+            .when(F.col("literal").isNotNull(), F.array(literal))
+            .otherwise(F.col("own"))
+        )
+        values = settled(rows.select("ty", value.alias("vals")).where("vals is not null"), "values")
+    asked = types.select("ty").distinct().join(values, "ty")
+    return asked.select("ty", F.posexplode("vals").alias("ord", "val")).select("ty", F.col("ord").cast("long").alias("ord"), "val")
 
 
 def classify_variables(config: DataFrame) -> DataFrame:

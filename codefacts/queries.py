@@ -190,6 +190,33 @@ _PATCH_SQL = """with p as (select project_id, file, start_off, end_off, arg_max(
     select l.project_id, l.file, md5(string_agg(coalesce(p.replacement, l.line), chr(10) order by item_seq)) as content_md5 from l left join p on l.project_id = p.project_id and l.file = p.file and l.start_off = p.start_off group by all"""
 
 
+# Lines, blocks of six lines that cross one another, and the whole file, which comes last.
+_NESTED_ITEMS = """select project_id, file, item_seq * 2 as item_seq, start_off, end_off from v_spans
+    union all select a.project_id, a.file, a.item_seq * 2 - 7, a.start_off, b.end_off from v_spans a join v_spans b on a.project_id = b.project_id and a.file = b.file and b.item_seq = a.item_seq + 5 where a.item_seq % 4 = 0
+    union all select project_id, file, cast(1000000 as bigint), min(start_off), max(end_off) from v_spans group by project_id, file"""
+
+
+@registered("c1_attribute_overlapping", f"""with i as ({_NESTED_ITEMS}), h as (select d.project_id, d.file, d.seq, d.byte_start, d.byte_end, arg_min({{'s': start_off, 'e': end_off}}, item_seq) as item from v_diagnostics d join i on i.project_id = d.project_id and i.file = d.file and start_off <= byte_start and byte_start < end_off and byte_end < end_off group by all)
+    select d.project_id, d.file, d.seq, d.byte_start, d.byte_end, item.s as item_start, item.e as item_end, case when item is not null then 'item' when exists (select 1 from i where i.project_id = d.project_id and i.file = d.file) then 'whole_file' else 'missing_file' end as status
+    from v_diagnostics d left join h on h.project_id = d.project_id and h.file = d.file and h.seq = d.seq""")
+def c1_overlapping(spark, d):
+    return spans.attribute_spans(view(spark, d, "v_diagnostics"), query(spark, d, _NESTED_ITEMS))
+
+
+# Every third line, and in some files one patch more across two lines.
+_CROSSING_PATCHES = """select project_id, file, start_off, end_off, seq, replacement from v_patches
+    union all select project_id, file, start_off, end_off + 2, cast(-1 as bigint), 'x' from v_spans where item_seq = 2 and length(file) % 2 = 0
+    union all select project_id, file, start_off + 1, end_off, cast(-2 as bigint), 'y' from v_spans where item_seq = 3 and length(file) % 2 = 0"""
+
+
+@registered("d14_refused_patches", f"""with p as (select project_id, file, start_off, end_off, arg_max(replacement, seq) as r from ({_CROSSING_PATCHES}) where replacement <> '' group by all)
+    select source as project_id, concat('d', doc_id) as file, exists (select 1 from p a join p b on a.project_id = b.project_id and a.file = b.file and (a.start_off < b.start_off or (a.start_off = b.start_off and a.end_off < b.end_off)) and b.start_off < a.end_off where a.project_id = source and a.file = concat('d', doc_id))
+        or exists (select 1 from p where p.project_id = source and p.file = concat('d', doc_id) and p.end_off > strlen(text)) as refused from documents""")
+def d14_refused(spark, d):
+    files = query(spark, d, "select source as project_id, concat('d', doc_id) as file, cast(text as binary) as content from documents")
+    return spans.apply_patches(files, query(spark, d, _CROSSING_PATCHES)).select("project_id", "file", "refused")
+
+
 @registered("d14_apply_patches", _PATCH_SQL.replace("{lines}", "select source, doc_id, unnest(range(len(string_split(text, chr(10))))) as seq, unnest(string_split(text, chr(10))) as line from documents"))
 def d14(spark, d):
     files = query(spark, d, "select source as project_id, concat('d', doc_id) as file, cast(text as binary) as content from documents")
@@ -348,6 +375,46 @@ def f4(spark, d):
     return matrix.ovat_sweep(view(spark, d, "v_fn_params"), view(spark, d, "v_values")).withColumn("args", F.array_join("args", ","))
 
 
+# Some 200 flags a project: products of up to 2**200 combinations; a project in ten has no flags.
+_WIDE_FEATURES = "select concat('w', cast(floor(p_partkey / 200) as bigint)) as project_id, concat('F', p_partkey) as name from part where cast(floor(p_partkey / 200) as bigint) % 10 <> 9"
+_WIDE_PROJECTS = "select distinct concat('w', cast(floor(p_partkey / 200) as bigint)) as project_id from part"
+
+
+@registered("f2_enumerate_wide", f"""with f as (select project_id, name, row_number() over (partition by project_id order by name) as g, count(*) over (partition by project_id) as k from ({_WIDE_FEATURES})),
+    n as (select *, case when k <= 3 then 1 << k else 10 end as n from f), x as (select *, unnest(range(n)) as i from n),
+    dg as (select *, (i * case when g < 4 then (1 << g) else case g % 4 when 0 then 16 when 1 then 12 when 2 then 4 else 8 end end % (2 * n)) // n as digit from x),
+    c as (select project_id, k, n, i, coalesce(string_agg(case when digit = 0 then name end, ',' order by name), 'none') as label from dg group by all)
+    select project_id, case when i = 0 then 0 when k > 100 then null when i * (1::hugeint << k) // n > 9223372036854775807 then null else i * (1::hugeint << k) // n end::bigint as combo_index, label from c
+    union all select project_id, 0, 'default' from ({_WIDE_PROJECTS}) p where not exists (select 1 from f where f.project_id = p.project_id)""")
+def f2_wide(spark, d):
+    return matrix.enumerate_combos(matrix.group_features(query(spark, d, _WIDE_FEATURES)), 10, query(spark, d, _WIDE_PROJECTS))
+
+
+# Structures of five fields that hold the next one, by value or pointed at, or point at themselves.
+_FIELDS = """select concat('s', cast(floor(p_partkey / 5) as bigint)) as struct, concat('struct s', cast(floor(p_partkey / 5) as bigint)) as literal, cast(p_partkey % 5 as bigint) as pos, concat('f', p_partkey % 5) as field,
+    case (p_partkey + p_size) % 8 when 0 then 'int' when 1 then 'char *' when 2 then concat('struct s', cast(floor(p_partkey / 5) as bigint) + 1) when 3 then concat(' struct s', cast(floor(p_partkey / 5) as bigint) + 1, ' *') when 4 then 'blob' when 5 then 'double **'
+    when 6 then concat('const struct s', cast(floor(p_partkey / 5) as bigint), '*') else 'void *' end as ty from part"""
+_STRUCT_TYPES = f"select distinct concat(literal, case pos when 0 then '' when 1 then ' *' when 2 then ' **' else '*' end) as ty from ({_FIELDS}) q"
+
+
+def _level(k: int) -> str:
+    """Types at depth k from those a level down."""
+    return f"""i{k} as (select struct, string_agg(concat('.', field, ' = ', v.vals[1]), ', ' order by pos) as inits from fl join v{k + 1} v on v.ty = fl.ty and v.vals is not null group by struct),
+    v{k} as (select pt.ty, case when name in ('char *', 'const char *', 'char*', 'const char*') then ['NULL', '""', '"hello"'] when deref = 'void' then ['NULL'] when deref is not null and st.struct is not null then [concat('&(', st.literal, '){{', coalesce(inits, '0'), '}}'), 'NULL']
+        when deref is not null and v.vals is not null then [concat('&(', deref, '){{', v.vals[1], '}}'), 'NULL'] when deref is not null then ['NULL'] when st.struct is not null then [concat('(', st.literal, '){{', coalesce(inits, '0'), '}}')]
+        when name = 'int' then ['0', '1', '-1', 'INT_MAX', 'INT_MIN'] when name = 'double' then ['0.0', '1.0', '-1.0'] end as vals
+        from pt left join st on st.struct = trim(regexp_replace(coalesce(deref, name), '^(struct)+', '')) left join i{k} on i{k}.struct = st.struct left join v{k + 1} v on v.ty = deref and v.vals is not null)"""
+
+
+@registered("f5_structures", f"""with fl as ({_FIELDS}), st as (select struct, any_value(literal) as literal from fl group by struct), t0 as (select ty from ({_STRUCT_TYPES}) union select ty from fl),
+    t1 as (select ty from t0 union select trim(regexp_replace(trim(regexp_replace(trim(ty), '\\*$', '')), '^(const)+', '')) from t0 where ends_with(trim(ty), '*')), t2 as (select ty from t1 union select trim(regexp_replace(trim(regexp_replace(trim(ty), '\\*$', '')), '^(const)+', '')) from t1 where ends_with(trim(ty), '*')),
+    pt as (select ty, trim(ty) as name, case when ends_with(trim(ty), '*') and trim(ty) <> 'char *' then trim(regexp_replace(trim(regexp_replace(trim(ty), '\\*$', '')), '^(const)+', '')) end as deref from t2),
+    v5 as (select '' as ty, [''] as vals where false), {", ".join(map(_level, (4, 3, 2, 1, 0)))}
+    select ty, unnest(range(len(vals)))::bigint as ord, unnest(vals) as val from v0 join ({_STRUCT_TYPES}) q using (ty) where vals is not null""")
+def f5_structures(spark, d):
+    return matrix.boundary_values(query(spark, d, _STRUCT_TYPES), query(spark, d, _FIELDS))
+
+
 @registered("f5_boundary_values", """select fn, ty, ord::bigint as ord, val from v_params join (values ('int', 0, '0'), ('int', 1, '1'), ('int', 2, '-1'), ('int', 3, 'INT_MAX'), ('int', 4, 'INT_MIN'),
     ('double', 0, '0.0'), ('double', 1, '1.0'), ('double', 2, '-1.0'), ('bool', 0, '0'), ('bool', 1, '1'), ('unsigned long', 0, '0'), ('unsigned long', 1, '1'), ('unsigned long', 2, 'ULONG_MAX'),
     ('size_t', 0, '0'), ('size_t', 1, '1'), ('size_t', 2, 'SIZE_MAX'), ('int_fast8_t', 0, '0'), ('int_fast8_t', 1, '1'), ('int_fast8_t', 2, '-1'), ('int_fast8_t', 3, 'INT8_MAX'), ('int_fast8_t', 4, 'INT8_MIN'),
@@ -368,7 +435,7 @@ def d13(spark, d):
 
 
 _CONFIG = """select concat('p', cast(floor(p_partkey / 30) as bigint)) as project_id, concat('V', p_partkey % 6) as name, case when p_partkey % 6 = 5 then 'Boolean' else 'Enum' end as kind,
-    min(case p_partkey % 4 when 0 then 'true' when 1 then 'a1' when 2 then 'zz' end) as `default` from part where p_partkey % 5 <> 0 group by cast(floor(p_partkey / 30) as bigint), p_partkey % 6"""
+    min(case p_partkey % 4 when 0 then 'true' when 1 then 'a1' when 2 then 'zz' end) as `default` from part group by cast(floor(p_partkey / 30) as bigint), p_partkey % 6"""
 _CONFIG_DUCK = _CONFIG.replace("`default`", "dflt")
 
 
@@ -419,7 +486,7 @@ def f6(spark, d):
     return matrix.resolve_defines(combos.select("project_id", "x.*"), defines)
 
 
-_SELECTED = "select distinct concat('p', cast(floor(p_partkey / 30) as bigint)) as project_id, concat('V', p_partkey % 4, '_a', p_partkey % 3) as feature from part where p_size < 10"
+_SELECTED = "select distinct concat('p', cast(floor(p_partkey / 30) as bigint)) as project_id, concat('V', p_partkey % 4, '_a', p_partkey % 3) as feature from part"
 
 
 @registered("f7_mutual_exclusion", f"""with v as (select project_id, name, unnest(['a0', 'a1', 'a2']) as value from ({_CONFIG_DUCK}) where kind = 'Enum'), h as (select v.project_id, v.name, count(s.feature) as n from v left join ({_SELECTED}) s on s.project_id = v.project_id and s.feature = v.name || '_' || v.value group by all)
@@ -470,7 +537,7 @@ def b5(spark, d):
     return facts.error_messages(view(spark, d, "v_messages")).select("project_id", "seq", "text")
 
 
-_LAYOUT = """select concat('d', doc_id % 200) as project_id, case doc_id % 5 when 0 then 'test_case/src/main.c' when 1 then 'test_vectors/1.json' when 2 then 'test_case/notes.txt' when 3 then 'README' else 'test_case/CMakeLists.txt' end as path from documents where n_chars % 3 <> 0"""
+_LAYOUT = """select concat('d', cast(floor(doc_id / 4) as bigint)) as project_id, case doc_id % 5 when 0 then 'test_case/src/main.c' when 1 then 'test_vectors/1.json' when 2 then 'test_case/notes.txt' when 3 then 'README' else 'test_case/CMakeLists.txt' end as path from documents"""
 
 
 @registered("b2_validate_layout", f"""with f as (select project_id, bool_or(starts_with(path, 'test_case/')) as c, bool_or(starts_with(path, 'test_case/src/') or path = 'test_case/CMakeLists.txt') as s, bool_or(starts_with(path, 'test_vectors/')) as v from ({_LAYOUT}) group by all),
@@ -484,7 +551,7 @@ def b3(spark, d):
     return facts.select_sources(view(spark, d, "v_files")).select("project_id", "path")
 
 
-_BUILD_TEXT = "select concat('c', conv_id) as project_id, concat('x', chr(10), case conv_id % 4 when 0 then 'add_executable(a)' when 1 then 'add_library(b)' when 2 then ' add_library(c)' else '#' end, chr(10), role) as text from conversations where turn = 0"
+_BUILD_TEXT = "select concat('c', conv_id) as project_id, concat('x', chr(10), case conv_id % 4 when 0 then 'add_executable(a)' when 1 then 'add_library(b)' when 2 then ' add_library(c)' else '#' end, chr(10), text) as text from conversations"
 _TARGET_FACTS = "select concat('c', conv_id) as project_id, case when turn % 2 = 0 then 'lib' else 'exe' end as kind from conversations where conv_id % 3 = 0 and turn < 2 + conv_id % 2 - 1"
 
 
@@ -494,8 +561,8 @@ def b6(spark, d):
     return facts.classify_project_kind(query(spark, d, _BUILD_TEXT), query(spark, d, _TARGET_FACTS))
 
 
-_KINDS = """select concat('p', p_size % 9) as project_id, p_partkey as entity_seq, case p_partkey % 10 when 0 then 'struct' when 1 then 'union' when 2 then 'enum' when 3 then 'typedef' when 4 then 'variable' when 5 then 'include' when 6 then 'define' when 7 then 'macro' when 8 then 'function' else 'label' end as kind,
-    p_partkey % 20 = 8 as is_definition, p_name as name, case when p_partkey % 13 = 0 then 'static' end as storage_class, case when p_partkey % 17 = 0 then '/usr/include/x.h' when p_partkey % 3 = 0 then concat(p_type, '.H') else concat(p_type, '.c') end as file from part"""
+_KINDS = """select concat('p', cast(floor(p_partkey / 40) as bigint)) as project_id, p_partkey as entity_seq, case p_partkey % 10 when 0 then 'struct' when 1 then 'union' when 2 then 'enum' when 3 then 'typedef' when 4 then 'variable' when 5 then 'include' when 6 then 'define' when 7 then 'macro' when 8 then 'function' else 'label' end as kind,
+    p_partkey % 20 = 8 as is_definition, concat('fn', p_partkey % 10) as name, case when p_partkey % 13 = 0 then 'static' end as storage_class, case when p_partkey % 17 = 0 then '/usr/include/x.h' when p_partkey % 3 = 0 then concat(p_type, '.H') else concat(p_type, '.c') end as file from part"""
 _BUCKET_SQL = "case kind when 'struct' then 'types' when 'union' then 'types' when 'enum' then 'types' when 'typedef' then 'types' when 'variable' then 'globals' when 'include' then 'includes' when 'define' then 'defines' when 'macro' then 'macros' when 'function' then case when is_definition then 'functions' else 'declarations' end end"
 
 
@@ -515,7 +582,7 @@ def c3(spark, d):
     return facts.public_functions(e.where("kind = 'function' and is_definition"), e.where("entity_seq % 20 = 18")).select("project_id", "entity_seq", "name")
 
 
-_TAG_SELECTIONS = "select concat('p', p_size % 9) as project_id, concat(p_type, '.c') as file, p_partkey as seq, concat('V', p_partkey % 3) as var, concat('a', p_partkey % 4) as value from part where p_partkey % 50 = 0"
+_TAG_SELECTIONS = "select concat('p', cast(floor((p_partkey + p_size % 3) / 40) as bigint)) as project_id, concat(p_type, '.c') as file, p_partkey as seq, concat('V', p_partkey % 3) as var, concat('a', p_partkey % 4) as value from part"
 
 
 @registered("c4_tag_variants", f"""with t as (select project_id, file, string_agg(concat(var, '=', value), ',' order by seq) as tags from ({_TAG_SELECTIONS}) group by all)
@@ -524,8 +591,10 @@ def c4(spark, d):
     return facts.tag_variants(query(spark, d, _KINDS), query(spark, d, _TAG_SELECTIONS)).select("project_id", "entity_seq", F.array_join("tags", ",").alias("tags"))
 
 
-_SUBDIRS = "select distinct concat('p', p_size % 3) as project_id, p_partkey % 40 as node_id, case when p_partkey % 40 >= 4 then cast(floor((p_partkey % 40) / 4) as bigint) end as parent_id, concat('V', p_partkey % 40) as var, concat('a', p_partkey % 8) as value from part"
-_SUB_FILES = "select distinct concat('p', p_size % 3) as project_id, p_partkey % 44 as node_id, concat(p_type, '/', p_partkey % 44) as path from part"
+# A forest for 60 parts: chains in every third project, else trees whose nodes have four children.
+_SUBDIRS = """select concat('p', cast(floor(p_partkey / 60) as bigint)) as project_id, p_partkey % 60 as node_id, case when cast(floor(p_partkey / 60) as bigint) % 3 = 0 then nullif(p_partkey % 60 - 1, -1) when p_partkey % 60 >= 4 then cast(floor((p_partkey % 60) / 4) as bigint) end as parent_id,
+    concat('V', p_partkey % 40) as var, concat('a', p_size % 8) as value from part where p_size <> 7"""
+_SUB_FILES = "select concat('p', cast(floor(p_partkey / 60) as bigint)) as project_id, p_partkey % 60 as node_id, concat(p_type, '/', p_partkey) as path from part"
 
 
 @registered("c5_stack_outer_tags", f"""with recursive s as ({_SUBDIRS}), t as (select project_id, node_id, concat(var, '=', value) as tags from s where parent_id is null union all select s.project_id, s.node_id, concat(t.tags, ',', s.var, '=', s.value) from s join t on s.project_id = t.project_id and s.parent_id = t.node_id)
@@ -543,8 +612,8 @@ def c6(spark, d):
     return facts.expand_source_patterns(query(spark, d, _PATTERNS), view(spark, d, "v_files"))
 
 
-_MARKERS = "select distinct source as project_id, concat('d', lang, case when doc_id % 2 = 0 then '/sub' else '' end) as dir from documents where doc_id % 9 = 0"
-_DIRS = "select distinct source as project_id, concat('d', lang, case when doc_id % 3 = 0 then '/sub' when doc_id % 3 = 1 then '/sub/x' else '/y' end) as path from documents"
+_MARKERS = "select distinct concat(source, '/', cast(floor(doc_id / 100) as bigint)) as project_id, concat('d', lang, case when doc_id % 2 = 0 then '/sub' else '' end) as dir from documents"
+_DIRS = "select concat(source, '/', cast(floor(doc_id / 100) as bigint)) as project_id, concat('d', lang, case when doc_id % 3 = 0 then '/sub' when doc_id % 3 = 1 then '/sub/x' else '/y' end, '/', doc_id) as path from documents"
 
 
 @registered("c10_nearest_ancestor", f"""with p as ({_DIRS}), m as ({_MARKERS}) select p.project_id, path, arg_max(dir, length(dir)) as ancestor from p left join m on p.project_id = m.project_id and (path = dir or starts_with(path, dir || '/')) group by all""")
@@ -620,6 +689,11 @@ def h1(spark, d):
     return facts.pick_artifact(view(spark, d, "v_files"))
 
 
+@registered("h1_pick_program", r"select project_id, min(path) as artifact from v_files where not regexp_matches(path, '(^|/)\.[^/]*$') and not regexp_matches(path, '[^/]\.(d|rlib|rmeta|pdb|exp|lib)$') group by all")
+def h1_program(spark, d):
+    return facts.pick_artifact(view(spark, d, "v_files"), "program")
+
+
 @registered("s2_library_only_targets", "select distinct project_id, filename as target from v_results a where not exists (select 1 from v_results b where b.project_id = a.project_id and b.filename = a.filename and b.combo = 3)")
 def s2(spark, d):
     rows = view(spark, d, "v_results").withColumnRenamed("filename", "target")
@@ -857,6 +931,39 @@ def j2_stream(spark, d):
     return spark.read.schema(stream.schema).parquet(out).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
+# A run begins with every third event and ends one to five events later; the last ones never end.
+_RUN_EVENTS = """select e.event_id as run_id, e.ts, e.event_type as tool, 'started' as phase from events e where e.event_id % 3 = 0
+    union all select e.event_id - 1 - k as run_id, e.ts, e.event_type, 'finished' from events e, (select 0 as k union all select 1 union all select 2 union all select 3 union all select 4) x where (e.event_id - 1 - k) % 3 = 0 and (e.event_id - 1 - k) % 5 = k and e.event_id - 1 - k >= 0"""
+_STILL_RUNNING = f"""with r as ({_RUN_EVENTS}), s as (select * from r where phase = 'started'), f as (select run_id, ts from r where phase = 'finished'), w as (select max(ts) - interval '2 minutes' as upto from events),
+    b as (select s.run_id, s.tool, epoch_us(s.ts) // 1000 as began, coalesce(epoch_us(f.ts) // 1000, (select epoch_us(upto) // 1000 from w)) as ended from s left join f using (run_id)),
+    t as (select run_id, tool, began, unnest(range((began + 29999) // 30000 * 30000, ended, 30000)) as tick from b)
+    select make_timestamp(tick * 1000) as tick, run_id, tool, tick - began as running_ms from t"""
+
+
+@registered("j2_still_running", _STILL_RUNNING)
+def j2_running(spark, d):
+    from .streaming import still_running
+
+    upto = query(spark, d, "select timestampadd(minute, -2, max(ts)) as upto from events")
+    # Milliseconds, as a stream's watermark has them.
+    rows = query(spark, d, _RUN_EVENTS).withColumn("ts", F.date_trunc("millisecond", "ts"))
+    return still_running(rows, F.date_trunc("millisecond", F.lit(upto.first()[0]))).withColumn("tick", F.col("tick").cast("timestamp_ntz"))
+
+
+@registered("j2_stream_still_running", _STILL_RUNNING)
+def j2_stream_running(spark, d):
+    from .scratch import scratch_path
+    from .streaming import stream_still_running
+
+    landed, out = scratch_path(spark, "runs"), scratch_path(spark, "running")
+    rows = query(spark, d, _RUN_EVENTS).withColumn("ts", F.col("ts").cast("timestamp"))
+    rows.repartitionByRange(3, "ts").write.parquet(landed)
+    stream = stream_still_running(spark.readStream.schema(rows.schema).parquet(landed))
+    job = stream.writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", scratch_path(spark, "state")).trigger(availableNow=True).start()
+    job.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(out).withColumn("tick", F.col("tick").cast("timestamp_ntz"))
+
+
 _BODIES = "select project_id, file, start_off + 2 as start_off, end_off - 2 as end_off from v_spans where end_off - start_off > 12 and item_seq % 2 = 0"
 # Bodies that begin and end between characters, two from the line's ends.
 _LINE_BODIES = """select project_id, file, cast(start_off + octet_length(left(item_line, 2)) as bigint) as start_off, cast(start_off + n - 1 - octet_length(right(item_line, 2)) as bigint) as end_off

@@ -3,74 +3,148 @@
 from __future__ import annotations
 
 import os
+import re
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import settled
+
+#: Paths or bytes that a batch holds at most.
+BATCH_PATHS, BATCH_BYTES = 10_000, 8_000_000
+
+
+class _Shared:
+    """Folders that all executors share; names may be any bytes."""
+
+    def entries(self, folder: bytes) -> Iterator[tuple[bytes, bool]]:
+        with os.scandir(folder) as found:
+            for x in found:
+                if x.is_dir(follow_symlinks=False):
+                    yield os.fsencode(x.path), True
+                elif x.is_file():
+                    yield os.fsencode(x.path), False
+
+    def read(self, path: bytes) -> bytes:
+        with open(path, "rb") as f:
+            return f.read()
+
+
+class _Store:
+    """A store that Arrow opens, in the task itself."""
+
+    def __init__(self, store: fs.FileSystem):
+        self.store = store
+
+    def entries(self, folder: bytes) -> Iterator[tuple[bytes, bool]]:
+        for x in self.store.get_file_info(fs.FileSelector(folder.decode())):
+            if x.type in (fs.FileType.Directory, fs.FileType.File):
+                yield x.path.encode(), x.type == fs.FileType.Directory
+
+    def read(self, path: bytes) -> bytes:
+        with self.store.open_input_file(path.decode()) as f:
+            return f.read()
 
-def _listed_files(spark: SparkSession, root: str) -> DataFrame:
-    """full, content, size through Spark's reader, whose index of files is the driver's."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    files = found.select(F.col("path").alias("full"), "content", F.col("length").alias("size"))
-    # The reader leaves empty files out; the index that it lists, names encoded, has them.
-    listed = spark.createDataFrame([(p,) for p in found.inputFiles()], "full string")
-    listed = listed.select(F.url_decode(F.replace("full", F.lit("+"), F.lit("%2B"))).alias("full"))
-    empty = listed.join(files.select("full"), "full", "left_anti").select("full", F.unhex(F.lit("")).alias("content"), F.lit(0).cast("long").alias("size"))
-    return files.unionByName(empty)
 
+def _walked(spark: SparkSession, root: bytes, opened: Callable[[], _Shared | _Store]) -> DataFrame:
+    """full, content, size of all files below root.
 
-def _local_files(spark: SparkSession, root: str) -> DataFrame:
-    """full, content, size of a folder that all executors share; the driver sees the names at the root only."""
-    tops = [(os.fsencode(x.path),) for x in os.scandir(root)]
+    Folders are listed in tasks, a level a round, each folder by itself; what a round finds is a
+    table, and the driver asks only whether it holds folders.  Files are read where their names are dealt to,
+    so a folder with very many isn't one task's work.
+    """
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def listed(batches):
+        store, held = opened(), []
+
+        def out():
+            paths, folders = zip(*held, strict=True)
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(paths, type=pa.binary()), pa.array(folders)], names=["raw", "folder"])
 
-    def walk(batches):
         for batch in batches:
-            for top in batch.column(0).to_pylist():
-                found = [] if os.path.isdir(top) else [top]
-                for folder, _, names in os.walk(top):
-                    found += [os.path.join(folder, name) for name in names]
-                    if len(found) > 10_000:
-                        yield pa.RecordBatch.from_arrays([pa.array(filter(os.path.isfile, found), type=pa.binary())], names=["raw"])
-                        found = []
-                yield pa.RecordBatch.from_arrays([pa.array(filter(os.path.isfile, found), type=pa.binary())], names=["raw"])
+            for folder in batch.column("raw").to_pylist():
+                for x in store.entries(folder):
+                    held.append(x)
+                    if len(held) >= BATCH_PATHS:
+                        yield out()
+        if held:
+            yield out()
 
     def read(batches):
-        def batch_of():
+        store, held, volume = opened(), [], 0
+
+        def out():
             raw, content = zip(*held, strict=True)
             held.clear()
             columns = [pa.array([x.decode("utf-8", "replace") for x in raw], type=pa.string()), pa.array(content, type=pa.binary()), pa.array(map(len, content), type=pa.int64())]
             return pa.RecordBatch.from_arrays(columns, names=["full", "content", "size"])
 
-        held, volume = [], 0
         for batch in batches:
-            for raw in batch.column(0).to_pylist():
-                with open(raw, "rb") as f:
-                    held.append((raw, f.read()))
+            for raw in batch.column("raw").to_pylist():
+                held.append((raw, store.read(raw)))
                 volume += len(held[-1][1]) + 1000
-                if volume > 8_000_000:
-                    yield batch_of()
+                if volume > BATCH_BYTES:
+                    yield out()
                     volume = 0
         if held:
-            yield batch_of()
+            yield out()
+
+    found, folders = [], spark.createDataFrame([(root,)], "raw binary")
+    while True:
+        level = settled(folders.repartition(tasks, "raw").mapInArrow(listed, "raw binary, folder boolean"), "listed")
+        found.append(level.where("not folder").select("raw"))
+        folders = level.where("folder").select("raw")
+        if folders.isEmpty():
+            break
+    return reduce(DataFrame.unionByName, found).repartition(tasks, "raw").mapInArrow(read, "full string, content binary, size long")
+
+
+def _listed_by_spark(spark: SparkSession, root: str) -> DataFrame:
+    """full, content, size through Spark's reader, whose index of files is the driver's."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    files = found.select(F.col("path").alias("full"), "content", F.col("length").alias("size"))
+    # The reader leaves empty files out; the index that it lists, names encoded, has them.
+    listed = spark.createDataFrame([(p,) for p in found.inputFiles()], "full string")
+    listed = listed.select(F.url_decode(F.replace("full", F.lit("+"), F.lit("%2B"))).alias("full"))
+    empty = listed.join(files.select("full"), "full", "left_anti").select("full", F.unhex(F.lit("")).alias("content"), F.lit(0).cast("long").alias("size"))
+    return files.unionByName(empty)
+
 
-    paths = spark.createDataFrame(tops, "raw binary").repartition(max(1, len(tops))).mapInArrow(walk, "raw binary")
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))  # given, so that few bytes of names aren't read by few tasks
-    return paths.repartition(tasks, "raw").mapInArrow(read, "full string, content binary, size long")
+def _opener(root: str) -> tuple[Callable[[], fs.FileSystem] | None, str]:
+    """How tasks open the store of a URI, and the path in it; no way if Arrow doesn't know its scheme."""
+    try:
+        _, path = fs.FileSystem.from_uri(root)
+    except (pa.ArrowInvalid, OSError):
+        return None, root
+    return (lambda: fs.FileSystem.from_uri(root)[0]), path
 
 
-def load_tree(spark: SparkSession, root: str) -> DataFrame:
+def load_tree(spark: SparkSession, root: str, store: Callable[[], fs.FileSystem] | None = None) -> DataFrame:
     """Every regular file below root: project_id (first path component), path below it, content, size.
-    Files at the root itself belong to project ''."""
-    base = spark._jvm.org.apache.hadoop.fs.Path(root)
-    base = base.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(base).toString().rstrip("/")
-    if base.startswith("file:"):
-        base = "/" + base.removeprefix("file:").lstrip("/")
-        files = _local_files(spark, base)
+    Files at the root itself belong to project ''.
+
+    root: a folder that all executors share, as a path or file: URI, or the URI of a store that Arrow
+    opens (s3, gs, abfs, hdfs), or a path in the store that `store` opens in a task.  These are listed in
+    tasks, level by level.  Other URIs go through Spark's reader, which lists on the driver.
+    """
+    scheme = re.match(r"([A-Za-z][A-Za-z0-9+.-]*):", root)
+    if store:
+        base = root.strip("/")
+        files = _walked(spark, base.encode(), lambda: _Store(store()))
+    elif not scheme or scheme[1] == "file":
+        base = os.path.abspath("/" + root[5:].lstrip("/") if scheme else root)
+        files = _walked(spark, os.fsencode(base), _Shared)
     else:
-        files = _listed_files(spark, root)
-    start = len(base) + 2
-    below = files.withColumn("below", F.substring("full", start, 1 << 30))
+        way, path = _opener(root)
+        base = path.rstrip("/") if way else root.rstrip("/")
+        files = _walked(spark, base.encode(), lambda: _Store(way())) if way else _listed_by_spark(spark, root)
+    below = files.withColumn("below", F.substring("full", len(base) + 2 if base else 1, 1 << 30))
     return below.select(
         F.when(F.instr("below", "/") > 0, F.substring_index("below", "/", 1)).otherwise("").alias("project_id"),
         F.expr("substring(below, instr(below, '/') + 1)").alias("path"), "content", "size",

@@ -56,7 +56,7 @@ VIEWS: dict[str, str] = {
                when 8 then 'const char*' when 9 then 'void *' when 10 then 'const float *' else 'struct pair' end as ty from part""",
     "v_values": "select p_type as ty, cast(row_number() over (partition by p_type order by p_size) - 1 as bigint) as ord, cast(p_size as {string}) as val from (select distinct p_type, p_size from part)",
     "v_fn_params": "select concat('f', cast(floor(p_partkey / 6) as bigint)) as fn, cast(p_partkey % 6 as bigint) as pos, p_type as ty from part",
-    "v_usage": "select concat('c', conv_id % 20) as project_id, role as call_kind, cast(length(text) as bigint) as prompt, turn as output, cast(length(text) as bigint) + turn as total from conversations",
+    "v_usage": "select concat('c', cast(floor(conv_id / 10) as bigint)) as project_id, role as call_kind, cast(length(text) as bigint) as prompt, turn as output, cast(length(text) as bigint) + turn as total from conversations",
     "v_requests": "select concat('c', conv_id) as project_id, turn as seq, text from conversations where role = 'user'",
     "v_responses": "select concat('c', conv_id) as project_id, turn as seq, text from conversations where role = 'assistant'",
     "v_runs": "select concat('k', o_custkey) as project_id, o_orderkey as run_seq, o_orderpriority as tool, o_orderstatus <> 'P' as success, o_orderkey as artifact_id from orders",

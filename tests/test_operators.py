@@ -130,7 +130,8 @@ def test_build_script(spark):
     statements = buildfacts.extract_statements(scripts)
     assert [r["command"] for r in statements.orderBy("seq").collect()][:4] == ["project", "add_compile_definitions", "set", "if"]
     defines = {r["define"]: r["kind"] for r in buildfacts.extract_defines(statements, variables).collect()}
-    assert defines == {"APP_MODE_STR": "quoted", "ENABLE_EXTRA": "gated", "BUILD_PROFILE": "composed", "WORD_SIZE": "bare"}
+    # A name alone is a flag in add_definitions and target_compile_definitions only.
+    assert defines == {"APP_MODE_STR": "quoted", "BUILD_PROFILE": "composed", "WORD_SIZE": "bare"}
     gates = {r["args"][0]: (r["gate_var"], r["branch"]) for r in buildfacts.scope_gates(statements, variables).where("command = 'add_library'").collect()}
     assert gates == {"extra": ("ENABLE_EXTRA", "if"), "other": ("ENABLE_EXTRA", "else")}
     targets = {(r["target"], r["path"]) for r in buildfacts.declare_targets(statements).where("kind = 'exe'").collect()}
@@ -235,6 +236,31 @@ def test_load_tree_lists_no_files_on_the_driver(spark, tmp_path, monkeypatch):
     assert found == {k: (v, len(v)) for k, v in files.items()}
     (tmp_path / "none").mkdir()
     assert load_tree(spark, str(tmp_path / "none")).count() == 0
+    assert load_tree(spark, f"file://{tmp_path}/p").count() == 2
+    (tmp_path / "q/link").symlink_to(tmp_path / "p")  # a folder's link would go round
+    assert load_tree(spark, str(tmp_path)).count() == len(files)
+
+
+def test_load_tree_of_a_store(spark, tmp_path, monkeypatch):
+    """A store that isn't the shared file system: opened, listed and read in tasks, names never collected."""
+    from pyspark.sql import DataFrame
+
+    files = {f"p{k % 3}/a/{k}/b/f{k}": bytes([k]) * k for k in range(30)} | {"p0/empty": b"", "top": b"t"}
+    for path, content in files.items():
+        (tmp_path / "bucket" / path).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "bucket" / path).write_bytes(content)
+    base = str(tmp_path)
+
+    def store():
+        from pyarrow import fs
+
+        return fs.SubTreeFileSystem(base, fs.LocalFileSystem())
+
+    monkeypatch.setattr(DataFrame, "inputFiles", lambda self: pytest.fail("names of all files go to the driver"))
+    loaded = load_tree(spark, "/bucket/", store)
+    monkeypatch.setattr(DataFrame, "toPandas", None)
+    found = {"/".join(filter(None, (r["project_id"], r["path"]))): bytes(r["content"]) for r in loaded.collect()}
+    assert found == files
 
 
 def _statements(spark, text, file="CMakeLists.txt"):
