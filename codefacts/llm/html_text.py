@@ -20,6 +20,7 @@ import hashlib
 import html as _html
 import re
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -49,6 +50,8 @@ _P_ENDS = _BLOCK - {"body", "html"}
 _NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 _TAG_STOP = re.compile(r">|=\s*([\"'])")
 _ATTR = re.compile(r"([^\s/>][^\s/>=]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+#: Bits that aligning two pages may hold at once.
+MOST_BITS = 1 << 28
 _SPACE = re.compile(r"\s+")
 _KEY = ("host", "path", "id", "tie")
 _DIGEST = "part int, host string, path string, id long, tie long, digest binary"
@@ -173,30 +176,32 @@ def page_lines(page: str) -> list[tuple[str, int]]:
     return out
 
 
-def common_lines(a: list[str], b: list[str]) -> set[int]:
-    """Places in a of a longest common subsequence of a and b (bit-parallel, a bit for each line of b)."""
-    begin = 0
-    while begin < min(len(a), len(b)) and a[begin] == b[begin]:
-        begin += 1
-    end = 0
-    while end < min(len(a), len(b)) - begin and a[-1 - end] == b[-1 - end]:
-        end += 1
-    shared = {*range(begin), *range(len(a) - end, len(a))}
-    left, right = a[begin : len(a) - end], b[begin : len(b) - end]
-    both = {*left} & {*right}  # other lines match nothing
-    if not both:
-        return shared
-    places, left = zip(*((k, x) for k, x in enumerate(left) if x in both), strict=True)
-    right = [x for x in right if x in both]
+def _marks(left: list[str], right: list[str]):
+    """Bit vectors of a longest common subsequence, one after each line of left: the lines of right are
+    bits, and a cleared bit is a line where the subsequence with left so far gets longer."""
     where: dict[str, int] = {}
     for j, line in enumerate(right):
         where[line] = where.get(line, 0) | 1 << j
     full = (1 << len(right)) - 1
-    v, rows = full, []
+    v = full
     for line in left:
         u = v & where.get(line, 0)
         v = ((v + u) | (v - u)) & full
-        rows.append(v)
+        yield v
+
+
+def _lengths(left: list[str], right: list[str]) -> np.ndarray:
+    """Length of a longest common subsequence of left and right[:j], for j from 0."""
+    v = (1 << len(right)) - 1
+    for v in _marks(left, right):  # noqa: B007
+        pass
+    bits = np.unpackbits(np.frombuffer(v.to_bytes(-(-len(right) // 8), "little"), dtype=np.uint8), bitorder="little")[: len(right)]
+    return np.concatenate(([0], np.cumsum(1 - bits.astype(np.int64))))
+
+
+def _matched(left: list[str], right: list[str]) -> list[int]:
+    """Places in left of a longest common subsequence with right."""
+    rows, found = list(_marks(left, right)), []
     i, j = len(left), len(right)
     while i and j:
         if rows[i - 1] >> (j - 1) & 1:
@@ -204,8 +209,41 @@ def common_lines(a: list[str], b: list[str]) -> set[int]:
         else:
             i -= 1
             if i == 0 or rows[i - 1] >> (j - 1) & 1:  # the step came with this line: a match
-                shared.add(begin + places[i])
+                found.append(i)
                 j -= 1
+    return found
+
+
+def common_lines(a: list[str], b: list[str], most_bits: int = MOST_BITS) -> set[int]:
+    """Places in a of a longest common subsequence of a and b (bit-parallel, a bit for each line of b).
+
+    Where the bits of all lines would be more than `most_bits`, a is halved and b cut where the halves'
+    subsequences are longest together, again and again; so memory is bounded by the longer of both
+    and `most_bits`."""
+    begin = 0
+    while begin < min(len(a), len(b)) and a[begin] == b[begin]:
+        begin += 1
+    end = 0
+    while end < min(len(a), len(b)) - begin and a[-1 - end] == b[-1 - end]:
+        end += 1
+    shared = {*range(begin), *range(len(a) - end, len(a))}
+    left, right = a[begin : len(a) - end], b[begin : len(b) - end]
+    both = {*left} & {*right}  # other lines match nothing
+    if not both:
+        return shared
+    places, left = zip(*((k, x) for k, x in enumerate(left) if x in both), strict=True)
+    right = [x for x in right if x in both]
+    parts = [(0, len(left), 0, len(right))]
+    while parts:
+        i, i_end, j, j_end = parts.pop()
+        mine, other = list(left[i:i_end]), right[j:j_end]
+        if len(mine) * len(other) <= most_bits or len(mine) < 2:
+            shared.update(begin + places[i + k] for k in _matched(mine, other))
+            continue
+        half = len(mine) // 2
+        ahead, back = _lengths(mine[:half], other), _lengths(mine[half:][::-1], other[::-1])
+        cut = int(np.argmax(ahead + back[::-1]))
+        parts += [(i, i + half, j, j + cut), (i + half, i_end, j + cut, j_end)]
     return shared
 
 

@@ -6,8 +6,9 @@ give halves * halves tables from 2 * halves * rows minhashes, where plain bandin
 2 * rows minhashes for each table.  Two documents of similarity s share a table with probability
 (1 - (1 - s**rows)**halves)**2: 0.9994 at s = 0.8 with the defaults.
 
-Candidates are verified on the full shingle sets.  Documents with equal sets are one class from the
-start.  No pairs are formed: documents that share a table, directly or by way of others, are a group,
+Candidates are verified on the full shingle sets.  A shingle is known by a 64-bit hash of its words, and a
+set by two 64-bit sums over its shingles' hashes and their number, all with fixed constants.  Documents
+with equal sets are one class from the start.  No pairs are formed: documents that share a table, directly or by way of others, are a group,
 and groups are compared whole, in tasks of bounded size, by counting common shingles from postings.
 A task returns no pairs either, but for each document the smallest that it is linked with there.
 """

@@ -7,7 +7,7 @@ vectors may have, a pair above the threshold is parted by one tree with a chance
 and by all of them practically never.  Cuts come from all rows (approximate quantiles, aggregated
 before the shuffle), level by level, for all trees at once.
 
-Equal vectors are one row with a count.  A node of vectors so alike that a cut would send most of
+Equal vectors are one row with a count; equality goes by two 64-bit hashes with fixed constants.  A node of vectors so alike that a cut would send most of
 them both ways isn't split further; such a leaf is compared in blocks, a task for each pair of blocks.
 A pair that meets in several leaves counts in the first of them, so no list of pairs is formed: a
 leaf gives each vector its number of links and the root of its component within the leaf.

@@ -421,13 +421,33 @@ def test_common_lines():
         rest = iter(b)
         found = html_text.common_lines(a, b)
         assert len(found) == length(a, b) and all(a[k] in rest for k in sorted(found))
+        for most in (0, 1, 4, 20):  # cut into parts
+            rest, found = iter(b), html_text.common_lines(a, b, most)
+            assert len(found) == length(a, b) and all(a[k] in rest for k in sorted(found))
+
+
+def test_long_pages_of_few_lines():
+    """Very long pages whose lines are nearly all equal are aligned in bounded memory."""
+    rng = random.Random(1)
+    a, b = (["x", *(rng.choice("pqrs") for _ in range(60_000)), y] for y in "yz")
+    b[0] = "w"
+    begun = time.time()
+    found = html_text.common_lines(a, b)
+    rest = iter(b)
+    assert all(a[k] in rest for k in sorted(found)) and len(found) > 35_000
+    assert time.time() - begun < 60
 
 
 # 1 and 3: vectors
 
 
+#: Columns that the operators make themselves, and that a table may bring along.
+CLASHES = ("cid", "code", "ids", "k1", "k2", "node", "rep", "vector", "links", "copies", "rank", "score", "n_links", "members", "query_id", "dim")
+
+
 def _vectors(spark, rows):
-    return spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    made = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    return made.select("*", *[F.lit("clash").alias(c) for c in CLASHES])
 
 
 ODD_VECTORS = [(901, None, 1), (902, [], 1), (903, [0.0] * 8, 1), (904, [1.0, None] + [0.0] * 6, 1), (905, [float("nan")] + [1.0] * 7, 1), (906, [float("inf")] + [1.0] * 7, 1), (907, [1.0] * 5, 1), (908, [2.0] * 5, 1), (920, [1.0] * 8, None)]
