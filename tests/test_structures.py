@@ -222,3 +222,33 @@ def test_still_running_stream_equals_batch(spark, tmp_path):
     want = sorted(tuple(r) for r in still_running(every, F.lit(at(1000 - 120))).collect())
     assert sorted(tuple(r) for r in spark.read.parquet(f"{tmp_path}/out").collect()) == want
     assert {r[1] for r in want} == {1, 2, 3, 4, 5, 6} and len(want) > 40  # 5 begins on a tick
+
+
+def test_scratch_tables_are_removed(spark):
+    from codefacts import scratch
+
+    scratch.cleanup(spark)
+    df = scratch.settled(spark.range(5), "numbers")
+    (path,) = scratch._written
+    assert df.count() == 5 and path.startswith(spark.conf.get("spark.checkpoint.dir"))
+    assert scratch.cleanup(spark) == 1 and scratch.cleanup(spark) == 0
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(path)
+
+
+@pytest.mark.parametrize(("master", "works"), [("local[2]", True), ("yarn", False), (None, False)])
+def test_sessions_without_a_shared_folder(master, works):
+    """A local session gets one folder for all; elsewhere it is an error.  The setting is never written."""
+    from codefacts import scratch
+
+    class Session:
+        class conf:
+            @staticmethod
+            def get(key, default=None):
+                return master if key == "spark.master" else default
+
+    if works:
+        assert scratch.shared_dir(Session()) == scratch.shared_dir(Session())
+    else:
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            scratch.shared_dir(Session())
