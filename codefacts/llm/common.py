@@ -2,42 +2,22 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import settled as save
+from ..scratch import shared_dir
+
+__all__ = ["WORD", "components", "save", "shared_dir", "table"]
+
 #: White space that separates words: U+0020 and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
 
-#: The temporary folder of a local session that names no shared one.
-_own: dict[str, str] = {}
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir.  A local session that names none
-    gets a temporary one; on a cluster that is an error."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        if not (spark.conf.get("spark.master", None) or "").startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        path = _own.get("shared") or _own.setdefault("shared", tempfile.mkdtemp(prefix="spark-"))
-    return path
-
-
-def save(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it again: cuts lineage, and outlives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/codefacts/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
     """Connected components of an undirected graph: (node, component), component = smallest node id.
 

@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from codefacts.llm import common, convtrie, exactdup, runs
+from codefacts.llm import convtrie, exactdup, runs
 from codefacts.llm.queries import ORACLE_SQL, QUERIES
 
 from . import brute_groups as brute
@@ -143,18 +143,3 @@ def test_sql_gives_the_rows(spark, data, name):
     found = con.execute(ORACLE_SQL[name])
     columns = [c[0] for c in found.description]
     assert _ordered(QUERIES[name](spark, data).select(*columns).collect()) == _ordered(found.fetchall())
-
-
-def test_session_without_shared_folder(spark, monkeypatch):
-    """A local session that names no folder gets one; the setting itself is never written."""
-    path = spark.conf.get("spark.checkpoint.dir")
-
-    class Bare:
-        def get(self, key, default=None):
-            return {"spark.master": "local[2]"}.get(key, default)
-
-    class Session:
-        conf = Bare()
-
-    assert common.shared_dir(Session()) == common.shared_dir(Session())
-    assert spark.conf.get("spark.checkpoint.dir") == path
