@@ -10,7 +10,7 @@ not yet expanded meet their adjacency rows in a join, and the neighbours found e
 all that is in the beam is expanded.  All queries advance together.  Adjacency rows lie bucketed by
 node, so a step shuffles the frontier only.
 
-Equal vectors are one node.  Nearness is the inner product; vectors are extended by the component
+Equal vectors (by two 64-bit hashes with fixed constants) are one node.  Nearness is the inner product; vectors are extended by the component
 that gives all the same length, which turns it into a metric for the graph.  Graph and beam work on
 8-bit codes of the vectors, each with a scale of its own, beside which the extra component's share is
 kept as a number: a single very long vector doesn't coarsen the codes of the others.  The last
@@ -34,7 +34,7 @@ DEGREE, OFFERS = 20, 8
 BEAM, EXPAND = 560, 112
 EXACT = 64
 #: The build ends with the round in which less than this share of the lists' places changes.
-SETTLED = 0.2
+SETTLED = 0.02
 #: A build or search that isn't done by then is an error.
 ROUNDS, STEPS = 60, 1_000
 BUCKET_BYTES, LEAST_BUCKETS, MOST_BUCKETS = 32 << 20, 24, 100_000
