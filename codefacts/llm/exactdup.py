@@ -55,9 +55,10 @@ def deduplicate(docs: DataFrame, keep: tuple[str, ...] = (), first_digit: int =
     ignored unless named in `keep`, which must not name a column of the result.  An empty table gives
     an empty result.
     """
-    carried = ["doc_id", "text_sha256", *keep]
+    own = {c: f"keep_{k}" for k, c in enumerate(keep)}  # whatever they are called
+    carried = ["doc_id", "text_sha256", *own.values()]
     raw = F.coalesce(F.col("text").cast("binary"), F.unhex(F.lit("")))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *keep, raw.alias("rest"), F.lit(0).cast("long").alias("gid"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *[F.col(c).alias(x) for c, x in own.items()], raw.alias("rest"), F.lit(0).cast("long").alias("gid"))
     # Whole texts are shuffled once, at the first level; numbers of rows are given to what it leaves.
     first = _split(rows.withColumn("text_sha256", F.sha2("rest", 256)), first_digit, 0, carried)
     level, done = 0, []
@@ -75,7 +76,7 @@ def deduplicate(docs: DataFrame, keep: tuple[str, ...] = (), first_digit: int =
     stays = save(
         together.groupBy(*_GROUP).agg(F.count("*").alias("group_size"), F.max(F.struct("doc_id", "row")).alias("top")), "stays"
     )
-    names = ["doc_id", "keep_id", "group_size", "kept", "text_sha256", *keep]
+    names = ["doc_id", "keep_id", "group_size", "kept", "text_sha256", *[F.col(x).alias(c) for c, x in own.items()]]
     alone = every.where("gid is null").withColumns({"keep_id": F.col("doc_id"), "group_size": F.lit(1).cast("long"), "kept": F.lit(True)})
     judged = together.join(stays.hint("merge"), _GROUP).withColumns({"keep_id": F.col("top.doc_id"), "kept": F.col("row") == F.col("top.row")})
     return alone.select(*names).unionByName(judged.select(*names))
