@@ -159,13 +159,13 @@ class Agreement:
         """Words that agree before places i < j."""
         return self._longest(i - self.first[i], lambda k, n: self._equal(i[k] - n, j[k] - n, n))
 
-    def exactly(self, s: int, q: int) -> tuple[int, int]:
-        """The stretch of period q around place s, word by word."""
-        a, b = int(self.first[s]), int(self.end[s])
-        differ = np.flatnonzero(self.words[a : b - q] != self.words[a + q : b]) + a
-        left = differ[differ < s]
-        right = differ[differ >= s]
-        return int(left[-1]) + 1 if len(left) else a, (int(right[0]) if len(right) else b - q) + q
+
+class PlainAgreement(Agreement):
+    """The same, by the words themselves: for texts in which sums agree where words don't."""
+
+    def _equal(self, i: np.ndarray, j: np.ndarray, n: np.ndarray) -> np.ndarray:
+        same = (np.array_equal(self.words[a : a + m], self.words[b : b + m]) for a, b, m in zip(i.tolist(), j.tolist(), n.tolist(), strict=True))
+        return np.fromiter(same, dtype=bool, count=len(i))
 
 
 def _ranges(first: np.ndarray, step: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -215,13 +215,13 @@ def _candidates(blocks: Blocks, agree: Agreement) -> tuple[np.ndarray, np.ndarra
     return np.concatenate(places or [none]), np.concatenate(periods or [none])
 
 
-def find_runs(words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def find_runs(words: np.ndarray, first: np.ndarray, agreement: type[Agreement] = Agreement) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, end and smallest period of every run of the texts words[first[k]:first[k + 1]], by start, then period."""
     none = np.zeros(0, dtype=np.int64)
     if not len(words):
         return none, none, none
     blocks = Blocks(words, first)
-    agree = Agreement(words, np.repeat(first[:-1], np.diff(first)), blocks.end)
+    agree = agreement(words, np.repeat(first[:-1], np.diff(first)), blocks.end)
     s, q = _candidates(blocks, agree)
     if not len(s):
         return none, none, none
@@ -233,14 +233,8 @@ def find_runs(words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndar
     new = np.ones(len(q), dtype=bool)
     new[1:] = (start[1:] != start[:-1]) | (end[1:] != end[:-1])  # of equal stretches the smallest period
     s, q, start, end = s[new], q[new], start[new], end[new]
-    wrong = _wrong(words, start, end, q)
-    if wrong.any():  # sums agreed where words don't: look at the words themselves, for every candidate of those texts
-        again = [(*agree.exactly(int(x), int(y)), int(y)) for x, y in zip(s, q, strict=True)]
-        best: dict[tuple[int, int], int] = {}
-        for a, b, y in again:
-            if b - a >= max(LEAST, 2 * y):
-                best[a, b] = min(y, best.get((a, b), y))
-        start, end, q = (np.array(x, dtype=np.int64) for x in zip(*((a, b, y) for (a, b), y in best.items()), strict=True)) if best else (none, none, none)
+    if _wrong(words, start, end, q).any():
+        return find_runs(words, first, PlainAgreement)
     order = np.lexsort((q, start))
     return start[order], end[order], q[order]
 

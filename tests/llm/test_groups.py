@@ -93,7 +93,7 @@ def test_runs_are_brute_force():
         texts = [_repetitive(rng) for _ in range(rng.randint(1, 5))]
         first = np.concatenate(([0], np.cumsum([len(x) for x in texts])))
         found = runs.find_runs(np.array([v for x in texts for v in x], dtype=np.int64), first)
-        want = [(a + f, b + f, q) for x, f in zip(texts, first.tolist(), strict=True) for a, b, q in brute.runs_of(x)]
+        want = [(a + f, b + f, q) for x, f in zip(texts, first[:-1].tolist(), strict=True) for a, b, q in brute.runs_of(x)]
         assert sorted(zip(*(v.tolist() for v in found), strict=True)) == sorted(want)
 
 
