@@ -518,7 +518,7 @@ def test_nearest_on_tiny_tables(spark):
 
 
 def test_queries_are_registered():
-    assert sorted(int(name[2:].split("_")[0]) for name in QUERIES) == list(range(1, 11))
+    assert sorted(int(name[2:].split("_")[0]) for name in QUERIES) == list(range(1, 14))
 
 
 def test_pipeline(spark, data):
