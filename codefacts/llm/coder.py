@@ -7,7 +7,7 @@ one before it (order 1; until the block has its own, the header's), and the comm
 Each knows how often guesses of its confidence came true; the probabilities of those that agree with
 the guess of the highest order are mixed in the logistic domain, with weights that learn as the block
 goes on.  The mixed probability drives the range coder: it codes whether the guess is right, and if
-not, the id by its frequency.
+not, the id by its frequency, in one go.
 
 A block starts from the same state whatever came before, and carries its length and a checksum of
 its ids.  Many blocks are coded in step, a numpy lane for each, so the model's work is vectorised
@@ -22,12 +22,17 @@ import zlib
 import numpy as np
 
 BLOCK_IDS = 2048
-LANES = 2048
+LANES = 4096
 _SLOTS = 11  # log2 of a block's table sizes
-_TOP, _LOW = np.uint64(1 << 48), np.uint64(1 << 32)
 _WORD = np.uint64(16)
-_STRETCH = np.array([round(256 * math.log((p + 0.5) / (4095.5 - p))) for p in range(4096)], dtype=np.int64)
-_SQUASH = np.array([min(4095, max(1, round(4096 / (1 + math.exp(-x / 256))))) for x in range(-2047, 2048)], dtype=np.int64)
+_FLAG = np.uint64(12)  # log2 of a flag's frequencies
+_WIDE = np.uint64(1 << 48)  # the least range between ids
+_PIECE = 1 << 20  # ids counted at once
+_LOOK = 18  # log2 of the decoder's table of symbols
+_WEIGHT = 3 << 16  # the largest weight, three
+_LEAST = 32  # chance of 65536
+_STRETCH = np.array([round(256 * math.log((p + 0.5) / (4095.5 - p))) for p in range(_LEAST >> 4, 4096)], dtype=np.int32)
+_SQUASH = np.array([min(4095, max(1, round(4096 / (1 + math.exp(-x / 256))))) for x in range(-2047, 2048)], dtype=np.int32)
 
 
 _CLASSES = 16  # of confidence: 8 of the block's own guesses, 8 of the header's
@@ -41,30 +46,44 @@ class _Start:
         self.symbols, self.counts, self.follower, self.confidence = symbols, counts, follower, confidence
         self.bits = min(28, max(16, len(symbols).bit_length() + 6))
         room = (1 << self.bits) - len(symbols)
-        self.cumulative = np.concatenate(([0], np.cumsum(1 + counts * room // max(1, int(counts.sum())))))
-        # A block's first id follows none: symbol len(symbols).
-        self.follower = np.append(follower, -1)
-        self.confidence = np.append(confidence, 0)
+        self.frequency = (1 + counts * room // max(1, int(counts.sum()))).astype(np.uint64)
+        self.cumulative = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(self.frequency)))
+        # Guesses as in the model's tables; a block's first id follows none: symbol len(symbols).
+        self.head = np.append(np.where(follower < 0, 0, follower << 4 | 8 | confidence), 0).astype(np.uint32)
 
     @classmethod
     def of(cls, ids: np.ndarray) -> tuple[_Start, np.ndarray]:
         """The start for these ids, and the ids as places among the symbols."""
-        symbols, places, counts = np.unique(ids, return_inverse=True, return_counts=True)
+        if len(ids) and int(ids.max()) < 1 << 20:
+            counts = np.sum([np.bincount(ids[a : a + _PIECE], minlength=int(ids.max()) + 1) for a in range(0, len(ids), _PIECE)], axis=0)
+            symbols = np.flatnonzero(counts)
+            place = np.zeros(len(counts), dtype=np.uint32)
+            place[symbols] = np.arange(len(symbols))
+            places, counts = place[ids], counts[symbols]
+        else:
+            symbols, places, counts = np.unique(ids, return_inverse=True, return_counts=True)
         n = len(symbols)
         follower, confidence = np.full(n, -1, dtype=np.int64), np.zeros(n, dtype=np.int64)
         if len(ids) > 1:
-            pair, often = np.unique(places[:-1] * np.int64(n) + places[1:], return_counts=True)
-            first, second = pair // n, pair % n
-            starts = np.flatnonzero(np.concatenate(([True], first[1:] != first[:-1])))
-            most = np.repeat(np.maximum.reduceat(often, starts), np.diff(np.append(starts, len(pair))))
+            kind = np.uint32 if n < 1 << 16 else np.uint64
+            pairs = places[:-1].astype(kind)
+            pairs *= kind(n)
+            pairs += places[1:].astype(kind, copy=False)
+            pairs.sort()
+            at = np.flatnonzero(np.concatenate(([True], pairs[1:] != pairs[:-1])))
+            often = np.diff(np.append(at, len(pairs)))
+            at, often = at[often >= 3], often[often >= 3]
+            first, second = np.divmod(pairs[at].astype(np.int64), n)
+            starts = np.flatnonzero(np.concatenate(([True], first[1:] != first[:-1]))) if len(first) else first
+            most = np.repeat(np.maximum.reduceat(often, starts), np.diff(np.append(starts, len(first)))) if len(first) else often
             best = np.flatnonzero(often == most)[::-1]  # of equally often ones the first stays
-            best = best[(often[best] >= 3) & (16 * often[best] >= counts[first[best]])]
+            best = best[16 * often[best] >= counts[first[best]]]
             follower[first[best]] = second[best]
             confidence[first[best]] = np.minimum(7, 8 * often[best] // counts[first[best]])
-        return cls(symbols.astype(np.int64), counts.astype(np.int64), follower, confidence), places.astype(np.int64)
+        return cls(symbols.astype(np.int64), counts.astype(np.int64), follower, confidence), places.astype(np.uint32)
 
     def pack(self) -> bytes:
-        columns = (np.diff(self.symbols, prepend=0), self.counts, self.follower[:-1] + 1, self.confidence[:-1])
+        columns = (np.diff(self.symbols, prepend=0), self.counts, self.follower + 1, self.confidence)
         planes = np.stack(columns).astype("<u4").view(np.uint8).reshape(4, -1, 4).transpose(0, 2, 1)
         return zlib.compress(np.ascontiguousarray(planes).tobytes(), 6)
 
@@ -74,203 +93,227 @@ class _Start:
         steps, counts, follower, confidence = np.ascontiguousarray(planes).view("<u4").reshape(4, -1).astype(np.int64)
         return cls(np.cumsum(steps), counts, follower - 1, confidence)
 
+    def finder(self):
+        """A function from values below 2**bits to the symbols whose frequencies hold them."""
+        shift = np.uint64(max(0, self.bits - _LOOK))
+        firsts = np.arange(1 << min(self.bits, _LOOK), dtype=np.uint64) << shift
+        table = (np.searchsorted(self.cumulative, firsts, side="right") - 1).clip(0, len(self.symbols) - 1).astype(np.uint32)
+        ends = self.cumulative[1:]
+
+        def find(values: np.ndarray) -> np.ndarray:
+            found = table.take(values >> shift)
+            far = (ends.take(found) <= values).nonzero()[0]  # a table's entry holds several symbols
+            if len(far):
+                found[far] = np.minimum(np.searchsorted(ends, values[far], side="right"), len(ends) - 1)
+            return found
+
+        return find
+
 
 class _Model:
-    """State of the predictors for every lane; ids are places among the start's symbols."""
+    """State of the predictors for every lane; ids are places among the start's symbols.
+
+    Arrays have a row for each order (1, 2, 0).  A guess is held as 16 times the place plus a class of
+    confidence (0: none, 1 to 7: the block's own, from 8 on: the header's).
+    """
 
     def __init__(self, lanes: int, start: _Start):
-        self.start = start
-        self.lane = np.arange(lanes)
-        self.base = self.lane << _SLOTS
-        self.guess = [np.zeros(lanes << _SLOTS, dtype=np.uint32) for _ in range(2)]
-        self.trust = [np.zeros(lanes << _SLOTS, dtype=np.int8) for _ in range(2)]
-        self.seen = np.zeros(lanes << _SLOTS, dtype=np.int16)
-        self.best = np.full(lanes, int(np.argmax(start.counts)) if len(start.counts) else 0, dtype=np.int64)
-        self.best_n = np.zeros(lanes, dtype=np.int16)
-        # Chance of coming true by class: a quarter, or what the header's class says.
-        first = np.array([1 << 14] * 8 + [(2 * c + 1) << 12 for c in range(8)], dtype=np.int32)
-        self.right = np.tile(first, (3, lanes))
-        self.weight = np.full((3, lanes), 1 << 15, dtype=np.int64)
-        self.one = np.full(lanes, len(start.symbols), dtype=np.int64)
-        self.two = np.zeros(lanes, dtype=np.int64)
-
-    @staticmethod
-    def _hash(x: np.ndarray) -> np.ndarray:
-        return ((x * 0x2545F491) & 0xFFFFFFFF) >> (32 - _SLOTS)
+        self.head = start.head
+        self.base = np.arange(2 * lanes).reshape(2, lanes) << _SLOTS
+        self.table = np.zeros(2 * lanes << _SLOTS, dtype=np.uint32)
+        self.times = np.zeros(lanes << _SLOTS, dtype=np.uint16)  # that an id has been seen, by its slot of order 1
+        self.guesses = np.zeros((3, lanes), dtype=np.uint32)
+        self.guesses[2] = int(np.argmax(start.counts)) if len(start.counts) else 0
+        self.most = np.zeros(lanes, dtype=np.uint16)
+        # Chance of coming true by class, above the least: a quarter, or what the header's class says.
+        first = np.array([1 << 14] * 8 + [(2 * c + 1) << 12 for c in range(8)], dtype=np.int32) - _LEAST
+        self.right = np.tile(first, 3 * lanes)
+        self.rows = np.arange(3 * lanes).reshape(3, lanes) * _CLASSES
+        self.at = self.rows.copy()
+        self.weight = np.full((3, lanes), 1 << 15, dtype=np.int32)
+        self.steps = 0
+        self.contexts = np.zeros((2, lanes), dtype=np.uint32)
+        self._enter(np.full(lanes, len(start.symbols), dtype=np.uint32))
+
+    def _enter(self, ids: np.ndarray) -> None:
+        """Take up the guesses for what follows these ids and those before them."""
+        self.contexts[1] = (self.contexts[0] * 40503) + ids
+        np.add(ids, 1, out=self.contexts[0])
+        self.slots = self.base + ((self.contexts * 0x2545F491) >> (32 - _SLOTS))
+        self.held = held = self.table.take(self.slots)
+        self.trust = held & 15
+        held[0] = np.where(self.trust[0] == 0, self.head.take(ids), held[0])
 
     def predict(self) -> tuple[np.ndarray, np.ndarray]:
-        """The guess of the highest order that has one, and its frequency (of 65536) of coming true."""
-        self.slots = slot2, slot1 = self.base + self._hash(self.one + 40503 * (self.two + 1)), self.base + self._hash(self.one + 1)
-        self.trusts = t2, t1 = self.trust[0][slot2], self.trust[1][slot1]
-        follower = self.start.follower[self.one]
-        from_header = (t1 == 0) & (follower >= 0)
-        g2, g1, g0 = self.guess[0][slot2].astype(np.int64), np.where(from_header, follower, self.guess[1][slot1]), self.best
-        self.guesses = g2, g1, g0
-        self.guessed = guess = np.where(t2 > 0, g2, np.where((t1 > 0) | from_header, g1, g0))
-        class1 = np.where(from_header, 8 + self.start.confidence[self.one], t1)
-        self.at = [self.lane * _CLASSES + t2, self.lane * _CLASSES + class1, self.lane * _CLASSES + np.minimum(self.best_n >> 4, 7)]
-        self.inputs = [np.where(g == guess, _STRETCH[self.right[k][self.at[k]] >> 4], 0) for k, g in enumerate((g2, g1, g0))]
-        dot = (self.weight[0] * self.inputs[0] + self.weight[1] * self.inputs[1] + self.weight[2] * self.inputs[2]) >> 16
-        self.p = _SQUASH[np.clip(dot, -2047, 2047) + 2047]
-        return guess, self.p << 4
+        """The guess of the highest order that has one, and its frequency (of 4096) of coming true."""
+        guesses, classes = self.guesses, self.held & 15
+        np.right_shift(self.held, 4, out=guesses[:2])
+        np.add(self.rows[:2], classes, out=self.at[:2])
+        np.add(self.rows[2], np.minimum(self.most >> 4, 7), out=self.at[2])
+        known = classes > 0
+        self.guess = np.where(known[1], guesses[1], np.where(known[0], guesses[0], guesses[2]))
+        self.chance = self.right.take(self.at)
+        self.inputs = _STRETCH.take(self.chance >> 4)
+        self.inputs *= guesses == self.guess
+        weighed = self.weight * self.inputs
+        dot = weighed[0]
+        dot += weighed[1]
+        dot += weighed[2]
+        dot >>= 16
+        dot += 2047
+        self.p = _SQUASH.take(dot, mode="clip")
+        return self.guess, self.p
 
     def update(self, ids: np.ndarray) -> None:
-        err = ((ids == self.guessed).astype(np.int64) << 12) - self.p
-        for k in range(3):
-            self.weight[k] += (self.inputs[k] * err) >> 10
-            hit = ids == self.guesses[k]
-            right, at = self.right[k], self.at[k]
-            now = right[at]
-            right[at] = now + (np.where(hit, 65503 - now, 32 - now) >> 5)
-            if k < 2:
-                trust = np.where(hit, np.minimum(self.trusts[k] + 1, 7), self.trusts[k] >> 1)
-                new = trust == 0
-                self.guess[k][self.slots[k]] = np.where(new, ids, self.guesses[k])
-                self.trust[k][self.slots[k]] = trust + new
-        slot = self.base + self._hash(ids + 7)
-        n = self.seen[slot] + 1
-        self.seen[slot] = n
-        better = n > self.best_n
-        self.best = np.where(better, ids, self.best)
-        self.best_n = np.where(better, n, self.best_n)
-        self.two, self.one = self.one, ids
-
-
-class _Coder:
-    """Carry-less range coder state for every lane; 16-bit words."""
-
-    def __init__(self, lanes: int):
+        err = (ids == self.guess) * np.int32(4096)
+        err -= self.p
+        self.inputs *= err
+        self.inputs >>= 10
+        self.weight += self.inputs
+        self.steps += 1
+        if self.steps % 8 == 0:  # between, no product leaves 32 bits
+            np.clip(self.weight, -_WEIGHT, _WEIGHT, out=self.weight)
+        hit = self.guesses == ids
+        more = hit * np.int32(65535 - 2 * _LEAST)
+        more -= self.chance
+        more >>= 5
+        more += self.chance
+        self.right[self.at] = more
+        trust = np.where(hit[:2], np.minimum(self.trust + 1, 7), self.trust >> 1)
+        kept = self.guesses[:2] << 4
+        kept |= trust
+        self.table[self.slots] = np.where(trust > 0, kept, (ids << 4) | 1)
+        self._enter(ids)
+        slot = self.slots[0]
+        n = self.times.take(slot)
+        n += 1
+        self.times[slot] = n
+        self.guesses[2] = np.where(n > self.most, ids, self.guesses[2])
+        np.maximum(n, self.most, out=self.most)
+
+
+class _Writer:
+    """Range coder for every lane: 64-bit low and range, 16-bit words.  An id is coded in one go, the flag
+    and after a wrong guess the symbol, and then words move out until the range has 48 bits again.  What
+    low overflows by is added to the words before."""
+
+    def __init__(self, lanes: int, steps: int, start: _Start):
+        self.frequency, self.cumulative, self.bits = start.frequency, start.cumulative, np.uint64(start.bits)
         self.low = np.zeros(lanes, dtype=np.uint64)
         self.range = np.full(lanes, np.iinfo(np.uint64).max, dtype=np.uint64)
-
-    def _settle(self, shift) -> None:
-        """Move words out (or in) until every range is wide enough."""
-        while True:
-            same = (self.low ^ (self.low + self.range)) < _TOP
-            narrow = self.range < _LOW
-            go = same | narrow
-            if not go.any():
-                return
-            lanes = np.flatnonzero(go)
-            cut = lanes[~same[lanes]]
-            if len(cut):  # narrow over a boundary: shorten to it
-                self.range[cut] = (~self.low[cut] + np.uint64(1)) & (_LOW - np.uint64(1))
-            shift(lanes)
-            self.low[lanes] <<= _WORD
-            self.range[lanes] <<= _WORD
-
-    def _narrow(self, lanes, start, freq, bits) -> None:
-        step = self.range[lanes] >> bits
-        self.low[lanes] += step * start
-        self.range[lanes] = step * freq
-
-
-class _Writer(_Coder):
-    def __init__(self, lanes: int, capacity: int):
-        super().__init__(lanes)
-        self.words = np.zeros((lanes, capacity), dtype=np.uint16)
-        self.used = np.zeros(lanes, dtype=np.int64)
-
-    def _out(self, lanes) -> None:
-        self.words[lanes, self.used[lanes]] = (self.low[lanes] >> np.uint64(48)).astype(np.uint16)
-        self.used[lanes] += 1
-
-    def put(self, lanes, start, freq, bits) -> None:
-        if len(lanes):
-            self._narrow(lanes, start.astype(np.uint64), freq.astype(np.uint64), bits if np.isscalar(bits) else bits.astype(np.uint64))
-            self._settle(self._out)
+        width = steps * (12 + start.bits) // 16 + 8
+        self.words = np.zeros(lanes * width, dtype=np.uint16)
+        self.first = np.arange(lanes) * width
+        self.next = self.first.copy()
+
+    def _add(self, lanes: int, more: np.ndarray) -> None:
+        low = self.low[:lanes]
+        low += more
+        at = self.next[(low < more).nonzero()[0]] - 1
+        while len(at):
+            word = self.words[at] + np.uint16(1)
+            self.words[at] = word
+            at = at[word == 0] - 1
+
+    def put(self, ids: np.ndarray, hit: np.ndarray, p: np.ndarray) -> None:
+        """The ids of the first lanes, whether the guess was right, and how often of 4096 it is."""
+        n = len(ids)
+        p = p.astype(np.uint64)
+        step = self.range[:n] >> _FLAG
+        flag = step * p
+        fine = ((step << _FLAG) - flag) >> self.bits
+        self.range[:n] = np.where(hit, flag, fine * self.frequency.take(ids))
+        self._add(n, np.where(hit, np.uint64(0), flag + fine * self.cumulative.take(ids)))
+        go = (self.range[:n] < _WIDE).nonzero()[0]
+        while len(go):
+            low, wide, at = self.low[go], self.range[go] << _WORD, self.next[go]
+            self.words[at] = low >> np.uint64(48)
+            self.next[go], self.low[go], self.range[go] = at + 1, low << _WORD, wide
+            go = go[wide < _WIDE]
 
     def finish(self) -> list[bytes]:
-        every = np.arange(len(self.low))
-        for _ in range(4):
-            self._out(every)
-            self.low <<= _WORD
-        return [self.words[k, : self.used[k]].astype("<u2").tobytes() for k in every]
-
-
-class _Reader(_Coder):
-    def __init__(self, parts: list[bytes]):
-        super().__init__(len(parts))
-        size = max(len(p) for p in parts) // 2 + 8
-        self.words = np.zeros((len(parts), size), dtype=np.uint64)
-        for k, p in enumerate(parts):
-            w = np.frombuffer(p, dtype="<u2")
-            self.words[k, : len(w)] = w
-        self.used = np.zeros(len(parts), dtype=np.int64)
-        self.code = np.zeros(len(parts), dtype=np.uint64)
-        for _ in range(4):
-            self._in(np.arange(len(parts)))
-
-    def _in(self, lanes) -> None:
-        self.code[lanes] = (self.code[lanes] << _WORD) | self.words[lanes, self.used[lanes]]
-        self.used[lanes] += 1
+        """Every lane's words; the last is the least that lies within the range with zeros behind it."""
+        self._add(len(self.low), np.full(len(self.low), _WIDE - np.uint64(1)))
+        self.words[self.next] = self.low >> np.uint64(48)
+        return [self.words[a : b + 1].astype("<u2").tobytes() for a, b in zip(self.first, self.next, strict=True)]
 
-    def target(self, lanes, bits) -> np.ndarray:
-        bits = np.uint64(bits) if np.isscalar(bits) else bits.astype(np.uint64)
-        return ((self.code[lanes] - self.low[lanes]) // (self.range[lanes] >> bits)).astype(np.int64)
 
-    def take(self, lanes, start, freq, bits) -> None:
-        if len(lanes):
-            self._narrow(lanes, start.astype(np.uint64), freq.astype(np.uint64), bits if np.isscalar(bits) else bits.astype(np.uint64))
-            self._settle(self._in)
+class _Reader:
+    """Reads what _Writer wrote; holds how far the words lie above low."""
 
-
-def _with_lanes(lengths: np.ndarray):
-    """Steps and the lanes still running in each; lanes must be sorted by falling length."""
-    running = np.searchsorted(-lengths, -np.arange(1, lengths[0] + 1), side="right") if len(lengths) else []
-    yield from enumerate(running)
+    def __init__(self, parts: list[bytes], start: _Start):
+        self.frequency, self.cumulative, self.bits = start.frequency, start.cumulative, np.uint64(start.bits)
+        self.last, self.find = np.uint64((1 << start.bits) - 1), start.finder()
+        width = max(len(p) for p in parts) // 2 + 4
+        self.words = np.zeros((len(parts), width), dtype=np.uint16)
+        for k, p in enumerate(parts):
+            w = np.frombuffer(p, dtype="<u2")
+            self.words[k, : len(w)] = w
+        self.above = np.zeros(len(parts), dtype=np.uint64)
+        for k in range(4):
+            self.above = (self.above << _WORD) | self.words[:, k]
+        self.words = self.words.ravel()
+        self.range = np.full(len(parts), np.iinfo(np.uint64).max, dtype=np.uint64)
+        self.next = np.arange(len(parts)) * width + 4
+
+    def take(self, guess: np.ndarray, p: np.ndarray) -> np.ndarray:
+        """The ids of the first lanes, whose guess is right p times of 4096."""
+        n = len(guess)
+        p, ids = p.astype(np.uint64), guess.copy()
+        above, wide = self.above[:n], self.range[:n]
+        step = wide >> _FLAG
+        flag = step * p
+        miss = (above >= flag).nonzero()[0]
+        fine = (((step << _FLAG) - flag) >> self.bits)[miss]
+        rest = above[miss] - flag[miss]
+        found = self.find(np.minimum(rest // fine, self.last))
+        ids[miss] = found
+        above[miss] = rest - fine * self.cumulative.take(found)
+        wide[:] = flag
+        wide[miss] = fine * self.frequency.take(found)
+        go = (wide < _WIDE).nonzero()[0]
+        while len(go):
+            at, more = self.next[go], wide[go] << _WORD
+            # Damaged words may lead beyond the end; the checksum tells.
+            above[go] = (above[go] << _WORD) | self.words.take(at, mode="clip")
+            self.next[go], wide[go] = at + 1, more
+            go = go[more < _WIDE]
+        return ids
+
+
+def _running(lengths: np.ndarray) -> list[int]:
+    """For each step the lanes still running in it; lanes must be sorted by falling length."""
+    return np.searchsorted(-lengths, -np.arange(1, lengths[0] + 1), side="right").tolist()
 
 
 def _encode_lanes(blocks: list[np.ndarray], start: _Start) -> list[bytes]:
+    """Coded blocks; only the last of them may be shorter than the others."""
     lengths = np.array([len(b) for b in blocks])
-    order = np.argsort(-lengths, kind="stable")
-    sorted_lengths = lengths[order]
-    ids = np.zeros((sorted_lengths[0], len(blocks)), dtype=np.int64)
-    for k, o in enumerate(order):
-        ids[: lengths[o], k] = blocks[o]
-    bits = np.uint64(start.bits)
-    model, out = _Model(len(blocks), start), _Writer(len(blocks), 8 * len(ids) + 16)
-    for t, n in _with_lanes(sorted_lengths):
-        now = ids[t]
-        guess, freq = model.predict()
-        hit = now == guess
-        live = model.lane[:n]
-        out.put(live, np.where(hit, 0, freq)[:n], np.where(hit, freq, 65536 - freq)[:n], _WORD)
-        miss = np.flatnonzero(~hit[:n])
-        if len(miss):
-            low = start.cumulative[now[miss]]
-            out.put(miss, low, start.cumulative[now[miss] + 1] - low, bits)
+    ids = np.zeros((len(blocks), lengths[0]), dtype=np.uint32)
+    for k, b in enumerate(blocks):
+        ids[k, : len(b)] = b
+    ids = np.ascontiguousarray(ids.T)
+    model, out = _Model(len(blocks), start), _Writer(len(blocks), len(ids), start)
+    for now, n in zip(ids, _running(lengths), strict=True):
+        guess, p = model.predict()
+        out.put(now[:n], (now == guess)[:n], p[:n])
         model.update(now)
-    coded = out.finish()
-    back = [b""] * len(blocks)
-    for k, o in enumerate(order):
-        back[o] = coded[k]
-    return back
+    return out.finish()
 
 
 def _decode_lanes(parts: list[bytes], lengths: np.ndarray, start: _Start) -> list[np.ndarray]:
     order = np.argsort(-lengths, kind="stable")
-    sorted_lengths = lengths[order]
-    ids = np.zeros((sorted_lengths[0], len(parts)), dtype=np.int64)
-    bits, last = np.uint64(start.bits), len(start.symbols) - 1
-    model, source = _Model(len(parts), start), _Reader([parts[o] for o in order])
-    for t, n in _with_lanes(sorted_lengths):
-        guess, freq = model.predict()
-        live = model.lane[:n]
-        hit = source.target(live, 16) < freq[:n]
-        source.take(live, np.where(hit, 0, freq[:n]), np.where(hit, freq[:n], 65536 - freq[:n]), _WORD)
-        now = np.zeros(len(parts), dtype=np.int64)
-        now[:n] = guess[:n]
-        miss = np.flatnonzero(~hit)
-        if len(miss):
-            now[miss] = found = np.minimum(np.searchsorted(start.cumulative, source.target(miss, start.bits), side="right") - 1, last)
-            low = start.cumulative[found]
-            source.take(miss, low, start.cumulative[found + 1] - low, bits)
-        ids[t, :n] = now[:n]
-        model.update(ids[t])
+    lengths = lengths[order]
+    ids = np.zeros((lengths[0], len(parts)), dtype=np.uint32)
+    model, source = _Model(len(parts), start), _Reader([parts[o] for o in order], start)
+    for now, n in zip(ids, _running(lengths), strict=True):
+        guess, p = model.predict()
+        now[:n] = source.take(guess[:n], p[:n])
+        model.update(now)
+    ids = np.ascontiguousarray(ids.T)
     back = [ids[0][:0]] * len(parts)
     for k, o in enumerate(order):
-        back[o] = ids[: lengths[o], k]
+        back[o] = ids[k, : lengths[k]]
     return back
 
 

@@ -9,11 +9,12 @@ document its place in the whole sequence.
 
 from __future__ import annotations
 
-import re
+import os
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -21,52 +22,156 @@ from pyspark.sql import functions as F
 from . import coder
 
 SEGMENT_IDS = coder.BLOCK_IDS * coder.LANES
-BATCH_BYTES = 2 << 20
+BATCH_BYTES = 8 << 20
 REMEMBERED = 1_000_000
-# Unicode white space, as the tokenizer's split sees it; no token crosses from other text into it.
-_UNIT = re.compile("[\t-\r \x85\xa0  -     　]*[^\t-\r \x85\xa0  -     　]+|[\t-\r \x85\xa0  -     　]+")
+CHUNK_BYTES = 32 << 10
+# Kinds of bytes: ASCII letters, digits, apostrophes, other punctuation, white space; beginnings of characters
+# that may be white space; the rest of them; controls.
+_LETTER, _DIGIT, _APOSTROPHE, _MARK, _SPACE, _DOUBT, _WIDE, _CONTROL = range(8)
+_KIND = bytes(
+    _SPACE if k == 32 or 9 <= k <= 13 else _CONTROL if k < 32 or k == 127 else _DOUBT if k in (0xC2, 0xE1, 0xE2, 0xE3) else _WIDE if k > 127
+    else _LETTER if chr(k).isalpha() else _DIGIT if chr(k).isdigit() else _APOSTROPHE if k == 39 else _MARK for k in range(256)
+)
+# Of two kinds in a row (8 times the first plus the second): 1 if a unit may begin with the first, 2 with the second.
+_CUT = np.zeros((8, 8), dtype=np.uint8)
+_CUT[_SPACE, [_LETTER, _DIGIT, _APOSTROPHE, _MARK, _DOUBT, _WIDE]] = 1
+_CUT[[_LETTER, _LETTER, _LETTER, _DIGIT, _DIGIT, _DIGIT, _MARK, _MARK], [_DIGIT, _APOSTROPHE, _MARK, _LETTER, _APOSTROPHE, _MARK, _LETTER, _DIGIT]] = 2
+_CUT = _CUT.tobytes() + bytes(192)
 _SCHEMA = "part int, seq int, n_ids long, doc_ids array<long>, lengths array<long>, blocks binary"
 
 
+def _starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Where the units of texts begin: data holds the texts' bytes, each from an offset to the next.
+
+    The tokenizer's split leaves the last white space before other text to that text, or by itself, and
+    parts ASCII letters, digits and marks, but for an apostrophe and what follows it.  A unit is what
+    lies between two such places.  Where it takes more to tell, there is no cut.
+    """
+    kinds = np.frombuffer(data.tobytes().translate(_KIND), dtype=np.uint8)
+    cuts = np.frombuffer(((kinds[:-1] << 3) | kinds[1:]).tobytes().translate(_CUT), dtype=np.uint8)
+    cut = np.zeros(len(data), dtype=bool)
+    cut[1:] = cuts == 2
+    cut[:-1] |= cuts == 1
+    wide = np.flatnonzero((kinds[:-1] == _SPACE) & (kinds[1:] == _DOUBT))
+    if len(wide):
+        one, two, three = (data.take(wide + k, mode="clip") for k in (1, 2, 3))
+        space = (one == 0xC2) & ((two == 0x85) | (two == 0xA0)) | (one == 0xE1) & ((two == 0x9A) | (two == 0xA0)) | (one == 0xE3) & (two == 0x80) & (three == 0x80)
+        space |= (one == 0xE2) & (((two == 0x80) & ((three <= 0x8A) | (three == 0xA8) | (three == 0xA9) | (three == 0xAF))) | ((two == 0x81) & (three == 0x9F)))
+        cut[wide[space]] = False
+    full = offsets[1:] > offsets[:-1]
+    last = offsets[1:][full] - 1
+    cut[last[kinds[last] == _SPACE]] = False  # white space that ends a text stays whole
+    cut[offsets[:-1][full]] = True
+    return np.flatnonzero(cut)
+
+
 class Tokenizer:
     """A tokenizer file of the tokenizers library with byte-level pre-tokenization.
 
     The split never joins white space with text before it, so a text's ids are those of its units
-    (white space and what follows it), and each distinct unit goes through the library once.
+    (see _starts()), and each distinct unit goes through the library once.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer as Library
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has a core
         self.library = Library.from_file(path)
         self.library.encode_special_tokens = True  # their strings in a text are ordinary text
+        # A byte-level token has a character for each of its bytes.
+        self.n_bytes = np.array([len(self.library.id_to_token(k) or "") for k in range(self.library.get_vocab_size())], dtype=np.int64)
         self.forget()
 
     def forget(self) -> None:
-        self.place: dict[str, int] = {}
-        self.ids, self.ends = np.zeros(0, dtype=np.uint32), np.zeros(1, dtype=np.int64)
+        self.place: dict[bytes, int] = {}
+        self.ids = _binary(np.zeros(1, dtype=np.int64), np.zeros(0, dtype=np.uint32))
+
+    def _each(self, texts: list[str]) -> list[np.ndarray]:
+        found = (e for a in range(0, len(texts), 20_000) for e in self.library.encode_batch_fast(texts[a : a + 20_000], add_special_tokens=False))
+        return [np.array(e.ids, dtype=np.uint32) for e in found]
+
+    def _coded(self, units: pa.LargeBinaryArray) -> pa.LargeBinaryArray:
+        """The ids of each unit, as bytes.
+
+        Units go through the library joined, with a line feed before those that begin without white
+        space, and the ids' bytes tell where each unit's begin.  Units of which it isn't plain that this
+        changes nothing, and all where the bytes don't agree, go by themselves.
+        """
+        ends, data = _parts(units, np.uint8)
+        first, second = data[ends[:-1]], data.take(ends[:-1] + 1, mode="clip")
+        length = np.diff(ends)
+        first, second = _KINDS[first], np.where(length > 1, _KINDS[second], _CONTROL)
+        spaced = first == _SPACE
+        begin = np.where(spaced, second, first)
+        plain = (begin != _SPACE) & (begin != _CONTROL)
+        for k in np.flatnonzero(begin == _DOUBT).tolist():
+            plain[k] = not units[k].as_py().decode()[int(spaced[k])].isspace()
+        joined = units.filter(pa.array(plain)) if not plain.all() else units
+        feed = pa.array([b"", b"\n"], pa.large_binary()).take(pa.array((~spaced[plain]).astype(np.int8)))
+        bounds, text = _parts(pc.binary_join_element_wise(feed, joined, pa.scalar(b"", pa.large_binary())), np.uint8)
+        chunks = np.unique(np.append(np.searchsorted(bounds, np.arange(0, len(text), CHUNK_BYTES)), len(bounds) - 1))
+        text = text.tobytes()
+        found = self._each([text[bounds[a] : bounds[b]].decode() for a, b in zip(chunks[:-1], chunks[1:], strict=True)])
+        ids = np.concatenate([*found, np.zeros(0, dtype=np.uint32)])
+        reach = np.concatenate(([0], np.cumsum(self.n_bytes[ids])))
+        begin = np.searchsorted(reach, bounds)
+        skip = np.searchsorted(reach, bounds[:-1] + ~spaced[plain])
+        if (reach[begin] != bounds).any() or (reach[skip] != bounds[:-1] + ~spaced[plain]).any() or begin[-1] != len(ids):
+            found = self._each([u.decode() for u in units.to_pylist()])
+            return _binary(np.cumsum([0] + [len(x) for x in found]), np.concatenate(found))
+        kept = np.ones(len(ids), dtype=bool)
+        kept[begin[:-1][skip > begin[:-1]]] = False  # a line feed is one id
+        if (skip - begin[:-1]).max(initial=0) > 1:
+            raise ValueError("the tokenizer has no token for a line feed")
+        coded = _binary(np.concatenate(([0], np.cumsum(begin[1:] - skip))), ids[kept])
+        if plain.all():
+            return coded
+        own = self._each([u.decode() for u in units.filter(pa.array(~plain)).to_pylist()])
+        both = pa.concat_arrays([coded, _binary(np.cumsum([0] + [len(x) for x in own]), np.concatenate(own))])
+        where = np.zeros(len(units), dtype=np.int64)
+        where[plain], where[~plain] = np.arange(len(coded)), np.arange(len(coded), len(both))
+        return both.take(pa.array(where))
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts one after the other, and each text's number."""
-        split = [_UNIT.findall(t) for t in texts]
-        coded = pa.array([u for s in split for u in s], type=pa.large_string()).dictionary_encode()
+    def encode(self, texts: list[str] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after the other, and each text's number; a null text has none."""
+        texts = (pa.array(texts, type=pa.large_string()) if isinstance(texts, list) else texts.cast(pa.large_string())).fill_null("")
+        offsets, data = _parts(texts, np.uint8)
+        if not len(data):
+            return np.zeros(0, dtype=np.uint32), np.zeros(len(texts), dtype=np.int64)
+        starts = _starts(data, offsets)
+        coded = _binary(np.append(starts, len(data)), data).dictionary_encode()
         units = coded.dictionary.to_pylist()
-        new = [u for u in units if u not in self.place]
+        place = np.array([self.place.get(u, -1) for u in units])
+        new = np.flatnonzero(place < 0)
         if len(self.place) + len(new) > REMEMBERED:
             self.forget()
-            new = units
-        if new:
-            n = len(self.place)
-            self.place.update((u, n + k) for k, u in enumerate(new))
-            found = [e.ids for a in range(0, len(new), 20_000) for e in self.library.encode_batch_fast(new[a : a + 20_000], add_special_tokens=False)]
-            self.ends = np.concatenate((self.ends, self.ends[-1] + np.cumsum([len(x) for x in found])))
-            self.ids = np.concatenate((self.ids, np.array([i for x in found for i in x], dtype=np.uint32)))
-        place = np.array([self.place[u] for u in units], dtype=np.int64)[coded.indices.to_numpy()] if units else np.zeros(0, dtype=np.int64)
-        length = (self.ends[1:] - self.ends[:-1])[place] if len(place) else place
-        total = np.concatenate(([0], np.cumsum(length)))
-        at = np.arange(total[-1]) + np.repeat(self.ends[place] - total[:-1], length)
-        counts = np.diff(total[np.concatenate(([0], np.cumsum([len(s) for s in split])))])
-        return self.ids[at], counts
+            new = np.arange(len(units))
+        if len(new):
+            place[new] = np.arange(len(self.place), len(self.place) + len(new))
+            self.place.update(zip([units[k] for k in new.tolist()], place[new].tolist(), strict=True))
+            self.ids = pa.concat_arrays([self.ids, self._coded(coded.dictionary.take(pa.array(new)))])
+        ends, ids = _parts(self.ids.take(pa.array(place)).take(coded.indices), np.uint32)
+        return ids, np.diff(ends[np.searchsorted(starts, offsets)])
+
+
+_KINDS = np.frombuffer(_KIND, dtype=np.uint8)
+
+
+def _binary(ends: np.ndarray, values: np.ndarray) -> pa.LargeBinaryArray:
+    """An array of runs of values, from each end to the next."""
+    bounds = ends.astype(np.int64) * values.itemsize
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(bounds), pa.py_buffer(values)])
+
+
+def _parts(runs: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """Ends and values of such an array (or of large strings)."""
+    if not len(runs):
+        return np.zeros(1, dtype=np.int64), np.zeros(0, dtype=kind)
+    bounds = np.frombuffer(runs.buffers()[1], dtype=np.int64, count=len(runs) + 1, offset=8 * runs.offset)
+    size = np.dtype(kind).itemsize
+    if bounds[-1] == bounds[0]:
+        return bounds - bounds[0], np.zeros(0, dtype=kind)
+    return (bounds - bounds[0]) // size, np.frombuffer(runs.buffers()[2], dtype=kind, count=(bounds[-1] - bounds[0]) // size, offset=bounds[0])
 
 
 _tokenizers: dict[str, Tokenizer] = {}
@@ -96,22 +201,23 @@ def write(docs: DataFrame, path: str, out: str, end_id: int, segment_ids: int =
         def segment():
             nonlocal seq, size
             ids = np.concatenate(held)
+            held.clear()
             row = pa.RecordBatch.from_pydict(
                 {"part": pa.array([part], pa.int32()), "seq": pa.array([seq], pa.int32()), "n_ids": pa.array([len(ids)], pa.int64()),
                  "doc_ids": pa.array([names], pa.list_(pa.int64())), "lengths": pa.array([lengths], pa.list_(pa.int64())), "blocks": pa.array([coder.encode(ids)], pa.binary())}
             )
             seq, size = seq + 1, 0
-            for kept in (held, lengths, names):
-                kept.clear()
+            lengths.clear()
+            names.clear()
             return row
 
         for batch in batches:
             ids, texts = batch.column("doc_id").to_pylist(), batch.column("text")
-            sizes = np.cumsum([len(t.as_buffer() or b"") if t.is_valid else 0 for t in texts])
+            sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(), dtype=np.int64)
             a = 0
             while a < len(ids):
                 b = max(a + 1, int(np.searchsorted(sizes, (sizes[a - 1] if a else 0) + BATCH_BYTES, side="right")))
-                found, counts = tool.encode([t or "" for t in texts.slice(a, b - a).to_pylist()])
+                found, counts = tool.encode(texts.slice(a, b - a))
                 ends = np.cumsum(counts)
                 # The end id goes behind every document.
                 held.append(np.insert(found, ends, np.uint32(end_id)))

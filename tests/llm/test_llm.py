@@ -228,6 +228,28 @@ def test_units_are_the_librarys(spark):
     assert [list(ids[e - n : e]) for e, n in zip(ends, counts, strict=True)] == [x.ids for x in library.encode_batch(_odd_texts(), add_special_tokens=False)]
 
 
+def test_words_and_marks_go_to_the_library_once():
+    tool = tokens.Tokenizer(P.path("byte_bpe_50k.json"))
+    tool.encode([" so, so. so\nso; 'so so77 don't", " so;"])
+    assert set(tool.place) == {b" so", b",", b".", b"\nso", b";", b" 'so", b"77", b" don", b"'t"}
+
+
+def test_units_between_white_space_of_any_kind(spark):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    library.encode_special_tokens = True
+    rng = random.Random(5)
+    bits = list(" \n\t\r\x0b\x0c\x1c\x1f\x85\xa0\u1680\u180e\u2003\u200b\u2028\u202f\u205f\u3000\ufeff") + ["a", "B", "7", "é", "e\u0301", "”", "«", "日", "'", "'s", "'re", ",", "--", "<|endoftext|>", "\x00", "\x7f"]
+    texts = [" ", "\n", "'", "\u3000", " \u3000x", "x \u2019s", "x \x85y"] + ["".join(rng.choice(bits + [" "] * 6) for _ in range(rng.randrange(12))) for _ in range(6000)]
+    want = [x.ids for x in library.encode_batch(texts, add_special_tokens=False)]
+    tool = tokens.Tokenizer(P.path("byte_bpe_50k.json"))
+    for a in range(0, len(texts), 2000):
+        ids, counts = tool.encode(texts[a : a + 2000])
+        ends = np.cumsum(counts)
+        assert [list(ids[e - n : e]) for e, n in zip(ends, counts, strict=True)] == want[a : a + 2000]
+
+
 def test_bpe_is_tiktokens(spark, edge, real, empty):
     import tiktoken
 
