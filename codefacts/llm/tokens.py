@@ -23,7 +23,7 @@ from . import coder
 
 SEGMENT_IDS = coder.BLOCK_IDS * coder.LANES
 BATCH_BYTES = 8 << 20
-REMEMBERED = 1_000_000
+REMEMBERED = 1_500_000
 CHUNK_BYTES = 32 << 10
 # Kinds of bytes: ASCII letters, digits, apostrophes, other punctuation, white space; beginnings of characters
 # that may be white space; the rest of them; controls.
@@ -83,7 +83,7 @@ class Tokenizer:
         self.forget()
 
     def forget(self) -> None:
-        self.place: dict[bytes, int] = {}
+        self.place: dict[bytes | int, int] = {}
         self.ids = _binary(np.zeros(1, dtype=np.int64), np.zeros(0, dtype=np.uint32))
 
     def _each(self, texts: list[str]) -> list[np.ndarray]:
@@ -139,18 +139,35 @@ class Tokenizer:
         if not len(data):
             return np.zeros(0, dtype=np.uint32), np.zeros(len(texts), dtype=np.int64)
         starts = _starts(data, offsets)
-        coded = _binary(np.append(starts, len(data)), data).dictionary_encode()
-        units = coded.dictionary.to_pylist()
-        place = np.array([self.place.get(u, -1) for u in units])
+        bounds = np.append(starts, len(data))
+        length = np.diff(bounds)
+        # Units of up to seven bytes go by a number: the bytes, and how many.
+        is_short = length <= 7
+        padded = np.append(data, np.zeros(8, dtype=np.uint8))
+        words = np.ndarray(len(data) + 1, dtype="<u8", buffer=padded, strides=(1,))
+        n = length[is_short].astype(np.uint64)
+        short = pa.array((words[starts[is_short]] & ((np.uint64(1) << (n << np.uint64(3))) - np.uint64(1))) | n << np.uint64(56)).dictionary_encode()
+        units = _binary(bounds, data)
+        long = (units.filter(pa.array(~is_short)) if not is_short.all() else units.slice(0, 0)).dictionary_encode()
+        both = short.dictionary.to_pylist() + long.dictionary.to_pylist()
+        place = np.array([self.place.get(u, -1) for u in both])
         new = np.flatnonzero(place < 0)
         if len(self.place) + len(new) > REMEMBERED:
             self.forget()
-            new = np.arange(len(units))
+            new = np.arange(len(both))
         if len(new):
             place[new] = np.arange(len(self.place), len(self.place) + len(new))
-            self.place.update(zip([units[k] for k in new.tolist()], place[new].tolist(), strict=True))
-            self.ids = pa.concat_arrays([self.ids, self._coded(coded.dictionary.take(pa.array(new)))])
-        ends, ids = _parts(self.ids.take(pa.array(place)).take(coded.indices), np.uint32)
+            self.place.update(zip([both[k] for k in new.tolist()], place[new].tolist(), strict=True))
+            k = np.searchsorted(new, len(short.dictionary))
+            numbers = short.dictionary.to_numpy()[new[:k]]
+            n = (numbers >> np.uint64(56)).astype(np.int64)
+            spelled = numbers.astype("<u8").view(np.uint8).reshape(-1, 8)[np.arange(8) < n[:, None]]
+            names = _binary(np.concatenate(([0], np.cumsum(n))), spelled)
+            self.ids = pa.concat_arrays([self.ids, self._coded(pa.concat_arrays([names, long.dictionary.take(pa.array(new[k:] - len(short.dictionary)))]))])
+        of = np.empty(len(starts), dtype=np.int64)
+        of[is_short] = place[: len(short.dictionary)][short.indices.to_numpy()]
+        of[~is_short] = place[len(short.dictionary) :][long.indices.to_numpy()]
+        ends, ids = _parts(self.ids.take(pa.array(of)), np.uint32)
         return ids, np.diff(ends[np.searchsorted(starts, offsets)])
 
 

@@ -231,7 +231,7 @@ def test_units_are_the_librarys(spark):
 def test_words_and_marks_go_to_the_library_once():
     tool = tokens.Tokenizer(P.path("byte_bpe_50k.json"))
     tool.encode([" so, so. so\nso; 'so so77 don't", " so;"])
-    assert set(tool.place) == {b" so", b",", b".", b"\nso", b";", b" 'so", b"77", b" don", b"'t"}
+    assert {u.to_bytes(8, "little")[: u >> 56] if isinstance(u, int) else u for u in tool.place} == {b" so", b",", b".", b"\nso", b";", b" 'so", b"77", b" don", b"'t"}
 
 
 def test_units_between_white_space_of_any_kind(spark):
