@@ -6,9 +6,12 @@ import os
 import re
 from collections.abc import Callable, Iterator
 from functools import reduce
+from itertools import count, groupby
+from operator import itemgetter
 
 import pyarrow as pa
 from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -177,6 +180,75 @@ def write_results_csv(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").csv(path, header=True)
 
 
+#: What Spark writes as %XX in the name of a partition's folder, and the name for null and ''.
+_ESCAPED, _NO_NAME = re.compile(r"[\x01-\x1f\x7f\"#%'*/:=?\\{\[\]^]"), "__HIVE_DEFAULT_PARTITION__"
+
+
+def _shared_folder(spark: SparkSession, path: str) -> str | None:
+    """The path as tasks open it where Spark takes it for a folder that all executors share, else None."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    store = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return store.makeQualified(at).toUri().getPath() if store.getUri().getScheme() == "file" else None
+
+
+def _write_by_project(rows: DataFrame, path: str, suffix: str) -> None:
+    """Lines (project_id, value) as text in the layout of Spark's partitionBy("project_id"), in place of what
+    path held.  A project's lines are dealt to one task, or to few where they are many.
+
+    In a shared folder tasks write the files themselves: Spark's committer moves each project's folder
+    on the driver, one after the other, and its local files cost a process each.  Files stay small
+    enough to be read whole.
+    """
+    spark = rows.sparkSession
+    dealt = settled(rows, "lines").repartitionByRange("project_id", F.xxhash64("value")).sortWithinPartitions("project_id")
+    root = _shared_folder(spark, path)
+    if root is None:
+        dealt.write.mode("overwrite").partitionBy("project_id").option("lineSep", "\n").text(path)
+        return
+
+    def write(batches):
+        part = TaskContext.get().partitionId()
+        lines = (x for b in batches for x in zip(*(c.to_pylist() for c in b.columns), strict=True))
+        for project, own in groupby(lines, itemgetter(0)):
+            folder = os.path.join(root, "project_id=" + (_ESCAPED.sub(lambda m: f"%{ord(m[0]):02X}", project) if project else _NO_NAME))
+            os.makedirs(folder, exist_ok=True)
+            for k in count():
+                held, volume = [], 0
+                for _, value in own:
+                    held.append(value)
+                    volume += len(value) + 1
+                    if volume > BATCH_BYTES:
+                        break
+                if not held:
+                    break
+                name = f"part-{part:05d}-{k}{suffix}"
+                partial = os.path.join(folder, f"_{name}.{os.getpid()}")
+                with open(partial, "wb") as f:
+                    f.writelines(x for value in held for x in (value, b"\n"))
+                os.replace(partial, os.path.join(folder, name))  # a repeated task leaves whole files
+        yield from ()
+
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    store = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    store.delete(at, True)
+    store.mkdirs(at)
+    dealt.select("project_id", F.col("value").cast("binary")).mapInArrow(write, "n long").write.format("noop").mode("overwrite").save()
+    store.create(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")).close()
+
+
+def read_by_project(spark: SparkSession, path: str) -> DataFrame:
+    """(project_id, value): the lines that write_error_text has written.  In a shared folder they
+    are listed in tasks, as Spark's index of so many folders is slow and the driver's."""
+    root = _shared_folder(spark, path)
+    if root is None:
+        return spark.read.schema("value string, project_id string").option("lineSep", "\n").text(path).select("project_id", "value")
+    files = load_tree(spark, root).where(F.col("project_id").startswith("project_id=") & F.col("path").startswith("part-"))
+    name = F.substring("project_id", len("project_id=") + 1, 1 << 30)
+    project = F.when(name != _NO_NAME, F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B"))))
+    lines = F.split(F.expr("substring(content, 1, length(content) - 1)").cast("string"), "\n")
+    return files.select(project.alias("project_id"), F.explode(lines).alias("value"))
+
+
 def write_failed_vectors(vectors: DataFrame, results: DataFrame, path: str) -> None:
     """The vectors that failed as JSON, a folder for each project; nulls are left out."""
     failed = results.where("not passed and not skipped").select("project_id", "filename").distinct()
@@ -185,4 +257,4 @@ def write_failed_vectors(vectors: DataFrame, results: DataFrame, path: str) -> N
 
 def write_error_text(errors: DataFrame, path: str) -> None:
     """Error lines (project_id, line) as text, a folder for each project that has any."""
-    errors.select("project_id", F.col("line").alias("value")).where("value is not null").write.mode("overwrite").partitionBy("project_id").text(path)
+    _write_by_project(errors.select("project_id", F.col("line").alias("value")).where("value is not null"), path, ".txt")

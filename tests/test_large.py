@@ -4,6 +4,7 @@ import duckdb
 
 from codefacts.operators import facts
 from codefacts.queries import ORACLE_SQL, QUERIES
+from codefacts.sources import read_by_project, write_error_text
 
 
 def _rows(df):
@@ -27,3 +28,24 @@ def test_requests_without_entities_hold_an_empty_list(spark):
     files = spark.createDataFrame([("p", "f", "x")], "project_id string, path string, text string")
     entities = spark.createDataFrame([], "project_id string, entity_seq long, name string, kind string, text string")
     assert facts.build_requests(files, entities).first()["payload"] == '{"files":[{"path":"f","contents":"x"}],"entities":[]}'
+
+
+ODD = ["p", "a b", "ä/ö", "x=1%+{2}:'*?", "q\\r", ""]
+
+
+def test_error_text_is_dealt_by_project(spark, tmp_path):
+    lines = [(p, f"{k} é\tx") for p in ODD for k in range(40)] + [("none", None), ("p", "")]
+    rows = spark.createDataFrame(lines, "project_id string, line string").repartition(8)
+    path = str(tmp_path / "err")
+    write_error_text(rows, path)
+    wanted = [(p or None, line) for p, line in lines if line is not None]
+    key = lambda r: (r[0] or "", r[1])
+    assert sorted(map(tuple, read_by_project(spark, path).collect()), key=key) == sorted(wanted, key=key)
+    # Spark's reader finds the same; a project's lines lie in a file, or two where a task ends, not in one of each task before.
+    by_spark = spark.read.schema("value string, project_id string").text(path).select("project_id", "value")
+    assert sorted(map(tuple, by_spark.collect()), key=key) == sorted(wanted, key=key)
+    assert len(list((tmp_path / "err").glob("*/part-*"))) <= len(ODD) + 4
+    write_error_text(rows.where("project_id = 'p'"), path)  # in place of the former
+    assert {r["project_id"] for r in read_by_project(spark, path).collect()} == {"p"}
+    write_error_text(rows.where("project_id = 'none'"), path)
+    assert read_by_project(spark, path).collect() == []
