@@ -237,7 +237,7 @@ def _write_by_project(rows: DataFrame, path: str, suffix: str) -> None:
 
 
 def read_by_project(spark: SparkSession, path: str) -> DataFrame:
-    """(project_id, value): the lines that write_error_text has written.  In a shared folder they
+    """(project_id, value): the lines that write_failed_vectors or write_error_text has written.  In a shared folder they
     are listed in tasks, as Spark's index of so many folders is slow and the driver's."""
     root = _shared_folder(spark, path)
     if root is None:
@@ -252,7 +252,8 @@ def read_by_project(spark: SparkSession, path: str) -> DataFrame:
 def write_failed_vectors(vectors: DataFrame, results: DataFrame, path: str) -> None:
     """The vectors that failed as JSON, a folder for each project; nulls are left out."""
     failed = results.where("not passed and not skipped").select("project_id", "filename").distinct()
-    vectors.join(failed, ["project_id", "filename"], "left_semi").write.mode("overwrite").partitionBy("project_id").json(path)
+    kept = vectors.join(failed, ["project_id", "filename"], "left_semi")
+    _write_by_project(kept.select("project_id", F.to_json(F.struct(*[c for c in kept.columns if c != "project_id"])).alias("value")), path, ".json")
 
 
 def write_error_text(errors: DataFrame, path: str) -> None:

@@ -4,7 +4,7 @@ import duckdb
 
 from codefacts.operators import facts
 from codefacts.queries import ORACLE_SQL, QUERIES
-from codefacts.sources import read_by_project, write_error_text
+from codefacts.sources import read_by_project, write_error_text, write_failed_vectors
 
 
 def _rows(df):
@@ -49,3 +49,15 @@ def test_error_text_is_dealt_by_project(spark, tmp_path):
     assert {r["project_id"] for r in read_by_project(spark, path).collect()} == {"p"}
     write_error_text(rows.where("project_id = 'none'"), path)
     assert read_by_project(spark, path).collect() == []
+
+
+def test_failed_vectors_are_dealt_by_project(spark, tmp_path):
+    vectors = spark.createDataFrame([(p, f"v{k}", None if k % 2 else 'a "b"\n') for p in ODD[:-1] for k in range(40)], "project_id string, filename string, stdin string").repartition(8)
+    outcome = vectors.selectExpr("project_id", "filename", "filename like '%5' as passed", "filename = 'v7' as skipped")
+    path = str(tmp_path / "failed")
+    write_failed_vectors(vectors, outcome, path)
+    wanted = _rows(vectors.where("filename not like '%5' and filename <> 'v7'").selectExpr("project_id", "filename", "coalesce(stdin, '-')"))
+    schema = "filename string, stdin string"
+    assert _rows(spark.read.schema("project_id string, " + schema).json(path).selectExpr("project_id", "filename", "coalesce(stdin, '-')")) == wanted
+    assert _rows(read_by_project(spark, path).selectExpr("project_id", f"from_json(value, '{schema}') as x").selectExpr("project_id", "x.filename", "coalesce(x.stdin, '-')")) == wanted
+    assert len(list((tmp_path / "failed").glob("*/part-*"))) <= len(ODD) + 3
