@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BooleanType, StringType, StructField, StructType
 
 from ..functions import fill_known, find_var_refs, join_path, known_refs, single_var_ref, unquote
 from ..scratch import settled
@@ -26,7 +26,8 @@ _OPENS = re.compile(rf"(?<![A-Za-z0-9_])([A-Za-z0-9_]++){_SPACE}*+\(")
 _INSIDE = re.compile(rf"(?s){_PY_STRING}|[()]")
 _TOKEN = re.compile(rf"(?s){_PY_STRING}|[^ \t\r\n\f]++")
 _UP_TO_HERE = (Window.unboundedPreceding, 0)
-_CALLS = ArrayType(StructType([StructField("command", StringType()), StructField("args", ArrayType(StringType())), StructField("truncated", BooleanType())]))
+#: Characters of calls that a batch holds, and for how many an argument counts beside its own.
+BATCH_CHARS, _CHARS_AN_ARG = 4_000_000, 64
 
 
 def _floored(rows: DataFrame, step: str, level: str, order) -> DataFrame:
@@ -35,8 +36,9 @@ def _floored(rows: DataFrame, step: str, level: str, order) -> DataFrame:
     return total.withColumn(level, F.col("_sum") - F.least(F.lit(0), F.min("_sum").over(order))).drop("_sum")
 
 
-def _calls_of(text: str) -> list[dict]:
-    found, at = [], 0
+def _calls_of(text: str) -> Iterator[tuple[str, list[str], bool, int]]:
+    """Command, arguments, whether truncated, and length of each call."""
+    at = 0
     while opens := _OPENS.search(text, at):
         depth, end, truncated = 1, len(text), True
         for x in _INSIDE.finditer(text, opens.end()):
@@ -44,15 +46,33 @@ def _calls_of(text: str) -> list[dict]:
             if not depth:
                 end, truncated = x.start(), False
                 break
-        found.append({"command": opens[1].lower(), "args": _TOKEN.findall(text[opens.end() : end]), "truncated": truncated})
+        yield opens[1].lower(), _TOKEN.findall(text, opens.end(), end), truncated, end - opens.start()
         at = end + 1
-    return found
 
 
-@F.arrow_udf(_CALLS)
-def _calls(texts: pa.Array) -> pa.Array:
-    kind = pa.list_(pa.struct([("command", pa.string()), ("args", pa.list_(pa.string())), ("truncated", pa.bool_())]))
-    return pa.array([None if t is None else _calls_of(t) for t in texts.to_pylist()], type=kind)
+def _statements_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of at most about BATCH_CHARS characters or as much in arguments, or one call; a file's calls may lie in many."""
+    for batch in batches:
+        files = batch.select(FILE)
+        held, volume = [], 0
+
+        def out(files=files, held=held):
+            row, seq, command, args, truncated = zip(*held, strict=True)
+            held.clear()
+            columns = [pa.array(seq, pa.int64()), pa.array(command, pa.string()), pa.array(args, pa.list_(pa.string())), pa.array(truncated, pa.bool_())]
+            return pa.RecordBatch.from_arrays([*files.take(pa.array(row)).columns, *columns], names=[*FILE, "seq", "command", "args", "truncated"])
+
+        for row, text in enumerate(batch.column("text")):
+            if not text.is_valid:
+                continue
+            for seq, (command, args, truncated, length) in enumerate(_calls_of(text.as_py())):
+                held.append((row, seq, command, args, truncated))
+                volume += length + _CHARS_AN_ARG * (len(args) + 2)
+                if volume > BATCH_CHARS:
+                    yield out()
+                    volume = 0
+        if held:
+            yield out()
 
 
 def extract_statements(scripts: DataFrame) -> DataFrame:
@@ -63,11 +83,12 @@ def extract_statements(scripts: DataFrame) -> DataFrame:
     parenthesis that closes it, and may be of any length and nest to any depth; one that isn't closed holds
     all up to the end of the file and is marked truncated.  What stands between calls, quotes and
     parentheses included, is passed over.  How deep a call is depends on all before it in its file, so a
-    file is read from its start to its end, in Arrow batches; nothing is shuffled.
+    file is read from its start to its end, in Arrow batches; nothing is shuffled.  A task holds some of
+    the calls at a time, however many a batch of files or a file has.
     """
-    bare = F.regexp_replace("text", COMMENT, "$1")
-    calls = scripts.select(*FILE, F.posexplode(_calls(bare)).alias("seq", "call"))
-    return calls.select(*FILE, F.col("seq").cast("long").alias("seq"), "call.command", "call.args", "call.truncated")
+    bare = scripts.select(*FILE, F.regexp_replace("text", COMMENT, "$1").alias("text"))
+    kinds = dict(bare.dtypes)
+    return bare.mapInArrow(_statements_of, f"project_id {kinds['project_id']}, file {kinds['file']}, seq long, command string, args array<string>, truncated boolean")
 
 
 def scope_gates(statements: DataFrame, variables: DataFrame) -> DataFrame:

@@ -1,8 +1,11 @@
 """What only larger or odder tables than the driver's small ones show."""
 
+import tracemalloc
+
 import duckdb
+import pyarrow as pa
 
-from codefacts.operators import facts
+from codefacts.operators import buildfacts, facts
 from codefacts.queries import ORACLE_SQL, QUERIES
 from codefacts.sources import read_by_project, write_error_text, write_failed_vectors
 
@@ -61,3 +64,22 @@ def test_failed_vectors_are_dealt_by_project(spark, tmp_path):
     assert _rows(spark.read.schema("project_id string, " + schema).json(path).selectExpr("project_id", "filename", "coalesce(stdin, '-')")) == wanted
     assert _rows(read_by_project(spark, path).selectExpr("project_id", f"from_json(value, '{schema}') as x").selectExpr("project_id", "x.filename", "coalesce(x.stdin, '-')")) == wanted
     assert len(list((tmp_path / "failed").glob("*/part-*"))) <= len(ODD) + 3
+
+
+def test_scripts_are_read_in_bounded_memory():
+    # 160,000 calls, half of them in one file: before, all calls of a batch of files were held at once.
+    text = "".join(f"set(V{k} a b c)\n" for k in range(2_000))
+    texts = [text] * 40 + [None, "", text * 40 + "list(left open"]
+    batch = pa.RecordBatch.from_pydict({"project_id": [f"p{k}" for k in range(len(texts))], "file": ["f"] * len(texts), "text": texts})
+    calls, largest, last = {}, 0, None
+    tracemalloc.start()
+    for found in buildfacts._statements_of(iter([batch])):
+        largest = max(largest, found.num_rows)
+        for p, n in zip(*(x.to_pylist() for x in found.column("project_id").value_counts().flatten()), strict=True):
+            calls[p] = calls.get(p, 0) + n
+        last = found.slice(found.num_rows - 1).to_pylist()[0]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert calls == {**{f"p{k}": 2_000 for k in range(40)}, "p42": 80_001}
+    assert last == {"project_id": "p42", "file": "f", "seq": 80_000, "command": "list", "args": ["left", "open"], "truncated": True}
+    assert largest < 20_000 and peak < 40e6, (largest, peak)
