@@ -16,35 +16,49 @@ leaf gives each vector its number of links and the root of its component within
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..scratch import discard
 from .common import components, save
 from .vectors import classes, keyed, matrix, usable
 
 TREES, LEAF, BLOCK = 6, 512, 1024
+#: Components of nodes' directions that a task remembers.
+DIRECTIONS = 2_000_000
 
 
 def _project(batches):
+    known, held = {}, 0
     for batch in batches:
-        node = batch.column("node").to_numpy()
-        out = np.zeros(len(node))
-        rows = batch.column("vector")
-        order = np.argsort(node, kind="stable")
-        starts = np.flatnonzero(np.concatenate(([True], node[order][1:] != node[order][:-1]))) if len(node) else []
-        for s, e in zip(starts, [*starts[1:], len(node)], strict=True):
-            at = order[s:e]
+        node, rows = batch.column("node").to_numpy(), batch.column("vector")
+        out, widths = np.zeros(len(node)), rows.value_lengths().to_numpy()
+        for width in np.unique(widths).tolist():
+            at = np.flatnonzero(widths == width)
             x = matrix(rows.take(pa.array(at)))
-            direction = np.random.default_rng(int(node[at[0]]) & (2**63 - 1)).standard_normal(x.shape[1])
-            out[at] = x @ direction / np.linalg.norm(x, axis=1) / np.linalg.norm(direction)
+            each, which = np.unique(node[at], return_inverse=True)
+            if held > DIRECTIONS:
+                known, held = {}, 0
+            for v in each.tolist():
+                if v not in known:
+                    known[v] = np.random.default_rng(v & (2**63 - 1)).standard_normal(width)
+                    known[v] /= np.linalg.norm(known[v])
+                    held += width
+            # Row by row, so that a vector's projection doesn't depend on its batch.
+            out[at] = np.einsum("ij,ij->i", x, np.stack([known[v] for v in each.tolist()])[which]) / np.linalg.norm(x, axis=1)
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], names=[*batch.schema.names, "p"])
 
 
-def _leaves(vectors: DataFrame, trees: int, leaf: int, threshold: float) -> DataFrame:
-    """(node, n, rep, copies, vector): every class in the leaves that it reaches."""
+def _leaves(vectors: DataFrame, trees: int, leaf: int, threshold: float) -> list[DataFrame]:
+    """(node, n, rep, copies, vector): every class in the leaves that it reaches, a table for each level.
+
+    Nodes with their sizes and cuts are few and broadcast, so vectors aren't shuffled here; they are
+    projected twice, for the cuts and for the children, and a level's table goes when the next is written.
+    """
     kind = dict(vectors.dtypes)["vector"]
     active = vectors.withColumn("tree", F.explode(F.sequence(F.lit(1), F.lit(trees)))).select(
         F.xxhash64("tree", "label", F.size("vector")).alias("node"), "rep", "copies", "vector"
@@ -54,27 +68,29 @@ def _leaves(vectors: DataFrame, trees: int, leaf: int, threshold: float) -> Data
     margin = 0.8 * F.lit(reach) / F.sqrt(F.size("vector"))
     done = []
     while True:
-        sized = active.join(active.groupBy("node").agg(F.count("*").alias("n")), "node")
-        done.append(sized.where(F.col("n") <= leaf))
-        big = sized.where(F.col("n") > leaf)
-        if big.isEmpty():
+        counts = save(active.groupBy("node").agg(F.count("*").alias("n")), "nodes")
+        big = active.join(F.broadcast(counts.where(F.col("n") > leaf)), "node")
+        flat = big.mapInArrow(_project, f"node long, rep long, copies long, vector {kind}, n long, p double")
+        # The vectors of a node have one length, so one margin.
+        cuts = flat.groupBy("node").agg(F.percentile_approx("p", [0.25, 0.5, 0.75], 1000).alias("q"), F.max(margin).alias("margin"))
+        cuts = save(cuts.withColumn("dense", F.col("q")[2] - F.col("q")[0] < 3 * F.col("margin")), "cuts")
+        whole = counts.join(cuts.where("not dense").select("node"), "node", "left_anti")
+        done.append(save(active.join(F.broadcast(whole), "node").select("node", "rep", "copies", "vector", "n"), "leaves"))
+        if cuts.where("not dense").isEmpty():
             break
-        flat = save(big.mapInArrow(_project, f"node long, rep long, copies long, vector {kind}, n long, p double"), "projected")
-        cuts = flat.groupBy("node").agg(F.percentile_approx("p", [0.25, 0.5, 0.75], 1000).alias("q"))
-        split = flat.join(cuts, "node").withColumn("dense", F.col("q")[2] - F.col("q")[0] < 3 * margin)
-        done.append(split.where("dense").select("node", "rep", "copies", "vector", "n"))
+        split = flat.join(F.broadcast(cuts.where("not dense")), "node")
         side = F.array(
             *[
-                F.when((F.lit(True) if k == 0 else F.col("p") >= F.col("q")[k - 1] - margin) & (F.lit(True) if k == 3 else F.col("p") <= F.col("q")[k] + margin), F.lit(k))
+                F.when((F.lit(True) if k == 0 else F.col("p") >= F.col("q")[k - 1] - F.col("margin")) & (F.lit(True) if k == 3 else F.col("p") <= F.col("q")[k] + F.col("margin")), F.lit(k))
                 for k in range(4)
             ]
         )
-        children = split.where("not dense").withColumn("side", F.explode(F.array_compact(side)))
-        active = save(children.select(F.xxhash64("node", "side").alias("node"), "rep", "copies", "vector"), "level")
-    out = done[0]
-    for more in done[1:]:
-        out = out.unionByName(more)
-    return save(out, "leaves")
+        children = split.withColumn("side", F.explode(F.array_compact(side)))
+        level = save(children.select(F.xxhash64("node", "side").alias("node"), "rep", "copies", "vector"), "level")
+        discard(active, counts, cuts)
+        active = level
+    discard(active, counts, cuts)
+    return done
 
 
 def _compare(threshold: float, block: int):
@@ -87,11 +103,10 @@ def _compare(threshold: float, block: int):
         own = table.column("block").to_numpy()
         x = matrix(table.column("vector").combine_chunks())
         norm = np.linalg.norm(x, axis=1)
-        lists = table.column("nodes").to_pylist()
-        width = max(map(len, lists))
-        nodes = np.full((len(rep), width), np.iinfo(np.int64).max)
-        for r, each in enumerate(lists):
-            nodes[r, : len(each)] = each
+        lists = table.column("nodes").combine_chunks()
+        many = lists.value_lengths().to_numpy()
+        nodes = np.full((len(rep), many.max()), np.iinfo(np.int64).max)
+        nodes[np.arange(many.max()) < many[:, None]] = lists.flatten().to_numpy()
         a = np.flatnonzero(own == first)
         b = np.flatnonzero(own == second)
         links = np.zeros(len(rep), dtype=np.int64)
@@ -145,7 +160,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, trees: int = TR
     rows = keyed(vectors, "label")
     fit = rows.where(F.col("label").isNotNull() & usable(F.col("vector")))
     same = save(classes(fit, "label"), "classes")
-    leaves = _leaves(same, trees, leaf, threshold)
+    levels = _leaves(same, trees, leaf, threshold)
+    leaves = reduce(DataFrame.unionByName, levels)
     lists = leaves.groupBy("rep").agg(F.sort_array(F.collect_list("node")).alias("nodes"))
     placed = leaves.join(lists, "rep")
     # Blocks only where a leaf is large; a row meets every block of its leaf once.
@@ -156,6 +172,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, trees: int = TR
         "node", F.least("block", "other").alias("b1"), F.greatest("block", "other").alias("b2"), "block", "rep", "copies", "vector", "nodes"
     )
     found = save(placed.groupBy("node", "b1", "b2").applyInArrow(_compare(threshold, block), "rep long, links long, root long"), "links")
+    discard(*levels)
     counts = found.groupBy("rep").agg(F.sum("links").alias("links"))
     parts = components(found.where("rep <> root").select(F.col("rep").alias("a"), F.col("root").alias("b")))
     named = (

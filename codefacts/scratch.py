@@ -34,7 +34,17 @@ def settled(df: DataFrame, name: str) -> DataFrame:
     """df written to the shared folder and read again: cuts lineage, and outlives lost executors."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    found = df.sparkSession.read.schema(df.schema).parquet(path)
+    found._scratch = path
+    return found
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables of settled() that nothing reads any more."""
+    for df in tables:
+        path = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(df._scratch)
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _written.remove(df._scratch)
 
 
 def cleanup(spark: SparkSession) -> int:

@@ -1,12 +1,16 @@
 """What only larger or odder tables than the driver's small ones show."""
 
 import tracemalloc
+from pathlib import Path
 
 import duckdb
+import numpy as np
 import pyarrow as pa
 
+from codefacts.llm import rpforest
 from codefacts.operators import buildfacts, facts
 from codefacts.queries import ORACLE_SQL, QUERIES
+from codefacts.scratch import shared_dir
 from codefacts.sources import read_by_project, write_error_text, write_failed_vectors
 
 
@@ -83,3 +87,18 @@ def test_scripts_are_read_in_bounded_memory():
     assert calls == {**{f"p{k}": 2_000 for k in range(40)}, "p42": 80_001}
     assert last == {"project_id": "p42", "file": "f", "seq": 80_000, "command": "list", "args": ["left", "open"], "truncated": True}
     assert largest < 20_000 and peak < 40e6, (largest, peak)
+
+
+def test_forest_leaves_no_copies_of_vectors(spark):
+    rng = np.random.default_rng(5)
+    rows = [(k, [float(x) for x in rng.standard_normal(8 if k % 3 else 5)], "a") for k in range(400)]
+    rows += [(1000 + k, [x + 1e-4 for x in rows[k][1]], "a") for k in range(50)]
+    folder = Path(shared_dir(spark).removeprefix("file:")) / "codefacts"
+    before = set(folder.glob("*"))
+    found = rpforest.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string"), 0.98, leaf=40, block=16)
+    kinds = {p.name.rsplit("-", 1)[0] for p in set(folder.glob("*")) - before}
+    assert not kinds & {"roots", "level", "projected", "leaves", "nodes", "cuts"}, kinds
+    links = {r["vec_id"]: r["n_links"] for r in found.collect()}
+    for k, v, _ in rows:
+        near = [j for j, w, _ in rows if j != k and len(w) == len(v) and np.dot(v, w) / np.linalg.norm(v) / np.linalg.norm(w) >= 0.98]
+        assert links[k] == len(near)
